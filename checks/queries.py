@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from checks.views import bundle, table, view
 from rowloom import functions as fn
 from rowloom import operators as op
-from rowloom.functions import col
+from rowloom.functions import name_of
 from rowloom.plans import build, clean, history, scoring
 from rowloom.plans import domain as d
 from rowloom.plans.params import MAIN, FittedParams
@@ -38,15 +38,15 @@ def plain(df: DataFrame, digits: int | None = None, keep: tuple[str, ...] = ())
     """Decimals and floats as double, small integers as bigint, doubles rounded."""
     out = []
     for f in df.schema.fields:
-        c = col(f.name)
+        c = name_of(f.name)
         if isinstance(f.dataType, (T.DecimalType, T.FloatType, T.DoubleType)):
-            c = c.cast("double")
+            c = f"CAST({c} AS DOUBLE)"
             if digits is not None and f.name not in keep:
-                c = F.round(c, digits)
+                c = f"round({c}, {digits})"
         elif isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType)):
-            c = c.cast("bigint")
-        out.append(c.alias(f.name))
-    return df.select(*out)
+            c = f"CAST({c} AS BIGINT)"
+        out.append(f"{c} AS {name_of(f.name)}")
+    return df.selectExpr(*out)
 
 
 # Sources and sinks -----------------------------------------------------------
@@ -57,15 +57,11 @@ def csv_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Orders written as CSV with missing-value texts, read back and typed."""
     path = work_folder(spark, "csv")
     orders = table(spark, sf, "orders")
-    orders.select(
+    orders.selectExpr(
         "o_orderkey",
-        F.when(col("o_orderstatus") == "P", F.lit("NA"))
-        .otherwise(col("o_totalprice").cast("string"))
-        .alias("price"),
-        F.when(col("o_orderpriority") == "5-LOW", F.lit("n/a"))
-        .when(col("o_orderpriority") == "2-HIGH", F.lit("XNA"))
-        .otherwise(col("o_orderpriority"))
-        .alias("priority"),
+        "CASE WHEN o_orderstatus = 'P' THEN 'NA' ELSE CAST(o_totalprice AS STRING) END AS price",
+        "CASE o_orderpriority WHEN '5-LOW' THEN 'n/a' WHEN '2-HIGH' THEN 'XNA'"
+        " ELSE o_orderpriority END AS priority",
     ).write.option("header", True).csv(path)
     return read_csv(spark, path)
 
@@ -124,7 +120,7 @@ def select_by_type(spark: SparkSession, sf: str) -> DataFrame:
     item = table(spark, sf, "lineitem")
     texts, numbers = fn.string_columns(item), fn.numeric_columns(item, ["l_orderkey"])
     kinds = [("string", c) for c in texts] + [("numeric", c) for c in numbers]
-    return item.agg(*[F.count(col(c)).alias(f"{kind}_{c}") for kind, c in kinds])
+    return item.selectExpr(*[f"count({c}) AS {kind}_{c}" for kind, c in kinds])
 
 
 @query
@@ -169,21 +165,16 @@ def lookup_customer(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def outlier_null(spark: SparkSession, sf: str) -> DataFrame:
     app = view(spark, sf, "application")
-    return app.select(
-        "SK_ID_CURR",
-        *[
-            fn.null_above(col(c), d.SOCIAL_CIRCLE_LIMIT).alias(c)
-            for c in d.SOCIAL_CIRCLE_COLUMNS
-        ],
-    )
+    capped = [f"{fn.null_above(c, d.SOCIAL_CIRCLE_LIMIT)} AS {c}" for c in d.SOCIAL_CIRCLE_COLUMNS]
+    return app.selectExpr("SK_ID_CURR", *capped)
 
 
 @query
 def request_id_rules(spark: SparkSession, sf: str) -> DataFrame:
     raw = view(spark, sf, "raw_requests")
     accepted, rejected = op.check_ids(raw, "raw", d.CUSTOMER, *d.REQUEST_IDS)
-    accepted = accepted.withColumn("status", F.lit("accepted"))
-    refused = rejected.withColumn("status", F.lit(scoring.REJECTED))
+    accepted = accepted.selectExpr("*", "'accepted' AS status")
+    refused = rejected.selectExpr("*", f"'{scoring.REJECTED}' AS status")
     return plain(accepted.unionByName(refused, allowMissingColumns=True))
 
 
@@ -241,7 +232,10 @@ def _by_customer(name: str, measure) -> Query:
 
 _by_customer(
     "count_nonnull",
-    lambda df: {"LOAN_COUNT": op.count_of(d.BUREAU_LOAN), "DEBTS": op.count_of("AMT_CREDIT_SUM_DEBT")},
+    lambda df: {
+        "LOAN_COUNT": op.count_of(d.BUREAU_LOAN),
+        "DEBTS": op.count_of("AMT_CREDIT_SUM_DEBT"),
+    },
 )
 _by_customer("count_distinct", lambda df: {"LOAN_TYPES": op.distinct_of("CREDIT_TYPE")})
 _by_customer(
@@ -293,89 +287,100 @@ def memory_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def round_half_even(spark: SparkSession, sf: str) -> DataFrame:
-    item = table(spark, sf, "lineitem")
-    halves = fn.half_even(col("l_quantity") / F.lit(2.0))
-    return item.groupBy("l_quantity").agg(F.max(halves).alias("rounded"))
+    halves = fn.half_even("l_quantity / 2.0D")
+    return (
+        table(spark, sf, "lineitem")
+        .groupBy("l_quantity")
+        .agg(F.expr(f"max({halves}) AS rounded"))
+    )
 
 
 @query
 def abs_and_signs(spark: SparkSession, sf: str) -> DataFrame:
-    c = col("c_acctbal")
-    return table(spark, sf, "customer").select(
-        "c_custkey", F.abs(c).alias("magnitude"), (-c).alias("negated")
+    customers = table(spark, sf, "customer")
+    return customers.selectExpr(
+        "c_custkey", "abs(c_acctbal) AS magnitude", "-c_acctbal AS negated"
     )
 
 
 @query
 def sentinel_null_flag(spark: SparkSession, sf: str) -> DataFrame:
-    days = F.abs(col("DAYS_EMPLOYED").cast("bigint"))
-    return view(spark, sf, "application").select(
+    days = "abs(CAST(DAYS_EMPLOYED AS BIGINT))"
+    anomaly = fn.flag(f"{days} = {d.EMPLOYED_SENTINEL}")
+    return view(spark, sf, "application").selectExpr(
         "SK_ID_CURR",
-        fn.null_if(days, d.EMPLOYED_SENTINEL).alias("days"),
-        fn.flag(days == F.lit(d.EMPLOYED_SENTINEL)).cast("bigint").alias("anomaly"),
+        f"{fn.null_if(days, d.EMPLOYED_SENTINEL)} AS days",
+        f"CAST({anomaly} AS BIGINT) AS anomaly",
     )
 
 
 @query
 def status_map_weight(spark: SparkSession, sf: str) -> DataFrame:
     months = clean.clean_bureau_balance(view(spark, sf, "bureau_balance"))
-    return plain(months.groupBy("MONTHS_BALANCE", "STATUS").agg(
-        F.count(F.lit(1)).alias("row_count"), F.max("WEIGHT_status").alias("WEIGHT_status")
-    ))
+    return plain(
+        months.groupBy("MONTHS_BALANCE", "STATUS").agg(
+            F.expr("count(1) AS row_count"), F.expr("max(WEIGHT_status) AS WEIGHT_status")
+        )
+    )
 
 
 @query
 def safe_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    price, discount = col("l_extendedprice"), col("l_discount")
-    return table(spark, sf, "lineitem").select(
+    price, discount = "l_extendedprice", "l_discount"
+    return table(spark, sf, "lineitem").selectExpr(
         "l_orderkey",
         "l_linenumber",
-        fn.safe_ratio(discount, price, d.GUARD_SMALL).alias("small_guard"),
-        fn.safe_ratio(discount, price, d.GUARD_MIN_PAYMENT).alias("payment_guard"),
-        fn.safe_ratio(price, discount, d.GUARD_ONE).alias("unit_guard"),
+        f"{fn.safe_ratio(discount, price, d.GUARD_SMALL)} AS small_guard",
+        f"{fn.safe_ratio(discount, price, d.GUARD_MIN_PAYMENT)} AS payment_guard",
+        f"{fn.safe_ratio(price, discount, d.GUARD_ONE)} AS unit_guard",
     )
 
 
 @query
 def ieee_ratio(spark: SparkSession, sf: str) -> DataFrame:
     """Unguarded division, infinities spelled out as text."""
-    discount = col("l_discount")
-    signed = F.when(col("l_returnflag") == "A", -col("l_extendedprice"))
-    signed = signed.when(col("l_returnflag") == "N", F.lit(0.0)).otherwise(col("l_extendedprice"))
-    ratio = fn.ieee_div(signed, discount)
-    text = (
-        F.when(ratio.isNull(), F.lit("missing"))
-        .when(ratio == float("inf"), F.lit("+inf"))
-        .when(ratio == float("-inf"), F.lit("-inf"))
-        .otherwise(F.lit("finite"))
+    signed = (
+        "CASE l_returnflag WHEN 'A' THEN -l_extendedprice WHEN 'N' THEN 0.0D"
+        " ELSE l_extendedprice END"
     )
+    ratio = fn.ieee_div(signed, "l_discount")
     return (
         table(spark, sf, "lineitem")
-        .select(text.alias("kind"), "l_returnflag")
+        .selectExpr("l_returnflag", f"{ratio} AS ratio")
+        .selectExpr(
+            "l_returnflag",
+            "CASE WHEN ratio IS NULL THEN 'missing' WHEN ratio = double('Infinity') THEN '+inf'"
+            " WHEN ratio = double('-Infinity') THEN '-inf' ELSE 'finite' END AS kind",
+        )
         .groupBy("kind", "l_returnflag")
-        .agg(F.count(F.lit(1)).alias("row_count"))
+        .agg(F.expr("count(1) AS row_count"))
     )
 
 
 @query
 def inf_to_zero(spark: SparkSession, sf: str) -> DataFrame:
-    ratio = fn.ieee_div(col("l_extendedprice"), col("l_discount"))
-    return table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", fn.inf_to(ratio, 0.0).alias("ratio")
+    ratio = fn.ieee_div("l_extendedprice", "l_discount")
+    return table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", f"{fn.inf_to(ratio, 0.0)} AS ratio"
     )
 
 
 @query
 def zero_fill(spark: SparkSession, sf: str) -> DataFrame:
     """The mean of both infinities is NaN and becomes 0; one infinity stays."""
-    sign = F.when(col("l_linenumber") % 2 == 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-    ratio = fn.ieee_div(sign, col("l_discount"))
-    filled = fn.zero_fill(F.avg(F.when(ratio.isin(*fn.nulls.INFINITIES), ratio)))
-    text = F.when(filled == float("inf"), "+inf").when(filled == float("-inf"), "-inf")
+    ratio = fn.ieee_div("CASE WHEN l_linenumber % 2 = 0 THEN -1.0D ELSE 1.0D END", "l_discount")
+    infinite = "avg(CASE WHEN l_discount = 0 THEN ratio END)"
     return (
         table(spark, sf, "lineitem")
+        .selectExpr("l_orderkey", "l_discount", f"{ratio} AS ratio")
         .groupBy("l_orderkey")
-        .agg(text.otherwise(filled.cast("string")).alias("mean_of_infinities"))
+        .agg(F.expr(f"{fn.zero_fill(infinite)} AS filled"))
+        .selectExpr(
+            "l_orderkey",
+            "CASE WHEN filled = double('Infinity') THEN '+inf'"
+            " WHEN filled = double('-Infinity') THEN '-inf'"
+            " ELSE CAST(filled AS STRING) END AS mean_of_infinities",
+        )
     )
 
 
@@ -389,20 +394,23 @@ def fill_category(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def float32_downcast(spark: SparkSession, sf: str) -> DataFrame:
-    ratio = fn.safe_ratio(col("l_extendedprice"), col("l_quantity"), d.GUARD_ONE)
-    return table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", fn.to_float32(ratio).cast("double").alias("ratio")
+    ratio = fn.safe_ratio("l_extendedprice", "l_quantity", d.GUARD_ONE)
+    return table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", f"CAST({fn.to_float32(ratio)} AS DOUBLE) AS ratio"
     )
 
 
 @query
 def score_threshold(spark: SparkSession, sf: str) -> DataFrame:
     """Classes and verdicts of a made-up probability, 0.5 itself included."""
-    prob = col("l_quantity") / F.lit(50.0)
-    pred = fn.class_of(prob, d.THRESHOLD)
-    return plain(table(spark, sf, "lineitem").select(
-        prob.alias("prob"), pred.alias("pred"), scoring.verdict_of(pred).alias("verdict")
-    ).groupBy("prob", "pred", "verdict").agg(F.count(F.lit(1)).alias("row_count")))
+    return plain(
+        table(spark, sf, "lineitem")
+        .selectExpr("l_quantity / 50.0D AS prob")
+        .selectExpr("prob", f"{fn.class_of('prob', d.THRESHOLD)} AS pred")
+        .selectExpr("prob", "pred", f"{scoring.verdict_of('pred')} AS verdict")
+        .groupBy("prob", "pred", "verdict")
+        .agg(F.expr("count(1) AS row_count"))
+    )
 
 
 # Narrowing -------------------------------------------------------------------
@@ -414,20 +422,12 @@ def narrow_bounds(spark: SparkSession, sf: str) -> DataFrame:
     item = table(spark, sf, "lineitem")
     types = op.narrow_types(item)
     bounds = op.column_bounds(item, types)
-    rows = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(c).alias("column"),
-                    F.lit(t.simpleString()).alias("type"),
-                    col(f"min_{c}").cast("double").alias("low"),
-                    col(f"max_{c}").cast("double").alias("high"),
-                )
-                for c, t in types.items()
-            ]
-        )
+    rows = ", ".join(
+        f"struct('{c}' AS column, '{t.simpleString()}' AS type,"
+        f" CAST(min_{c} AS DOUBLE) AS low, CAST(max_{c} AS DOUBLE) AS high)"
+        for c, t in types.items()
     )
-    return bounds.select(rows.alias("r")).select("r.*")
+    return bounds.selectExpr(f"inline(array({rows}))")
 
 
 @query
@@ -448,8 +448,10 @@ def onehot_fitted(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def onehot_unknown_zero(spark: SparkSession, sf: str) -> DataFrame:
     """Categories fitted on suppliers' nations, applied to all customers'."""
-    seen = table(spark, sf, "supplier").select((col("s_nationkey") % 20).cast("string").alias("nation"))
-    customers = table(spark, sf, "customer").select("c_custkey", col("c_nationkey").cast("string").alias("nation"))
+    seen = table(spark, sf, "supplier").selectExpr("CAST(s_nationkey % 20 AS STRING) AS nation")
+    customers = table(spark, sf, "customer").selectExpr(
+        "c_custkey", "CAST(c_nationkey AS STRING) AS nation"
+    )
     return plain(op.one_hot(customers, op.fit_categories(seen)))
 
 
@@ -466,8 +468,10 @@ SCALED = ["AMT_CREDIT", "OBS_30_CNT_SOCIAL_CIRCLE", "REGION_RATING_CLIENT_W_CITY
 def median_impute(spark: SparkSession, sf: str) -> DataFrame:
     app = view(spark, sf, "application")
     params = op.fit_impute_scale(app, d.CUSTOMER, SCALED)
-    filled = [fn.fill_missing(col(c).cast("double"), params[c].median).alias(c) for c in SCALED]
-    return plain(app.select("SK_ID_CURR", *filled), 8)
+    filled = [
+        f"{fn.fill_missing(f'CAST({c} AS DOUBLE)', params[c].median)} AS {c}" for c in SCALED
+    ]
+    return plain(app.selectExpr("SK_ID_CURR", *filled), 8)
 
 
 @query
@@ -481,10 +485,10 @@ def exact_median_large(spark: SparkSession, sf: str) -> DataFrame:
     """Medians by narrowing intervals, the way taken for tables of any size."""
     item = table(spark, sf, "lineitem")
     names = fn.numeric_columns(item)
-    counts = item.agg(*[F.count(col(c)).alias(c) for c in names]).head().asDict()
+    counts = item.selectExpr(*[f"count({c}) AS {c}" for c in names]).head().asDict()
     found = op.exact_medians(item, counts, direct_values=0, accuracy=100)
-    return item.agg(
-        F.count(F.lit(1)).alias("row_count"), *[F.lit(found[c]).alias(c) for c in names]
+    return item.selectExpr(
+        "count(1) AS row_count", *[f"{fn.value_of(found[c])} AS {c}" for c in names]
     )
 
 
@@ -494,18 +498,15 @@ def exact_median_large(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def clean_application(spark: SparkSession, sf: str) -> DataFrame:
     cleaned = clean.clean_application(view(spark, sf, "application"))
-    return plain(
-        cleaned.withColumn("Year_Empolyed_ANOM", col("Year_Empolyed_ANOM").cast("bigint"))
-    )
+    as_number = {"Year_Empolyed_ANOM": "CAST(Year_Empolyed_ANOM AS BIGINT)"}
+    return plain(op.with_derived(cleaned, as_number))
 
 
 @query
 def main_features(spark: SparkSession, sf: str) -> DataFrame:
     derived = clean.derive_application(view(spark, sf, "application"))
-    return derived.select(
-        "SK_ID_CURR", col("INCOME_GT_CREDIT_FLAG").cast("bigint").alias("INCOME_GT_CREDIT_FLAG"),
-        "DIR", "AIR", "ACR", "DAR",
-    )
+    flag = "CAST(INCOME_GT_CREDIT_FLAG AS BIGINT) AS INCOME_GT_CREDIT_FLAG"
+    return derived.selectExpr("SK_ID_CURR", flag, "DIR", "AIR", "ACR", "DAR")
 
 
 @query
@@ -575,13 +576,10 @@ RATIO_COLUMNS = {f"{p}_{c}" for p, columns in RATIOS.items() for c in columns}
 def rounded(df: DataFrame, scaled: tuple[str, ...] = ()) -> DataFrame:
     """Means of ratios to 4 digits, scaled columns to 8, the rest as it is."""
     typed = plain(df)
-    return typed.select(
+    digits = {c: 4 for c in RATIO_COLUMNS} | {c: 8 for c in scaled}
+    return typed.selectExpr(
         *[
-            F.round(col(c), 8).alias(c)
-            if c in scaled
-            else F.round(col(c), 4).alias(c)
-            if c in RATIO_COLUMNS
-            else col(c)
+            f"round({name_of(c)}, {digits[c]}) AS {name_of(c)}" if c in digits else name_of(c)
             for c in typed.columns
         ]
     )
@@ -694,7 +692,7 @@ def score_requests_stream(spark: SparkSession, sf: str) -> DataFrame:
     items = table(spark, sf, "lineitem")
     stream = spark.readStream.schema(items.schema).parquet(f"{sf}/lineitem.parquet*")
     score_request_stream(
-        stream.select(col("l_partkey").alias(d.CUSTOMER)),
+        stream.selectExpr(f"l_partkey AS {d.CUSTOMER}"),
         application,
         features,
         scoring.logistic_scorer(WEIGHTS, INTERCEPT),

@@ -1,12 +1,18 @@
-"""Column-level helpers: missing values, arithmetic, lookups, names."""
+"""Column expressions as SQL text: missing values, arithmetic, lookups, names.
+
+A feature table has hundreds of expressions. Building each from Column objects
+costs several calls into the JVM per operator; as text a whole projection is
+one call, and Catalyst sees the same plan.
+"""
 
 from rowloom.functions.columns import (
-    col,
+    name_of,
     numeric_columns,
     operand,
     require_columns,
     require_unique,
     string_columns,
+    value_of,
 )
 from rowloom.functions.mapping import map_values
 from rowloom.functions.nulls import (
@@ -29,13 +35,13 @@ from rowloom.functions.numeric import (
 
 __all__ = [
     "class_of",
-    "col",
     "fill_missing",
     "flag",
     "half_even",
     "ieee_div",
     "inf_to",
     "map_values",
+    "name_of",
     "nan_to_null",
     "null_above",
     "null_if",
@@ -47,5 +53,6 @@ __all__ = [
     "string_columns",
     "to_float32",
     "unless_equal",
+    "value_of",
     "zero_fill",
 ]

@@ -1,18 +1,33 @@
-"""Column references and column lists taken from a DataFrame's schema."""
+"""Names, constants, and column lists taken from a DataFrame's schema."""
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
-def col(name: str) -> Column:
-    """Reference a column whose name may hold dots, spaces or slashes."""
-    return F.col("`" + name.replace("`", "``") + "`")
+def name_of(column: str) -> str:
+    """A quoted column name; it may hold dots, spaces or slashes."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def value_of(value) -> str:
+    """A constant as SQL text; floats keep every digit."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "TRUE" if value else "FALSE"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, float):
+        return f"{value!r}D" if math.isfinite(value) else f"double('{value!r}')"
+    if isinstance(value, int):
+        return f"{value}L" if abs(value) > 2_147_483_647 else str(value)
+    raise TypeError(f"no SQL constant for {type(value).__name__}")
 
 
 def string_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
@@ -38,18 +53,18 @@ def numeric_columns(
     ]
 
 
-def operand(df: DataFrame, name: str) -> Column:
+def operand(df: DataFrame, column: str) -> str:
     """A column widened for arithmetic.
 
     Narrow storage types overflow (ANSI raises) or lose digits, so integers
     are computed as bigint and floats as double. Decimals stay exact.
     """
-    kind = df.schema[name].dataType
+    kind = df.schema[column].dataType
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType)):
-        return col(name).cast("bigint")
+        return f"CAST({name_of(column)} AS BIGINT)"
     if isinstance(kind, T.FloatType):
-        return col(name).cast("double")
-    return col(name)
+        return f"CAST({name_of(column)} AS DOUBLE)"
+    return name_of(column)
 
 
 def require_columns(df: DataFrame, names: Iterable[str]) -> None:

@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from itertools import chain
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from rowloom.functions.columns import value_of
 
 
-def map_values(c: Column, table: Mapping) -> Column:
+def map_values(e: str, table: Mapping) -> str:
     """Look a value up in a small constant table; unknown values give NULL."""
-    pairs = F.create_map(*[F.lit(x) for x in chain.from_iterable(table.items())])
-    return pairs[c]
+    cases = " ".join(f"WHEN {value_of(k)} THEN {value_of(v)}" for k, v in table.items())
+    return f"CASE {e} {cases} END"

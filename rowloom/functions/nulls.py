@@ -2,56 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from rowloom.functions.columns import col
+from rowloom.functions.columns import name_of, value_of
 
-INFINITIES = (float("inf"), float("-inf"))
+INFINITIES = f"{value_of(float('inf'))}, {value_of(float('-inf'))}"
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NULL for NaN in every float and double column, in one projection."""
-    return df.select(
-        *[
-            F.when(~F.isnan(col(f.name)), col(f.name)).alias(f.name)
-            if isinstance(f.dataType, (T.FloatType, T.DoubleType))
-            else col(f.name)
-            for f in df.schema.fields
-        ]
-    )
+    out = []
+    for f in df.schema.fields:
+        n = name_of(f.name)
+        floating = isinstance(f.dataType, (T.FloatType, T.DoubleType))
+        out.append(f"CASE WHEN NOT isnan({n}) THEN {n} END AS {n}" if floating else n)
+    return df.selectExpr(*out)
 
 
-def zero_fill(c: Column) -> Column:
+def zero_fill(e: str) -> str:
     """0 for NULL and NaN; infinities are kept."""
-    return F.coalesce(F.nanvl(c.cast("double"), F.lit(None).cast("double")), F.lit(0.0))
+    return f"coalesce(nanvl(CAST({e} AS DOUBLE), NULL), 0.0D)"
 
 
-def fill_missing(c: Column, value) -> Column:
-    return F.coalesce(c, F.lit(value))
+def fill_missing(e: str, value) -> str:
+    return f"coalesce({e}, {value_of(value)})"
 
 
-def null_if(c: Column, sentinel) -> Column:
+def null_if(e: str, sentinel) -> str:
     """NULL where the value equals a sentinel."""
-    return F.when(c != F.lit(sentinel), c)
+    return f"CASE WHEN {e} <> {value_of(sentinel)} THEN {e} END"
 
 
-def null_above(c: Column, limit) -> Column:
+def null_above(e: str, limit) -> str:
     """NULL where the value is above a limit."""
-    return F.when(c <= F.lit(limit), c)
+    return f"CASE WHEN {e} <= {value_of(limit)} THEN {e} END"
 
 
-def inf_to(c: Column, value: float) -> Column:
+def inf_to(e: str, value: float) -> str:
     """Replace both infinities by a constant."""
-    return F.when(c.isin(*INFINITIES), F.lit(value)).otherwise(c)
+    return f"CASE WHEN {e} IN ({INFINITIES}) THEN {value_of(value)} ELSE {e} END"
 
 
-def flag(condition: Column) -> Column:
+def flag(condition: str) -> str:
     """A comparison that is false, not NULL, when an operand is missing."""
-    return F.coalesce(condition, F.lit(False))
+    return f"coalesce({condition}, FALSE)"
 
 
-def unless_equal(c: Column, value) -> Column:
+def unless_equal(e: str, value) -> str:
     """Filter condition: not equal to a value, missing rows kept."""
-    return ~c.eqNullSafe(F.lit(value))
+    return f"NOT ({e} <=> {value_of(value)})"

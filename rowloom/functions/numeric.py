@@ -2,36 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from rowloom.functions.columns import value_of
 
 
-def ieee_div(numerator: Column, denominator: Column) -> Column:
+def ieee_div(numerator: str, denominator: str) -> str:
     """Division where x/0 is a signed infinity and 0/0 is NULL."""
-    n = numerator.cast("double")
-    d = denominator.cast("double")
-    zero = d == F.lit(0.0)
+    n, d = f"CAST({numerator} AS DOUBLE)", f"CAST({denominator} AS DOUBLE)"
+    plus, minus = value_of(float("inf")), value_of(float("-inf"))
     return (
-        F.when(~zero, n / d)
-        .when(zero & (n > 0), F.lit(float("inf")))
-        .when(zero & (n < 0), F.lit(float("-inf")))
+        f"CASE WHEN {d} <> 0.0D THEN {n} / {d} WHEN {d} IS NULL THEN NULL"
+        f" WHEN {n} > 0.0D THEN {plus} WHEN {n} < 0.0D THEN {minus} END"
     )
 
 
-def safe_ratio(numerator: Column, denominator: Column, guard: float) -> Column:
+def safe_ratio(numerator: str, denominator: str, guard: float) -> str:
     """Ratio whose denominator is moved away from zero by a small constant."""
-    return ieee_div(numerator, denominator.cast("double") + F.lit(float(guard)))
+    return ieee_div(numerator, f"(CAST({denominator} AS DOUBLE) + {value_of(float(guard))})")
 
 
-def half_even(c: Column) -> Column:
-    """Round to an integer value, ties to even. Adding 0.0 drops the sign of -0.0."""
-    return F.rint(c.cast("double")) + F.lit(0.0)
+def half_even(e: str) -> str:
+    """Round to an integer value, ties to even. Adding 0 drops the sign of -0."""
+    return f"rint(CAST({e} AS DOUBLE)) + 0.0D"
 
 
-def to_float32(c: Column) -> Column:
-    return c.cast("float")
+def to_float32(e: str) -> str:
+    return f"CAST({e} AS FLOAT)"
 
 
-def class_of(probability: Column, threshold: float) -> Column:
+def class_of(probability: str, threshold: float) -> str:
     """1 above the threshold, else 0."""
-    return F.when(probability > F.lit(threshold), F.lit(1)).otherwise(F.lit(0))
+    return f"CASE WHEN {probability} > {value_of(threshold)} THEN 1 ELSE 0 END"

@@ -9,82 +9,76 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowloom.functions import col
+from rowloom.functions import name_of, value_of
 from rowloom.operators.joins import lookup_join
 
 
-def aggregate_by(df: DataFrame, key: str, measures: Mapping[str, Column]) -> DataFrame:
+def aggregate_by(df: DataFrame, key: str, measures: Mapping[str, str]) -> DataFrame:
     """One row per non-missing key with the given named aggregates."""
     return (
-        df.where(col(key).isNotNull())
-        .groupBy(col(key))
-        .agg(*[c.alias(name) for name, c in measures.items()])
+        df.where(f"{name_of(key)} IS NOT NULL")
+        .groupBy(name_of(key))
+        .agg(*[F.expr(f"{e} AS {name_of(name)}") for name, e in measures.items()])
     )
 
 
-def count_of(name: str) -> Column:
+def count_of(column: str) -> str:
     """Number of non-missing values."""
-    return F.count(col(name))
+    return f"count({name_of(column)})"
 
 
-def distinct_of(name: str) -> Column:
+def distinct_of(column: str) -> str:
     """Number of distinct non-missing values."""
-    return F.count_distinct(col(name))
+    return f"count(DISTINCT {name_of(column)})"
 
 
-def sum_of(df: DataFrame, name: str) -> Column:
+def sum_of(df: DataFrame, column: str) -> str:
     """Sum that is 0, not NULL, when every value is missing."""
-    kind = df.schema[name].dataType
-    total = F.sum(col(name))
-    if isinstance(kind, T.DecimalType):
-        return F.coalesce(total, F.lit(0).cast(kind))
-    if isinstance(kind, (T.FloatType, T.DoubleType)):
-        return F.coalesce(total, F.lit(0.0))
-    return F.coalesce(total, F.lit(0).cast("bigint"))
+    floating = isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType))
+    return f"coalesce(sum({name_of(column)}), {'0.0D' if floating else '0'})"
 
 
-def mean_of(df: DataFrame, name: str) -> Column:
+def mean_of(df: DataFrame, column: str) -> str:
     """Mean of the non-missing values as double.
 
     Decimals are summed exactly and divided once, which does not depend on
     the order of the rows.
     """
-    kind = df.schema[name].dataType
+    kind, n = df.schema[column].dataType, name_of(column)
     if isinstance(kind, T.DecimalType):
-        return F.try_divide(F.sum(col(name)).cast("double"), F.count(col(name)))
-    if isinstance(kind, T.BooleanType):
-        return F.avg(col(name).cast("int"))
-    return F.avg(col(name))
+        return f"try_divide(CAST(sum({n}) AS DOUBLE), count({n}))"
+    return f"avg(CAST({n} AS INT))" if isinstance(kind, T.BooleanType) else f"avg({n})"
+
+
+def rows_with(column: str, value: str) -> str:
+    return f"count_if({name_of(column)} = {value_of(value)})"
 
 
-def share_of(name: str, value: str) -> Column:
+def share_of(column: str, value: str) -> str:
     """Fraction of all rows of the group, missing ones included, with a value.
 
     Counts instead of an average of zeros and ones: all shares of a group use
     one common row count, which halves the aggregation buffer.
     """
-    return F.count_if(col(name) == F.lit(value)) / F.count(F.lit(1))
+    return f"{rows_with(column, value)} / count(1)"
 
 
-def distinct_from_categories(name: str, values: Iterable[str]) -> Column:
+def distinct_from_categories(column: str, values: Iterable[str]) -> str:
     """Number of distinct values when all possible values are known.
 
     Equals ``distinct_of`` but needs no second shuffle. The counts are the
     same expressions ``share_of`` uses, so they are computed once.
     """
-    out = F.lit(0).cast("bigint")
-    for value in values:
-        seen = F.count_if(col(name) == F.lit(value)) > F.lit(0)
-        out = out + seen.cast("bigint")
-    return out
+    seen = [f"CAST({rows_with(column, v)} > 0 AS BIGINT)" for v in values]
+    return " + ".join(["0L", *seen])
 
 
 def attach_group_aggregates(
-    df: DataFrame, key: str, measures: Mapping[str, Column], support: float = 0.01
+    df: DataFrame, key: str, measures: Mapping[str, str], support: float = 0.01
 ) -> DataFrame:
     """Give every row its group's aggregates; rows with no key get NULLs.
 
@@ -95,19 +89,16 @@ def attach_group_aggregates(
     return lookup_join(df, aggregate_by(df, key, measures), key, support=support)
 
 
-def column_bounds(df: DataFrame, names: Iterable[str]) -> DataFrame:
+def column_bounds(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """One row with ``min_<c>`` and ``max_<c>`` for every column, in one pass."""
-    names = list(names)
-    return df.agg(
-        *[F.min(col(n)).alias(f"min_{n}") for n in names],
-        *[F.max(col(n)).alias(f"max_{n}") for n in names],
+    columns = list(columns)
+    return df.selectExpr(
+        *[f"{f}({name_of(c)}) AS {name_of(f'{f}_{c}')}" for f in ("min", "max") for c in columns]
     )
 
 
 def shape_report(df: DataFrame, label: str) -> DataFrame:
     """One row: label, number of rows, number of columns."""
-    return df.agg(F.count(F.lit(1)).alias("row_count")).select(
-        F.lit(label).alias("label"),
-        "row_count",
-        F.lit(len(df.columns)).cast("bigint").alias("column_count"),
+    return df.selectExpr("count(1) AS row_count").selectExpr(
+        f"{value_of(label)} AS label", "row_count", f"{len(df.columns)}L AS column_count"
     )

@@ -5,11 +5,19 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.functions import col, require_columns, require_unique, string_columns
+from rowloom.functions import (
+    name_of,
+    require_columns,
+    require_unique,
+    string_columns,
+    value_of,
+)
+from rowloom.operators.aggregate import aggregate_by
 from rowloom.operators.joins import frequent_keys, lookup_join
+from rowloom.operators.select import select_named
 
 MAX_CATEGORIES = 2_000  # a wider one-hot is refused, see category_share_long
 
@@ -19,9 +27,9 @@ Categories = dict[str, list[str]]
 def _long_categories(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, category) of all non-missing values, from one scan."""
     return (
-        df.select(*[col(c) for c in columns])
+        select_named(df, columns)
         .unpivot([], list(columns), "column", "category")
-        .where(F.col("category").isNotNull())
+        .where("category IS NOT NULL")
     )
 
 
@@ -39,7 +47,9 @@ def fit_categories_of(
         t: {c: [] for c in columns} for t, (_, columns) in tables.items()
     }
     parts = [
-        _long_categories(df, columns).select(F.lit(t).alias("table"), "column", "category")
+        _long_categories(df, columns).selectExpr(
+            f"{value_of(t)} AS table", "column", "category"
+        )
         for t, (df, columns) in tables.items()
         if columns
     ]
@@ -76,9 +86,9 @@ def fit_categories(
     return fit_categories_of({"": (df, names)}, max_categories)[""]
 
 
-def indicator(name: str, value: str) -> Column:
+def indicator(column: str, value: str) -> str:
     """1 where the column has the value, else 0; missing counts as 0."""
-    return F.when(col(name) == F.lit(value), F.lit(1)).otherwise(F.lit(0))
+    return f"CASE WHEN {name_of(column)} = {value_of(value)} THEN 1 ELSE 0 END"
 
 
 def one_hot(df: DataFrame, categories: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -91,7 +101,9 @@ def one_hot(df: DataFrame, categories: Mapping[str, Sequence[str]]) -> DataFrame
     kept = [c for c in df.columns if c not in categories]
     made = [(f"{c}_{v}", indicator(c, v)) for c, values in categories.items() for v in values]
     require_unique([*kept, *[name for name, _ in made]])
-    return df.select(*[col(c) for c in kept], *[e.alias(name) for name, e in made])
+    return df.selectExpr(
+        *[name_of(c) for c in kept], *[f"{e} AS {name_of(name)}" for name, e in made]
+    )
 
 
 def category_share_long(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -101,19 +113,16 @@ def category_share_long(df: DataFrame, key: str, columns: Sequence[str]) -> Data
     collected, and both groupings combine map-side. Runs two passes over the
     key to find frequent ones, whose many categories must not meet in one task.
     """
-    present = df.where(col(key).isNotNull())
-    totals = present.groupBy(col(key)).agg(F.count(F.lit(1)).alias("rows_of_key"))
+    present = df.where(f"{name_of(key)} IS NOT NULL")
+    totals = aggregate_by(present, key, {"rows_of_key": "count(1)"})
     counts = (
-        present.select(col(key), *[col(c) for c in columns])
+        select_named(present, [key, *columns])
         .unpivot([key], list(columns), "column", "category")
-        .where(F.col("category").isNotNull())
-        .groupBy(col(key), "column", "category")
-        .agg(F.count(F.lit(1)).alias("rows_of_category"))
+        .where("category IS NOT NULL")
+        .groupBy(name_of(key), "column", "category")
+        .agg(F.expr("count(1) AS rows_of_category"))
     )
     joined = lookup_join(counts, totals, key, "inner", hot=frequent_keys(present, key))
-    return joined.select(
-        col(key),
-        "column",
-        "category",
-        (F.col("rows_of_category") / F.col("rows_of_key")).alias("share"),
+    return joined.selectExpr(
+        name_of(key), "column", "category", "rows_of_category / rows_of_key AS share"
     )

@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from rowloom.functions import col, unless_equal
+from rowloom.functions import flag, name_of, unless_equal, value_of
 
 
-def drop_category(df: DataFrame, name: str, value: str) -> DataFrame:
+def drop_category(df: DataFrame, column: str, value: str) -> DataFrame:
     """Drop rows with a category; rows where it is missing stay."""
-    return df.where(unless_equal(col(name), value))
+    return df.where(unless_equal(name_of(column), value))
 
 
 def lookup(df: DataFrame, key: str, value) -> DataFrame:
     """Rows of one key; the comparison reaches the scan."""
-    return df.where(col(key) == F.lit(value))
+    return df.where(f"{name_of(key)} = {value_of(value)}")
 
 
 def check_ids(
@@ -26,6 +25,7 @@ def check_ids(
     Accepted ids are whole numbers inside the range and appear as ``key``;
     everything else keeps its text in the second DataFrame.
     """
-    parsed = requests.withColumn(key, col(raw).cast("string").try_cast("int"))
-    valid = F.coalesce(col(key).between(low, high), F.lit(False))
-    return parsed.where(valid), parsed.where(~valid).drop(key)
+    text = f"CAST({name_of(raw)} AS STRING)"
+    parsed = requests.selectExpr("*", f"try_cast({text} AS INT) AS {name_of(key)}")
+    valid = flag(f"{name_of(key)} BETWEEN {value_of(low)} AND {value_of(high)}")
+    return parsed.where(valid), parsed.where(f"NOT {valid}").drop(key)

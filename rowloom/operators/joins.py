@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.functions import col, zero_fill
+from rowloom.functions import name_of, value_of, zero_fill
 
 LITERAL_KEYS = 1_000  # at most this many ids are written into the scan filter
 BROADCAST_KEYS = 1_000_000  # at most this many ids (one column) are broadcast
@@ -19,9 +19,9 @@ def inner_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def left_join_zero_fill(entity: DataFrame, aggregates: DataFrame, key: str) -> DataFrame:
     """Left join per-key aggregates and replace what is missing by 0."""
     added = [c for c in aggregates.columns if c != key]
-    joined = entity.join(aggregates, key, "left")
-    return joined.select(
-        *[col(c) for c in entity.columns], *[zero_fill(col(c)).alias(c) for c in added]
+    return entity.join(aggregates, key, "left").selectExpr(
+        *[name_of(c) for c in entity.columns],
+        *[f"{zero_fill(name_of(c))} AS {name_of(c)}" for c in added],
     )
 
 
@@ -32,26 +32,21 @@ def frequent_keys(df: DataFrame, key: str, support: float = 0.01) -> list:
     number of candidates; a second pass over the one key column counts them.
     At most ``1 / support`` keys can come back.
     """
-    keys = df.select(col(key).alias("k"))
+    keys = df.selectExpr(f"{name_of(key)} AS k")
     candidates = keys.freqItems(["k"], support).head()[0] or []
     if not candidates:
         return []
-    counted = keys.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[
-            F.count_if(F.col("k").eqNullSafe(F.lit(v))).alias(f"c{i}")
-            for i, v in enumerate(candidates)
-        ],
+    counted = keys.selectExpr(
+        "count(1)", *[f"count_if(k <=> {value_of(v)})" for v in candidates]
     ).head()
-    return [
-        v for i, v in enumerate(candidates) if counted[f"c{i}"] >= support * counted["n"]
-    ]
+    return [v for v, n in zip(candidates, counted[1:]) if n >= support * counted[0]]
 
 
-def _one_of(key: str, values: list) -> Column:
-    """True for the listed keys, NULL among them included; never NULL."""
-    hit = F.coalesce(col(key).isin([v for v in values if v is not None]), F.lit(False))
-    return hit | col(key).isNull() if None in values else hit
+def one_of(key: str, values: list) -> str:
+    """Condition: the key is among the values, NULL included if listed. Never NULL."""
+    some = [value_of(v) for v in values if v is not None]
+    hit = f"coalesce({name_of(key)} IN ({', '.join(some)}), FALSE)" if some else "FALSE"
+    return f"({hit} OR {name_of(key)} IS NULL)" if None in values else hit
 
 
 def lookup_join(
@@ -72,9 +67,9 @@ def lookup_join(
     hot = frequent_keys(left, key, support) if hot is None else hot
     if not hot:
         return left.join(right, key, how)
-    few = F.broadcast(right.where(_one_of(key, [v for v in hot if v is not None])))
-    spread = left.where(_one_of(key, hot)).join(few, key, how)
-    rest = left.where(~_one_of(key, hot)).join(right, key, how)
+    few = F.broadcast(right.where(one_of(key, [v for v in hot if v is not None])))
+    spread = left.where(one_of(key, hot)).join(few, key, how)
+    rest = left.where(f"NOT {one_of(key, hot)}").join(right, key, how)
     return rest.unionByName(spread)
 
 
@@ -90,13 +85,32 @@ def keep_requested(
     The number of ids decides the way: few ids become a literal filter that
     reaches the scan, more are broadcast, and any larger set is shuffled.
     """
-    ids = requests.select(col(key)).where(col(key).isNotNull()).distinct()
-    few = [r[0] for r in ids.limit(literal_keys + 1).collect()]
-    if len(few) <= literal_keys:
-        return df.where(col(key).isin(few)) if few else df.where(F.lit(False))
-    if ids.limit(broadcast_keys + 1).count() <= broadcast_keys:
-        return df.join(F.broadcast(ids), key, "left_semi")
-    return df.join(ids, key, "left_semi")
+    return Requested(requests, key, literal_keys, broadcast_keys).keep(df)
+
+
+class Requested:
+    """The distinct requested ids, counted once and applied to many tables."""
+
+    def __init__(
+        self,
+        requests: DataFrame,
+        key: str,
+        literal_keys: int = LITERAL_KEYS,
+        broadcast_keys: int = BROADCAST_KEYS,
+    ):
+        self.key = key
+        self.ids = requests.selectExpr(name_of(key)).where(f"{name_of(key)} IS NOT NULL").distinct()
+        few = [r[0] for r in self.ids.limit(literal_keys + 1).collect()]
+        self.literals = few if len(few) <= literal_keys else None
+        self.bounded = (
+            self.literals is None and self.ids.limit(broadcast_keys + 1).count() <= broadcast_keys
+        )
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        if self.literals is not None:
+            listed = ", ".join(value_of(v) for v in self.literals)
+            return df.where(f"{name_of(self.key)} IN ({listed})" if listed else "FALSE")
+        return df.join(F.broadcast(self.ids) if self.bounded else self.ids, self.key, "left_semi")
 
 
 def unknown_requests(requests: DataFrame, df: DataFrame, key: str) -> DataFrame:
@@ -105,5 +119,5 @@ def unknown_requests(requests: DataFrame, df: DataFrame, key: str) -> DataFrame:
     The table is cut down to the requested ids first, so that a short list of
     requests does not shuffle the keys of the whole table.
     """
-    known = keep_requested(df.select(col(key)), requests, key)
+    known = keep_requested(df.selectExpr(name_of(key)), requests, key)
     return requests.join(known, key, "left_anti")

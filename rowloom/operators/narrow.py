@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowloom.functions import col
+from rowloom.functions import name_of, value_of
 from rowloom.operators.aggregate import column_bounds
+from rowloom.operators.select import with_derived
 
 # Exclusive bounds of the integer types and of float32.
 INTEGER_BOUNDS = (
@@ -62,8 +62,8 @@ def narrow(df: DataFrame, types: Mapping[str, T.DataType] | None = None) -> Data
     For writing tables only: derived values are computed on widened columns.
     """
     types = narrow_types(df) if types is None else types
-    return df.select(
-        *[col(c).cast(types[c]).alias(c) if c in types else col(c) for c in df.columns]
+    return with_derived(
+        df, {c: f"CAST({name_of(c)} AS {t.simpleString()})" for c, t in types.items()}
     )
 
 
@@ -74,10 +74,10 @@ def row_bytes(schema: T.StructType) -> int:
 def memory_report(df: DataFrame, narrowed: DataFrame, label: str) -> DataFrame:
     """One row: bytes before and after narrowing and the percentage saved."""
     before, after = row_bytes(df.schema), row_bytes(narrowed.schema)
-    n = F.count(F.lit(1))
-    return df.agg(
-        F.lit(label).alias("label"),
-        (n * F.lit(before)).alias("before_bytes"),
-        (n * F.lit(after)).alias("after_bytes"),
-        F.lit(100.0 * (before - after) / before).alias("saved_percent"),
+    saved = 100.0 * (before - after) / before
+    return df.selectExpr(
+        f"{value_of(label)} AS label",
+        f"count(1) * {before} AS before_bytes",
+        f"count(1) * {after} AS after_bytes",
+        f"{value_of(saved)} AS saved_percent",
     )

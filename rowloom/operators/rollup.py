@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 
 from rowloom.functions import numeric_columns, require_unique, string_columns
 from rowloom.operators.aggregate import aggregate_by, mean_of, share_of
@@ -19,7 +19,7 @@ def rollup_child(
     categories: Mapping[str, Sequence[str]] | None = None,
     shares: bool = True,
     share_name=None,
-    extra: Mapping[str, Column] | None = None,
+    extra: Mapping[str, str] | None = None,
     max_categories: int = MAX_CATEGORIES,
 ) -> DataFrame:
     """Means of the numeric columns and shares of the categories, per key.

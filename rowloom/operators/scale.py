@@ -6,10 +6,10 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from math import isinf
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from rowloom.functions import col, numeric_columns, require_columns
+from rowloom.functions import fill_missing, name_of, numeric_columns, require_columns, value_of
+from rowloom.operators.select import with_derived
 
 DIRECT_VALUES = 2_000_000  # up to this many values the built-in median is used
 SKETCH_ACCURACY = 20_000  # relative rank error of a pivot is 1 / accuracy
@@ -32,22 +32,24 @@ class _Search:
     low: float | None = None
     high: float | None = None
 
-    def select(self, c: Column) -> Column:
-        keep = c.isNotNull()
+    def inside_only(self, e: str) -> str:
+        ends = [f"{e} IS NOT NULL"]
         if self.low is not None:
-            keep = keep & (c > F.lit(self.low))
+            ends.append(f"{e} > {value_of(self.low)}")
         if self.high is not None:
-            keep = keep & (c < F.lit(self.high))
-        return F.when(keep, c)
+            ends.append(f"{e} < {value_of(self.high)}")
+        return f"CASE WHEN {' AND '.join(ends)} THEN {e} END"
 
-    def fractions(self, accuracy: int) -> list[float]:
+    def pivots(self, e: str, accuracy: int) -> str:
         middle = (self.rank - self.below + 0.5) / self.inside
         step = 2.0 / accuracy
-        return [min(1.0, max(0.0, f)) for f in (middle - step, middle, middle + step)]
+        near = [min(1.0, max(0.0, f)) for f in (middle - step, middle, middle + step)]
+        listed = ", ".join(value_of(f) for f in near)
+        return f"percentile_approx({self.inside_only(e)}, array({listed}), {accuracy})"
 
 
-def _doubles(names: Sequence[str]) -> dict[str, Column]:
-    return {n: col(n).cast("double") for n in names}
+def _doubles(names: Sequence[str]) -> dict[str, str]:
+    return {n: f"CAST({name_of(n)} AS DOUBLE)" for n in names}
 
 
 def exact_medians(
@@ -68,36 +70,31 @@ def exact_medians(
     """
     values = _doubles(list(counts))
     if sum(counts.values()) <= direct_values:
-        row = df.agg(*[F.median(c).alias(n) for n, c in values.items()]).head()
-        return {n: row[n] for n in values}
+        row = df.selectExpr(*[f"median({e})" for e in values.values()]).head()
+        return dict(zip(values, row))
 
     searching = {n: _Search(rank=(k - 1) // 2, inside=k) for n, k in counts.items() if k}
     lower: dict[str, float] = {}
     upper: dict[str, float] = {}
     while searching:
         names = list(searching)
-        pivot_row = df.agg(
-            *[
-                F.percentile_approx(
-                    searching[n].select(values[n]), searching[n].fractions(accuracy), accuracy
-                ).alias(f"p{i}")
-                for i, n in enumerate(names)
-            ]
+        proposed = df.selectExpr(
+            *[searching[n].pivots(values[n], accuracy) for n in names]
         ).head()
-        pivots = {n: sorted(set(pivot_row[f"p{i}"])) for i, n in enumerate(names)}
-        count_row = df.agg(
+        pivots = {n: sorted(set(found)) for n, found in zip(names, proposed)}
+        counted = df.selectExpr(
             *[
-                F.count_if(cmp).alias(f"{side}{i}_{j}")
+                f"count_if({values[n]} {sign} {value_of(p)}) AS {side}{i}_{j}"
                 for i, n in enumerate(names)
                 for j, p in enumerate(pivots[n])
-                for side, cmp in (("u", values[n] < F.lit(p)), ("t", values[n] <= F.lit(p)))
+                for side, sign in (("u", "<"), ("t", "<="))
             ]
         ).head()
         for i, n in enumerate(names):
             s = searching[n]
             under_high = s.below + s.inside
             for j, p in enumerate(pivots[n]):
-                under, upto = count_row[f"u{i}_{j}"], count_row[f"t{i}_{j}"]
+                under, upto = counted[f"u{i}_{j}"], counted[f"t{i}_{j}"]
                 if under <= s.rank < upto:
                     lower[n] = p
                     if counts[n] % 2 or s.rank + 1 < upto:
@@ -113,13 +110,13 @@ def exact_medians(
                 s.inside = under_high - s.below
     open_ends = [n for n in lower if n not in upper]
     if open_ends:
-        row = df.agg(
+        row = df.selectExpr(
             *[
-                F.min(F.when(values[n] > F.lit(lower[n]), values[n])).alias(f"m{i}")
-                for i, n in enumerate(open_ends)
+                f"min(CASE WHEN {values[n]} > {value_of(lower[n])} THEN {values[n]} END)"
+                for n in open_ends
             ]
         ).head()
-        upper.update({n: row[f"m{i}"] for i, n in enumerate(open_ends)})
+        upper.update(zip(open_ends, row))
     return {n: (lower[n] + upper[n]) / 2.0 for n in lower}
 
 
@@ -143,11 +140,13 @@ def fit_impute_scale(
     names = numeric_columns(df, [key], booleans=True) if columns is None else list(columns)
     require_columns(df, names)
     values = _doubles(names)
-    first = [(F.count, "n"), (F.min, "lo"), (F.max, "hi")]
-    row = df.agg(
-        *[f(values[n]).alias(f"{tag}{i}") for i, n in enumerate(names) for f, tag in first],
+    first = [("count", "n"), ("min", "lo"), ("max", "hi")]
+    row = df.selectExpr(
         *[
-            F.percentile_approx(values[n], 0.5, accuracy).alias(f"md{i}")
+            f"{f}({values[n]}) AS {tag}{i}" for i, n in enumerate(names) for f, tag in first
+        ],
+        *[
+            f"percentile_approx({values[n]}, 0.5D, {accuracy}) AS md{i}"
             for i, n in enumerate(names)
             if method == "approx"
         ],
@@ -170,22 +169,19 @@ def fit_impute_scale(
     }
 
 
-def imputed(c: Column, p: ScaleParams) -> Column:
-    return F.coalesce(c.cast("double"), F.lit(p.median))
+def imputed(e: str, p: ScaleParams) -> str:
+    return fill_missing(f"CAST({e} AS DOUBLE)", p.median)
 
 
-def scaled(c: Column, p: ScaleParams) -> Column:
+def scaled(e: str, p: ScaleParams) -> str:
     """Map the fitted range to [0, 1] without clipping; a constant maps to 0."""
     width = p.max - p.min
-    return (c - F.lit(p.min)) / F.lit(width if width else 1.0)
+    return f"({e} - {value_of(p.min)}) / {value_of(width if width else 1.0)}"
 
 
 def impute_scale(df: DataFrame, params: Mapping[str, ScaleParams]) -> DataFrame:
     """Impute then scale the fitted columns; the others, such as the key, stay."""
     require_columns(df, params)
-    return df.select(
-        *[
-            scaled(imputed(col(c), params[c]), params[c]).alias(c) if c in params else col(c)
-            for c in df.columns
-        ]
+    return with_derived(
+        df, {c: scaled(imputed(name_of(c), p), p) for c, p in params.items()}
     )

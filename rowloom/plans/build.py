@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from rowloom.functions import col, string_columns
+from rowloom.functions import string_columns
 from rowloom.operators.encode import fit_categories_of, one_hot
-from rowloom.operators.joins import keep_requested, left_join_zero_fill
+from rowloom.operators.joins import Requested, keep_requested, left_join_zero_fill
 from rowloom.operators.scale import fit_impute_scale, impute_scale
 from rowloom.operators.select import drop_columns
 from rowloom.plans import clean, history
@@ -58,12 +57,8 @@ def restrict(tables: Tables, requests: DataFrame) -> dict[str, DataFrame]:
 
     Done before any grouping, so a short request list filters the scans.
     """
-    ids = requests.select(col(d.CUSTOMER))
-    out = {
-        t: keep_requested(df, ids, d.CUSTOMER)
-        for t, df in tables.items()
-        if t != "bureau_balance"
-    }
+    wanted = Requested(requests, d.CUSTOMER)
+    out = {t: wanted.keep(df) for t, df in tables.items() if t != "bureau_balance"}
     out["bureau_balance"] = keep_requested(tables["bureau_balance"], out["bureau"], d.BUREAU_LOAN)
     return out
 
@@ -110,10 +105,3 @@ def build_features(
     for rollup in history_rollups(tables, params, complete).values():
         out = left_join_zero_fill(out, rollup, d.CUSTOMER)
     return out
-
-
-def excluded_customers(application: DataFrame) -> DataFrame:
-    """Keys of the applications that the gender filter leaves out."""
-    return application.where(F.col("CODE_GENDER") == F.lit(d.UNKNOWN_CATEGORY)).select(
-        col(d.CUSTOMER)
-    )

@@ -9,10 +9,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from rowloom.functions import col, string_columns
-from rowloom.operators.aggregate import aggregate_by, distinct_from_categories, sum_of
+from rowloom.functions import name_of, string_columns
+from rowloom.operators.aggregate import aggregate_by, count_of, distinct_from_categories, sum_of
 from rowloom.operators.encode import fit_categories
 from rowloom.operators.joins import lookup_join
 from rowloom.operators.rollup import rollup_child
@@ -64,13 +63,14 @@ def rollup_bureau_balance(
     """
     months = clean.clean_bureau_balance(balance)
     per_loan = aggregate_by(months, d.BUREAU_LOAN, {c: sum_of(months, c) for c in BALANCE_COLUMNS})
-    loans = bureau.select(col(d.CUSTOMER), col(d.BUREAU_LOAN)).where(
-        col(d.BUREAU_LOAN).isNotNull() & col(d.CUSTOMER).isNotNull()
+    customer, loan = name_of(d.CUSTOMER), name_of(d.BUREAU_LOAN)
+    loans = bureau.selectExpr(customer, loan).where(
+        f"{loan} IS NOT NULL AND {customer} IS NOT NULL"
     )
     joined = lookup_join(loans, per_loan, d.BUREAU_LOAN, "inner", support)
     prefix = d.PREFIXES["bureau_balance"]
     return aggregate_by(
-        joined, d.CUSTOMER, {f"{prefix}_{c}": F.sum(col(c)) for c in BALANCE_COLUMNS}
+        joined, d.CUSTOMER, {f"{prefix}_{c}": f"sum({name_of(c)})" for c in BALANCE_COLUMNS}
     )
 
 
@@ -116,4 +116,4 @@ def rollup_card_balance(cards: DataFrame, categories: Categories | None = None)
 
 def rows_per_customer(child: DataFrame, name: str) -> DataFrame:
     """Number of rows with a loan id per customer, as a column of its own."""
-    return aggregate_by(child, d.CUSTOMER, {name: F.count(col(d.PREVIOUS_LOAN))})
+    return aggregate_by(child, d.CUSTOMER, {name: count_of(d.PREVIOUS_LOAN)})

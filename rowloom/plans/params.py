@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rowloom.operators.scale import ScaleParams
 
@@ -57,6 +56,6 @@ class FittedParams:
             )
         for r in spark.read.parquet(f"{folder}/impute_scale").collect():
             out.scale[r["column"]] = ScaleParams(r["median"], r["min"], r["max"])
-        chosen = spark.read.parquet(f"{folder}/selected_features").orderBy(F.col("position"))
+        chosen = spark.read.parquet(f"{folder}/selected_features").orderBy("position")
         out.selected = [r["column"] for r in chosen.collect()]
         return out

@@ -6,12 +6,11 @@ from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from rowloom.functions import class_of, col, require_columns
-from rowloom.operators.joins import frequent_keys, keep_requested, lookup_join
+from rowloom.functions import class_of, map_values, name_of, require_columns, value_of
+from rowloom.operators.joins import Requested, lookup_join
 from rowloom.operators.select import select_named
 from rowloom.plans import domain as d
 
@@ -25,10 +24,11 @@ def logistic_scorer(weights: Mapping[str, float], intercept: float) -> Scorer:
 
     def score(df: DataFrame) -> DataFrame:
         require_columns(df, weights)
-        z: Column = F.lit(float(intercept))
-        for name, w in weights.items():
-            z = z + F.lit(float(w)) * col(name).cast("double")
-        return df.select("*", (F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).alias("prob"))
+        terms = [
+            f"{value_of(float(w))} * CAST({name_of(c)} AS DOUBLE)" for c, w in weights.items()
+        ]
+        z = " + ".join([value_of(float(intercept)), *terms])
+        return df.selectExpr("*", f"1.0D / (1.0D + exp(-({z}))) AS prob")
 
     return score
 
@@ -38,8 +38,8 @@ def ml_scorer(model, output: str = "probability", index: int = 1) -> Scorer:
 
     def score(df: DataFrame) -> DataFrame:
         scored = model.transform(df)
-        prob = vector_to_array(col(output))[index].alias("prob")
-        return scored.select(*[col(c) for c in df.columns], prob)
+        prob = vector_to_array(scored[output])[index].alias("prob")
+        return scored.select(*[name_of(c) for c in df.columns], prob)
 
     return score
 
@@ -67,40 +67,31 @@ def score_features(
     if selected:
         names = [d.CUSTOMER, *[c for c in selected if c != d.CUSTOMER]]
         features = select_named(features, names)
-    return scorer(features).select(
-        col(d.CUSTOMER), "prob", class_of(F.col("prob"), d.THRESHOLD).alias("pred")
+    return scorer(features).selectExpr(
+        name_of(d.CUSTOMER), "prob", f"{class_of('prob', d.THRESHOLD)} AS pred"
     )
 
 
 def prediction_table(scored: DataFrame, labels: DataFrame) -> DataFrame:
     """(customer, Actual, Predicted, prob) for customers with a label."""
-    return scored.join(labels, d.CUSTOMER).select(
-        col(d.CUSTOMER),
-        col(d.LABEL).alias("Actual"),
-        F.col("pred").alias("Predicted"),
-        "prob",
+    return scored.join(labels, d.CUSTOMER).selectExpr(
+        name_of(d.CUSTOMER), f"{name_of(d.LABEL)} AS Actual", "pred AS Predicted", "prob"
     )
 
 
-def verdict_of(pred: Column) -> Column:
+def verdict_of(pred: str) -> str:
     """The sentence shown for a class; NULL without a class."""
-    return F.when(pred == F.lit(0), F.lit(d.VERDICTS[0])).when(
-        pred == F.lit(1), F.lit(d.VERDICTS[1])
-    )
+    return map_values(pred, d.VERDICTS)
 
 
-def _answer(joined: DataFrame, known: Column) -> DataFrame:
-    status = (
-        F.when(F.col("pred").isNotNull(), F.lit(OK))
-        .when(known, F.lit(FILTERED))
-        .otherwise(F.lit(NOT_FOUND))
-    )
-    return joined.select(
-        col(d.CUSTOMER),
+def _answer(joined: DataFrame) -> DataFrame:
+    return joined.selectExpr(
+        name_of(d.CUSTOMER),
         "prob",
         "pred",
-        verdict_of(F.col("pred")).alias("verdict"),
-        status.alias("status"),
+        f"{verdict_of('pred')} AS verdict",
+        f"CASE WHEN pred IS NOT NULL THEN {value_of(OK)} WHEN known THEN {value_of(FILTERED)}"
+        f" ELSE {value_of(NOT_FOUND)} END AS status",
     )
 
 
@@ -117,16 +108,14 @@ def score_requests(
     a score (``ok``) from a customer left out by cleaning (``filtered``) and
     an unknown id (``not_found``).
     """
-    wanted = keep_requested(features, requests, d.CUSTOMER)
-    known = keep_requested(application.select(col(d.CUSTOMER)), requests, d.CUSTOMER)
-    answers = known.withColumn("known", F.lit(True)).join(
-        score_features(wanted, scorer, selected), d.CUSTOMER, "left"
-    )
-    hot = frequent_keys(requests, d.CUSTOMER)
-    joined = lookup_join(requests.select(col(d.CUSTOMER)), answers, d.CUSTOMER, "left", hot=hot)
-    return _answer(joined, F.coalesce(F.col("known"), F.lit(False)))
+    asked = select_named(requests, [d.CUSTOMER])
+    wanted = Requested(asked, d.CUSTOMER)
+    known = wanted.keep(select_named(application, [d.CUSTOMER])).selectExpr("*", "TRUE AS known")
+    scored = score_features(wanted.keep(features), scorer, selected)
+    answers = known.join(scored, d.CUSTOMER, "left")
+    return _answer(lookup_join(asked, answers, d.CUSTOMER))
 
 
 def rejected_answers(rejected: DataFrame, raw: str) -> DataFrame:
     """Answers to requests whose text is no valid id."""
-    return rejected.select(col(raw), F.lit(REJECTED).alias("status"))
+    return rejected.selectExpr(name_of(raw), f"{value_of(REJECTED)} AS status")

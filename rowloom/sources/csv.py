@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.functions import col
+from rowloom.functions import name_of, value_of
 
 # Texts read as missing. 'XNA' is a category, not one of them.
 NA_TOKENS = (
@@ -33,12 +32,14 @@ NA_TOKENS = (
 )
 
 
-def _present(name: str) -> Column:
-    return F.when(~col(name).isin(*NA_TOKENS), col(name))
+def _present(column: str) -> str:
+    tokens = ", ".join(value_of(t) for t in NA_TOKENS)
+    return f"CASE WHEN {name_of(column)} NOT IN ({tokens}) THEN {name_of(column)} END"
 
 
-def _parsed(name: str, kind: str) -> Column:
-    return _present(name) if kind == "string" else _present(name).try_cast(kind)
+def _parsed(column: str, kind: str) -> str:
+    present = _present(column)
+    return present if kind == "string" else f"try_cast({present} AS {kind})"
 
 
 def infer_types(texts: DataFrame, declared: Mapping[str, str] | None = None) -> dict[str, str]:
@@ -51,10 +52,10 @@ def infer_types(texts: DataFrame, declared: Mapping[str, str] | None = None) ->
     unknown = [c for c in texts.columns if c not in types]
     if unknown:
         ladder = ("bigint", "double", "boolean")
-        row = texts.agg(
-            *[F.count(_present(c)).alias(f"n{i}") for i, c in enumerate(unknown)],
+        row = texts.selectExpr(
+            *[f"count({_present(c)}) AS n{i}" for i, c in enumerate(unknown)],
             *[
-                F.count(_parsed(c, kind)).alias(f"{kind}{i}")
+                f"count({_parsed(c, kind)}) AS {kind}{i}"
                 for i, c in enumerate(unknown)
                 for kind in ladder
             ],
@@ -84,4 +85,4 @@ def read_csv(
         kinds = infer_types(texts, declared)
     else:
         kinds = {c: declared.get(c, "string") for c in texts.columns}
-    return texts.select(*[_parsed(c, kinds[c]).alias(c) for c in texts.columns])
+    return texts.selectExpr(*[f"{_parsed(c, kinds[c])} AS {name_of(c)}" for c in texts.columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.functions import col
+from rowloom.functions import name_of
 from rowloom.operators.joins import frequent_keys
 
 
@@ -15,9 +15,9 @@ def write_features(
 
     A lookup of some keys then reads only the row groups whose range has them.
     """
-    by = [col(key)]
-    ranged = df.repartitionByRange(files, *by) if files else df.repartitionByRange(*by)
-    ranged.sortWithinPartitions(*by).write.mode(mode).parquet(path)
+    by = name_of(key)
+    ranged = df.repartitionByRange(files, by) if files else df.repartitionByRange(by)
+    ranged.sortWithinPartitions(by).write.mode(mode).parquet(path)
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
@@ -39,7 +39,7 @@ def save_bucketed(
     if hot:
         raise ValueError(f"too frequent for a bucket: {hot}")
     (
-        df.repartition(buckets, col(key))
+        df.repartition(buckets, name_of(key))
         .write.mode(mode)
         .bucketBy(buckets, key)
         .sortBy(key)
