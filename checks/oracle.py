@@ -50,12 +50,12 @@ RATINGS = {"REGION_RATING_CLIENT": "123", "REGION_RATING_CLIENT_W_CITY": "1234"}
 # Derived columns -------------------------------------------------------------
 
 PREVIOUS = {
-    "AMT_INTEREST": "CAST(CNT_PAYMENT AS DECIMAL(9,0)) * AMT_ANNUITY - AMT_CREDIT",
+    "AMT_INTEREST": "CNT_PAYMENT * AMT_ANNUITY - AMT_CREDIT",
     "INTEREST_SHARE": ratio(
-        "CAST(CNT_PAYMENT AS DECIMAL(9,0)) * AMT_ANNUITY - AMT_CREDIT", "AMT_CREDIT", "0.00001"
+        "CNT_PAYMENT * AMT_ANNUITY - AMT_CREDIT", "AMT_CREDIT", "0.00001"
     ),
     "INTEREST_RATE": div(
-        "24::DOUBLE * CAST(CAST(CNT_PAYMENT AS DECIMAL(9,0)) * AMT_ANNUITY - AMT_CREDIT AS DOUBLE)",
+        "24::DOUBLE * CAST(CNT_PAYMENT * AMT_ANNUITY - AMT_CREDIT AS DOUBLE)",
         "CAST(AMT_CREDIT AS DOUBLE) * (CAST(CNT_PAYMENT AS DOUBLE) + 1::DOUBLE)",
     ),
     "AMT_DECLINED": "AMT_APPLICATION - AMT_CREDIT",
@@ -89,7 +89,16 @@ CARDS = {
     "SK_DPD_RATIO": ratio("SK_DPD", "SK_DPD_DEF", "0.00001"),
 }
 
-WHOLE = ("CNT_DRAWING_SUM",)
+WHOLE = (
+    "AMT_INTEREST",
+    "AMT_DECLINED",
+    "AMT_CREDIT_GOODS_DIFF",
+    "AMT_PAYMENT_DIFF",
+    "AMT_DRAWING_SUM",
+    "CNT_DRAWING_SUM",
+    "PAYMENT_MIN_DIFF",
+    "AMT_INTEREST_RECEIVABLE",
+)
 
 
 def derived_rows(view: str, columns: dict[str, str]) -> str:
@@ -154,10 +163,6 @@ def mean_exact(e: str) -> str:
     return f"CAST(sum({e}) AS DOUBLE) / count({e})"
 
 
-def mean_ratio(e: str) -> str:
-    return f"round(avg({e}), 4)"
-
-
 def share(column: str, value: str) -> str:
     return (
         f"CAST(sum(CASE WHEN {column} = '{value}' THEN 1 ELSE 0 END) AS DOUBLE) / count(*)"
@@ -171,8 +176,8 @@ def shares(prefix: str, column: str, values) -> dict[str, str]:
 def means(prefix: str, plain: tuple[str, ...], derived: dict[str, str]) -> dict[str, str]:
     out = {f"{prefix}_{c}": mean_exact(c) for c in plain}
     for c, e in derived.items():
-        is_ratio = "/" in e
-        out[f"{prefix}_{c}"] = mean_ratio(e) if is_ratio else mean_exact(e)
+        digits = 1 if c in ("ANNUITY", "ANNUITY_GOODS") else 4
+        out[f"{prefix}_{c}"] = f"round(avg({e}), {digits})" if "/" in e else mean_exact(e)
     return out
 
 

@@ -571,12 +571,14 @@ RATIOS = {
     "Bureau_bal": ("WEIGHT_status",),
 }
 RATIO_COLUMNS = {f"{p}_{c}" for p, columns in RATIOS.items() for c in columns}
+# Ratios of about ten million, where four digits would show the order of adding.
+LARGE_RATIOS = {"PREV_APP_ANNUITY", "PREV_APP_ANNUITY_GOODS"}
 
 
 def rounded(df: DataFrame, scaled: tuple[str, ...] = ()) -> DataFrame:
-    """Means of ratios to 4 digits, scaled columns to 8, the rest as it is."""
+    """Means of ratios to 4 digits (large ones 1), scaled columns to 8, the rest as it is."""
     typed = plain(df)
-    digits = {c: 4 for c in RATIO_COLUMNS} | {c: 8 for c in scaled}
+    digits = {c: 1 if c in LARGE_RATIOS else 4 for c in RATIO_COLUMNS} | {c: 8 for c in scaled}
     return typed.selectExpr(
         *[
             f"round({name_of(c)}, {digits[c]}) AS {name_of(c)}" if c in digits else name_of(c)

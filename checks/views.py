@@ -2,7 +2,8 @@
 
 Every view is a list of columns, each a SQL expression that Spark and DuckDB
 read alike, so both sides of a check start from the same definition. Money is
-decimal here: exact sums do not depend on the order of the rows, so that both
+decimal in the loans and a whole number of cents, or of hundredths of a cent,
+elsewhere: exact sums do not depend on the order of the rows, so that both
 engines agree to the last digit. None of the tables has missing values, hence
 the CASE expressions that make some.
 """
@@ -54,18 +55,20 @@ BALANCE_COLUMNS = {
     " WHEN l_returnflag = 'N' THEN '2' WHEN l_linestatus = 'F' THEN 'X' ELSE '9' END",
 }
 
+CENTS = "CAST(round(l_extendedprice * 100) AS BIGINT)"
+TAX_PERCENT = "CAST(round(l_tax * 100) AS BIGINT)"
+DISCOUNT_PERCENT = "CAST(round(l_discount * 100) AS BIGINT)"
+
 PREVIOUS_COLUMNS = {
     "SK_ID_CURR": "o_custkey",
     "SK_ID_PREV": "l_orderkey * 10 + l_linenumber",
     "NAME_CONTRACT_STATUS": "l_returnflag",
     "NAME_YIELD_GROUP": "CASE WHEN l_tax = 0 THEN NULL ELSE l_linestatus END",
     "CNT_PAYMENT": "CAST(l_quantity AS INT)",
-    "AMT_CREDIT": "CAST(l_extendedprice AS DECIMAL(12,2))",
-    "AMT_ANNUITY": "CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_tax AS DECIMAL(4,2))",
-    "AMT_APPLICATION": "CAST(l_extendedprice AS DECIMAL(12,2))"
-    " * (1 + CAST(l_tax AS DECIMAL(4,2)))",
-    "AMT_GOODS_PRICE": "CASE WHEN l_tax = 0 THEN NULL"
-    " ELSE CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) END",
+    "AMT_CREDIT": f"{CENTS} * 100",
+    "AMT_ANNUITY": f"{CENTS} * {TAX_PERCENT}",
+    "AMT_APPLICATION": f"{CENTS} * (100 + {TAX_PERCENT})",
+    "AMT_GOODS_PRICE": f"CASE WHEN l_tax = 0 THEN NULL ELSE {CENTS} * (100 - {DISCOUNT_PERCENT}) END",
 }
 
 POS_COLUMNS = {
@@ -79,11 +82,13 @@ POS_COLUMNS = {
     "CNT_INSTALMENT_FUTURE": "CAST(event_id % 12 AS DOUBLE)",
 }
 
+EVENT_CENTS = "CAST(round(value * 100) AS BIGINT)"
+
 INSTALLMENT_COLUMNS = {
     "SK_ID_CURR": "user_id",
     "SK_ID_PREV": "event_id",
-    "AMT_INSTALMENT": "CAST(value AS DECIMAL(12,2)) + 1",
-    "AMT_PAYMENT": "CASE WHEN event_id % 13 = 0 THEN NULL ELSE CAST(value AS DECIMAL(12,2)) END",
+    "AMT_INSTALMENT": f"{EVENT_CENTS} + 100",
+    "AMT_PAYMENT": f"CASE WHEN event_id % 13 = 0 THEN NULL ELSE {EVENT_CENTS} END",
     "DAYS_INSTALMENT": "CAST(-(event_id % 900 + 10) AS DOUBLE)",
     "DAYS_ENTRY_PAYMENT": "CAST(-(event_id % 880 + 11) AS DOUBLE)",
 }
@@ -92,23 +97,22 @@ CARD_COLUMNS = {
     "SK_ID_CURR": "user_id",
     "SK_ID_PREV": "event_id",
     "NAME_CONTRACT_STATUS": "CASE WHEN event_type = 'error' THEN NULL ELSE event_type END",
-    "AMT_DRAWINGS_ATM_CURRENT": "CAST(value AS DECIMAL(12,2))",
-    "AMT_DRAWINGS_CURRENT": "CAST(event_id % 50 AS DECIMAL(12,2))",
-    "AMT_DRAWINGS_OTHER_CURRENT": "CASE WHEN event_id % 9 = 0 THEN NULL"
-    " ELSE CAST(event_id % 7 AS DECIMAL(12,2)) END",
-    "AMT_DRAWINGS_POS_CURRENT": "CAST(event_id % 3 AS DECIMAL(12,2))",
+    "AMT_DRAWINGS_ATM_CURRENT": EVENT_CENTS,
+    "AMT_DRAWINGS_CURRENT": "event_id % 50",
+    "AMT_DRAWINGS_OTHER_CURRENT": "CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_id % 7 END",
+    "AMT_DRAWINGS_POS_CURRENT": "event_id % 3",
     "CNT_DRAWINGS_ATM_CURRENT": "CAST(event_id % 5 AS INT)",
     "CNT_DRAWINGS_CURRENT": "CAST(event_id % 6 AS INT)",
     "CNT_DRAWINGS_OTHER_CURRENT": "CAST(event_id % 2 AS INT)",
     "CNT_DRAWINGS_POS_CURRENT": "CAST(event_id % 4 AS INT)",
     "CNT_INSTALMENT_MATURE_CUM": "CAST(event_id % 30 AS INT)",
-    "AMT_BALANCE": "CAST(value AS DECIMAL(12,2)) * 2",
+    "AMT_BALANCE": f"{EVENT_CENTS} * 2",
     "AMT_CREDIT_LIMIT_ACTUAL": "CAST(event_id % 400 + 100 AS INT)",
-    "AMT_PAYMENT_CURRENT": "CAST(value AS DECIMAL(12,2))",
-    "AMT_PAYMENT_TOTAL_CURRENT": "CAST(value AS DECIMAL(12,2)) + 5",
-    "AMT_INST_MIN_REGULARITY": "CAST(event_id % 60 + 1 AS DECIMAL(12,2))",
-    "AMT_TOTAL_RECEIVABLE": "CAST(value AS DECIMAL(12,2)) * 3",
-    "AMT_RECEIVABLE_PRINCIPAL": "CAST(value AS DECIMAL(12,2)) * 2",
+    "AMT_PAYMENT_CURRENT": EVENT_CENTS,
+    "AMT_PAYMENT_TOTAL_CURRENT": f"{EVENT_CENTS} + 5",
+    "AMT_INST_MIN_REGULARITY": "event_id % 60 + 1",
+    "AMT_TOTAL_RECEIVABLE": f"{EVENT_CENTS} * 3",
+    "AMT_RECEIVABLE_PRINCIPAL": f"{EVENT_CENTS} * 2",
     "SK_DPD": "CAST(event_id % 4 AS INT)",
     "SK_DPD_DEF": "CAST(event_id % 3 + 1 AS INT)",
 }

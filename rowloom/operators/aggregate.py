@@ -55,7 +55,7 @@ def mean_of(df: DataFrame, column: str) -> str:
 
 
 def rows_with(column: str, value: str) -> str:
-    return f"count_if({name_of(column)} = {value_of(value)})"
+    return f"count(CASE WHEN {name_of(column)} = {value_of(value)} THEN 1 END)"
 
 
 def share_of(column: str, value: str) -> str:
