@@ -486,7 +486,7 @@ def exact_median_large(spark: SparkSession, sf: str) -> DataFrame:
     item = table(spark, sf, "lineitem")
     names = fn.numeric_columns(item)
     counts = item.selectExpr(*[f"count({c}) AS {c}" for c in names]).head().asDict()
-    found = op.exact_medians(item, counts, direct_values=0, accuracy=100)
+    found = op.exact_medians(item, counts, direct_values=0)
     return item.selectExpr(
         "count(1) AS row_count", *[f"{fn.value_of(found[c])} AS {c}" for c in names]
     )

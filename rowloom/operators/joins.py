@@ -25,28 +25,32 @@ def left_join_zero_fill(entity: DataFrame, aggregates: DataFrame, key: str) -> D
     )
 
 
+def one_of(key: str, values: list) -> str:
+    """Condition: the key is among the values, NULL included if listed. Never NULL."""
+    some = [value_of(v) for v in values if v is not None]
+    hit = f"coalesce({name_of(key)} IN ({', '.join(some)}), FALSE)" if some else "FALSE"
+    return f"({hit} OR {name_of(key)} IS NULL)" if None in values else hit
+
+
 def frequent_keys(df: DataFrame, key: str, support: float = 0.01) -> list:
     """Keys (NULL included) holding at least ``support`` of the rows. Runs jobs.
 
     The sketch behind ``freqItems`` misses no such key and returns a bounded
-    number of candidates; a second pass over the one key column counts them.
-    At most ``1 / support`` keys can come back.
+    number of candidates; a second pass over the one key column counts them
+    and puts all other rows into one group. At most ``1 / support`` keys can
+    come back.
     """
     keys = df.selectExpr(f"{name_of(key)} AS k")
     candidates = keys.freqItems(["k"], support).head()[0] or []
-    if not candidates:
-        return []
-    counted = keys.selectExpr(
-        "count(1)", *[f"count_if(k <=> {value_of(v)})" for v in candidates]
-    ).head()
-    return [v for v, n in zip(candidates, counted[1:]) if n >= support * counted[0]]
-
-
-def one_of(key: str, values: list) -> str:
-    """Condition: the key is among the values, NULL included if listed. Never NULL."""
-    some = [value_of(v) for v in values if v is not None]
-    hit = f"coalesce({name_of(key)} IN ({', '.join(some)}), FALSE)" if some else "FALSE"
-    return f"({hit} OR {name_of(key)} IS NULL)" if None in values else hit
+    hit = one_of("k", candidates)
+    groups = (
+        keys.selectExpr(f"CASE WHEN {hit} THEN k END AS k", f"{hit} AS candidate")
+        .groupBy("k", "candidate")
+        .count()
+        .collect()
+    )
+    rows = sum(g["count"] for g in groups)
+    return [g["k"] for g in groups if g["candidate"] and g["count"] >= support * rows]
 
 
 def lookup_join(
