@@ -682,12 +682,13 @@ ORACLE["score_threshold"] = f"""SELECT l_quantity / 50::DOUBLE AS prob,
 
 # Encoders and scalers --------------------------------------------------------
 
+NATIONS_OF_REGION_0 = (0, 5, 10, 15, 20)
 ORACLE["onehot_unknown_zero"] = (
     "SELECT c_custkey, "
     + ", ".join(
-        f"CASE WHEN c_nationkey = {n} AND EXISTS (SELECT 1 FROM supplier"
-        f" WHERE s_nationkey % 20 = {n}) THEN 1 ELSE 0 END::BIGINT AS nation_{n}"
-        for n in range(20)
+        f"CASE WHEN c_nationkey = {n} THEN 1 ELSE 0 END::BIGINT AS nation_{n}"
+        for n in range(25)
+        if n not in NATIONS_OF_REGION_0
     )
     + " FROM customer"
 )

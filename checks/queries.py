@@ -447,8 +447,10 @@ def onehot_fitted(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def onehot_unknown_zero(spark: SparkSession, sf: str) -> DataFrame:
-    """Categories fitted on suppliers' nations, applied to all customers'."""
-    seen = table(spark, sf, "supplier").selectExpr("CAST(s_nationkey % 20 AS STRING) AS nation")
+    """Categories fitted on the nations of four regions, applied to all customers."""
+    seen = table(spark, sf, "nation").selectExpr(
+        "CASE WHEN n_regionkey > 0 THEN CAST(n_nationkey AS STRING) END AS nation"
+    )
     customers = table(spark, sf, "customer").selectExpr(
         "c_custkey", "CAST(c_nationkey AS STRING) AS nation"
     )
