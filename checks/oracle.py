@@ -431,6 +431,18 @@ SELECT r.SK_ID_CURR, round(prob, 6) AS prob,
     ELSE 'not_found' END AS status
 FROM requests r LEFT JOIN application a ON r.SK_ID_CURR = a.SK_ID_CURR
 LEFT JOIN scores s ON r.SK_ID_CURR = s.SK_ID_CURR"""
+ORACLE["answer_requests"] = f"""{SCORED},
+raw_texts AS (SELECT o_orderkey AS request_no, CASE WHEN o_orderstatus = 'P' THEN o_orderpriority
+  ELSE CAST(o_orderkey % 4000 AS VARCHAR) END AS raw FROM orders),
+parsed AS (SELECT request_no, raw, CASE WHEN TRY_CAST(raw AS INTEGER) BETWEEN 50 AND 3500
+  THEN TRY_CAST(raw AS BIGINT) END AS SK_ID_CURR FROM raw_texts)
+SELECT r.request_no, r.raw, r.SK_ID_CURR, round(prob, 6) AS prob,
+  CASE WHEN prob > 0.5 THEN 1 WHEN prob <= 0.5 THEN 0 END::BIGINT AS pred,
+  CASE WHEN prob > 0.5 THEN '{BAD}' WHEN prob <= 0.5 THEN '{GOOD}' END AS verdict,
+  CASE WHEN r.SK_ID_CURR IS NULL THEN 'rejected' WHEN prob IS NOT NULL THEN 'ok'
+    WHEN a.SK_ID_CURR IS NOT NULL THEN 'filtered' ELSE 'not_found' END AS status
+FROM parsed r LEFT JOIN application a ON r.SK_ID_CURR = a.SK_ID_CURR
+LEFT JOIN scores s ON r.SK_ID_CURR = s.SK_ID_CURR"""
 ORACLE["score_requests_stream"] = ORACLE["score_requests"]
 
 # Sources and sinks -----------------------------------------------------------

@@ -21,7 +21,7 @@ from rowloom.plans import build, clean, history, scoring
 from rowloom.plans import domain as d
 from rowloom.plans.params import MAIN, FittedParams
 from rowloom.session import work_folder
-from rowloom.sources import load_tables, read_csv, read_features, write_features
+from rowloom.sources import load_tables, read_csv, read_features, store_tables, write_features
 from rowloom.streaming import score_request_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,10 +68,9 @@ def csv_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def bundle_shapes(spark: SparkSession, sf: str) -> DataFrame:
-    """The seven tables written, loaded as a bundle, and measured."""
+    """The seven tables written in narrow types, loaded as a bundle, and measured."""
     path = work_folder(spark, "bundle")
-    for name, df in bundle(spark, sf).items():
-        df.write.parquet(f"{path}/{name}.parquet")
+    store_tables(bundle(spark, sf), path)
     reports = [op.shape_report(df, n) for n, df in load_tables(spark, path).items()]
     return reduce(DataFrame.unionAll, reports)
 
@@ -688,6 +687,22 @@ def score_requests(spark: SparkSession, sf: str) -> DataFrame:
     return plain(answers, 6)
 
 
+@query
+def answer_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Request texts checked, scored, and answered, with all four outcomes."""
+    application, features = _stored_features(spark, sf)
+    raw = table(spark, sf, "orders").selectExpr(
+        "o_orderkey AS request_no",
+        "CASE WHEN o_orderstatus = 'P' THEN o_orderpriority"
+        " ELSE CAST(o_orderkey % 4000 AS STRING) END AS raw",
+    )
+    scorer = scoring.logistic_scorer(WEIGHTS, INTERCEPT)
+    ids = (50, 3500)
+    return plain(
+        scoring.answer_requests(raw, "raw", application, features, scorer, SELECTED, ids), 6
+    )
+
+
 @query
 def score_requests_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The same answers with the requests arriving as a stream."""

@@ -151,18 +151,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def view(
+    spark: SparkSession, folder: str, name: str, read: dict[str, DataFrame] | None = None
+) -> DataFrame:
+    """One view; ``read`` keeps the source tables, so that each is opened once."""
+    read = {} if read is None else read
     sources, on, columns = VIEWS[name]
-    df = table(spark, folder, sources[0])
+    for source in sources:
+        if source not in read:
+            read[source] = table(spark, folder, source)
+    df = read[sources[0]]
     for other in sources[1:]:
         left, right = on.split(" = ")
-        more = table(spark, folder, other)
-        df = df.join(more, df[left] == more[right])
+        df = df.join(read[other], df[left] == read[other][right])
     return df.selectExpr(*[f"{expr} AS `{out}`" for out, expr in columns.items()])
 
 
 def bundle(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {name: view(spark, folder, name) for name in BUNDLE}
+    read: dict[str, DataFrame] = {}
+    return {name: view(spark, folder, name, read) for name in BUNDLE}
 
 
 def cte(name: str) -> str:

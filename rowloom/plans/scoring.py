@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from rowloom.functions import class_of, map_values, name_of, require_columns, value_of
+from rowloom.operators.filters import check_ids
 from rowloom.operators.joins import Requested, lookup_join
 from rowloom.operators.select import select_named
 from rowloom.plans import domain as d
@@ -84,17 +85,6 @@ def verdict_of(pred: str) -> str:
     return map_values(pred, d.VERDICTS)
 
 
-def _answer(joined: DataFrame) -> DataFrame:
-    return joined.selectExpr(
-        name_of(d.CUSTOMER),
-        "prob",
-        "pred",
-        f"{verdict_of('pred')} AS verdict",
-        f"CASE WHEN pred IS NOT NULL THEN {value_of(OK)} WHEN known THEN {value_of(FILTERED)}"
-        f" ELSE {value_of(NOT_FOUND)} END AS status",
-    )
-
-
 def score_requests(
     requests: DataFrame,
     application: DataFrame,
@@ -102,20 +92,37 @@ def score_requests(
     scorer: Scorer,
     selected: list[str] | None = None,
 ) -> DataFrame:
-    """One answer per request row, repeated requests included. Runs small jobs.
+    """Every request row with its score, class, verdict and status. Runs small jobs.
 
-    Only requested customers are read and scored, each once. ``status`` tells
-    a score (``ok``) from a customer left out by cleaning (``filtered``) and
-    an unknown id (``not_found``).
+    Only requested customers are read and scored, each once, however often
+    they are requested. ``status`` tells a score (``ok``) from a customer left
+    out by cleaning (``filtered``) and an unknown id (``not_found``).
     """
-    asked = select_named(requests, [d.CUSTOMER])
-    wanted = Requested(asked, d.CUSTOMER)
+    wanted = Requested(requests, d.CUSTOMER)
     known = wanted.keep(select_named(application, [d.CUSTOMER])).selectExpr("*", "TRUE AS known")
     scored = score_features(wanted.keep(features), scorer, selected)
     answers = known.join(scored, d.CUSTOMER, "left")
-    return _answer(lookup_join(asked, answers, d.CUSTOMER))
+    return lookup_join(requests, answers, d.CUSTOMER).selectExpr(
+        *[name_of(c) for c in requests.columns],
+        "prob",
+        "pred",
+        f"{verdict_of('pred')} AS verdict",
+        f"CASE WHEN pred IS NOT NULL THEN {value_of(OK)} WHEN known THEN {value_of(FILTERED)}"
+        f" ELSE {value_of(NOT_FOUND)} END AS status",
+    )
 
 
-def rejected_answers(rejected: DataFrame, raw: str) -> DataFrame:
-    """Answers to requests whose text is no valid id."""
-    return rejected.selectExpr(name_of(raw), f"{value_of(REJECTED)} AS status")
+def answer_requests(
+    requests: DataFrame,
+    raw: str,
+    application: DataFrame,
+    features: DataFrame,
+    scorer: Scorer,
+    selected: list[str] | None = None,
+    ids: tuple[int, int] = d.REQUEST_IDS,
+) -> DataFrame:
+    """From request texts to answers; texts that are no valid id are ``rejected``."""
+    accepted, rejected = check_ids(requests, raw, d.CUSTOMER, *ids)
+    answers = score_requests(accepted, application, features, scorer, selected)
+    refused = rejected.selectExpr("*", f"{value_of(REJECTED)} AS status")
+    return answers.unionByName(refused, allowMissingColumns=True)

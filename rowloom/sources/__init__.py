@@ -2,7 +2,7 @@
 
 from rowloom.sources.csv import infer_types, read_csv
 from rowloom.sources.sinks import read_features, save_bucketed, write_features
-from rowloom.sources.tables import TABLES, load_tables
+from rowloom.sources.tables import TABLES, load_tables, store_tables
 
 __all__ = [
     "TABLES",
@@ -11,5 +11,6 @@ __all__ = [
     "read_csv",
     "read_features",
     "save_bucketed",
+    "store_tables",
     "write_features",
 ]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rowloom.functions import nan_to_null
+from rowloom.operators.narrow import narrow
 from rowloom.sources.csv import read_csv
 
 # The input tables by name.
@@ -49,3 +50,14 @@ def load_tables(
         else:
             out[table] = nan_to_null(spark.read.format(fmt).load(path))
     return out
+
+
+def store_tables(tables: dict[str, DataFrame], folder: str, narrowed: bool = True) -> None:
+    """Write the bundle as parquet, by default in narrow types. Runs one pass each.
+
+    Text tables are then parsed and measured once instead of on every use.
+    Floats become single precision; pass ``narrowed=False`` to keep doubles.
+    """
+    for table, df in tables.items():
+        out = narrow(df) if narrowed else df
+        out.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{table}.parquet")

@@ -318,3 +318,13 @@ def test_answers(spark, tables, features, repeat):
     assert by_id[known]["status"] == "ok" and by_id[known]["verdict"] == d.VERDICTS[by_id[known]["pred"]]
     assert by_id[excluded]["status"] == "filtered" and by_id[excluded]["prob"] is None
     assert by_id[10**9]["status"] == "not_found" and by_id[None]["status"] == "not_found"
+
+
+def test_texts_become_answers(spark, tables, features):
+    asked = spark.createDataFrame([("3", 1), ("03", 2), ("x", 3), ("99", 4), (None, 5)], "raw string, n int")
+    got = scoring.answer_requests(
+        asked, "raw", tables["application"], features, scoring.logistic_scorer(WEIGHTS, 0.0), ids=(0, 50)
+    )
+    status = {r["n"]: (r[d.CUSTOMER], r["status"]) for r in got.collect()}
+    assert status[1] == status[2] and status[1][0] == 3
+    assert [status[n] for n in (3, 4, 5)] == [(None, "rejected")] * 3

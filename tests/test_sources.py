@@ -8,7 +8,14 @@ from checks.views import BUNDLE, bundle
 from rowloom.plans import build, history, scoring
 from rowloom.plans import domain as d
 from rowloom.session import work_folder
-from rowloom.sources import load_tables, read_csv, read_features, save_bucketed, write_features
+from rowloom.sources import (
+    load_tables,
+    read_csv,
+    read_features,
+    save_bucketed,
+    store_tables,
+    write_features,
+)
 from rowloom.streaming import score_request_stream
 
 
@@ -56,6 +63,17 @@ def test_bundle_from_csv_gives_the_same_features(spark, folder, tmp_path):
     assert a.select(*keys).exceptAll(b.select(*keys)).count() == 0
 
 
+def test_stored_tables_are_narrow(spark, folder, tmp_path):
+    tables = bundle(spark, folder)
+    store_tables(tables, str(tmp_path))
+    loaded = load_tables(spark, str(tmp_path))
+    assert dict(loaded["bureau_balance"].dtypes)["MONTHS_BALANCE"] == "tinyint"
+    assert dict(loaded["application"].dtypes)["AMT_CREDIT"] == "float"
+    a = history.rollup_bureau_balance(tables["bureau"], tables["bureau_balance"])
+    b = history.rollup_bureau_balance(loaded["bureau"], loaded["bureau_balance"])
+    assert a.drop("Bureau_bal_WEIGHT_status").exceptAll(b.drop("Bureau_bal_WEIGHT_status")).count() == 0
+
+
 def test_written_features_skip_row_groups(spark, tmp_path):
     df = spark.range(10_000).selectExpr(f"(id * 7919) % 10000 AS {d.CUSTOMER}", "id AS v")
     write_features(df, str(tmp_path / "f"), d.CUSTOMER, files=4)
