@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from rowloom.functions import name_of
@@ -14,10 +15,16 @@ def write_features(
     """Write parquet files holding disjoint, sorted key ranges.
 
     A lookup of some keys then reads only the row groups whose range has them.
+    Finding the ranges reads the rows once before they are written, so they
+    are kept on the executors' disks in between instead of being joined twice.
     """
     by = name_of(key)
-    ranged = df.repartitionByRange(files, by) if files else df.repartitionByRange(by)
-    ranged.sortWithinPartitions(by).write.mode(mode).parquet(path)
+    kept = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        ranged = kept.repartitionByRange(files, by) if files else kept.repartitionByRange(by)
+        ranged.sortWithinPartitions(by).write.mode(mode).parquet(path)
+    finally:
+        kept.unpersist()
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
