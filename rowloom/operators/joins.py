@@ -110,6 +110,11 @@ class Requested:
             self.literals is None and self.ids.limit(broadcast_keys + 1).count() <= broadcast_keys
         )
 
+    @property
+    def small(self) -> bool:
+        """True when a table can be cut down without shuffling it."""
+        return self.literals is not None or self.bounded
+
     def keep(self, df: DataFrame) -> DataFrame:
         if self.literals is not None:
             listed = ", ".join(value_of(v) for v in self.literals)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from rowloom.functions import string_columns
 from rowloom.operators.encode import fit_categories_of, one_hot
-from rowloom.operators.joins import Requested, keep_requested, left_join_zero_fill
+from rowloom.operators.joins import Requested, left_join_zero_fill
 from rowloom.operators.scale import fit_impute_scale, impute_scale
 from rowloom.operators.select import drop_columns
 from rowloom.plans import clean, history
@@ -55,12 +55,17 @@ def fit_params(tables: Tables, method: str = "exact") -> FittedParams:
 def restrict(tables: Tables, requests: DataFrame) -> dict[str, DataFrame]:
     """All tables cut down to the requested customers. Runs small jobs.
 
-    Done before any grouping, so a short request list filters the scans.
+    Done before any grouping, so a short request list filters the scans. The
+    monthly balances know no customer; they are cut down by loan when the
+    requested loans are few enough, and otherwise by the join that follows.
     """
     wanted = Requested(requests, d.CUSTOMER)
     out = {t: wanted.keep(df) for t, df in tables.items() if t != "bureau_balance"}
-    out["bureau_balance"] = keep_requested(tables["bureau_balance"], out["bureau"], d.BUREAU_LOAN)
-    return out
+    balance = tables["bureau_balance"]
+    if wanted.small:
+        loans = Requested(out["bureau"], d.BUREAU_LOAN)
+        balance = loans.keep(balance) if loans.small else balance
+    return out | {"bureau_balance": balance}
 
 
 def history_rollups(

@@ -31,6 +31,9 @@ NA_TOKENS = (
     "null",
 )
 
+# Texts read as true and false.
+BOOLEANS = ("True", "TRUE", "true", "False", "FALSE", "false")
+
 
 def _present(column: str) -> str:
     tokens = ", ".join(value_of(t) for t in NA_TOKENS)
@@ -38,8 +41,20 @@ def _present(column: str) -> str:
 
 
 def _parsed(column: str, kind: str) -> str:
+    """Typed value, NULL where the text does not have the type.
+
+    The SQL cast also takes Y, N, 0 and 1 as booleans and a trailing D or F as
+    part of a number; in a data file these are categories.
+    """
     present = _present(column)
-    return present if kind == "string" else f"try_cast({present} AS {kind})"
+    if kind == "string":
+        return present
+    if kind == "boolean":
+        words = ", ".join(value_of(w) for w in BOOLEANS)
+        present = f"CASE WHEN {name_of(column)} IN ({words}) THEN {name_of(column)} END"
+    elif kind in ("double", "float"):
+        present = f"CASE WHEN NOT ({present}) RLIKE '[0-9.][dDfF]$' THEN {present} END"
+    return f"try_cast({present} AS {kind})"
 
 
 def infer_types(texts: DataFrame, declared: Mapping[str, str] | None = None) -> dict[str, str]:

@@ -247,6 +247,26 @@ def test_requested_features_equal_the_full_table(spark, tables, params, features
         assert tuple(a[key]) == pytest.approx(tuple(row), rel=1e-9, abs=1e-9)
 
 
+def test_one_request_filters_every_scan(spark, tables, params):
+    one = spark.range(5, 6).selectExpr(f"id AS {d.CUSTOMER}")
+    text = plan_of(build.build_features(tables, params, one))
+    for column in ("c_custkey", "o_custkey", "user_id"):
+        assert f"EqualTo({column},5)" in text
+    assert re.search(r"In\(l_orderkey, \[|EqualTo\(l_orderkey,", text)
+
+
+@pytest.mark.parametrize("limits", [(10**6, 10**6), (5, 10**6), (5, 6)])
+def test_request_sizes_give_the_same_rows(spark, tables, params, features, monkeypatch, limits):
+    from rowloom.operators.joins import Requested
+
+    asked = spark.range(0, 30).selectExpr(f"id AS {d.CUSTOMER}")
+    monkeypatch.setattr(build, "Requested", lambda requests, key: Requested(requests, key, *limits))
+    got = build.build_features(tables, params, asked)
+    sums = ["count(1)", "sum(Bureau_bal_STATUS)", "sum(Bureau_bal_MONTHS_BALANCE)", "sum(POS_SK_DPD_DEF)"]
+    expected = features.where(f"{d.CUSTOMER} < 30").selectExpr(*sums).head()
+    assert tuple(got.selectExpr(*sums).head()) == pytest.approx(tuple(expected))
+
+
 def test_params_survive_storage(spark, params, tmp_path):
     params.selected = ["DIR", "AIR"]
     params.save(spark, str(tmp_path))

@@ -35,6 +35,13 @@ def test_csv_tokens_and_types(spark, tmp_path):
     ]
 
 
+def test_codes_stay_text(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("own_car,unit,level,limit\nY,1D,t,inf\nN,2F,f,-inf\n")
+    df = read_csv(spark, str(tmp_path / "t.csv"))
+    assert [t for _, t in df.dtypes] == ["string", "string", "string", "double"]
+    assert sorted(r["limit"] for r in df.collect()) == [float("-inf"), float("inf")]
+
+
 def test_declared_types_win_and_match_by_name(spark, tmp_path):
     (tmp_path / "t.csv").write_text("STATUS,n\n0,7\n1,x\n")
     df = read_csv(spark, str(tmp_path / "t.csv"), {"n": "int", "STATUS": "string", "other": "int"})
