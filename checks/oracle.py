@@ -92,9 +92,6 @@ CARDS = {
 WHOLE = (
     "AMT_INTEREST",
     "AMT_DECLINED",
-    "AMT_CREDIT_GOODS_DIFF",
-    "AMT_PAYMENT_DIFF",
-    "AMT_DRAWING_SUM",
     "CNT_DRAWING_SUM",
     "PAYMENT_MIN_DIFF",
     "AMT_INTEREST_RECEIVABLE",
@@ -294,7 +291,7 @@ FROM application WHERE CODE_GENDER IS DISTINCT FROM 'XNA')"""
 
 ORACLE["clean_application"] = f"""{with_views('application')}, {CLEANED}
 SELECT * REPLACE (TARGET::BIGINT AS TARGET, REGION_RATING_CLIENT::BIGINT AS REGION_RATING_CLIENT,
-  REGION_RATING_CLIENT_W_CITY::BIGINT AS REGION_RATING_CLIENT_W_CITY) FROM cleaned"""
+  REGION_RATING_CLIENT_W_CITY::DOUBLE AS REGION_RATING_CLIENT_W_CITY) FROM cleaned"""
 
 
 def main_ratios() -> dict[str, str]:
@@ -425,7 +422,7 @@ FROM scores s JOIN application a ON s.SK_ID_CURR = a.SK_ID_CURR"""
 
 ORACLE["score_requests"] = f"""{SCORED}
 SELECT r.SK_ID_CURR, round(prob, 6) AS prob,
-  CASE WHEN prob > 0.5 THEN 1 WHEN prob <= 0.5 THEN 0 END::BIGINT AS pred,
+  CASE WHEN prob > 0.5 THEN 1 WHEN prob <= 0.5 THEN 0 END::DOUBLE AS pred,
   CASE WHEN prob > 0.5 THEN '{BAD}' WHEN prob <= 0.5 THEN '{GOOD}' END AS verdict,
   CASE WHEN prob IS NOT NULL THEN 'ok' WHEN a.SK_ID_CURR IS NOT NULL THEN 'filtered'
     ELSE 'not_found' END AS status
@@ -436,8 +433,8 @@ raw_texts AS (SELECT o_orderkey AS request_no, CASE WHEN o_orderstatus = 'P' THE
   ELSE CAST(o_orderkey % 4000 AS VARCHAR) END AS raw FROM orders),
 parsed AS (SELECT request_no, raw, CASE WHEN TRY_CAST(raw AS INTEGER) BETWEEN 50 AND 3500
   THEN TRY_CAST(raw AS BIGINT) END AS SK_ID_CURR FROM raw_texts)
-SELECT r.request_no, r.raw, r.SK_ID_CURR, round(prob, 6) AS prob,
-  CASE WHEN prob > 0.5 THEN 1 WHEN prob <= 0.5 THEN 0 END::BIGINT AS pred,
+SELECT r.request_no, r.raw, r.SK_ID_CURR::DOUBLE AS SK_ID_CURR, round(prob, 6) AS prob,
+  CASE WHEN prob > 0.5 THEN 1 WHEN prob <= 0.5 THEN 0 END::DOUBLE AS pred,
   CASE WHEN prob > 0.5 THEN '{BAD}' WHEN prob <= 0.5 THEN '{GOOD}' END AS verdict,
   CASE WHEN r.SK_ID_CURR IS NULL THEN 'rejected' WHEN prob IS NOT NULL THEN 'ok'
     WHEN a.SK_ID_CURR IS NOT NULL THEN 'filtered' ELSE 'not_found' END AS status
@@ -535,7 +532,7 @@ ORACLE["null_safe_filter"] = f"""{with_views('application')}
 SELECT SK_ID_CURR, CODE_GENDER FROM application WHERE CODE_GENDER IS DISTINCT FROM 'XNA'"""
 ORACLE["lookup_customer"] = f"""{with_views('application')}
 SELECT * REPLACE (TARGET::BIGINT AS TARGET, REGION_RATING_CLIENT::BIGINT AS REGION_RATING_CLIENT,
-  REGION_RATING_CLIENT_W_CITY::BIGINT AS REGION_RATING_CLIENT_W_CITY)
+  REGION_RATING_CLIENT_W_CITY::DOUBLE AS REGION_RATING_CLIENT_W_CITY)
 FROM application WHERE SK_ID_CURR = (SELECT max(c_custkey) FROM customer)"""
 ORACLE["outlier_null"] = f"""{with_views('application')}
 SELECT SK_ID_CURR,
@@ -545,7 +542,7 @@ SELECT SK_ID_CURR,
     AS OBS_60_CNT_SOCIAL_CIRCLE FROM application"""
 ORACLE["request_id_rules"] = f"""{with_views('raw_requests')},
 parsed AS (SELECT *, TRY_CAST(raw AS INTEGER) AS n FROM raw_requests)
-SELECT request_no, raw, CASE WHEN n BETWEEN 100002 AND 456255 THEN n::BIGINT END AS SK_ID_CURR,
+SELECT request_no, raw, CASE WHEN n BETWEEN 100002 AND 456255 THEN n::DOUBLE END AS SK_ID_CURR,
   CASE WHEN n BETWEEN 100002 AND 456255 THEN 'accepted' ELSE 'rejected' END AS status
 FROM parsed"""
 ORACLE["left_join_zero_fill"] = f"""{with_views('application', 'POS_CASH_balance')}
@@ -583,7 +580,7 @@ ORACLE["mean_numeric"] = per_customer(
 ORACLE["rows_per_customer"] = f"""{with_views('previous_application', 'POS_CASH_balance')},
 a AS (SELECT SK_ID_CURR, count(SK_ID_PREV) AS n FROM previous_application GROUP BY SK_ID_CURR),
 b AS (SELECT SK_ID_CURR, count(SK_ID_PREV) AS n FROM POS_CASH_balance GROUP BY SK_ID_CURR)
-SELECT a.SK_ID_CURR, a.n AS PREV_APP_COUNT, b.n AS POS_COUNT
+SELECT a.SK_ID_CURR, a.n AS PREV_APP_COUNT, b.n::DOUBLE AS POS_COUNT
 FROM a LEFT JOIN b ON a.SK_ID_CURR = b.SK_ID_CURR"""
 ORACLE["category_share"] = per_customer(
     listed({f"Bureau_{v}": share("CREDIT_TYPE", v) for v in PRIORITIES})
@@ -613,7 +610,7 @@ def as_kind(e: str, c: str) -> str:
 
 
 ORACLE["column_bounds"] = "SELECT " + ", ".join(
-    f"{as_kind(f'{f}({c})', c)} AS {f}_{c}" for f in ("min", "max") for c in _ITEM_NUMERIC
+    f"{as_kind(f'{f}({c})', c)} + 0 AS {f}_{c}" for f in ("min", "max") for c in _ITEM_NUMERIC
 ) + " FROM lineitem"
 
 
@@ -628,8 +625,8 @@ def chosen_type(c: str) -> str:
 
 
 ORACLE["narrow_bounds"] = " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", {chosen_type(c)} AS type, CAST(min({c}) AS DOUBLE) AS low,"
-    f" CAST(max({c}) AS DOUBLE) AS high FROM lineitem"
+    f"SELECT '{c}' AS \"column\", {chosen_type(c)} AS type, CAST(min({c}) AS DOUBLE) + 0 AS low,"
+    f" CAST(max({c}) AS DOUBLE) + 0 AS high FROM lineitem"
     for c in _ITEM_NUMERIC
 )
 ORACLE["narrow_table"] = "SELECT " + ", ".join(
@@ -661,10 +658,10 @@ FROM lineitem GROUP BY l_quantity"""
 ORACLE["abs_and_signs"] = """SELECT c_custkey, abs(c_acctbal) AS magnitude, -c_acctbal AS negated
 FROM customer"""
 ORACLE["sentinel_null_flag"] = f"""{with_views('application')}
-SELECT SK_ID_CURR, nullif(abs(DAYS_EMPLOYED), 365243)::BIGINT AS days,
+SELECT SK_ID_CURR, nullif(abs(DAYS_EMPLOYED), 365243)::DOUBLE AS days,
   CAST(abs(DAYS_EMPLOYED) = 365243 AS BIGINT) AS anomaly FROM application"""
 ORACLE["status_map_weight"] = f"""{with_views('bureau_balance')}, {MONTHS}
-SELECT MONTHS_BALANCE::BIGINT AS MONTHS_BALANCE, STATUS::BIGINT AS STATUS,
+SELECT MONTHS_BALANCE::BIGINT AS MONTHS_BALANCE, STATUS::DOUBLE AS STATUS,
   count(*) AS row_count, max(WEIGHT_status) AS WEIGHT_status
 FROM months GROUP BY MONTHS_BALANCE, STATUS"""
 ORACLE["safe_ratio"] = f"""SELECT l_orderkey, l_linenumber,

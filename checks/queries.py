@@ -34,12 +34,22 @@ def query(f: Query) -> Query:
     return f
 
 
-def plain(df: DataFrame, digits: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Decimals and floats as double, small integers as bigint, doubles rounded."""
+def plain(
+    df: DataFrame,
+    digits: int | None = None,
+    keep: tuple[str, ...] = (),
+    gaps: tuple[str, ...] = (),
+) -> DataFrame:
+    """Decimals and floats as double, small integers as bigint, doubles rounded.
+
+    Whole numbers with missing values (``gaps``) become double as well.
+    """
     out = []
     for f in df.schema.fields:
         c = name_of(f.name)
-        if isinstance(f.dataType, (T.DecimalType, T.FloatType, T.DoubleType)):
+        if f.name in gaps:
+            c = f"CAST({c} AS DOUBLE)"
+        elif isinstance(f.dataType, (T.DecimalType, T.FloatType, T.DoubleType)):
             c = f"CAST({c} AS DOUBLE)"
             if digits is not None and f.name not in keep:
                 c = f"round({c}, {digits})"
@@ -158,7 +168,8 @@ def null_safe_filter(spark: SparkSession, sf: str) -> DataFrame:
 def lookup_customer(spark: SparkSession, sf: str) -> DataFrame:
     """All columns of the newest customer."""
     app = view(spark, sf, "application")
-    return plain(op.lookup(app, d.CUSTOMER, app.agg(F.max(d.CUSTOMER)).head()[0]))
+    newest = op.lookup(app, d.CUSTOMER, app.agg(F.max(d.CUSTOMER)).head()[0])
+    return plain(newest, gaps=("REGION_RATING_CLIENT_W_CITY",))
 
 
 @query
@@ -174,7 +185,8 @@ def request_id_rules(spark: SparkSession, sf: str) -> DataFrame:
     accepted, rejected = op.check_ids(raw, "raw", d.CUSTOMER, *d.REQUEST_IDS)
     accepted = accepted.selectExpr("*", "'accepted' AS status")
     refused = rejected.selectExpr("*", f"'{scoring.REJECTED}' AS status")
-    return plain(accepted.unionByName(refused, allowMissingColumns=True))
+    both = accepted.unionByName(refused, allowMissingColumns=True)
+    return plain(both, gaps=(d.CUSTOMER,))
 
 
 # Joins -----------------------------------------------------------------------
@@ -251,7 +263,7 @@ def rows_per_customer(spark: SparkSession, sf: str) -> DataFrame:
     """Counts of previous applications and of point-of-sale rows, in one column pair."""
     previous = history.rows_per_customer(view(spark, sf, "previous_application"), "PREV_APP_COUNT")
     pos = history.rows_per_customer(view(spark, sf, "POS_CASH_balance"), "POS_COUNT")
-    return previous.join(pos, d.CUSTOMER, "left")
+    return plain(previous.join(pos, d.CUSTOMER, "left"), gaps=("POS_COUNT",))
 
 
 @query
@@ -272,7 +284,9 @@ def category_share_long(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def column_bounds(spark: SparkSession, sf: str) -> DataFrame:
     item = table(spark, sf, "lineitem")
-    return plain(op.column_bounds(item, fn.numeric_columns(item)))
+    bounds = plain(op.column_bounds(item, fn.numeric_columns(item)))
+    # Adding 0 drops the sign of -0, which the data holds and engines order differently.
+    return bounds.selectExpr(*[f"{c} + 0 AS {c}" for c in bounds.columns])
 
 
 @query
@@ -308,7 +322,7 @@ def sentinel_null_flag(spark: SparkSession, sf: str) -> DataFrame:
     anomaly = fn.flag(f"{days} = {d.EMPLOYED_SENTINEL}")
     return view(spark, sf, "application").selectExpr(
         "SK_ID_CURR",
-        f"{fn.null_if(days, d.EMPLOYED_SENTINEL)} AS days",
+        f"CAST({fn.null_if(days, d.EMPLOYED_SENTINEL)} AS DOUBLE) AS days",
         f"CAST({anomaly} AS BIGINT) AS anomaly",
     )
 
@@ -319,7 +333,8 @@ def status_map_weight(spark: SparkSession, sf: str) -> DataFrame:
     return plain(
         months.groupBy("MONTHS_BALANCE", "STATUS").agg(
             F.expr("count(1) AS row_count"), F.expr("max(WEIGHT_status) AS WEIGHT_status")
-        )
+        ),
+        gaps=("STATUS",),
     )
 
 
@@ -423,7 +438,7 @@ def narrow_bounds(spark: SparkSession, sf: str) -> DataFrame:
     bounds = op.column_bounds(item, types)
     rows = ", ".join(
         f"struct('{c}' AS column, '{t.simpleString()}' AS type,"
-        f" CAST(min_{c} AS DOUBLE) AS low, CAST(max_{c} AS DOUBLE) AS high)"
+        f" CAST(min_{c} AS DOUBLE) + 0 AS low, CAST(max_{c} AS DOUBLE) + 0 AS high)"
         for c, t in types.items()
     )
     return bounds.selectExpr(f"inline(array({rows}))")
@@ -500,7 +515,7 @@ def exact_median_large(spark: SparkSession, sf: str) -> DataFrame:
 def clean_application(spark: SparkSession, sf: str) -> DataFrame:
     cleaned = clean.clean_application(view(spark, sf, "application"))
     as_number = {"Year_Empolyed_ANOM": "CAST(Year_Empolyed_ANOM AS BIGINT)"}
-    return plain(op.with_derived(cleaned, as_number))
+    return plain(op.with_derived(cleaned, as_number), gaps=("REGION_RATING_CLIENT_W_CITY",))
 
 
 @query
@@ -517,9 +532,14 @@ def bureau_features(spark: SparkSession, sf: str) -> DataFrame:
     return plain(op.aggregate_by(loans, d.CUSTOMER, clean.bureau_totals(loans)))
 
 
+# Differences and sums of whole numbers with a missing operand somewhere.
+GAPS = ("AMT_CREDIT_GOODS_DIFF", "AMT_PAYMENT_DIFF", "AMT_DRAWING_SUM")
+
+
 def _derived(name: str, source: str, derive, columns: list[str]) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return plain(derive(view(spark, sf, source)).select("SK_ID_CURR", "SK_ID_PREV", *columns))
+        derived = derive(view(spark, sf, source)).select("SK_ID_CURR", "SK_ID_PREV", *columns)
+        return plain(derived, gaps=GAPS)
 
     QUERIES[name] = run
 
@@ -684,7 +704,7 @@ def score_requests(spark: SparkSession, sf: str) -> DataFrame:
     answers = scoring.score_requests(
         view(spark, sf, "requests"), application, features, scorer, SELECTED
     )
-    return plain(answers, 6)
+    return plain(answers, 6, gaps=("pred",))
 
 
 @query
@@ -698,9 +718,8 @@ def answer_requests(spark: SparkSession, sf: str) -> DataFrame:
     )
     scorer = scoring.logistic_scorer(WEIGHTS, INTERCEPT)
     ids = (50, 3500)
-    return plain(
-        scoring.answer_requests(raw, "raw", application, features, scorer, SELECTED, ids), 6
-    )
+    answers = scoring.answer_requests(raw, "raw", application, features, scorer, SELECTED, ids)
+    return plain(answers, 6, gaps=(d.CUSTOMER, "pred"))
 
 
 @query
@@ -719,4 +738,4 @@ def score_requests_stream(spark: SparkSession, sf: str) -> DataFrame:
         checkpoint,
         SELECTED,
     ).awaitTermination()
-    return plain(spark.read.parquet(path).drop("batch"), 6)
+    return plain(spark.read.parquet(path).drop("batch"), 6, gaps=("pred",))
