@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from checks.queries import INTERCEPT, QUERIES, SELECTED, WEIGHTS  # noqa: E402
 from checks.views import bundle, table, view  # noqa: E402
 from rowloom import operators as op  # noqa: E402
-from rowloom.plans import build, clean, history, scoring  # noqa: E402
+from rowloom.plans import build, clean, scoring  # noqa: E402
 from rowloom.plans import domain as d  # noqa: E402
 from rowloom.session import configure, work_folder  # noqa: E402
 from rowloom.sources import read_features, write_features  # noqa: E402

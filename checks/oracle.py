@@ -44,7 +44,6 @@ LINE_STATES = ("F", "O")
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 GENDERS = ("AUTOMOBILE", "FURNITURE", "MACHINERY", "XNA")
 CONTRACTS = ("Cash loans", "Revolving / other", "XNA")
-CLEANED_GENDERS = GENDERS
 RATINGS = {"REGION_RATING_CLIENT": "123", "REGION_RATING_CLIENT_W_CITY": "1234"}
 
 # Derived columns -------------------------------------------------------------
@@ -314,7 +313,7 @@ def hot(column: str, value: str) -> tuple[str, str]:
 
 
 ONE_HOT = dict(
-    [hot("CODE_GENDER", v) for v in CLEANED_GENDERS]
+    [hot("CODE_GENDER", v) for v in GENDERS]
     + [hot("NAME_CONTRACT_TYPE", v) for v in CONTRACTS]
     + [hot(c, v) for c, values in RATINGS.items() for v in values]
 )
@@ -474,8 +473,10 @@ def categories(table: str, column: str, source: str) -> str:
 
 
 ORACLE["fitted_params_store"] = (
-    f"{with_views('application', 'bureau', 'previous_application', 'POS_CASH_balance', 'credit_card_balance')},"
-    f" {CLEANED}, filled AS ({FILLED} FROM cleaned) "
+    with_views(
+        "application", "bureau", "previous_application", "POS_CASH_balance", "credit_card_balance"
+    )
+    + f", {CLEANED}, filled AS ({FILLED} FROM cleaned) "
     + " UNION ALL ".join(
         categories(t, c, s)
         for t, c, s in (
@@ -715,7 +716,7 @@ ORACLE["onehot_dynamic"] = (
 _SCALED = ("AMT_CREDIT", "OBS_30_CNT_SOCIAL_CIRCLE", "REGION_RATING_CLIENT_W_CITY")
 ORACLE["median_impute"] = f"""{with_views('application')},
 fitted AS (SELECT {fitted(_SCALED)} FROM application)
-SELECT SK_ID_CURR, {', '.join(f'round(coalesce(CAST({c} AS DOUBLE), md_{c}), 8) AS {c}' for c in _SCALED)}
+SELECT SK_ID_CURR, {listed({c: f'round(coalesce(CAST({c} AS DOUBLE), md_{c}), 8)' for c in _SCALED})}
 FROM application CROSS JOIN fitted"""
 ORACLE["minmax_scale"] = f"""{with_views('application')},
 fitted AS (SELECT {fitted(_SCALED)} FROM application)

@@ -20,6 +20,7 @@ from rowloom.operators.encode import (
 )
 from rowloom.operators.filters import check_ids, drop_category, lookup
 from rowloom.operators.joins import (
+    Requested,
     frequent_keys,
     inner_join,
     keep_requested,
@@ -47,6 +48,7 @@ from rowloom.operators.select import (
 )
 
 __all__ = [
+    "Requested",
     "ScaleParams",
     "aggregate_by",
     "attach_group_aggregates",

@@ -96,7 +96,7 @@ def build_features(
     params: FittedParams | None = None,
     requests: DataFrame | None = None,
 ) -> DataFrame:
-    """Scaled application columns plus zero-filled history columns.
+    """Scaled application columns plus zero-filled history columns. Runs small jobs.
 
     Without ``params`` they are fitted on the same tables first; with
     ``requests`` only those customers are computed. The rows of customers
