@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.llm import bpe, decontaminate, quality
+from rowloom.llm import bpe, decontaminate, pii, quality
 from rowloom.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, folder, "documents"))
+
+
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return quality.judge(docs, quality.learn(docs, table(spark, folder, "labels")))
@@ -31,6 +35,6 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op8_quality, op10_bpe)
+    f.__name__: f for f in (op1_decontaminate, op5_pii, op8_quality, op10_bpe)
 }
 ORACLE: dict[str, str] = {}
