@@ -110,14 +110,14 @@ def match_expr(kind: str, before: int) -> str:
     """Valid matches of the parts p_kind as structs s, e, m, l, r; positions in code points."""
     p, n, b = f"p_{kind}", f"n_{kind}", f"b_{kind}"
     at = (
-        f"{b}[cast((2 * i - 1) div {BLOCK} AS int)] + aggregate(slice({n},"
-        f" cast((2 * i - 1) div {BLOCK} * {BLOCK} + 1 AS int), cast((2 * i - 1) % {BLOCK} AS int)),"
+        f"{b}[cast((2 * i - 1) div {BLOCK} AS int)] + aggregate(slice("
+        f"{n}[cast((2 * i - 1) div {BLOCK} AS int)], 1, cast((2 * i - 1) % {BLOCK} AS int)),"
         " 0L, (a, x) -> a + x)"
     )
     count = f"cast((size({p}) - 1) div 2 AS int)"
     every = (
         f"transform(slice(sequence(0, {count}), 2, {count}), i -> named_struct("
-        f"'s', {at}, 'e', {at} + {n}[2 * i - 1], 'm', {p}[2 * i - 1],"
+        f"'s', {at}, 'e', {at} + length({p}[2 * i - 1]), 'm', {p}[2 * i - 1],"
         f" 'l', lower(right({p}[2 * i - 2], {before})), 'r', lower(left({p}[2 * i], {before}))))"
     )
     return f"filter({every}, m -> {VALID[kind]})"
@@ -131,16 +131,26 @@ def scan(documents: DataFrame) -> DataFrame:
         f"coalesce({clean_expr('cast(text AS string)')}, '') AS t",
     )
     parts = docs.selectExpr("doc_id", "key", *(f"{cut_expr(k, 't')} AS p_{k}" for k in FORMS))
+    # lengths of the parts in blocks, and the length of all blocks before each, so that the
+    # work stays in proportion to the matches of a text
     lengths = parts.selectExpr(
-        "*", *(f"transform(p_{k}, x -> cast(length(x) AS bigint)) AS n_{k}" for k in FORMS)
+        "*", *(f"transform(p_{k}, x -> cast(length(x) AS bigint)) AS l_{k}" for k in FORMS)
     )
-    sums = lengths.selectExpr(
+    blocks = lengths.selectExpr(
+        "doc_id",
+        "key",
+        *(f"p_{k}" for k in FORMS),
+        *(
+            f"transform(sequence(0, cast((size(l_{k}) - 1) div {BLOCK} AS int)),"
+            f" k -> slice(l_{k}, k * {BLOCK} + 1, {BLOCK})) AS n_{k}"
+            for k in FORMS
+        ),
+    )
+    sums = blocks.selectExpr(
         "*",
         *(
-            f"aggregate(slice(sequence(0, size(n_{k}) div {BLOCK}), 1,"
-            f" cast(size(n_{k}) div {BLOCK} AS int)), array(0L), (a, k) -> array_append(a,"
-            f" element_at(a, -1) + aggregate(slice(n_{k}, cast(k * {BLOCK} + 1 AS int), {BLOCK}),"
-            " 0L, (c, x) -> c + x))) AS b_" + k
+            f"aggregate(n_{k}, array(0L), (a, n) -> array_append(a, element_at(a, -1)"
+            f" + aggregate(n, 0L, (c, x) -> c + x))) AS b_{k}"
             for k in FORMS
         ),
     )
