@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.llm import bpe, decontaminate, pii, quality
+from rowloom.llm import bpe, decontaminate, near_dup, pii, quality
 from rowloom.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(docs, quality.learn(docs, table(spark, folder, "labels")))
 
 
+def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, folder, "documents"))
+
+
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(
         table(spark, folder, "documents"),
@@ -35,6 +39,6 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op5_pii, op8_quality, op10_bpe)
+    f.__name__: f for f in (op1_decontaminate, op5_pii, op8_quality, op9_near_dedup, op10_bpe)
 }
 ORACLE: dict[str, str] = {}
