@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.llm import bpe, decontaminate, near_dup, pii, quality
+from rowloom.llm import bpe, decontaminate, near_dup, pii, quality, token_store
 from rowloom.llm.common import table
 
 
@@ -21,6 +21,12 @@ def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find_personal_data(table(spark, folder, "documents"))
 
 
+def op6_token_store(spark: SparkSession, folder: str) -> DataFrame:
+    return token_store.store_and_read(
+        table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    )
+
+
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return quality.judge(docs, quality.learn(docs, table(spark, folder, "labels")))
@@ -39,6 +45,6 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op5_pii, op8_quality, op9_near_dedup, op10_bpe)
+    f.__name__: f for f in (op1_decontaminate, op5_pii, op6_token_store, op8_quality, op9_near_dedup, op10_bpe)
 }
 ORACLE: dict[str, str] = {}
