@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.llm import bpe, decontaminate, near_dup, pii, quality, token_store
+from rowloom.llm import bpe, decontaminate, near_dup, pii, quality, token_store, warc
 from rowloom.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op6_token_store(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, folder, "pages"))
+
+
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return quality.judge(docs, quality.learn(docs, table(spark, folder, "labels")))
@@ -45,6 +49,6 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op5_pii, op6_token_store, op8_quality, op9_near_dedup, op10_bpe)
+    f.__name__: f for f in (op1_decontaminate, op5_pii, op6_token_store, op7_warc, op8_quality, op9_near_dedup, op10_bpe)
 }
 ORACLE: dict[str, str] = {}
