@@ -163,13 +163,15 @@ def row_shingles(words: np.ndarray, first: np.ndarray, k: int = SHINGLE_WORDS):
     return out, counts
 
 
-def pieces(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of about PIECE_BYTES of text, one row at least."""
+def pieces(
+    batch: pa.RecordBatch, text: str = "text", size: int = PIECE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about `size` bytes of text, one row at least."""
     if not batch.num_rows:
         return
     column = batch.column(batch.schema.get_field_index(text))
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-    group = np.cumsum(sizes) // PIECE_BYTES
+    group = np.cumsum(sizes.astype(np.int64)) // size
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
         yield batch.slice(a, b - a)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.llm import bpe, decontaminate, near_dup, pii, quality, token_store, warc
+from rowloom.llm import bpe, decontaminate, language, licenses, near_dup, pii, quality, token_store, warc
 from rowloom.llm.common import table
 
 
@@ -17,6 +17,16 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, folder, "documents"))
+
+
+def op3_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(
+        table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+
+
 def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find_personal_data(table(spark, folder, "documents"))
 
@@ -49,6 +59,6 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op5_pii, op6_token_store, op7_warc, op8_quality, op9_near_dedup, op10_bpe)
+    f.__name__: f for f in (op1_decontaminate, op2_licenses, op3_language, op5_pii, op6_token_store, op7_warc, op8_quality, op9_near_dedup, op10_bpe)
 }
 ORACLE: dict[str, str] = {}
