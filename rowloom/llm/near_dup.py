@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rowloom.llm.common import (
     ODD,
@@ -36,7 +37,7 @@ from rowloom.llm.common import (
 SLOTS = 64
 BAND = 4  # slots of a band: similarity 0.8 is missed by all 16 with a chance of 0.0002
 FILLED = 4.0  # a slot stays empty with a chance of exp(-FILLED) / SLOTS
-LEADERS = 4  # of a bucket, from the second round on
+MORE = 8  # times the leaders of a bucket from round to round
 
 
 def multisets(shingles: np.ndarray, counts: np.ndarray):
@@ -260,7 +261,7 @@ def components(documents: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
     known = labels = None
     leaders_of = 1
     while not members.isEmpty():
-        leaders = smallest(members, leaders_of)
+        leaders = stored(smallest(members, leaders_of), "near-leaders")
         pairs = stored(
             members.join(leaders, "bucket").where("node <> leader").select("bucket", "node", "leader"),
             "near-pairs",
@@ -278,18 +279,20 @@ def components(documents: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
         labels = merge(labels, fresh.where(F.col("similarity") >= similarity))
         known = fresh if known is None else stored(known.unionByName(fresh), "near-known")
         members = remaining(members, leaders, pairs, known, labels, similarity)
-        leaders_of = LEADERS
+        leaders_of *= MORE
     return rows.select("doc_id", "node"), labels
 
 
 def smallest(members: DataFrame, n: int) -> DataFrame:
-    """bucket, leader: the n smallest nodes of every bucket, found by n minima in turn."""
-    found = None
-    for _ in range(n):
-        left = members if found is None else members.join(found, ["bucket", "node"], "left_anti")
-        least = stored(left.groupBy("bucket").agg(F.min("node").alias("node")), "near-least")
-        found = least if found is None else found.unionByName(least)
-    return found.selectExpr("bucket", "node AS leader")
+    """bucket, leader: the n smallest nodes of every bucket.
+
+    Spark keeps n rows of a bucket for each task before it shuffles them.
+    """
+    if n == 1:
+        return members.groupBy("bucket").agg(F.min("node").alias("leader"))
+    order = Window.partitionBy("bucket").orderBy("node")
+    ranked = members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return ranked.selectExpr("bucket", "node AS leader")
 
 
 def remaining(members, leaders, pairs, known, labels, similarity) -> DataFrame:
