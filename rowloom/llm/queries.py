@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowloom.llm import bpe, decontaminate, language, licenses, near_dup, pii, quality, token_store, warc
+from rowloom.llm import bpe, decontaminate, language, licenses, main_text, near_dup, pii, quality, token_store, warc
 from rowloom.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op3_language(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text.extract(table(spark, folder, "pages"))
+
+
 def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find_personal_data(table(spark, folder, "documents"))
 
@@ -59,6 +63,6 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_licenses, op3_language, op5_pii, op6_token_store, op7_warc, op8_quality, op9_near_dedup, op10_bpe)
+    f.__name__: f for f in (op1_decontaminate, op2_licenses, op3_language, op4_main_text, op5_pii, op6_token_store, op7_warc, op8_quality, op9_near_dedup, op10_bpe)
 }
 ORACLE: dict[str, str] = {}
