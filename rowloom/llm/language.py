@@ -92,9 +92,8 @@ def segments(points: np.ndarray, vocab: Vocabulary):
     sums = np.zeros((count, n + 1), np.uint64)
     for j in range(n):
         sums[:, j + 1] = sums[:, j] * BASE + points[:, j].astype(np.uint64) + np.uint64(1)
-    power = np.uint64(1)
     for length in range(1, min(n, vocab.longest) + 1):
-        power = power * BASE
+        power = np.uint64(pow(int(BASE), length, 1 << 64))
         for start in range(n - length + 1):
             found = vocab.find(sums[:, start + length] - sums[:, start] * power)
             if length == 1 or (found < vocab.size).any():
