@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from rowloom.llm.common import map_pieces, stored
 
 DEPTH = 64  # levels of elements that paths tell apart; those further down are one with them
+BROADCAST_BYTES = 16 << 20  # of winning paths, up to which they are broadcast
 AGREE = 0.5  # share of a host's votes that a path needs to win
 
 TAG = re.compile(
@@ -268,6 +269,9 @@ def extract(pages: DataFrame) -> DataFrame:
         f"{HOST} AS host",
     )
     agreed = stored(winners(rows), "text-winners")
+    size = agreed.agg(F.sum(F.length("host") + F.length("winner") + 32)).first()[0] or 0
+    if size <= BROADCAST_BYTES:  # else pages are shuffled by host, and Spark splits hot hosts
+        agreed = F.broadcast(agreed)
 
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:
         texts = [
