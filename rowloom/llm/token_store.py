@@ -16,6 +16,7 @@ import json
 import struct
 import zlib
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -137,13 +138,57 @@ def codec(dictionary: bytes):
     )
 
 
+def part_of(documents: DataFrame, parts: int):
+    """The number of the file that a doc_id belongs to: disjoint ranges, null first.
+
+    The ends of the ranges are read off a range partitioning of the ids alone.
+    """
+    ends = (
+        documents.select("doc_id")
+        .where("doc_id IS NOT NULL")
+        .repartitionByRange(parts, "doc_id")
+        .groupBy(F.spark_partition_id())
+        .agg(F.max("doc_id").alias("end"))
+        .select("end")
+    )
+    listed = ", ".join(f"{e}L" for e in sorted(r["end"] for r in ends.collect())[:-1])
+    if not listed:
+        return F.lit(0)
+    return F.expr(f"coalesce(size(filter(array({listed}), e -> e < doc_id)), 0)").cast("int")
+
+
+def encode_frames(documents: DataFrame, path: str, dictionary: bytes, end_id: int, wide: bool):
+    """doc_id, n_ids and the compressed frame of every row."""
+
+    def run(batches):
+        encoder, (compressor, _) = Encoder(path), codec(dictionary)
+        kind = "<u4" if wide else "<u2"
+        for batch in batches:
+            for piece in pieces(batch):
+                values, counts = encoder.encode(piece.column(1))
+                ends = np.cumsum(counts)
+                values = np.insert(values, ends, end_id).astype(kind)
+                begins = ends - counts + np.arange(len(counts))
+                frames = [
+                    compressor.compress(values[a : a + n].tobytes())
+                    for a, n in zip(begins.tolist(), (counts + 1).tolist())
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(0), pa.array(counts + 1), pa.array(frames, pa.binary())],
+                    ["doc_id", "n_ids", "frame"],
+                )
+
+    return documents.mapInArrow(run, "doc_id long, n_ids long, frame binary")
+
+
 def write_tokens(documents: DataFrame, path: str, folder: str, end_id: int = 1) -> DataFrame:
     """Write the ids of all texts in ascending order of doc_id; returns the list of files.
 
-    Texts are range-partitioned and sorted by doc_id (null ids come first, rows
-    that repeat an id by their text); each partition becomes one file, named by
-    its number, so that a task that is run again writes the same file. A null
-    or empty text has the end id alone. Returns part, n_docs, n_ids.
+    Texts are encoded and compressed where they are read; only the frames are
+    shuffled, into files of disjoint ranges of doc_id (null ids come first,
+    rows that repeat an id by their frames). A file is named by the number of
+    its range, so that a task that is run again writes the same file. A null or
+    empty text has the end id alone. Returns part, n_docs, n_ids.
     """
     documents = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     wide = tokenizer(path).get_vocab_size() > 1 << 16
@@ -157,43 +202,40 @@ def write_tokens(documents: DataFrame, path: str, folder: str, end_id: int = 1)
         f"{place}/about.json",
         [json.dumps({"wide": wide, "dictionary_sha256": digest.hex()}).encode()],
     )
-    ordered = documents.repartitionByRange(
-        int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id"
-    ).sortWithinPartitions("doc_id", "text")
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = (
+        encode_frames(documents, path, dictionary, end_id, wide)
+        .withColumn("part", part_of(documents, parts))
+        .repartition(parts, "part")
+        .sortWithinPartitions("part", "doc_id", "frame")
+        .select("part", "doc_id", "n_ids", "frame")
+    )
 
     def run(batches):
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        encoder, (compressor, _) = Encoder(path), codec(dictionary)
-        kind = "<u4" if wide else "<u2"
-        index, total = [], 0
-
-        def frames():
-            nonlocal total
-            end = HEAD
-            yield MAGIC + digest
-            for batch in batches:
-                for piece in pieces(batch):
-                    values, counts = encoder.encode(piece.column(1))
-                    ends = np.cumsum(counts)
-                    values = np.insert(values, ends, end_id).astype(kind)
-                    begins = ends - counts + np.arange(len(counts))
-                    for i, a, n in zip(piece.column(0).to_pylist(), begins, counts + 1):
-                        frame = compressor.compress(values[a : a + n].tobytes())
-                        end += len(frame)
-                        index.append((i or 0, i is None, end, total))
-                        total += int(n)
-                        yield frame
-            yield np.array(index, ENTRY).tobytes()
-            yield struct.pack(FOOTER, len(index), total, end)
-
         to, at = shared_files(folder)
-        write_file(to, f"{at}/part-{part:06d}.tok", frames())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([v], pa.int64()) for v in (part, len(index), total)],
-            ["part", "n_docs", "n_ids"],
+        rows = (
+            row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))
         )
+        for part, own in groupby(rows, key=lambda r: r[0]):
+            index, total = [], 0
+
+            def frames(own=own):
+                nonlocal total
+                end = HEAD
+                yield MAGIC + digest
+                for _, i, n, frame in own:
+                    end += len(frame)
+                    index.append((i or 0, i is None, end, total))
+                    total += n
+                    yield frame
+                yield np.array(index, ENTRY).tobytes()
+                yield struct.pack(FOOTER, len(index), total, end)
+
+            write_file(to, f"{at}/part-{part:06d}.tok", frames())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([v], pa.int64()) for v in (part, len(index), total)],
+                ["part", "n_docs", "n_ids"],
+            )
 
     return ordered.mapInArrow(run, "part long, n_docs long, n_ids long")
 
