@@ -9,9 +9,11 @@ slot, its earliest point; two texts share it with a probability equal to their
 weighted Jaccard similarity. Points are made in order of time and only up to a
 time by which all slots are filled, so that most shingles cost one hash.
 
-Texts that share a band of the signature are candidates. They are compared with
-leaders of their bucket, round by round, until the bucket's members are all in
-one class or all used up; the multiset overlap of every compared pair is exact.
+Texts that share a band of the signature are candidates. They meet leaders of
+their bucket, round by round, until the bucket's members are all in one class
+or all used up. A task holds the leaders of a bucket beside each member as one
+array of signatures; only pairs whose signatures and sizes allow the similarity
+become rows, and the multiset overlap of those is exact.
 """
 
 from __future__ import annotations
@@ -37,7 +39,11 @@ from rowloom.llm.common import (
 SLOTS = 64
 BAND = 4  # slots of a band: similarity 0.8 is missed by all 16 with a chance of 0.0002
 FILLED = 4.0  # a slot stays empty with a chance of exp(-FILLED) / SLOTS
-MORE = 8  # times the leaders of a bucket from round to round
+LEADERS, MORE = 512, 8  # most leaders of a bucket in a round; times those of the round before
+CHUNKS = 64  # parts of a bucket that meet its leaders apart
+# Slots that a pair shares but for a chance of 3 in a million if its similarity is 0.8, and
+# by which a similarity of 0.6 is told from less.
+SHARED, BORDER = 35, 19
 
 
 def multisets(shingles: np.ndarray, counts: np.ndarray):
@@ -120,22 +126,32 @@ def text_keys(words: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def sketch(documents: DataFrame) -> DataFrame:
-    """doc_id, node (a hash of the text's words), bands; texts without words are left out."""
+    """doc_id, node (a hash of the text's words), bands, signature and size.
+
+    Texts without words are left out. The signature is kept to 16 bits a slot.
+    """
 
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:
         words, first = words_of(piece.column(1))
         shingles, counts = row_shingles(words, first)
-        hashes = bands(signatures(shingles, counts)).astype(np.int64)
+        slots = signatures(shingles, counts)
+        hashes = bands(slots).astype(np.int64)
+        short = [row.tobytes() for row in slots.astype(np.uint16)]
         n = hashes.shape[1]
         lists = pa.ListArray.from_arrays(
             pa.array(np.arange(0, (len(counts) + 1) * n, n, dtype=np.int32)),
             pa.array(hashes.reshape(-1)),
         )
         nodes = pa.array(text_keys(words, first).astype(np.int64))
-        out = pa.RecordBatch.from_arrays([piece.column(0), nodes, lists], ["doc_id", "node", "bands"])
+        out = pa.RecordBatch.from_arrays(
+            [piece.column(0), nodes, lists, pa.array(short, pa.binary()), pa.array(counts)],
+            ["doc_id", "node", "bands", "slots", "size"],
+        )
         return out.filter(pa.array(counts > 0))
 
-    return map_pieces(documents, work, "doc_id long, node long, bands array<long>")
+    return map_pieces(
+        documents, work, "doc_id long, node long, bands array<long>, slots binary, size long"
+    )
 
 
 def elements(documents: DataFrame) -> DataFrame:
@@ -235,6 +251,51 @@ def merge(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     return labels
 
 
+def columns_of(rows: list[dict]) -> tuple[np.ndarray, ...]:
+    """Signatures, sizes, nodes and components of leaders as arrays."""
+    signs = np.frombuffer(b"".join(r["slots"] for r in rows), np.uint16).reshape(-1, SLOTS)
+    sizes = np.array([r["size"] for r in rows])
+    return signs, sizes, np.array([r["node"] for r in rows]), np.array([r["comp"] for r in rows])
+
+
+def meet(members: DataFrame, leaders: DataFrame, similarity: float) -> DataFrame:
+    """bucket, node, leader, kind: members and leaders of their bucket that may be similar.
+
+    Kind 1 are pairs whose signatures and sizes allow the similarity; kind 0
+    says, without a node, that a leader has some member of other component
+    that is neither similar nor far. Pairs of one component are passed over.
+    """
+    together = leaders.groupBy("bucket").agg(F.collect_list(F.struct("node", "slots", "size", "comp")).alias("heads"))
+    parts = members.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(CHUNKS)).alias("part")).agg(
+        F.collect_list(F.struct("node", "slots", "size", "comp")).alias("rows")
+    )
+    joined = parts.join(stored(together, "near-heads"), "bucket").select("bucket", "rows", "heads")
+
+    def run(batches):
+        for batch in batches:
+            out: list[tuple[int, int, int, int]] = []
+            near: set[tuple[int, int]] = set()
+            for bucket, rows, heads in zip(*(c.to_pylist() for c in batch.columns)):
+                signs, sizes, nodes, comps = columns_of(heads)
+                for row in rows:
+                    equal = (signs == np.frombuffer(row["slots"], np.uint16)).sum(axis=1)
+                    ratio = np.minimum(sizes, row["size"]) / np.maximum(sizes, row["size"])
+                    other = (comps != row["comp"]) & (nodes != row["node"])
+                    may = other & (equal > SHARED) & (ratio >= similarity - 1e-9)
+                    border = other & ~may & (equal > BORDER) & (ratio >= 2 * similarity - 1 - 1e-9)
+                    out += [(bucket, row["node"], n, 1) for n in nodes[may].tolist()]
+                    near |= {(bucket, n) for n in nodes[border].tolist()}
+            out += [(bucket, None, n, 0) for bucket, n in near]
+            if out:
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(zip(*out), kinds)],
+                    ["bucket", "node", "leader", "kind"],
+                )
+
+    return joined.mapInArrow(run, "bucket long, node long, leader long, kind int")
+
+
 def components(documents: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """doc_id, node of every text with words; and node, comp of the nodes with links."""
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(
@@ -242,7 +303,12 @@ def components(documents: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
     )
     rows = stored(sketch(docs), "near-rows")
     nodes = stored(
-        rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")),
+        rows.groupBy("node").agg(
+            F.min("doc_id").alias("doc_id"),
+            F.first("bands").alias("bands"),
+            F.first("slots").alias("slots"),
+            F.first("size").alias("size"),
+        ),
         "near-nodes",
     )
     members = nodes.selectExpr("node", "explode(bands) AS bucket")
@@ -250,86 +316,101 @@ def components(documents: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
         members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"),
         "near-shared",
     )
-    members = stored(members.join(shared, "bucket"), "near-members")
-    wanted = stored(members.select("node").distinct(), "near-wanted")
-    texts = docs.join(
-        nodes.join(wanted, "node").select("doc_id").distinct(), "doc_id", "left_semi"
+    members = stored(
+        members.join(shared, "bucket").selectExpr("bucket", "node", "node AS comp"), "near-members"
     )
-    items = stored(
-        elements(texts).groupBy("node").agg(F.first("items").alias("items")), "near-items"
+    signs = stored(
+        nodes.select("node", "doc_id", "slots", "size").join(
+            members.select("node").distinct(), "node", "left_semi"
+        ),
+        "near-signs",
     )
-    known = labels = None
+    items = known = labels = None
     leaders_of = 1
     while not members.isEmpty():
-        leaders = stored(smallest(members, leaders_of), "near-leaders")
-        pairs = stored(
-            members.join(leaders, "bucket").where("node <> leader").select("bucket", "node", "leader"),
-            "near-pairs",
-        )
+        full = members.join(signs.drop("doc_id"), "node")
+        heads = smallest(members, leaders_of).join(members, ["bucket", "node"])
+        heads = stored(heads.join(signs.drop("doc_id"), "node"), "near-leaders")
+        met = stored(meet(full, heads, similarity), "near-met")
+        pairs = met.where("kind = 1").select("bucket", "node", "leader")
         asked = pairs.selectExpr(
             "least(node, leader) AS node", "greatest(node, leader) AS leader"
         ).distinct()
         if known is not None:
             asked = asked.join(known, ["node", "leader"], "left_anti")
-        # the pairs meet one text, then the other; one leader may have very many pairs
         asked = stored(asked, "near-asked")
-        half = asked.join(items, "node")
-        whole = half.join(items.toDF("leader", "other"), "leader")
-        fresh = stored(compare(whole), "near-compared")
-        labels = merge(labels, fresh.where(F.col("similarity") >= similarity))
-        known = fresh if known is None else stored(known.unionByName(fresh), "near-known")
-        members = remaining(members, leaders, pairs, known, labels, similarity)
-        leaders_of *= MORE
+        # texts are read for the nodes of these pairs alone, and each once
+        wanted = asked.selectExpr("explode(array(node, leader)) AS node").distinct()
+        if items is not None:
+            wanted = wanted.join(items.select("node"), "node", "left_anti")
+        wanted = stored(wanted, "near-wanted")
+        if not wanted.isEmpty():
+            ids = stored(signs.join(wanted, "node").select("doc_id").distinct(), "near-ids")
+            new = elements(docs.join(ids, "doc_id", "left_semi")).join(wanted, "node", "left_semi")
+            new = stored(new.groupBy("node").agg(F.first("items").alias("items")), "near-items")
+            items = new if items is None else items.unionByName(new)
+        if not asked.isEmpty():
+            # one leader may have very many pairs: a skewed key of a plain join
+            half = asked.join(items, "node")
+            whole = half.join(items.toDF("leader", "other"), "leader")
+            fresh = stored(compare(whole), "near-compared")
+            labels = merge(labels, fresh.where(F.col("similarity") >= similarity))
+            known = fresh if known is None else known.unionByName(fresh)
+        members = remaining(members, heads, met, known, labels, similarity)
+        leaders_of = min(LEADERS, leaders_of * MORE)
     return rows.select("doc_id", "node"), labels
 
 
 def smallest(members: DataFrame, n: int) -> DataFrame:
-    """bucket, leader: the n smallest nodes of every bucket.
+    """bucket, node: the n smallest nodes of every bucket.
 
     Spark keeps n rows of a bucket for each task before it shuffles them.
     """
     if n == 1:
-        return members.groupBy("bucket").agg(F.min("node").alias("leader"))
+        return members.groupBy("bucket").agg(F.min("node").alias("node"))
     order = Window.partitionBy("bucket").orderBy("node")
     ranked = members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
-    return ranked.selectExpr("bucket", "node AS leader")
+    return ranked.select("bucket", "node")
 
 
-def remaining(members, leaders, pairs, known, labels, similarity) -> DataFrame:
+def remaining(members, heads, met, known, labels, similarity) -> DataFrame:
     """The members of buckets that may still have links not found.
 
-    Leaders have met all others and leave. Dissimilarity is a metric: with a
-    leader at a and b, two members are at least |a - b| apart. Members linked
-    to a leader thus can't be linked to those whose dissimilarity to it is over
-    twice the threshold, and leave too if the bucket has no member in between.
-    Buckets with all members in one component are done.
+    Leaders have met all others and leave. Dissimilarity is a metric: members
+    linked to a leader can't be linked to those whose dissimilarity to it is
+    over twice the threshold, and leave too if the leader met nobody in
+    between. Buckets with all members in one component are done.
     """
-    border = 1 - 2 * (1 - similarity)
-    measured = pairs.selectExpr(
-        "bucket",
-        "node AS member",
-        "leader AS head",
-        "least(node, leader) AS node",
-        "greatest(node, leader) AS leader",
-    ).join(known, ["node", "leader"])
-    between = (
-        measured.where((F.col("similarity") < similarity) & (F.col("similarity") >= border - 1e-9))
-        .select("bucket", "head")
-        .distinct()
-    )
-    gone = (
-        measured.where(F.col("similarity") >= similarity)
-        .join(between, ["bucket", "head"], "left_anti")
-        .selectExpr("bucket", "member AS node")
-        .unionByName(leaders.selectExpr("bucket", "leader AS node"))
-        .distinct()
-    )
-    left = stored(members.join(gone, ["bucket", "node"], "left_anti"), "near-left")
-    named = left.join(labels, "node", "left").selectExpr(
-        "bucket", "node", "coalesce(comp, node) AS comp"
-    )
+    gone = heads.select("bucket", "node")
+    if known is not None:
+        measured = (
+            met.where("kind = 1")
+            .selectExpr(
+                "bucket",
+                "node AS member",
+                "leader AS head",
+                "least(node, leader) AS node",
+                "greatest(node, leader) AS leader",
+            )
+            .join(known, ["node", "leader"])
+        )
+        between = (
+            measured.where(F.col("similarity") < similarity)
+            .select("bucket", "head")
+            .unionByName(met.where("kind = 0").selectExpr("bucket", "leader AS head"))
+            .distinct()
+        )
+        linked = measured.where(F.col("similarity") >= similarity)
+        free = linked.join(stored(between, "near-between"), ["bucket", "head"], "left_anti")
+        gone = gone.unionByName(free.selectExpr("bucket", "member AS node"))
+    left = members.join(gone.distinct(), ["bucket", "node"], "left_anti").select("bucket", "node")
+    if labels is not None:
+        left = left.join(labels, "node", "left")
+    else:
+        left = left.withColumn("comp", F.lit(None).cast("long"))
+    left = stored(left.selectExpr("bucket", "node", "coalesce(comp, node) AS comp"), "near-left")
     open_ = (
-        named.groupBy("bucket")
+        left.groupBy("bucket")
         .agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
         .where("low < high")
         .select("bucket")
