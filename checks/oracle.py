@@ -185,6 +185,7 @@ BUREAU_ROLLUP = (
         ("AMT_CREDIT_SUM", "AMT_CREDIT_SUM_DEBT", "AMT_CREDIT_SUM_OVERDUE", "DAYS_CREDIT"),
         {},
     )
+    | {"Bureau_FLAG_OPEN": mean_exact("CAST(FLAG_OPEN AS INTEGER)")}
     | {f"Bureau_{c}": e for c, e in BUREAU_TOTALS.items()}
 )
 PREVIOUS_ROLLUP = (
@@ -226,7 +227,9 @@ CARD_PLAIN = (
 )
 CARD_ROLLUP = shares(
     "CREDITBAL", "NAME_CONTRACT_STATUS", [v for v in EVENT_TYPES if v != "error"]
-) | means("CREDITBAL", CARD_PLAIN, CARDS)
+) | means("CREDITBAL", CARD_PLAIN, CARDS) | {
+    "CREDITBAL_FLAG_OVERDUE": mean_exact("CAST(FLAG_OVERDUE AS INTEGER)")
+}
 
 BALANCE_SUMS = (
     "SELECT b.SK_ID_CURR, CAST(sum(m.MONTHS_BALANCE) AS BIGINT) AS {p}MONTHS_BALANCE,"
@@ -451,7 +454,7 @@ FROM orders"""
 
 _SHAPES = {
     "application": 13,
-    "bureau": 8,
+    "bureau": 9,
     "bureau_balance": 3,
     "previous_application": 9,
     "POS_CASH_balance": 7,
@@ -553,6 +556,11 @@ GROUP BY a.SK_ID_CURR"""
 ORACLE["requested_applications"] = f"""{with_views('application', 'requests')}
 SELECT SK_ID_CURR, AMT_INCOME_TOTAL FROM application a
 WHERE EXISTS (SELECT 1 FROM requests r WHERE r.SK_ID_CURR = a.SK_ID_CURR)"""
+ORACLE["listed_applications"] = f"""{with_views('application')}
+SELECT SK_ID_CURR, AMT_INCOME_TOTAL FROM application WHERE SK_ID_CURR IN (3, 5, 8, 900, 77777777)"""
+ORACLE["peek_rows"] = f"""{with_views('application')}
+SELECT SK_ID_CURR, DAYS_EMPLOYED::BIGINT AS DAYS_EMPLOYED FROM application
+ORDER BY SK_ID_CURR LIMIT 2"""
 ORACLE["missing_requests"] = f"""{with_views('application', 'requests')}
 SELECT SK_ID_CURR FROM requests r
 WHERE NOT EXISTS (SELECT 1 FROM application a WHERE r.SK_ID_CURR = a.SK_ID_CURR)"""
@@ -685,10 +693,14 @@ FROM (SELECT l_orderkey, count(*) FILTER (l_discount = 0 AND l_linenumber % 2 =
 ORACLE["float32_downcast"] = f"""SELECT l_orderkey, l_linenumber,
   CAST(CAST({ratio('l_extendedprice', 'l_quantity', '1')} AS FLOAT) AS DOUBLE) AS ratio
 FROM lineitem"""
-ORACLE["score_threshold"] = f"""SELECT l_quantity / 50::DOUBLE AS prob,
-  CASE WHEN l_quantity / 50::DOUBLE <= 0.5 THEN 0 ELSE 1 END::BIGINT AS pred,
-  CASE WHEN l_quantity / 50::DOUBLE <= 0.5 THEN '{GOOD}' ELSE '{BAD}' END AS verdict,
-  count(*) AS row_count FROM lineitem GROUP BY 1, 2, 3"""
+_PROB = """CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linenumber = 6 THEN 'NaN'::DOUBLE
+  ELSE l_quantity / 50::DOUBLE END"""
+ORACLE["score_threshold"] = f"""WITH scored AS (SELECT {_PROB} AS p FROM lineitem),
+classes AS (SELECT CASE WHEN isnan(p) THEN -1 ELSE p END AS prob,
+  CASE WHEN p IS NULL THEN NULL WHEN isnan(p) OR p <= 0.5 THEN 0 ELSE 1 END AS pred FROM scored)
+SELECT coalesce(prob, -2) AS prob, pred::DOUBLE AS pred,
+  CASE pred WHEN 0 THEN '{GOOD}' WHEN 1 THEN '{BAD}' END AS verdict, count(*) AS row_count
+FROM classes GROUP BY 1, 2, 3"""
 
 # Encoders and scalers --------------------------------------------------------
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from checks.views import bundle, table, view
+from checks.views import REQUEST_COLUMNS, bundle, table, view
 from rowloom import functions as fn
 from rowloom import operators as op
 from rowloom.functions import name_of
@@ -152,7 +152,8 @@ def cast_to_category(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def peek_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return op.peek(view(spark, sf, "application").select("SK_ID_CURR", "DAYS_EMPLOYED"))
+    rows = view(spark, sf, "application").select("SK_ID_CURR", "DAYS_EMPLOYED")
+    return plain(op.peek(rows, d.CUSTOMER))
 
 
 # Filters ---------------------------------------------------------------------
@@ -216,6 +217,13 @@ def requested_applications(spark: SparkSession, sf: str) -> DataFrame:
     return op.keep_requested(app, view(spark, sf, "requests"), d.CUSTOMER)
 
 
+@query
+def listed_applications(spark: SparkSession, sf: str) -> DataFrame:
+    """The applications of a list of ids, some unknown and one repeated."""
+    app = view(spark, sf, "application").select("SK_ID_CURR", "AMT_INCOME_TOTAL")
+    return op.keep_requested(app, [3, 5, 8, 8, 900, 77777777, None], d.CUSTOMER)
+
+
 @query
 def missing_requests(spark: SparkSession, sf: str) -> DataFrame:
     app, requests = view(spark, sf, "application"), view(spark, sf, "requests")
@@ -226,7 +234,9 @@ def missing_requests(spark: SparkSession, sf: str) -> DataFrame:
 def agg_join_back(spark: SparkSession, sf: str) -> DataFrame:
     """Every loan with the totals of its customer."""
     derived = clean.derive_bureau(view(spark, sf, "bureau"))
-    return plain(op.drop_columns(derived, ["CREDIT_TYPE", "CREDIT_ACTIVE", "DAYS_CREDIT"]))
+    return plain(
+        op.drop_columns(derived, ["CREDIT_TYPE", "CREDIT_ACTIVE", "DAYS_CREDIT", "FLAG_OPEN"])
+    )
 
 
 # Aggregates ------------------------------------------------------------------
@@ -416,12 +426,19 @@ def float32_downcast(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def score_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    """Classes and verdicts of a made-up probability, 0.5 itself included."""
+    """Classes and verdicts of a made-up probability: 0.5 itself, NaN and missing included."""
     return plain(
         table(spark, sf, "lineitem")
-        .selectExpr("l_quantity / 50.0D AS prob")
-        .selectExpr("prob", f"{fn.class_of('prob', d.THRESHOLD)} AS pred")
-        .selectExpr("prob", "pred", f"{scoring.verdict_of('pred')} AS verdict")
+        .selectExpr(
+            "CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linenumber = 6 THEN double('NaN')"
+            " ELSE l_quantity / 50.0D END AS p"
+        )
+        .selectExpr("p", f"{fn.class_of('p', d.THRESHOLD)} AS pred")
+        .selectExpr(
+            "coalesce(CASE WHEN isnan(p) THEN -1D ELSE p END, -2D) AS prob",
+            "CAST(pred AS DOUBLE) AS pred",
+            f"{scoring.verdict_of('pred')} AS verdict",
+        )
         .groupBy("prob", "pred", "verdict")
         .agg(F.expr("count(1) AS row_count"))
     )
@@ -502,7 +519,7 @@ def exact_median_large(spark: SparkSession, sf: str) -> DataFrame:
     item = table(spark, sf, "lineitem")
     names = fn.numeric_columns(item)
     counts = item.selectExpr(*[f"count({c}) AS {c}" for c in names]).head().asDict()
-    found = op.exact_medians(item, counts, direct_values=0)
+    found = op.exact_medians(item, counts)
     return item.selectExpr(
         "count(1) AS row_count", *[f"{fn.value_of(found[c])} AS {c}" for c in names]
     )
@@ -730,7 +747,7 @@ def score_requests_stream(spark: SparkSession, sf: str) -> DataFrame:
     items = table(spark, sf, "lineitem")
     stream = spark.readStream.schema(items.schema).parquet(f"{sf}/lineitem.parquet*")
     score_request_stream(
-        stream.selectExpr(f"l_partkey AS {d.CUSTOMER}"),
+        stream.selectExpr(f"{REQUEST_COLUMNS[d.CUSTOMER]} AS {d.CUSTOMER}"),
         application,
         features,
         scoring.logistic_scorer(WEIGHTS, INTERCEPT),

@@ -45,6 +45,7 @@ BUREAU_COLUMNS = {
     "AMT_CREDIT_SUM_OVERDUE": "CASE WHEN o_orderpriority = '1-URGENT'"
     " THEN CAST(o_totalprice AS DECIMAL(18,2)) END",
     "DAYS_CREDIT": "-(o_orderkey % 3000)",
+    "FLAG_OPEN": "o_orderstatus = 'O'",
 }
 
 BALANCE_COLUMNS = {
@@ -115,10 +116,14 @@ CARD_COLUMNS = {
     "AMT_RECEIVABLE_PRINCIPAL": f"{EVENT_CENTS} * 2",
     "SK_DPD": "CAST(event_id % 4 AS INT)",
     "SK_DPD_DEF": "CAST(event_id % 3 + 1 AS INT)",
+    "FLAG_OVERDUE": "event_id % 4 = 0",
 }
 
-# One request per line item; about a quarter of the ids belongs to no customer.
-REQUEST_COLUMNS = {"SK_ID_CURR": "l_partkey"}
+# One request per line item: ids repeat, a third of the customers is never asked for, and
+# some ids belong to no customer.
+REQUEST_COLUMNS = {
+    "SK_ID_CURR": "CASE WHEN l_partkey % 3 = 0 THEN l_partkey + 100000000 ELSE l_partkey END"
+}
 
 # Request texts from all orders: below, inside and above the range, and no numbers.
 RAW_REQUEST_COLUMNS = {

@@ -12,6 +12,7 @@ from rowloom.functions.columns import (
     require_columns,
     require_unique,
     string_columns,
+    told_apart,
     value_of,
 )
 from rowloom.functions.mapping import map_values
@@ -51,6 +52,7 @@ __all__ = [
     "require_unique",
     "safe_ratio",
     "string_columns",
+    "told_apart",
     "to_float32",
     "unless_equal",
     "value_of",

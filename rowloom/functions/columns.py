@@ -75,6 +75,25 @@ def require_columns(df: DataFrame, names: Iterable[str]) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
+def told_apart(names: Iterable[str]) -> list[str]:
+    """The names, a number added to those that differ from an earlier one in case only.
+
+    Spark resolves names without regard to case, so that it could not tell
+    them apart. Names that are equal are an error.
+    """
+    names = list(names)
+    require_unique(names)
+    taken, out = set(), []
+    for name in names:
+        free, n = name, 1
+        while free.lower() in taken:
+            n += 1
+            free = f"{name}_{n}"
+        taken.add(free.lower())
+        out.append(free)
+    return out
+
+
 def require_unique(names: Iterable[str]) -> None:
     """Raise when generated column names collide."""
     twice = sorted(n for n, k in Counter(names).items() if k > 1)

@@ -30,5 +30,8 @@ def to_float32(e: str) -> str:
 
 
 def class_of(probability: str, threshold: float) -> str:
-    """1 above the threshold, else 0."""
-    return f"CASE WHEN {probability} > {value_of(threshold)} THEN 1 ELSE 0 END"
+    """1 above the threshold, else 0; 0 for NaN, NULL without a probability."""
+    return (
+        f"CASE WHEN {probability} IS NULL THEN NULL WHEN isnan({probability}) THEN 0"
+        f" WHEN {probability} > {value_of(threshold)} THEN 1 ELSE 0 END"
+    )

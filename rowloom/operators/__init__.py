@@ -21,7 +21,6 @@ from rowloom.operators.encode import (
 from rowloom.operators.filters import check_ids, drop_category, lookup
 from rowloom.operators.joins import (
     Requested,
-    frequent_keys,
     inner_join,
     keep_requested,
     left_join_zero_fill,
@@ -65,7 +64,6 @@ __all__ = [
     "fit_categories",
     "fit_categories_of",
     "fit_impute_scale",
-    "frequent_keys",
     "impute_scale",
     "inner_join",
     "keep_requested",

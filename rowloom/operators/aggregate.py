@@ -77,16 +77,13 @@ def distinct_from_categories(column: str, values: Iterable[str]) -> str:
     return " + ".join(["0L", *seen])
 
 
-def attach_group_aggregates(
-    df: DataFrame, key: str, measures: Mapping[str, str], support: float = 0.01
-) -> DataFrame:
-    """Give every row its group's aggregates; rows with no key get NULLs.
+def attach_group_aggregates(df: DataFrame, key: str, measures: Mapping[str, str]) -> DataFrame:
+    """Give every row its group's aggregates; rows with no key get NULLs. Runs a job.
 
     A window over the key would pull a whole group into one task. Grouping
-    and joining back keeps the group spread; frequent keys take the broadcast
-    branch of ``lookup_join``.
+    and joining back keeps the group spread.
     """
-    return lookup_join(df, aggregate_by(df, key, measures), key, support=support)
+    return lookup_join(df, aggregate_by(df, key, measures), key)
 
 
 def column_bounds(df: DataFrame, columns: Iterable[str]) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from rowloom.functions import name_of, value_of, zero_fill
-
-LITERAL_KEYS = 1_000  # at most this many ids are written into the scan filter
-BROADCAST_KEYS = 1_000_000  # at most this many ids (one column) are broadcast
+from rowloom.session import written
 
 
 def inner_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -25,105 +24,47 @@ def left_join_zero_fill(entity: DataFrame, aggregates: DataFrame, key: str) -> D
     )
 
 
-def one_of(key: str, values: list) -> str:
-    """Condition: the key is among the values, NULL included if listed. Never NULL."""
-    some = [value_of(v) for v in values if v is not None]
-    hit = f"coalesce({name_of(key)} IN ({', '.join(some)}), FALSE)" if some else "FALSE"
-    return f"({hit} OR {name_of(key)} IS NULL)" if None in values else hit
+def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Join many rows to a table with one row per key, safe for hot keys. Runs a job.
 
+    The right side, often an aggregate, is written to the work folder first.
+    Then both sides are ordinary shuffles of one join, and adaptive execution
+    splits the rows of a hot key over several tasks, however large its share.
+    """
+    return left.join(written(right, "lookup"), key, how)
 
-def frequent_keys(df: DataFrame, key: str, support: float = 0.01) -> list:
-    """Keys (NULL included) holding at least ``support`` of the rows. Runs jobs.
 
-    The sketch behind ``freqItems`` misses no such key and returns a bounded
-    number of candidates; a second pass over the one key column counts them
-    and puts all other rows into one group. At most ``1 / support`` keys can
-    come back.
-    """
-    keys = df.selectExpr(f"{name_of(key)} AS k")
-    candidates = keys.freqItems(["k"], support).head()[0] or []
-    hit = one_of("k", candidates)
-    groups = (
-        keys.selectExpr(f"CASE WHEN {hit} THEN k END AS k", f"{hit} AS candidate")
-        .groupBy("k", "candidate")
-        .count()
-        .collect()
-    )
-    rows = sum(g["count"] for g in groups)
-    return [g["k"] for g in groups if g["candidate"] and g["count"] >= support * rows]
-
-
-def lookup_join(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    how: str = "left",
-    support: float = 0.01,
-    hot: list | None = None,
-) -> DataFrame:
-    """Join many rows to a table with one row per key, safe for hot keys.
-
-    Rows of frequent keys join a broadcast of at most ``1 / support`` right
-    rows and are not shuffled by key at all; the others take the normal
-    shuffle join. Runs two one-column passes over ``left`` to find the
-    frequent keys, unless the caller already knows them as ``hot``.
-    """
-    hot = frequent_keys(left, key, support) if hot is None else hot
-    if not hot:
-        return left.join(right, key, how)
-    few = F.broadcast(right.where(one_of(key, [v for v in hot if v is not None])))
-    spread = left.where(one_of(key, hot)).join(few, key, how)
-    rest = left.where(f"NOT {one_of(key, hot)}").join(right, key, how)
-    return rest.unionByName(spread)
-
-
-def keep_requested(
-    df: DataFrame,
-    requests: DataFrame,
-    key: str,
-    literal_keys: int = LITERAL_KEYS,
-    broadcast_keys: int = BROADCAST_KEYS,
-) -> DataFrame:
-    """Rows whose key is requested (left semi join). Runs one small job.
-
-    The number of ids decides the way: few ids become a literal filter that
-    reaches the scan, more are broadcast, and any larger set is shuffled.
-    """
-    return Requested(requests, key, literal_keys, broadcast_keys).keep(df)
+def keep_requested(df: DataFrame, requests: DataFrame | Iterable, key: str) -> DataFrame:
+    """Rows whose key is requested; see `Requested`."""
+    return Requested(requests, key).keep(df)
 
 
 class Requested:
-    """The distinct requested ids, counted once and applied to many tables."""
-
-    def __init__(
-        self,
-        requests: DataFrame,
-        key: str,
-        literal_keys: int = LITERAL_KEYS,
-        broadcast_keys: int = BROADCAST_KEYS,
-    ):
+    """The distinct requested ids, applied to many tables.
+
+    A list given by the caller is a filter that reaches the scans. A DataFrame,
+    of whatever size, is made distinct and written once, and semi-joined to
+    each table; Spark picks the way from real sizes.
+    """
+
+    def __init__(self, requests: DataFrame | Iterable, key: str):
         self.key = key
-        self.ids = requests.selectExpr(name_of(key)).where(f"{name_of(key)} IS NOT NULL").distinct()
-        few = [r[0] for r in self.ids.limit(literal_keys + 1).collect()]
-        self.literals = few if len(few) <= literal_keys else None
-        self.bounded = (
-            self.literals is None and self.ids.limit(broadcast_keys + 1).count() <= broadcast_keys
-        )
-
-    @property
-    def small(self) -> bool:
-        """True when a table can be cut down without shuffling it."""
-        return self.literals is not None or self.bounded
+        self.ids = self.literals = None
+        if isinstance(requests, DataFrame):
+            ids = requests.selectExpr(name_of(key)).where(f"{name_of(key)} IS NOT NULL")
+            self.ids = written(ids.distinct(), "requested")
+        else:
+            self.literals = sorted({v for v in requests if v is not None})
 
     def keep(self, df: DataFrame) -> DataFrame:
-        if self.literals is not None:
-            listed = ", ".join(value_of(v) for v in self.literals)
-            return df.where(f"{name_of(self.key)} IN ({listed})" if listed else "FALSE")
-        return df.join(F.broadcast(self.ids) if self.bounded else self.ids, self.key, "left_semi")
+        if self.ids is not None:
+            return df.join(self.ids, self.key, "left_semi")
+        listed = ", ".join(value_of(v) for v in self.literals)
+        return df.where(f"{name_of(self.key)} IN ({listed})" if listed else "FALSE")
 
 
 def unknown_requests(requests: DataFrame, df: DataFrame, key: str) -> DataFrame:
-    """Requests whose key is not in the table (left anti join). Runs one small job.
+    """Requests whose key is not in the table (left anti join).
 
     The table is cut down to the requested ids first, so that a short list of
     requests does not shuffle the keys of the whole table.

@@ -6,9 +6,9 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
-from rowloom.functions import numeric_columns, require_unique, string_columns
+from rowloom.functions import numeric_columns, string_columns, told_apart
 from rowloom.operators.aggregate import aggregate_by, mean_of, share_of
-from rowloom.operators.encode import MAX_CATEGORIES, fit_categories
+from rowloom.operators.encode import fit_categories
 
 
 def rollup_child(
@@ -20,14 +20,15 @@ def rollup_child(
     shares: bool = True,
     share_name=None,
     extra: Mapping[str, str] | None = None,
-    max_categories: int = MAX_CATEGORIES,
+    max_categories: int | None = None,
 ) -> DataFrame:
-    """Means of the numeric columns and shares of the categories, per key.
+    """Means of the numeric and boolean columns and shares of the categories, per key.
 
     Everything is one aggregate and one shuffle. Columns are named
     ``<prefix>_<column>_<value>`` and ``<prefix>_<column>``; ``share_name``
     replaces the first form and ``extra`` adds aggregates under
-    ``<prefix>_<name>``. Without ``categories`` one job finds them first.
+    ``<prefix>_<name>``. Without ``categories`` one job finds those of all text
+    columns first; ``max_categories`` makes a column with more an error.
     """
     drop = set(drop)
     if not shares:
@@ -41,8 +42,8 @@ def rollup_child(
         for value in values
     ]
     named += [
-        (f"{prefix}_{c}", mean_of(child, c)) for c in numeric_columns(child, {key, *drop})
+        (f"{prefix}_{c}", mean_of(child, c)) for c in numeric_columns(child, {key, *drop}, booleans=True)
     ]
     named += [(f"{prefix}_{name}", c) for name, c in (extra or {}).items()]
-    require_unique([key, *[name for name, _ in named]])
-    return aggregate_by(child, key, dict(named))
+    names = told_apart([key, *[name for name, _ in named]])[1:]
+    return aggregate_by(child, key, dict(zip(names, (e for _, e in named))))

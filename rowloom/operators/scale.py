@@ -7,12 +7,13 @@ from dataclasses import dataclass
 from math import isinf
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from rowloom.functions import fill_missing, name_of, numeric_columns, require_columns, value_of
 from rowloom.operators.select import with_derived
 
-DIRECT_VALUES = 2_000_000  # up to this many values the built-in median is used
-SKETCH_ACCURACY = 20_000  # relative rank error of a pivot is 1 / accuracy
+SKETCH_ACCURACY = 1_000  # relative rank error of a pivot is about 1 / accuracy
+SKETCH_GROUPS = 32  # groups of map tasks that each propose pivots
 
 
 @dataclass(frozen=True)
@@ -48,40 +49,43 @@ class _Search:
         return f"percentile_approx({self.inside_only(e)}, array({listed}), {accuracy})"
 
 
+def _spread(values: list[float]) -> list[float]:
+    """The lowest, quartile and highest of what groups of tasks propose."""
+    ranked = sorted(values)
+    return sorted({ranked[round(q * (len(ranked) - 1) / 4)] for q in range(5)})
+
+
 def _doubles(names: Sequence[str]) -> dict[str, str]:
     return {n: f"CAST({name_of(n)} AS DOUBLE)" for n in names}
 
 
 def exact_medians(
-    df: DataFrame,
-    counts: Mapping[str, int],
-    direct_values: int = DIRECT_VALUES,
-    accuracy: int = SKETCH_ACCURACY,
+    df: DataFrame, counts: Mapping[str, int], accuracy: int = SKETCH_ACCURACY
 ) -> dict[str, float]:
     """Exact medians (mean of the middle two) of many columns. Runs jobs.
 
-    ``counts`` holds the non-missing count of every column. Small inputs use
-    the built-in ``median``. That function keeps all distinct values of a
-    column in one task, so larger inputs are narrowed instead: a bounded
-    quantile sketch proposes values around the middle, one more pass counts
-    how many rows lie under each of them, and the interval shrinks by about
-    the sketch accuracy per round until a proposed value is the wanted rank.
-    All columns share the passes; each pass returns one small row.
+    ``counts`` holds the non-missing count of every column. Groups of map
+    tasks propose values around the middle, each from a small quantile sketch
+    of its own rows; one more pass counts how many rows lie under each value,
+    and the interval shrinks until a proposed value is the wanted rank. The
+    counts make the result exact, whatever the sketches propose. All columns
+    share the passes; a pass returns one small row, or one for each group.
     """
     values = _doubles(list(counts))
-    if sum(counts.values()) <= direct_values:
-        row = df.selectExpr(*[f"median({e})" for e in values.values()]).head()
-        return dict(zip(values, row))
-
     searching = {n: _Search(rank=(k - 1) // 2, inside=k) for n, k in counts.items() if k}
     lower: dict[str, float] = {}
     upper: dict[str, float] = {}
     while searching:
         names = list(searching)
-        proposed = df.selectExpr(
-            *[searching[n].pivots(values[n], accuracy) for n in names]
-        ).head()
-        pivots = {n: sorted(set(found)) for n, found in zip(names, proposed)}
+        proposed = (
+            df.groupBy(F.expr(f"pmod(spark_partition_id(), {SKETCH_GROUPS})").alias("tasks"))
+            .agg(*[F.expr(f"{searching[n].pivots(values[n], accuracy)} AS p{i}") for i, n in enumerate(names)])
+            .collect()
+        )
+        pivots = {
+            n: _spread([v for r in proposed for v in r[f"p{i}"] or []])
+            for i, n in enumerate(names)
+        }
         counted = df.selectExpr(
             *[
                 f"count_if({values[n]} {sign} {value_of(p)}) AS {side}{i}_{j}"
@@ -124,19 +128,15 @@ def fit_impute_scale(
     df: DataFrame,
     key: str,
     columns: Sequence[str] | None = None,
-    method: str = "exact",
-    direct_values: int = DIRECT_VALUES,
     accuracy: int = SKETCH_ACCURACY,
 ) -> dict[str, ScaleParams]:
     """Median, minimum and maximum of every numeric and boolean column but the key.
 
     Runs jobs, each one pass over all columns. A median lies between minimum
-    and maximum, so both are the same before and after imputing.
-    ``method="approx"`` takes the median from a bounded sketch in the same
-    single pass.
+    and maximum, so both are the same before and after imputing. Columns of
+    zeros and ones, such as one-hot columns and flags, have their median read
+    off the first pass, which counts the ones.
     """
-    if method not in ("exact", "approx"):
-        raise ValueError(f"unknown method: {method}")
     names = numeric_columns(df, [key], booleans=True) if columns is None else list(columns)
     require_columns(df, names)
     values = _doubles(names)
@@ -145,11 +145,8 @@ def fit_impute_scale(
         *[
             f"{f}({values[n]}) AS {tag}{i}" for i, n in enumerate(names) for f, tag in first
         ],
-        *[
-            f"percentile_approx({values[n]}, 0.5D, {accuracy}) AS md{i}"
-            for i, n in enumerate(names)
-            if method == "approx"
-        ],
+        *[f"count_if({values[n]} = 1D) AS one{i}" for i, n in enumerate(names)],
+        *[f"count_if({values[n]} NOT IN (0D, 1D)) AS odd{i}" for i, n in enumerate(names)],
     ).head()
     counts = {n: row[f"n{i}"] for i, n in enumerate(names)}
     empty = [n for n, k in counts.items() if not k]
@@ -160,10 +157,13 @@ def fit_impute_scale(
     ]
     if endless:
         raise ValueError(f"infinite values cannot be scaled: {', '.join(endless)}")
-    if method == "approx":
-        medians = {n: row[f"md{i}"] for i, n in enumerate(names)}
-    else:
-        medians = exact_medians(df, counts, direct_values, accuracy)
+    medians = {
+        n: 0.5 * ((2 * row[f"one{i}"] > counts[n]) + (2 * row[f"one{i}"] >= counts[n]))
+        for i, n in enumerate(names)
+        if not row[f"odd{i}"]
+    }
+    others = {n: k for n, k in counts.items() if n not in medians}
+    medians |= exact_medians(df, others, accuracy) if others else {}
     return {
         n: ScaleParams(medians[n], row[f"lo{i}"], row[f"hi{i}"]) for i, n in enumerate(names)
     }

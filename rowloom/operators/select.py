@@ -50,5 +50,6 @@ def split_label(df: DataFrame, key: str, label: str) -> tuple[DataFrame, DataFra
     return drop_columns(df, [label]), select_named(df, [key, label])
 
 
-def peek(df: DataFrame, rows: int = 2) -> DataFrame:
-    return df.limit(rows)
+def peek(df: DataFrame, key: str, rows: int = 2) -> DataFrame:
+    """The first rows in the order of a key."""
+    return df.orderBy(name_of(key)).limit(rows)

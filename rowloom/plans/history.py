@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from rowloom.functions import name_of, string_columns
 from rowloom.operators.aggregate import aggregate_by, count_of, distinct_from_categories, sum_of
 from rowloom.operators.encode import fit_categories
-from rowloom.operators.joins import lookup_join
 from rowloom.operators.rollup import rollup_child
 from rowloom.plans import clean
 from rowloom.plans import domain as d
@@ -53,24 +53,27 @@ def rollup_bureau(
     )
 
 
-def rollup_bureau_balance(
-    bureau: DataFrame, balance: DataFrame, support: float = 0.01
-) -> DataFrame:
-    """Sums of the monthly balances over all loans of a customer. Runs jobs (hot keys).
+def rollup_bureau_balance(bureau: DataFrame, balance: DataFrame) -> DataFrame:
+    """Sums of the monthly balances over all loans of a customer.
 
     The monthly rows, the largest table, are summed per loan before they meet
     the loans; sums of sums are the same and the join moves one row per loan.
+    Loans that are listed more than once for a customer are counted, so that
+    the join has one row per loan and customer on either side and no hot key.
     """
     months = clean.clean_bureau_balance(balance)
     per_loan = aggregate_by(months, d.BUREAU_LOAN, {c: sum_of(months, c) for c in BALANCE_COLUMNS})
     customer, loan = name_of(d.CUSTOMER), name_of(d.BUREAU_LOAN)
-    loans = bureau.selectExpr(customer, loan).where(
-        f"{loan} IS NOT NULL AND {customer} IS NOT NULL"
+    loans = (
+        bureau.where(f"{loan} IS NOT NULL AND {customer} IS NOT NULL")
+        .groupBy(loan, customer)
+        .agg(F.expr("count(1) AS times"))
     )
-    joined = lookup_join(loans, per_loan, d.BUREAU_LOAN, "inner", support)
     prefix = d.PREFIXES["bureau_balance"]
     return aggregate_by(
-        joined, d.CUSTOMER, {f"{prefix}_{c}": f"sum({name_of(c)})" for c in BALANCE_COLUMNS}
+        loans.join(per_loan, d.BUREAU_LOAN),
+        d.CUSTOMER,
+        {f"{prefix}_{c}": f"sum(times * {name_of(c)})" for c in BALANCE_COLUMNS},
     )
 
 

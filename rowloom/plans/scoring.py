@@ -100,14 +100,14 @@ def score_requests(
     """
     wanted = Requested(requests, d.CUSTOMER)
     known = wanted.keep(select_named(application, [d.CUSTOMER])).selectExpr("*", "TRUE AS known")
-    scored = score_features(wanted.keep(features), scorer, selected)
+    scored = score_features(wanted.keep(features), scorer, selected).selectExpr("*", "TRUE AS scored")
     answers = known.join(scored, d.CUSTOMER, "left")
     return lookup_join(requests, answers, d.CUSTOMER).selectExpr(
         *[name_of(c) for c in requests.columns],
         "prob",
         "pred",
         f"{verdict_of('pred')} AS verdict",
-        f"CASE WHEN pred IS NOT NULL THEN {value_of(OK)} WHEN known THEN {value_of(FILTERED)}"
+        f"CASE WHEN scored THEN {value_of(OK)} WHEN known THEN {value_of(FILTERED)}"
         f" ELSE {value_of(NOT_FOUND)} END AS status",
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter for wide aggregates and skewed joins. They can all be
 # changed on a running session; cluster sizing is left to whoever submits.
@@ -35,3 +35,22 @@ def work_folder(spark: SparkSession, label: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         base = tempfile.mkdtemp(prefix="rowloom-")
     return f"{base.rstrip('/')}/rowloom/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """The rows written to a work folder and read again. Runs a job.
+
+    What is read back has no lineage but the files, is computed once however
+    often it is used, and is a plain side of a join, whose skew adaptive
+    execution can split.
+    """
+    spark = df.sparkSession
+    path = path or work_folder(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a work folder, by its owner, once nothing reads it any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

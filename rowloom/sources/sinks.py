@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rowloom.functions import name_of
-from rowloom.operators.joins import frequent_keys
+from rowloom.session import remove_folder, work_folder, written
 
 
 def write_features(
@@ -15,16 +15,15 @@ def write_features(
     """Write parquet files holding disjoint, sorted key ranges.
 
     A lookup of some keys then reads only the row groups whose range has them.
-    Finding the ranges reads the rows once before they are written, so they
-    are kept on the executors' disks in between instead of being joined twice.
+    Finding the ranges reads the rows once before they are written, so they go
+    to the shared work folder in between instead of being joined twice.
     """
-    by = name_of(key)
-    kept = df.persist(StorageLevel.DISK_ONLY)
-    try:
-        ranged = kept.repartitionByRange(files, by) if files else kept.repartitionByRange(by)
-        ranged.sortWithinPartitions(by).write.mode(mode).parquet(path)
-    finally:
-        kept.unpersist()
+    spark, by = df.sparkSession, name_of(key)
+    folder = work_folder(spark, "features")
+    kept = written(df, "features", folder)
+    ranged = kept.repartitionByRange(files, by) if files else kept.repartitionByRange(by)
+    ranged.sortWithinPartitions(by).write.mode(mode).parquet(path)
+    remove_folder(spark, folder)
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
@@ -32,19 +31,16 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_bucketed(
-    df: DataFrame, table: str, key: str, buckets: int, mode: str = "overwrite"
-) -> None:
-    """Save as a table bucketed and sorted by the key.
+    df: DataFrame, table: str, key: str, buckets: int, mode: str = "overwrite", report: int = 20
+) -> DataFrame:
+    """Save as a table bucketed and sorted by the key; returns its most frequent keys.
 
     Tables with the same number of buckets are grouped and joined on the key
     without a shuffle, which pays off when features are rebuilt regularly. A
-    bucket is read by one task and cannot be split, so a key that alone would
-    fill twice the average bucket is refused: keep such a table as plain
-    parquet, whose rows combine map-side. Runs two passes over the key.
+    bucket is read by one task and cannot be split: look at the report (key,
+    row_count, share of an average bucket), and keep a table whose keys fill
+    buckets of their own as plain parquet, whose rows combine map-side.
     """
-    hot = frequent_keys(df, key, max(0.001, 2.0 / buckets)) if buckets > 2 else []
-    if hot:
-        raise ValueError(f"too frequent for a bucket: {hot}")
     (
         df.repartition(buckets, name_of(key))
         .write.mode(mode)
@@ -52,3 +48,12 @@ def save_bucketed(
         .sortBy(key)
         .saveAsTable(table)
     )
+    rows = df.sparkSession.table(table)
+    total = rows.count()
+    return (
+        rows.groupBy(name_of(key))
+        .agg(F.expr("count(1) AS row_count"))
+        .selectExpr(name_of(key), "row_count", f"row_count * {buckets}D / {max(1, total)}D AS bucket_share")
+        .orderBy(F.desc("row_count"), name_of(key))
+        .limit(report)
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from rowloom.plans.scoring import Scorer, score_requests
+from rowloom.session import remove_folder, work_folder, written
 
 
 def score_request_stream(
@@ -28,13 +29,13 @@ def score_request_stream(
     """
 
     def answer(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            score_requests(batch, application, features, scorer, selected).write.mode(
-                "overwrite"
-            ).parquet(f"{path}/batch={batch_id}")
-        finally:
-            batch.unpersist()
+        spark = batch.sparkSession
+        folder = work_folder(spark, "batch")
+        ids = written(batch, "batch", folder)
+        score_requests(ids, application, features, scorer, selected).write.mode(
+            "overwrite"
+        ).parquet(f"{path}/batch={batch_id}")
+        remove_folder(spark, folder)
 
     return (
         requests.writeStream.foreachBatch(answer)

@@ -70,8 +70,8 @@ def test_map_values(spark):
 
 
 def test_threshold_is_exclusive(spark):
-    got = values(spark, "p double", [(0.5,), (0.500001,), (0.1,)], fn.class_of("p", 0.5))
-    assert got == [0, 1, 0]
+    rows = [(0.5,), (0.500001,), (0.1,), (float("nan"),), (None,)]
+    assert values(spark, "p double", rows, fn.class_of("p", 0.5)) == [0, 1, 0, 0, None]
 
 
 @pytest.mark.parametrize(

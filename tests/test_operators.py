@@ -56,12 +56,6 @@ def skewed(spark, n: int = 3000):
     )
 
 
-def test_frequent_keys(spark):
-    assert set(op.frequent_keys(skewed(spark), "k", 0.05)) == {7, None}
-    assert op.frequent_keys(spark.range(5000).toDF("k"), "k", 0.01) == []
-    assert op.frequent_keys(spark.range(0).toDF("k"), "k", 0.01) == []
-
-
 @pytest.mark.parametrize("how", ["left", "inner"])
 def test_lookup_join_equals_plain_join(spark, how):
     left = skewed(spark)
@@ -85,25 +79,26 @@ def test_hot_rows_are_not_shuffled(spark):
 
 
 def test_attach_group_aggregates(spark):
-    got = op.attach_group_aggregates(skewed(spark), "k", {"n": "count(1)"}, support=0.05)
+    got = op.attach_group_aggregates(skewed(spark), "k", {"n": "count(1)"})
     counted = {(r["k"], r["n"]) for r in got.collect()}
     assert got.count() == 3000
     assert (7, 1000) in counted and (None, None) in counted and (8, 1) in counted
 
 
-@pytest.mark.parametrize("limits", [(1000, 10), (2, 1000), (2, 3)])
-def test_requests_by_literal_broadcast_or_shuffle(spark, limits):
+def test_requests_by_list_or_table(spark):
     df = spark.range(100).toDF("k")
     asked = spark.createDataFrame([(3,), (5,), (5,), (None,), (500,), (7,), (8,)], "k long")
-    wanted = Requested(asked, "k", *limits)
+    wanted = Requested(asked, "k")
     assert rows(wanted.keep(df)) == [(3,), (5,), (7,), (8,)]
+    assert rows(op.keep_requested(df, [8, 3, 3, None, 500], "k")) == [(3,), (8,)]
+    assert rows(op.keep_requested(df, [], "k")) == []
     assert rows(op.keep_requested(df, asked.limit(0), "k")) == []
 
 
 def test_few_requests_reach_the_scan(spark, tmp_path):
     spark.range(1000).toDF("k").write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))
-    kept = op.keep_requested(df, spark.createDataFrame([(3,), (5,)], "k long"), "k")
+    kept = op.keep_requested(df, [3, 5], "k")
     text = kept._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(k, [3,5])]" in text and "Join" not in text
 
@@ -199,15 +194,69 @@ def test_scaling_refuses_what_it_cannot_fit(spark):
         fit_impute_scale(df.drop("empty"), "k")
 
 
-def test_approximate_median_needs_one_pass(spark):
-    df = spark.range(1001).selectExpr("0 AS k", "CAST(id AS DOUBLE) AS x")
-    assert fit_impute_scale(df, "k", method="approx")["x"].median == pytest.approx(500, abs=1)
+def test_medians_merge_no_sketch_in_one_task(spark, tmp_path):
+    df = spark.range(0, 5000, 1, 16).selectExpr("0 AS k", "CAST(id AS DOUBLE) AS x", "id % 3 = 0 AS f")
+    from rowloom.operators import scale
+
+    plans = []
+    collect = type(df).collect
+    def spy(self):
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return collect(self)
+
+    type(df).collect = spy
+    try:
+        found = fit_impute_scale(df, "k")
+    finally:
+        type(df).collect = collect
+    assert found["x"].median == 2499.5 and found["f"].median == 0.0
+    sketches = [p for p in plans if "percentile_approx" in p]
+    assert sketches and all("SinglePartition" not in p for p in sketches)
+    assert "CAST(f" not in " ".join(sketches) and scale.SKETCH_GROUPS > 1
+
+
+def test_names_that_differ_in_case(spark):
+    df = spark.createDataFrame([(1, "Cash"), (1, "cash"), (2, "Cash")], "k long, s string")
+    found = op.one_hot(df, op.fit_categories(df))
+    assert found.columns == ["k", "s_Cash", "s_cash_2"] and found.select("s_cash_2").count() == 3
+    shares = op.rollup_child(df, "k", "P")
+    entity = spark.range(3).toDF("k")
+    assert rows(op.left_join_zero_fill(entity, shares, "k")) == [(0, 0, 0), (1, 0.5, 0.5), (2, 1, 0)]
+    assert op.one_hot(df, {"s": ["Cash"]}, prefix="Z").columns == ["k", "Z_Cash"]
+
+
+def test_boolean_columns_are_rolled_up(spark):
+    df = spark.createDataFrame([(1, True), (1, False), (2, None)], "k long, f boolean")
+    assert rows(op.rollup_child(df, "k", "P")) == [(1, 0.5), (2, None)]
+    assert op.rollup_child(op.narrow(df), "k", "P").columns == ["k", "P_f"]
+
+
+def test_a_key_of_few_rows_is_split(spark):
+    """With low thresholds a key at 0.5 % of the rows makes a skewed join."""
+    low = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "400",
+    }
+    before = {k: spark.conf.get(k) for k in low}
+    for k, v in low.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(0, 200_000, 1, 8).selectExpr("CASE WHEN id % 200 = 0 THEN -1L ELSE id END AS k")
+        got = op.attach_group_aggregates(df, "k", {"n": "count(1)"})
+        assert got.where("k = -1 AND n = 1000").count() == 1000
+        got.collect()
+        assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def test_median_of_even_count(spark):
     df = spark.createDataFrame([(v,) for v in (1.0, 2.0, 3.0, 10.0)], "x double")
     assert op.exact_medians(df, {"x": 4}) == {"x": 2.5}
-    assert op.exact_medians(df, {"x": 4}, direct_values=0) == {"x": 2.5}
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -220,7 +269,7 @@ def test_median_of_even_count(spark):
 def test_narrowed_median_is_exact(spark, data, accuracy):
     df = spark.createDataFrame([(v, -v) for v in data], "x double, y double")
     counts = {"x": len(data), "y": len(data)}
-    got = op.exact_medians(df, counts, direct_values=0, accuracy=accuracy)
+    got = op.exact_medians(df, counts, accuracy=accuracy)
     assert got["x"] == statistics.median(data)
     assert got["y"] == statistics.median(-v for v in data)
 
@@ -255,6 +304,6 @@ def test_projection(spark):
     features, labels = op.split_label(df, "k", "v")
     assert features.columns == ["k", "s"] and labels.columns == ["k", "v"]
     assert op.with_derived(df, {"v": "v + 1", "w": "v"}).head()[1:] == (3, "x", 2)
-    assert op.peek(df).count() == 1
+    assert op.peek(df, "k").count() == 1
     assert op.lookup(df, "k", 1).count() == 1
     assert op.shape_report(df, "t").head()[:] == ("t", 1, 3)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import functions as F
 
 from checks.views import bundle, view
 from rowloom import operators as op
@@ -248,23 +249,32 @@ def test_requested_features_equal_the_full_table(spark, tables, params, features
 
 
 def test_one_request_filters_every_scan(spark, tables, params):
-    one = spark.range(5, 6).selectExpr(f"id AS {d.CUSTOMER}")
-    text = plan_of(build.build_features(tables, params, one))
+    text = plan_of(build.build_features(tables, params, [5]))
     for column in ("c_custkey", "o_custkey", "user_id"):
         assert f"EqualTo({column},5)" in text
-    assert re.search(r"In\(l_orderkey, \[|EqualTo\(l_orderkey,", text)
 
 
-@pytest.mark.parametrize("limits", [(10**6, 10**6), (5, 10**6), (5, 6)])
-def test_request_sizes_give_the_same_rows(spark, tables, params, features, monkeypatch, limits):
-    from rowloom.operators.joins import Requested
-
+def test_request_lists_and_tables_give_the_same_rows(spark, tables, params, features):
     asked = spark.range(0, 30).selectExpr(f"id AS {d.CUSTOMER}")
-    monkeypatch.setattr(build, "Requested", lambda requests, key: Requested(requests, key, *limits))
-    got = build.build_features(tables, params, asked)
     sums = ["count(1)", "sum(Bureau_bal_STATUS)", "sum(Bureau_bal_MONTHS_BALANCE)", "sum(POS_SK_DPD_DEF)"]
-    expected = features.where(f"{d.CUSTOMER} < 30").selectExpr(*sums).head()
-    assert tuple(got.selectExpr(*sums).head()) == pytest.approx(tuple(expected))
+    expected = tuple(features.where(f"{d.CUSTOMER} < 30").selectExpr(*sums).head())
+    for requests in (asked, list(range(30))):
+        got = build.build_features(tables, params, requests)
+        assert tuple(got.selectExpr(*sums).head()) == pytest.approx(expected)
+
+
+def test_a_text_column_of_very_many_values(spark, tables):
+    """It becomes wide, or is left out and kept as rows of shares."""
+    loans = tables["bureau"].withColumn("NOTE", F.expr("concat('n', SK_ID_BUREAU % 2500)"))
+    many = {**tables, "bureau": loans}
+    found = loans.select("NOTE").distinct().count()
+    assert len(build.fit_params(many).categories["bureau"]["NOTE"]) == found
+    chosen = {"bureau": ["CREDIT_TYPE", "CREDIT_ACTIVE"]}
+    params = build.fit_params(many, chosen)
+    assert "NOTE" not in params.categories["bureau"]
+    assert build.build_features(many, params).count() > 0
+    with pytest.raises(ValueError, match="more than 100 categories in: bureau.NOTE"):
+        build.fit_params(many, max_categories=100)
 
 
 def test_params_survive_storage(spark, params, tmp_path):
