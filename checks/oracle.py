@@ -458,7 +458,7 @@ _SHAPES = {
     "bureau_balance": 3,
     "previous_application": 9,
     "POS_CASH_balance": 7,
-    "credit_card_balance": 21,
+    "credit_card_balance": 22,
     "installments_payments": 6,
 }
 ORACLE["bundle_shapes"] = with_views(*_SHAPES) + " UNION ALL ".join(
@@ -643,7 +643,7 @@ ORACLE["narrow_table"] = "SELECT " + ", ".join(
     f"CAST({c} AS BIGINT) AS {c}" if c in _WHOLE_ITEM else
     f"CAST(CAST({c} AS FLOAT) AS DOUBLE) AS {c}"
     for c in _ITEM_NUMERIC
-) + ", l_returnflag, l_linestatus FROM lineitem"
+) + ", l_returnflag, l_linestatus, CAST(l_shipdate AS VARCHAR) AS l_shipdate FROM lineitem"
 
 
 def chosen_width(c: str) -> str:
@@ -653,8 +653,8 @@ def chosen_width(c: str) -> str:
     )
 
 
-_BEFORE = 7 * 8 + 4 + 2 * 8
-_AFTER = " + ".join(chosen_width(c) for c in _ITEM_NUMERIC) + " + 16"
+_BEFORE = 8 * 8 + 4 + 2 * 8
+_AFTER = " + ".join(chosen_width(c) for c in _ITEM_NUMERIC) + " + 24"
 ORACLE["memory_report"] = f"""SELECT 'lineitem' AS label, n * {_BEFORE} AS before_bytes,
   CAST(n * width AS BIGINT) AS after_bytes,
   100::DOUBLE * ({_BEFORE} - width) / {_BEFORE} AS saved_percent

@@ -301,7 +301,7 @@ def column_bounds(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def memory_report(spark: SparkSession, sf: str) -> DataFrame:
-    item = table(spark, sf, "lineitem").drop("l_shipdate")
+    item = table(spark, sf, "lineitem")
     return op.memory_report(item, op.narrow(item), "lineitem")
 
 
@@ -463,7 +463,8 @@ def narrow_bounds(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def narrow_table(spark: SparkSession, sf: str) -> DataFrame:
-    return plain(op.narrow(table(spark, sf, "lineitem").drop("l_shipdate")))
+    narrowed = op.narrow(table(spark, sf, "lineitem"))
+    return plain(narrowed.withColumn("l_shipdate", F.col("l_shipdate").cast("string")))
 
 
 # Encoders and scalers --------------------------------------------------------

@@ -124,7 +124,7 @@ def test_bucketed_tables_need_no_shuffle(spark, folder):
 
 
 def test_bucketing_reports_hot_keys(spark):
-    hot = spark.range(900).selectExpr("CASE WHEN id % 3 = 0 THEN 5L ELSE id END AS k")
+    hot = spark.range(900).selectExpr("CASE WHEN id % 3 = 0 THEN 5L ELSE id + 1000 END AS k")
     report = save_bucketed(hot, "hot_b", "k", 16)
     first = report.head()
     assert (first["k"], first["row_count"]) == (5, 300) and first["bucket_share"] > 5
