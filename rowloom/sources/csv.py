@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rowloom.functions import name_of, value_of
 
@@ -82,19 +84,48 @@ def infer_types(texts: DataFrame, declared: Mapping[str, str] | None = None) ->
     return {c: types[c] for c in texts.columns}
 
 
+def _texts(spark: SparkSession, path: str, multi_line: bool, one_header: bool) -> DataFrame:
+    """All columns of all files as text."""
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    lines = spark.read.text(path)
+    if one_header or len(lines.inputFiles()) < 2:
+        return reader.csv(path)
+    first = (
+        lines.selectExpr("_metadata.file_path AS file", "_metadata.file_block_start AS at", "value")
+        .withColumn("line", F.monotonically_increasing_id())
+        .where("at = 0")
+        .groupBy("file")
+        .agg(F.min_by("value", "line").alias("header"))
+        .collect()
+    )
+    files: dict[str, list[str]] = {}
+    for r in sorted(first, key=lambda r: r["file"]):
+        files.setdefault(r["header"].rstrip("\r"), []).append(r["file"])
+    if len(files) == 1:
+        return reader.csv(path)
+    parts = [reader.csv(names) for names in files.values()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
     types: Mapping[str, str] | None = None,
     infer: bool = True,
+    multi_line: bool = False,
+    one_header: bool = False,
 ) -> DataFrame:
     """CSV with a header row as a typed DataFrame; missing tokens become NULL.
 
-    Columns are matched by header name. ``types`` declares columns; the others
-    are inferred with one extra pass, or stay text when ``infer`` is off.
-    Declare the types of large tables to save that pass.
+    Columns are matched by header name: files with other columns, or the same
+    in another order, are read by their own header. Finding the headers of more
+    than one file takes a pass over the lines, which ``one_header`` saves where
+    all files are known to have the same. ``multi_line`` allows line breaks
+    within quotes; a file is then read by one task. ``types`` declares columns;
+    the others are inferred with one extra pass, or stay text when ``infer`` is
+    off. Declare the types of large tables to save that pass.
     """
-    texts = spark.read.option("header", True).option("escape", '"').csv(path)
+    texts = _texts(spark, path, multi_line, one_header)
     declared = {c: t for c, t in (types or {}).items() if c in texts.columns}
     if infer:
         kinds = infer_types(texts, declared)

@@ -162,3 +162,10 @@ def test_stream_answers_every_request_once(spark, folder, tmp_path):
     assert sorted(r[d.CUSTOMER] for r in got.collect()) == [1, 1, 2, 2, 3, 10**9]
     assert got.where("status = 'not_found'").count() == 1
     assert answer().count() == 6
+
+
+def test_csv_columns_go_by_name_and_quotes_hold_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,a,b\n1,x,10\n2,"q\nr",20\n')
+    (tmp_path / "b.csv").write_text("id,b,a\n3,40,w\n")
+    got = read_csv(spark, str(tmp_path), multi_line=True)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "x", 10), (2, "q\nr", 20), (3, "w", 40)]
