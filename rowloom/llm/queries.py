@@ -65,4 +65,12 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontaminate, op2_licenses, op3_language, op4_main_text, op5_pii, op6_token_store, op7_warc, op8_quality, op9_near_dedup, op10_bpe)
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op7_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest FROM p),
+o AS (SELECT *, CASE WHEN payload_bytes >= 1000
+  THEN max(page_id) OVER (PARTITION BY payload_digest) END AS largest FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN largest <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN largest <> page_id THEN largest END AS refers_to FROM o"""
+}
