@@ -711,7 +711,9 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     application, features = _features(spark, sf)
     _, labels = op.split_label(application, d.CUSTOMER, d.LABEL)
     scorer = scoring.logistic_scorer(WEIGHTS, INTERCEPT)
-    scored = scoring.score_features(features, scorer, SELECTED)
+    path = work_folder(spark, "selected")
+    FittedParams(selected=SELECTED).save(spark, path)
+    scored = scoring.score_features(features, scorer, FittedParams.load(spark, path).selected)
     return plain(scoring.prediction_table(scored, labels), 6)
 
 
