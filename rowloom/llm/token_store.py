@@ -13,10 +13,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import struct
 import zlib
 from functools import lru_cache
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ SAMPLE_IDS = 4_000  # ids of each of them, at most
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 CACHE = 500_000  # words whose ids a worker remembers, at most
+LEARN = 20_000  # new words that are encoded in one call
+BYTES = 4 << 20  # bytes of text whose distinct words are looked up together
 HEAD = len(MAGIC) + 32
 ENTRY = np.dtype([("doc_id", "<i8"), ("null", "<i8"), ("end", "<i8"), ("before", "<i8")])
 FOOTER = "<qqq"  # documents, ids, place of the index
@@ -42,6 +45,7 @@ FOOTER = "<qqq"  # documents, ids, place of the index
 def tokenizer(path: str):
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     return Tokenizer.from_file(path)
 
 
@@ -57,11 +61,24 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, np.ndarray] = {}
+        self.forget()
 
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, np.uint32) for e in found]
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat = np.zeros(0, np.uint32)  # the ids of all known words
+        self.ends = np.zeros(1, np.int64)
+
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [e.ids for e in found]
+
+    def learn(self, words: list[str]) -> None:
+        lists = [ids for i in range(0, len(words), LEARN) for ids in self.whole(words[i : i + LEARN])]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        ids = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
+        self.flat = np.concatenate([self.flat, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, and how many each row has."""
@@ -69,32 +86,37 @@ class Encoder:
         lists = pc.ascii_split_whitespace(column)
         coded = lists.values.dictionary_encode()
         kinds = coded.dictionary.to_pylist()
-        new = [w for w in kinds if w not in self.words]
-        if len(self.words) + len(new) > CACHE:
-            self.words.clear()
+        new = [w for w in kinds if w not in self.known]
+        if len(self.known) + len(new) > CACHE:
+            self.forget()
             new = kinds
-        self.words.update(zip(new, self.whole(new)))
-        ids = [self.words[w] for w in kinds]
-        sizes = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        starts = np.cumsum(sizes) - sizes
-        which = coded.indices.to_numpy(zero_copy_only=False)
-        n = sizes[which]
+        if new:
+            self.learn(new)
+        at_word = np.fromiter(map(self.known.__getitem__, kinds), np.int64, len(kinds))
+        which = at_word[coded.indices.to_numpy(zero_copy_only=False)]
+        starts = self.ends[which]
+        n = self.ends[which + 1] - starts
         total = np.cumsum(n)
-        at = np.repeat(starts[which] - (total - n), n) + np.arange(int(n.sum()))
+        at = np.repeat(starts - (total - n), n) + np.arange(int(n.sum()))
         ends = np.concatenate([[0], total])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-        values, counts = flat[at], np.diff(ends)
+        values, counts = self.flat[at], np.diff(ends)
         odd = np.zeros(len(column), bool)
         for mark in self.special:
             odd |= pc.match_substring(column, mark).to_numpy(zero_copy_only=False)
         if odd.any():
             rows = np.split(values, np.cumsum(counts)[:-1])
             for i in np.flatnonzero(odd):
-                rows[i] = self.whole([column[int(i)].as_py()])[0]
+                rows[i] = np.array(self.whole([column[int(i)].as_py()])[0], np.uint32)
             values, counts = np.concatenate(rows), np.array([len(r) for r in rows])
         return values, counts
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """One for each worker, so that its tasks share the known words."""
+    return Encoder(path)
+
+
 def train_dictionary(documents: DataFrame, path: str, end_id: int, wide: bool) -> bytes:
     """A dictionary from at most SAMPLE documents, chosen by a hash of their ids."""
     import zstandard
@@ -113,7 +135,7 @@ def train_dictionary(documents: DataFrame, path: str, end_id: int, wide: bool) -
         .toPandas()
     )
     kind = "<u4" if wide else "<u2"
-    values, counts = Encoder(path).encode(pa.array(rows["text"], pa.string()))
+    values, counts = encoder_of(path).encode(pa.array(rows["text"], pa.string()))
     parts = np.split(values, np.cumsum(counts)[:-1]) if len(counts) else []
     samples = [np.append(p[:SAMPLE_IDS], end_id).astype(kind).tobytes() for p in parts]
     samples = [s for s in samples if len(s) >= 8]
@@ -161,10 +183,10 @@ def encode_frames(documents: DataFrame, path: str, dictionary: bytes, end_id: in
     """doc_id, n_ids and the compressed frame of every row."""
 
     def run(batches):
-        encoder, (compressor, _) = Encoder(path), codec(dictionary)
+        encoder, (compressor, _) = encoder_of(path), codec(dictionary)
         kind = "<u4" if wide else "<u2"
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, size=BYTES):
                 values, counts = encoder.encode(piece.column(1))
                 ends = np.cumsum(counts)
                 values = np.insert(values, ends, end_id).astype(kind)
