@@ -313,23 +313,23 @@ def components(documents: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
     )
     members = nodes.selectExpr("node", "explode(bands) AS bucket")
     shared = stored(
-        members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"),
+        members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"),
         "near-shared",
     )
     members = stored(
-        members.join(shared, "bucket").selectExpr("bucket", "node", "node AS comp"), "near-members"
+        members.join(shared, "bucket").selectExpr("bucket", "node", "node AS comp", "n"),
+        "near-members",
     )
+    weights = members.groupBy("node").agg(F.sum("n").alias("weight"))
     signs = stored(
-        nodes.select("node", "doc_id", "slots", "size").join(
-            members.select("node").distinct(), "node", "left_semi"
-        ),
-        "near-signs",
+        nodes.select("node", "doc_id", "slots", "size").join(weights, "node"), "near-signs"
     )
+    members = members.drop("n")
     items = known = labels = None
     leaders_of = 1
     while not members.isEmpty():
         full = members.join(signs.drop("doc_id"), "node")
-        heads = smallest(members, leaders_of).join(members, ["bucket", "node"])
+        heads = leading(full, leaders_of).join(members, ["bucket", "node"])
         heads = stored(heads.join(signs.drop("doc_id"), "node"), "near-leaders")
         met = stored(meet(full, heads, similarity), "near-met")
         pairs = met.where("kind = 1").select("bucket", "node", "leader")
@@ -361,14 +361,18 @@ def components(documents: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
     return rows.select("doc_id", "node"), labels
 
 
-def smallest(members: DataFrame, n: int) -> DataFrame:
-    """bucket, node: the n smallest nodes of every bucket.
+def leading(members: DataFrame, n: int) -> DataFrame:
+    """bucket, node: the n nodes of every bucket that share buckets with most others.
 
-    Spark keeps n rows of a bucket for each task before it shuffles them.
+    Such nodes are the likely centres of groups: a text from which many copies
+    were made is nearer to each of them than they are to one another. Which
+    nodes lead changes the work, not the result. Spark keeps n rows of a bucket
+    for each task before it shuffles them.
     """
     if n == 1:
-        return members.groupBy("bucket").agg(F.min("node").alias("node"))
-    order = Window.partitionBy("bucket").orderBy("node")
+        first = F.max_by("node", F.struct("weight", "node"))
+        return members.groupBy("bucket").agg(first.alias("node"))
+    order = Window.partitionBy("bucket").orderBy(F.desc("weight"), F.desc("node"))
     ranked = members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
     return ranked.select("bucket", "node")
 
