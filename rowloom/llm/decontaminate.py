@@ -6,8 +6,13 @@ from running sums that hold eight bit counters in one machine word. A window is
 looked up in tables of 16-bit fingerprint blocks: of two fingerprints that
 differ in at most ``RADIUS`` bits, one of the two blocks differs in at most
 ``RADIUS // 2``, and the tables hold all those neighbours, so that no
-fingerprint within the radius is missed. What is found is verified by the exact weighted Jaccard
-similarity of the shingle multisets of window and item.
+fingerprint within the radius is missed.
+
+Fingerprints of similar passages can lie farther apart, so every item also has
+keys: its rarest shingles, so many that a window with none of them cannot be
+similar. Around each place that a fingerprint or a key points to, the weighted
+Jaccard similarity of item and window is counted exactly for all windows, and
+the result holds every similar passage.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from rowloom.llm.common import (
     SIMILARITY,
     map_pieces,
     pieces,
+    ranges,
     windows,
     words_of,
 )
@@ -112,6 +118,7 @@ class Class:
 
     def close(self) -> None:
         self.fingerprints = np.array(self.prints, np.uint32)
+        self.numbers = np.array([number for number, _ in self.items], np.int64)
         masks = np.array(neighbours(0, RADIUS // BLOCKS), np.uint16)
         self.near = np.zeros(1 << 16, np.uint8)
         for j in range(BLOCKS):
@@ -135,12 +142,49 @@ class Class:
         return at[where], which
 
 
+class Keys:
+    """The rarest shingles of every item with one shingle length.
+
+    A window of the required similarity holds so many of an item's shingles
+    that it can miss at most `free` of them; `free` + 1 are keys.
+    """
+
+    def __init__(self, shingle: int, numbers: list[int], counts: list[tuple], similarity: float):
+        self.shingle = shingle
+        every, rows = np.unique(np.concatenate([c[0] for c in counts]), return_counts=True)
+        keys, items = [], []
+        for number, (values, many) in zip(numbers, counts):
+            order = np.lexsort((values, rows[np.searchsorted(every, values)]))
+            total = int(many.sum())
+            free = total - math.ceil(similarity * total - 1e-9)
+            n = int(np.searchsorted(np.cumsum(many[order]), free + 1)) + 1
+            keys.append(values[order[:n]])
+            items.append(np.full(len(keys[-1]), number, np.int64))
+        keys, items = np.concatenate(keys), np.concatenate(items)
+        order = np.argsort(keys, kind="stable")
+        self.items = items[order]
+        self.keys, self.first = np.unique(keys[order], return_index=True)
+        self.first = np.append(self.first, len(keys))
+        self.mask = np.uint64((1 << min(26, max(12, len(self.keys).bit_length() + 4))) - 1)
+        self.maybe = np.zeros(int(self.mask) + 1, bool)
+        self.maybe[(self.keys & self.mask).astype(np.int64)] = True
+
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of keys, and the items that they are keys of."""
+        at = np.flatnonzero(np.take(self.maybe, (h & self.mask).astype(np.int64)))
+        key = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
+        same = self.keys[key] == h[at]
+        at, key = at[same], key[same]
+        many = self.first[key + 1] - self.first[key]
+        return np.repeat(at, many), self.items[np.repeat(self.first[key], many) + ranges(many)]
+
+
 class Index:
     """A bounded set of benchmark items, ready to be looked for."""
 
     def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY):
         self.similarity = similarity
-        self.ids, self.counts, self.n_words, classes = [], [], [], {}
+        self.ids, self.counts, classes, lengths = [], [], {}, {}
         words, first = words_of(pa.array([t for _, t in items], pa.string()))
         for r, (item, _) in enumerate(items):
             own = words[first[r] : first[r + 1]]
@@ -152,8 +196,8 @@ class Index:
             values, counts = np.unique(shingles, return_counts=True)
             number = len(self.ids)
             self.ids.append(item)
-            self.n_words.append(n)
             self.counts.append((values, counts))
+            lengths.setdefault(k, []).append(number)
             size = size_class(n)
             group = classes.setdefault((size, k), Class(size, k))
             prints = simhash(lanes(shingles), group.size)
@@ -169,21 +213,51 @@ class Index:
         self.classes = [classes[c] for c in sorted(classes)]
         for c in self.classes:
             c.close()
+        self.totals = np.array([int(counts.sum()) for _, counts in self.counts], np.int64)
+        self.keys = [
+            Keys(k, numbers, [self.counts[i] for i in numbers], similarity)
+            for k, numbers in sorted(lengths.items())
+        ]
+
+    def best_window(self, item: int, h: np.ndarray, begin: int, end: int, low: int, high: int):
+        """(similarity, first shingle, shingles) of the best window that meets low..high.
 
-    def overlap(self, item: int, shingles: np.ndarray) -> float:
-        """Exact weighted Jaccard similarity of an item and the shingles of a window."""
+        `begin` and `end` bound the row's shingles. A window has as many
+        shingles as the item; at an end of the row, those that the row has.
+        """
         values, counts = self.counts[item]
-        own, many = np.unique(shingles, return_counts=True)
+        size = int(self.totals[item])
+        a, b = max(begin, low - size + 1), min(end, high + size)
+        own = h[a:b]
         at = np.minimum(np.searchsorted(values, own), len(values) - 1)
-        shared = int(np.minimum(many, counts[at])[values[at] == own].sum())
-        return shared / (len(shingles) + int(counts.sum()) - shared)
+        place = np.flatnonzero(values[at] == own)
+        which = at[place]
+        order = np.argsort(which, kind="stable")
+        which, place = which[order], place[order]
+        # an occurrence counts if the window has fewer before it than the item has in all
+        before = np.arange(len(place)) - counts[which]
+        full = (before >= 0) & (which[np.maximum(before, 0)] == which)
+        since = np.where(full, place[np.maximum(before, 0)] + 1, place - size + 1)
+        since = np.maximum(since, place - size + 1)
+        steps = np.zeros(b - a + size + 1, np.int64)  # by the window's start, from a - size + 1
+        np.add.at(steps, since + size - 1, 1)
+        np.add.at(steps, place + size, -1)
+        starts = np.arange(low - size + 1 - a, high + 1 - a)
+        shared = np.cumsum(steps)[starts + size - 1]
+        lengths = np.minimum(b - a, starts + size) - np.maximum(starts, 0)
+        value = shared / (lengths + size - shared)
+        best = int(np.argmax(value))
+        return float(value[best]), a + max(0, int(starts[best])), int(lengths[best])
 
     def scan(self, words: np.ndarray, first: np.ndarray) -> list[tuple]:
         """(row, item, similarity, first word, words) of the best window of each row and item."""
         best: dict[tuple[int, int], tuple] = {}
-        seen: set[tuple[int, int]] = set()
-        for k in sorted({group.shingle for group in self.classes}):
+        for keys in self.keys:
+            k = keys.shingle
             h = windows(words, k)
+            if not len(h):
+                continue
+            places, items = (list(x) for x in zip(keys.hits(h)))
             known = np.zeros(len(h) + 1, np.int64)
             np.cumsum(self.known[(h & KNOWN_BITS).astype(np.int64)], out=known[1:])
             sums = lanes(h)
@@ -191,22 +265,30 @@ class Index:
                 if group.shingle != k or len(h) < group.size:
                     continue
                 where, which = group.candidates(simhash(sums, group.size), known)
-                rows = np.searchsorted(first, where, side="right") - 1
-                for p, i, r in zip(where.tolist(), which.tolist(), rows.tolist()):
-                    item, shift = group.items[i]
-                    begin, end = int(first[r]), int(first[r + 1])
-                    a = max(begin, p - shift)
-                    b = min(end, a + self.n_words[item])
-                    if p + group.words > end or (item, a) in seen:
-                        continue
-                    seen.add((item, a))
-                    value = self.overlap(item, h[a : b - k + 1])
-                    if value >= self.similarity:
-                        new = (-value, a - begin)
-                        if (r, item) not in best or new < best[(r, item)][0]:
-                            best[(r, item)] = (new, b - a)
+                places.append(where)
+                items.append(group.numbers[which])
+            place, item = np.concatenate(places), np.concatenate(items)
+            row = np.searchsorted(first, place, side="right") - 1
+            inside = place + k <= first[row + 1]
+            place, item, row = place[inside], item[inside], row[inside]
+            order = np.lexsort((place, item))
+            place, item, row = place[order], item[order], row[order]
+            # places so near that a window can meet both are looked at together
+            cut = np.diff(item, prepend=-1) != 0
+            cut |= np.diff(row, prepend=-1) != 0
+            cut[1:] |= np.diff(place) >= 2 * self.totals[item[1:]]
+            begins = np.flatnonzero(cut)
+            ends = np.append(begins[1:], len(place)) - 1
+            for x, y in zip(begins.tolist(), ends.tolist()):
+                r, i = int(row[x]), int(item[x])
+                begin, end = int(first[r]), int(first[r + 1]) - k + 1
+                value, at, n = self.best_window(i, h, begin, end, int(place[x]), int(place[y]))
+                if value >= self.similarity:
+                    new = (-value, at - begin)
+                    if (r, i) not in best or new < best[(r, i)][0]:
+                        best[(r, i)] = (new, n + k - 1)
         return [
-            (r, self.ids[item], -new[0], new[1], n) for (r, item), (new, n) in sorted(best.items())
+            (r, self.ids[i], -new[0], new[1], n) for (r, i), (new, n) in sorted(best.items())
         ]
 
 
@@ -234,7 +316,8 @@ def find_passages(
 
     One row for each document row and item of which some window of the item's
     size has a weighted shingle similarity of at least `similarity`: its best
-    window, the first among equals. Rows that repeat give repeated results; a
+    window, the first among equals. A window that reaches over an end of the
+    row has the words that are in the row. Rows that repeat give repeated results; a
     null id stays null; null and empty texts have no words and no results, and
     items without words are never found. Items of fewer than five words count
     as one shingle. Other columns are not read. The whole benchmark is held by

@@ -141,6 +141,38 @@ def test_neighbours_cover_the_radius():
     assert {(i, i // 50) for i in range(len(prints))} <= set(zip(at.tolist(), which.tolist()))
 
 
+def test_passages_just_above_the_threshold(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items, rows = [" ".join(["again"] * 12 + rng.choices(vocabulary, k=6))], []
+    rows.append((0, "x y " + items[0].replace("again ", "", 1) + " z"))
+    for i in range(1, 300):
+        w = rng.choices(vocabulary, k=rng.randint(50, 55) if i % 3 else 15)
+        items.append(" ".join(w))
+        noise = rng.choices(vocabulary, k=40)
+        if i % 3 == 0:
+            rows.append((i, " ".join(w[:14])))  # the item less a word and nothing else
+        else:
+            at = rng.randrange(8, len(w) - 8)
+            w[at : at + 1] = [["other"], [], [w[at], "more"]][i % 7 % 3]
+            rows.append((i, " ".join(noise[:20] + w + noise[20:])))
+    want = {}
+    for (doc, text), item in zip(rows, items):
+        w, n = words(text), len(words(item))
+        best = max(
+            overlap(shingles(" ".join(w[max(a, 0) : a + n])), shingles(item))
+            for a in range(5 - n, len(w) - 4)
+        )
+        if best >= 0.8:
+            want[doc] = best
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontaminate.find_passages(docs, bench).collect()
+    assert len(want) == 300
+    assert {r["doc_id"]: r["similarity"] for r in found} == pytest.approx(want)
+    assert all(r["doc_id"] == r["item_id"] for r in found)
+
+
 def test_passages_of_odd_tables(spark):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "x " * 20)], "item_id long, text string")
     found = decontaminate.find_passages(odd_documents(spark), bench).collect()
