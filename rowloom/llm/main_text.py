@@ -2,8 +2,9 @@
 
 Every page is read into blocks of text, each under a path of generalised tags
 and classes (numbers in class names are dropped). A page's containers are
-scored by the text and the links of the blocks right below them. Pages of a
-host vote for the container path with the largest score; Spark adds the votes
+scored by the text and the links of the blocks right below them; from the best
+one, a page goes up to the container that holds its article. Pages of a
+host vote for that container's path; Spark adds the votes
 up. A page is then read again and its text taken from containers on its host's
 winning path. A page that has no such container, or a host whose pages don't
 agree, goes by its own best container.
@@ -23,6 +24,7 @@ from rowloom.llm.common import map_pieces, stored
 DEPTH = 64  # levels of elements that paths tell apart; those further down are one with them
 BROADCAST_BYTES = 16 << 20  # of winning paths, up to which they are broadcast
 AGREE = 0.5  # share of a host's votes that a path needs to win
+MORE = 0.1  # of a container's score, that other text has for its ancestor to be taken
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -82,7 +84,7 @@ def step(tag: str, attributes: str) -> tuple[str, bool]:
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m.group(1).lower(), (m.group(2) or "").strip("\"'")
         if key == "class":
-            names = sorted({NUMBER.sub("", n.lower()) for n in value.split()} - {""})
+            names = sorted({NUMBER.sub("", n.lower()).replace("/", "|") for n in value.split()} - {""})
         if key in ("class", "id", "role"):
             noise = noise or bool(NOISE.search(value))
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
@@ -206,17 +208,68 @@ def score_paths(blocks) -> dict[str, float]:
     return scores
 
 
+def ancestors(path: str) -> list[str]:
+    """The path and the paths above it, the lowest first."""
+    out = []
+    while path:
+        out.append(path)
+        path = path.rpartition("/")[0]
+    return out
+
+
+def rise(scores: dict[str, float], path: str, wide: bool) -> str:
+    """The container that holds the article of which `path` holds a part.
+
+    That is the outermost article element, or else the innermost main element.
+    Without these, it is the highest ancestor below the body that has text of
+    its own, such as a title and a lead; and, if `wide`, the highest one that
+    adds ``MORE`` to the score of what lies below.
+    """
+    above = ancestors(path)
+    tags = [p.rpartition("/")[2].partition(".")[0] for p in above]
+    if "article" in tags:
+        return above[len(tags) - 1 - tags[::-1].index("article")]
+    if "main" in tags:
+        return above[tags.index("main")]
+    sums = dict.fromkeys(above, 0.0)
+    for other, score in scores.items():
+        if score > 0:
+            for p in ancestors(other):
+                if p in sums:
+                    sums[p] += score
+    top = path
+    for p, tag in zip(above[1:], tags[1:]):
+        own = tag not in ("body", "html") and scores.get(p, 0.0) > 0
+        if own or wide and sums[p] - sums[top] > MORE * sums[top]:
+            top = p
+    return top
+
+
+def direct_path(scores: dict[str, float]) -> str:
+    return max(sorted(scores), key=lambda p: scores[p])
+
+
 def best_path(blocks) -> str | None:
     scores = score_paths(blocks)
-    return max(sorted(scores), key=lambda p: scores[p]) if scores else None
+    return rise(scores, direct_path(scores), wide=True) if scores else None
 
 
 def take(blocks, winner: str | None) -> str:
-    """The text of the blocks in containers on the winning path or below it."""
+    """The text of the blocks in containers on the winning path or below it.
+
+    Outside of article elements, containers of links beside the largest
+    container are left out.
+    """
     own = [b for b in blocks if winner is not None and inside(b[2], winner)]
-    if not own:
+    if own:
+        winner = rise(score_paths(blocks), winner, wide=False)
+    else:
         winner = best_path(blocks)
-        own = [b for b in blocks if inside(b[2], winner)]
+    own = [b for b in blocks if inside(b[2], winner)]
+    scores = score_paths(own)
+    if scores and not ARTICLE & {s.partition(".")[0] for s in winner.split("/")}:
+        direct = direct_path(scores)
+        own = [b for b in own if scores[b[2]] > 0 or inside(b[2], direct) or b[2] == winner]
     return "\n".join(b[0] for b in own)
 
 

@@ -279,6 +279,30 @@ def test_main_text(spark):
     assert main_text.extract(pages.limit(0)).count() == 0
 
 
+def test_main_text_of_split_articles(spark):
+    def p(word):
+        return f"<p>{(word + ' ') * 40}</p>"
+
+    links = "<div class=x><a href=1>" + "link " * 9 + "</a></div>"
+    bodies = {
+        "a": "<article><h1>Title</h1><p>Lead</p><div class=body>" + p("one") + p("two") + "</div></article>",
+        "b": "<div class=c><div class=chapter>" + p("one") * 2 + "</div><div class=appendix>" + p("two") + "</div></div>",
+        "c": "<main><section class=s>" + p("one") + "</section><section class=t>" + p("two") * 3 + "</section></main>",
+        "d": "<div class=post><h1>Title</h1><p>Lead</p><div class=body>" + p("one") + p("two") + "</div></div>" + links,
+        "e": "<div class=one>" + p("one") + "</div>" + links + "<div class=two>" + p("two") + "</div>",
+    }
+    rows = [(10 * i + j, f"http://{h}/{j}", page(b)) for i, (h, b) in enumerate(bodies.items()) for j in range(3)]
+    # a page that has a lead where the others of its host have none
+    bare = "<div class=post><div class=body>" + p("one") + p("two") + "</div></div>"
+    rows += [(100 + j, f"http://f/{j}", page(bare)) for j in range(3)] + [(103, "http://f/3", page(bodies["d"]))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in main_text.extract(pages).collect():
+        assert "one one" in r["text"] and "two two" in r["text"], r
+        assert "link" not in r["text"]
+        if r["page_id"] // 10 in (0, 3) or r["page_id"] == 103:
+            assert r["text"].startswith("Title\nLead\n")
+
+
 # 5: personal data
 
 FORMS = {
