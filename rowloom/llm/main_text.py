@@ -41,10 +41,12 @@ INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp"
     " small span strike strong sub sup time tt u var wbr img".split()
 )
+# What never is text of a page, and what surrounds an article as a rule.
 SKIP = set(
-    "nav header footer aside form menu dialog button select option script style textarea noscript"
-    " iframe svg canvas template object audio video head title fieldset".split()
+    "button select option script style textarea noscript iframe svg canvas template object audio"
+    " video head title".split()
 )
+AROUND = set("nav header footer aside form menu dialog fieldset".split())
 # Block elements that an open paragraph ends at.
 ENDS_P = set(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure"
@@ -65,46 +67,97 @@ NOISE = re.compile(
     r"|complementary|contentinfo|navigation|alert)(?:$|[\s_-])",
     re.I,
 )
+# Names that say what an element has, lacks or is the result of, not what it is.
+ABOUT = re.compile(
+    r"(?:^|(?<=\s))(?:has|have|no|not|non|with|without)[_-]\S*|\S*[_-](?:free|results?)(?=\s|$)", re.I
+)
+# What can hold more text than the article that it stands beside.
+BESIDE = re.compile(r"comment|replies|respond|discussion|disqus|footer|related|recommend|sidebar", re.I)
 ARTICLE = {"article", "main"}
+MOST = 0.5  # of a page's text outside links, that an element must hold to count as a wrapper
 SPACE = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("tag", "path", "skip", "number")
+    __slots__ = ("tag", "path", "skip", "number", "noise", "article")
 
-    def __init__(self, tag, path, skip, number):
+    def __init__(self, tag, path, skip, number, noise=(), article=None):
         self.tag, self.path, self.skip, self.number = tag, path, skip, number
+        self.noise = noise  # numbers of the elements around it that seem to surround an article
+        self.article = article  # the same of the outermost article element that it lies in
 
 
-def step(tag: str, attributes: str) -> tuple[str, bool]:
-    """A generalised step of a path, and whether the element surrounds the article."""
+def step(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """A generalised step of a path, whether the element seems to surround the
+    article, and whether it may turn out to be a wrapper of it."""
+    noise = tag in AROUND
+    wrapper = tag in ("form", "fieldset")
     if not attributes:
-        return tag, tag in SKIP
-    names, noise = [], tag in SKIP
+        return tag, noise, wrapper
+    names = []
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m.group(1).lower(), (m.group(2) or "").strip("\"'")
         if key == "class":
             names = sorted({NUMBER.sub("", n.lower()).replace("/", "|") for n in value.split()} - {""})
         if key in ("class", "id", "role"):
-            noise = noise or bool(NOISE.search(value))
+            value = ABOUT.sub("", value)
+            if NOISE.search(value):
+                wrapper = (wrapper or not noise) and not BESIDE.search(value)
+                noise = True
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            noise = True
+            noise, wrapper = True, False
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            noise = True
+            noise, wrapper = True, False
     if tag in ("body", "html"):
         noise = False
-    return ".".join([tag, *names]), noise
+    return ".".join([tag, *names]), noise, wrapper
+
+
+def page_blocks(page: str):
+    """The blocks of a page that are not in what surrounds its article.
+
+    An element that seems to surround the article does not if it is a wrapper
+    that holds most of the page's text, or if it holds article elements of more
+    text than stands outside all such elements. A page of nothing else has all
+    its blocks.
+    """
+    blocks, wrappers = read_blocks(page)
+    if any(b[4] for b in blocks):
+        size = [len(b[0]) - b[1] for b in blocks]
+        clean = sum(n for b, n in zip(blocks, size) if not b[4])
+        article = any(b[5] == () for b, n in zip(blocks, size) if n and not b[4])
+        held: dict[int, int] = {}
+        inner: dict[int, int] = {}
+        for b, n in zip(blocks, size):
+            for e in b[4]:
+                held[e] = held.get(e, 0) + n
+            if b[5] == b[4]:
+                for e in b[4]:
+                    inner[e] = inner.get(e, 0) + n
+        lifted = set()
+        if not article:
+            lifted = {e for e in held if e in wrappers and held[e] > MOST * sum(size)}
+            lifted |= {e for e, n in inner.items() if n > clean}
+        blocks = [b for b in blocks if lifted.issuperset(b[4])]
+    if not blocks:
+        blocks, _ = read_blocks(page, every=True)
+    return blocks
 
 
-def read_blocks(page: str):
-    """Blocks of a page in order: text, characters in links, path of its container, its number.
+def read_blocks(page: str, every: bool = False):
+    """Blocks of a page in order, and the numbers of elements that may be wrappers.
+
+    A block has its text, characters in links, path of its container, its
+    number, the numbers of the elements around it that seem to surround the
+    article, and those around the article element that it lies in, if any.
 
     The container of a block is the innermost open element that is neither
     inline nor the block itself (a paragraph, heading, list item or the like).
-    What lies within elements that surround the article gives no blocks.
+    Inline elements that surround the article give no text, unless `every`.
     """
     stack = [Element("", "", False, 0)]
-    blocks: list[tuple[str, int, str, int]] = []
+    blocks: list[tuple] = []
+    wrappers: set[int] = set()
     pieces: list[str] = []
     linked = links = 0
     count, at, end = 0, 0, len(page)
@@ -115,7 +168,10 @@ def read_blocks(page: str):
             text = SPACE.sub(" ", "".join(pieces)).strip()
             if text:
                 holder = next(e for e in reversed(stack) if e.tag not in LEAVES)
-                blocks.append((text, min(linked, len(text)), holder.path, holder.number))
+                where = stack[-1]
+                blocks.append(
+                    (text, min(linked, len(text)), holder.path, holder.number, where.noise, where.article)
+                )
             pieces.clear()
         linked = 0
 
@@ -179,19 +235,27 @@ def read_blocks(page: str):
                     break
         if tag not in INLINE:
             flush()
-        name, noise = step(tag, m.group(3))
+        name, noise, wrapper = step(tag, m.group(3))
         if tag == "a":
             links = 1
         above = stack[-1]
         count += 1
         same = tag in INLINE or len(stack) > DEPTH
         path = above.path if same else f"{above.path}/{name}"
-        stack.append(Element(tag, path, above.skip or noise, count))
+        skip = above.skip or tag in SKIP or (noise and tag in INLINE and not every)
+        around, article = above.noise, above.article
+        if noise and tag not in INLINE and len(around) < DEPTH:
+            around = (*around, count)
+            if wrapper:
+                wrappers.add(count)
+        elif tag in ARTICLE and article is None:
+            article = around
+        stack.append(Element(tag, path, skip, count, around, article))
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
             at = close.start() if close else end
     flush()
-    return blocks
+    return blocks, wrappers
 
 
 LEAVES = INLINE | set("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th tr tbody thead figcaption ul ol dl table figure".split())
@@ -200,7 +264,7 @@ LEAVES = INLINE | set("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th tr tbod
 def score_paths(blocks) -> dict[str, float]:
     """Scores of the container paths of a page: text outside links, more for articles."""
     scores: dict[str, float] = {}
-    for text, linked, path, _ in blocks:
+    for text, linked, path, *_ in blocks:
         own = len(text) - 2 * linked
         if any(s.partition(".")[0] in ARTICLE for s in path.split("/")):
             own *= 3
@@ -288,7 +352,7 @@ def winners(pages: DataFrame) -> DataFrame:
     """
 
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:
-        best = [best_path(read_blocks(h or "")) for h in piece.column(1).to_pylist()]
+        best = [best_path(page_blocks(h or "")) for h in piece.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays(
             [piece.column(0), pa.array(best, pa.string())], ["host", "path"]
         )
@@ -328,7 +392,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:
         texts = [
-            take(read_blocks(h or ""), w)
+            take(page_blocks(h or ""), w)
             for h, w in zip(piece.column(2).to_pylist(), piece.column(3).to_pylist())
         ]
         n = [len(t) for t in texts]

@@ -303,6 +303,29 @@ def test_main_text_of_split_articles(spark):
             assert r["text"].startswith("Title\nLead\n")
 
 
+def test_main_text_in_wrappers(spark):
+    text = "<p>" + "story " * 60 + "</p><p>" + "end " * 30 + "</p>"
+    inside = "<div class=post>" + text + "<div class=comments><p>" + "junk " * 5 + "</p></div></div>"
+    around = "<nav><a href=x>junk</a></nav>{}<footer>junk</footer>"
+    names = ["content has-sidebar", "no-sidebar", "ad-free", "search-result", "with-comments", "widget"]
+    bodies = [f"<div class='{n}'>{inside}</div>" for n in names]
+    bodies += [f"<form action=x>{inside}</form>", f"<div id=popup><form>{inside}</form></div>"]
+    bodies += [f"<aside><article>{text}</article></aside>", f"<div class='page hidden'>{inside}</div>"]
+    bodies += [  # what is beside an article stays out, however long
+        f"<article>{text}</article><div class=comments>" + "<article><p>" + "junk " * 900 + "</article></div>",
+        f"<div>{text}</div><div class=comments>" + "<p>junk " * 900 + "</div>",
+    ]
+    rows = [(i, None, page(around.format(b))) for i, b in enumerate(bodies)]
+    rows.append((99, None, page("<nav>only</nav>")))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in main_text.extract(pages).collect():
+        if r["page_id"] == 99:
+            assert r["text"] == "only"
+        else:
+            assert "story story" in r["text"] and "end end" in r["text"], r
+            assert "junk" not in r["text"], r
+
+
 # 5: personal data
 
 FORMS = {
