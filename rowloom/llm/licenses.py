@@ -5,10 +5,17 @@ templates. A hit votes for a diagonal, the document's position less the
 template's. Votes are counted by diagonal, neighbouring diagonals are merged
 (words put in or left out shift the rest), and a merged run is a find if it
 covers enough of the template's runs within a span of fitting length.
+
+A changed word takes all runs that hold it, up to four. Texts of licenses are
+therefore also found by their words: where a span of fitting length has enough
+words of a text, those that stand in the text's order are counted, and enough
+of them are a find.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +26,7 @@ from rowloom.llm.common import hash_spans, map_pieces, windows, words_of
 
 RUN = 4  # words of a run; shorter templates are one run
 GAP = 6  # diagonals at most so far apart are merged
-COVER = 0.8  # of a template's runs
+COVER = 0.8  # of a template's runs, or of its words in order
 STRETCH = 1.5  # longest span of a find, in lengths of the template
 
 # Phrases and their labels.
@@ -95,17 +102,77 @@ def text_keys(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     return hash_spans(raw, first[:-1] * 8, first[1:] * 8, lower=False).astype(np.int64)
 
 
+class Text:
+    """The words of a license text, to count those that a span has in order."""
+
+    def __init__(self, name: str, text: str):
+        self.name = name
+        words = words_of(pa.array([text]))[0].tolist()
+        self.size = len(words)
+        self.need = math.ceil(COVER * self.size - 1e-9)
+        self.span = int(STRETCH * self.size)
+        self.all = (1 << self.size) - 1
+        self.places: dict[int, int] = {}
+        for i, w in enumerate(words):
+            self.places[w] = self.places.get(w, 0) | 1 << i
+
+    def common(self, words: list[int]) -> int:
+        """The length of the longest common subsequence, one bit a word of the text."""
+        rest = self.all
+        for w in words:
+            at = rest & self.places.get(w, 0)
+            if at:
+                rest = ((rest + at) | (rest - at)) & self.all
+        return self.size - rest.bit_count()
+
+
+def scan_texts(words: np.ndarray, first: np.ndarray, texts: list[Text]) -> dict[int, dict[str, float]]:
+    """For rows that have license texts, the largest share of each text's words in order."""
+    low = (words & np.uint64(0xFFFF)).astype(np.int64)
+    found: dict[int, dict[str, float]] = {}
+    for text in texts:
+        maybe = np.zeros(1 << 16, bool)
+        maybe[[w & 0xFFFF for w in text.places]] = True
+        own = maybe[low]
+        sums = np.zeros(len(words) + text.span + 1, np.int32)
+        np.cumsum(own, out=sums[1 : len(words) + 1])
+        sums[len(words) + 1 :] = sums[len(words)]
+        counts = sums[text.span : text.span + len(words)] - sums[: len(words)]
+        starts = np.flatnonzero(own & (counts >= text.need))
+        rows = np.searchsorted(first, starts, side="right") - 1
+        for at, r in zip(starts.tolist(), rows.tolist()):
+            best = found.get(r, {}).get(text.name, 0.0)
+            end = min(int(first[r + 1]), at + text.span)
+            if best == 1 or end - at < text.need:
+                continue
+            n = text.common(words[at:end].tolist())
+            if n >= text.need and n / text.size > best:
+                found.setdefault(r, {})[text.name] = n / text.size
+    return found
+
+
 def count_words(documents: DataFrame) -> DataFrame:
-    """doc_id, key, n_words of every row."""
+    """doc_id, key, n_words, texts (found by their words), share (the largest) of every row."""
+    texts = [Text(name, text) for name, text in TEXTS.items()]
 
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:
         words, first = words_of(piece.column(1))
+        found = scan_texts(words, first, texts)
+        own = [found.get(r, {}) for r in range(piece.num_rows)]
         return pa.RecordBatch.from_arrays(
-            [piece.column(0), pa.array(text_keys(words, first)), pa.array(np.diff(first))],
-            ["doc_id", "key", "n_words"],
+            [
+                piece.column(0),
+                pa.array(text_keys(words, first)),
+                pa.array(np.diff(first)),
+                pa.array([list(f) for f in own], pa.list_(pa.string())),
+                pa.array([max(f.values(), default=0.0) for f in own], pa.float64()),
+            ],
+            ["doc_id", "key", "n_words", "texts", "share"],
         )
 
-    return map_pieces(documents, work, "doc_id long, key long, n_words long")
+    return map_pieces(
+        documents, work, "doc_id long, key long, n_words long, texts array<string>, share double"
+    )
 
 
 def vote(documents: DataFrame) -> DataFrame:
@@ -177,7 +244,7 @@ def scan_licenses(documents: DataFrame) -> DataFrame:
     One row for each row of documents. Texts without words, null or empty ones
     have no finds; repeated rows give repeated results, a null id stays null,
     other columns are not read. The score is the largest share of a template's
-    runs that was found, 0 without a find.
+    runs, or of a text's words in order, that was found, 0 without a find.
     """
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     names = F.create_map(*[F.lit(x) for pair in PHRASES.items() for x in pair])
@@ -204,7 +271,7 @@ def scan_licenses(documents: DataFrame) -> DataFrame:
             "first_word",
             "last_word",
             "coalesce(array_join(array_sort(base_labels), ','), '') AS base_labels",
-            "coalesce(array_join(array_sort(labels), ','), '') AS labels",
-            "coalesce(score, 0D) AS score",
+            "array_join(array_sort(array_union(coalesce(labels, array()), texts)), ',') AS labels",
+            "greatest(coalesce(score, 0D), share) AS score",
         )
     )

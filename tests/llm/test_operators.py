@@ -202,6 +202,26 @@ def test_licenses_equal_brute_force(spark):
         assert got[r["doc_id"]]["n_words"] == len(words(r["text"]))
 
 
+def test_edited_license_texts(spark):
+    rows, want = [], []
+    for name, text in licenses.TEXTS.items():
+        w = text.split()
+        for i in range(len(w)):
+            rows.append(" ".join(["so", *w[:i], "other", *w[i + 1 :], "it", "is"]))  # one word changed
+            rows.append(" ".join(["so", *w[:i], "more", *w[i:], "it", "is"]))  # one put in
+            rows.append(" ".join(w[:i] + w[i + 1 :]))  # one left out
+        want += [name] * (len(rows) - len(want))
+        half = len(w) // 2
+        rows += [" ".join(w[:half]), " ".join(sorted(w)), " ".join(w[half:] + w[:half])]
+        want += [""] * 3
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs).collect()}
+    for i, name in enumerate(want):
+        labels = set(got[i]["labels"].split(",")) - set(licenses.PHRASES.values()) - {""}
+        assert labels == ({name} if name else set()), rows[i]
+        assert not name or 0.8 <= got[i]["score"] <= 1
+
+
 def test_base_license_places(spark, docs, texts):
     for r in licenses.scan_licenses(docs).collect():
         w = words(texts[r["doc_id"]])
