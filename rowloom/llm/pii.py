@@ -54,6 +54,12 @@ FORMS = {
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "contains(§, '+')", "§"),
     # an identifier-like word: one with a digit or an at sign
     "word": (r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+", "§ RLIKE '[0-9@]'", "§"),
+    # groups of digits with blanks between them
+    "run": (
+        r"(?<![A-Za-z0-9.@+_(-])[(]?[0-9][\x20().0-9-]*[0-9](?![A-Za-z0-9@_])",
+        "§ RLIKE '[0-9][).-]? [(]?[0-9]'",
+        "§",
+    ),
 }
 DIGITS = "translate(m.m, translate(m.m, '0123456789', ''), '')"
 LUHN = (
@@ -70,6 +76,7 @@ VALID = {
     "card": f"CASE WHEN length({DIGITS}) BETWEEN 16 AND 19 THEN {LUHN} ELSE false END",
     "phone": f"length({DIGITS}) BETWEEN 8 AND 15",
     "word": "length(m.m) BETWEEN 6 AND 64",
+    "run": f"contains(m.m, ' ') AND length({DIGITS}) BETWEEN 7 AND 19",
 }
 # The form that an identifier must have to be taken for a kind.
 LIKE = {
@@ -78,6 +85,11 @@ LIKE = {
     "card": "^[0-9][0-9-]{10,20}[0-9]$",
     "phone": "^[(+]?[0-9][0-9().-]{5,18}[0-9]$",
 }
+# The same of groups of digits: single blanks, dots and hyphens, a blank also beside a bracket.
+LIKE_RUN = {
+    "card": "^(?=(?:[^0-9]*[0-9]){12,19}$)[0-9]{2,}(?:[ -][0-9]{2,})+$",
+    "phone": "^(?=(?:[^0-9]*[0-9]){7,15}$)[(]?[0-9]+(?:(?:[ .-]|[)][ .-]?| [(])[0-9]+)+$",
+}
 TRIM = "'\"''.,;:!?|<>[]{}='"
 
 
@@ -166,8 +178,12 @@ PATTERNS = (
 
 
 def identifiers(found: DataFrame) -> DataFrame:
-    """An array of the identifier-like words of each row that overlap no base span."""
+    """An array of the identifier-like words and groups of digits of each row that
+    overlap no base span. Words within groups are there, too."""
     base = f"concat({', '.join(KINDS)})"
+    runs = (
+        "transform(run, w -> named_struct('s', w.s, 'm', w.m, 'l', w.l, 'r', w.r))"
+    )
     tidy = (
         "transform(word, w -> named_struct("
         f"'s', w.s + length(w.m) - length(ltrim({TRIM}, w.m)),"
@@ -176,7 +192,7 @@ def identifiers(found: DataFrame) -> DataFrame:
     return found.selectExpr(
         "doc_id",
         "key",
-        f"filter({tidy}, w -> length(w.m) >= 6 AND NOT exists({base},"
+        f"filter(concat({tidy}, {runs}), w -> length(w.m) >= 6 AND NOT exists({base},"
         " b -> b.s < w.s + length(w.m) AND w.s < b.e)) AS words",
     )
 
@@ -192,7 +208,11 @@ def occurrences(found: DataFrame) -> tuple[DataFrame, DataFrame]:
         )
         + "))"
     ).selectExpr("kind", "instance", "explode(patterns) AS pattern")
-    kinds = ", ".join(f"CASE WHEN w.m RLIKE {quoted(p)} THEN '{k}' END" for k, p in LIKE.items())
+    kinds = ", ".join(
+        f"CASE WHEN w.m RLIKE {quoted(p)} THEN '{k}' END"
+        for like in (LIKE, LIKE_RUN)
+        for k, p in like.items()
+    )
     others = (
         identifiers(found)
         .selectExpr("doc_id", "key", "explode(words) AS w")
@@ -202,7 +222,7 @@ def occurrences(found: DataFrame) -> tuple[DataFrame, DataFrame]:
             "w.s AS start",
             "w.s + length(w.m) AS end",
             "lower(w.m) AS instance",
-            f"filter(array({kinds}), k -> k IS NOT NULL) AS kinds",
+            f"array_distinct(filter(array({kinds}), k -> k IS NOT NULL)) AS kinds",
             f"{PATTERNS.format(l='w.l', r='w.r')} AS patterns",
         )
     )
@@ -212,7 +232,9 @@ def occurrences(found: DataFrame) -> tuple[DataFrame, DataFrame]:
 def bootstrap(found: DataFrame) -> DataFrame:
     """Identifiers beside confident patterns: doc_id, key, kind, start, end.
 
-    Edges of the graph are the distinct (kind, instance, pattern). A pattern's
+    Edges of the graph are the distinct (kind, instance, pattern). A pattern
+    takes part with ``MIN_SEEDS`` distinct seeds, to which instances of a
+    confident value are added from the second round on. A pattern's
     score for a kind is the sum of its instances' scores over the number of all
     its instances, of whatever form, plus ``SMOOTHING``. Seeds score 1, other
     instances the mean score of their patterns. Sums are made map-side; every
@@ -238,14 +260,14 @@ def bootstrap(found: DataFrame) -> DataFrame:
         "pii-seeds",
     )
     edges = stored(
-        linked.selectExpr("explode(kinds) AS kind", "instance", "pattern")
-        .distinct()
-        .join(sure.select("kind", "pattern"), ["kind", "pattern"], "left_semi"),
-        "pii-edges",
+        linked.selectExpr("explode(kinds) AS kind", "instance", "pattern").distinct(), "pii-edges"
     )
-    base = sure.join(total, "pattern").selectExpr("kind", "pattern", "seeds", "total")
+    known = seeds.groupBy("kind", "pattern").agg(F.count("*").alias("seeds"))
     scores = stored(
-        base.selectExpr("kind", "pattern", f"seeds / (total + {SMOOTHING}) AS score"), "pii-scores"
+        sure.join(total, "pattern").selectExpr(
+            "kind", "pattern", f"seeds / (total + {SMOOTHING}) AS score"
+        ),
+        "pii-scores",
     )
     for _ in range(ROUNDS - 1):
         instances = stored(
@@ -257,13 +279,19 @@ def bootstrap(found: DataFrame) -> DataFrame:
         gained = (
             edges.join(instances, ["kind", "instance"])
             .groupBy("kind", "pattern")
-            .agg(F.sum("value").alias("gain"))
+            .agg(
+                F.sum("value").alias("gain"),
+                F.count(F.when(F.col("value") >= CONFIDENT, 1)).alias("confident"),
+            )
         )
         scores = stored(
-            base.join(gained, ["kind", "pattern"], "left").selectExpr(
+            known.join(gained, ["kind", "pattern"], "full")
+            .where(f"coalesce(seeds, 0) + coalesce(confident, 0) >= {MIN_SEEDS}")
+            .join(total, "pattern")
+            .selectExpr(
                 "kind",
                 "pattern",
-                f"(seeds + coalesce(gain, 0D)) / (total + {SMOOTHING}) AS score",
+                f"(coalesce(seeds, 0) + coalesce(gain, 0D)) / (total + {SMOOTHING}) AS score",
             ),
             "pii-scores",
         )
@@ -362,7 +390,8 @@ def mask_personal_data(documents: DataFrame) -> DataFrame:
     joined = rows.join(named, F.expr("d.doc_id <=> _pii_id AND key = _pii_key"), "left")
     masked = joined.selectExpr(
         "d",
-        "CASE WHEN _pii_words IS NULL THEN t ELSE aggregate(_pii_words, t,"
+        "CASE WHEN _pii_words IS NULL THEN t ELSE aggregate("
+        "array_sort(_pii_words, (a, b) -> length(b) - length(a)), t,"
         " (a, w) -> replace(a, w, '[ID]')) END AS t",
     )
     return masked.selectExpr(

@@ -409,6 +409,24 @@ def test_contexts_find_other_identifiers(spark):
     assert masked[3] == "the customer-ip [IP] was seen"
 
 
+def test_contexts_find_grouped_digits_and_new_patterns(spark):
+    rows = [(1000 + i, f"now dial-me +1 (555) 123-4{i:03} please") for i in range(400)]
+    rows += [(40, "now dial-me (017) 555-7713 at noon"), (41, "take (017) 555-7713 parts")]
+    cards = [f"41111111{i:08}" for i in range(400)]
+    cards = [c for c in cards if luhn(c)][:20]
+    rows += [(50 + i, f"charge-card {c} today") for i, c in enumerate(cards)]
+    rows += [(80, "charge-card 4111 1111 1111 1112 today")]
+    # confident instances teach "reach-at", which stands beside no seed
+    rows += [(100 + i, f"now dial-me 555-20{i:02} reach-at") for i in range(30)]
+    rows += [(140, "so 555-9931 reach-at")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(docs).collect()}
+    assert got[40] == "phone:12:26" and got[41] == ""
+    assert got[80] == "card:12:31" and got[140] == "phone:3:11"
+    masked = {r["doc_id"]: r["text"] for r in pii.mask_personal_data(docs).collect()}
+    assert masked[40] == "now dial-me [ID] at noon" and masked[80] == "charge-card [ID] today"
+
+
 def test_masking_keeps_rows_and_columns(spark):
     docs = odd_documents(spark, ["call +1 (555) 123-4567 or 555-1234-9", "4111-1111-1111-1111 a.b@c.de"])
     masked = pii.mask_personal_data(docs)
