@@ -18,6 +18,7 @@ import hashlib
 import json
 import re
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,11 +27,33 @@ from pyspark.sql import functions as F
 from rowloom.llm.common import map_pieces
 
 START = 0
+INNER, FINAL = 0, 1  # keys of the tokens in the tree, beside its letters
 ARCS = 2_000_000  # arcs in the table of a worker, at most
-CHUNKS = 300_000  # blank-separated strings whose ids a worker remembers, at most
-CHUNK_CHARS = 64  # longer ones are encoded each time
+KNOWN = 500_000  # words, and strings between blanks, whose ids a worker remembers, at most
+KNOWN_CHARS = 64  # longer ones are encoded each time
 BLANKS = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 
+# The rules of the public file, and the same for visible characters below U+0100.
+USUAL_NORMALIZERS = [
+    {"type": "NFC"},
+    {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+    {"type": "Lowercase"},
+]
+USUAL_SPLITS = [
+    {
+        "type": "Split",
+        "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+        "behavior": "Removed",
+        "invert": True,
+    },
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+LATIN = re.compile("[!-~\xa1-\xff]+")
+LATIN_LETTERS, LATIN_NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+LATIN_WORDS = re.compile(
+    f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN_LETTERS}]+|[{LATIN_NUMBERS}]|[^{LATIN_LETTERS}{LATIN_NUMBERS}]+"
+)
+
 
 class Automaton:
     """The deterministic automaton of a list of merges over a vocabulary.
@@ -105,19 +128,23 @@ class Automaton:
         return found
 
     def spell(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], end: str) -> None:
-        """The tokens by their letters, those that end a word apart."""
+        """The tokens by their letters, as a tree; those that end a word apart."""
         final = {
             t for t in vocabulary if end and t.endswith(end) and self.born[vocabulary[t]] < 0 and len(t) == len(end) + 1
         }
         for a, b in merges:
             if b in final:
                 final.add(a + b)
-        if end:
-            self.final = {t.removesuffix(end): i for t, i in vocabulary.items() if t in final}
-            self.inner = {t: i for t, i in vocabulary.items() if t not in final}
-        else:
-            self.final = self.inner = dict(vocabulary)
-        self.longest = max(map(len, vocabulary), default=0)
+        self.tree: dict = {}
+        for name, token in vocabulary.items():
+            letters = name.removesuffix(end) if name in final else name
+            node = self.tree
+            for letter in letters:
+                node = node.setdefault(letter, {})
+            if name in final or not end:
+                node[FINAL] = token
+            if name not in final:
+                node[INNER] = token
 
     def accepts(self, tokens: list[int]) -> bool:
         """Whether the tokens are a path, which means: the right tokenization of a word's start."""
@@ -128,6 +155,18 @@ class Automaton:
             state = self.target[token]
         return True
 
+    def starting(self, word: str, at: int) -> list[tuple[int, int]]:
+        """The tokens that the word goes on with, and where each stops; the longest last."""
+        found, last, node = [], len(word) - 1, self.tree
+        for i in range(at, last + 1):
+            node = node.get(word[i])
+            if node is None:
+                return found
+            token = node.get(INNER if i < last else FINAL)
+            if token is not None:
+                found.append((token, i + 1))
+        return found
+
     def encode(self, word: str) -> list[int]:
         """The tokens of the one path that spells the word, in linear time.
 
@@ -136,53 +175,59 @@ class Automaton:
         """
         n = len(word)
         ids: list[int] = []
-        places, tried = [0], bytearray(n + 1)
-        state, size = START, min(n, self.longest)
-        while places[-1] < n:
-            at = places[-1]
-            while size:
-                stop = at + size
-                token = self.final.get(word[at:]) if stop == n else self.inner.get(word[at:stop])
-                if token is not None and not tried[stop] and self.arc(state, token):
-                    break
-                size -= 1
-            if size:
-                ids.append(token)
-                places.append(stop)
-                tried[stop] = 1
-                state, size = self.target[token], min(n - stop, self.longest)
-            elif ids:
-                ids.pop()
-                places.pop()
-                state = self.target[ids[-1]] if ids else START
-                size = at - places[-1] - 1
-            else:
-                raise ValueError("the word has symbols that the vocabulary lacks")
+        tried = bytearray(n + 1)
+        at, state, ways = 0, START, []
+        while at < n:
+            ways.append(self.starting(word, at))
+            while True:
+                while ways[-1]:
+                    token, stop = ways[-1].pop()
+                    if not tried[stop] and self.arc(state, token):
+                        break
+                else:
+                    ways.pop()
+                    if not ids:
+                        raise ValueError("the word has symbols that the vocabulary lacks")
+                    ids.pop()
+                    state = self.target[ids[-1]] if ids else START
+                    continue
+                break
+            ids.append(token)
+            tried[stop] = 1
+            at, state = stop, self.target[token]
         return ids
 
 
-class Chunks(dict):
-    """Ids of blank-separated strings, found when first asked for."""
+class Known(dict):
+    """What a function gives for a string, found when first asked for."""
 
     def __init__(self, find):
         super().__init__()
         self.find = find
 
-    def __missing__(self, chunk: str) -> list[int]:
-        ids = self.find(chunk)
-        if len(chunk) <= CHUNK_CHARS:
-            if len(self) >= CHUNKS:
+    def __missing__(self, text: str) -> list[int]:
+        ids = self.find(text)
+        if len(text) <= KNOWN_CHARS:
+            if len(self) >= KNOWN:
                 self.clear()
-            self[chunk] = ids
+            self[text] = ids
         return ids
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: itself if it is visible, else one from 256 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = (b for b in range(256) if b not in visible)
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class Coder:
     """Encodes and decodes as the tokenizer file says; its library only splits texts into words.
 
     The file must normalise strings, drop blanks and split into words that no
     blank is part of; words at two sides of an ASCII blank don't depend on each
-    other. Strings of special tokens are looked for in the text as it is.
+    other. Strings of special tokens are looked for in the text as it is. If
+    the file has the usual rules, strings of Latin letters are split here.
     """
 
     def __init__(self, path: str):
@@ -196,6 +241,9 @@ class Coder:
         library = Tokenizer.from_file(path)
         self.normalize = library.normalizer.normalize_str
         self.split = library.pre_tokenizer.pre_tokenize_str
+        rules = [plan["normalizer"].get("normalizers"), plan["pre_tokenizer"].get("pretokenizers")]
+        self.usual = rules == [USUAL_NORMALIZERS, USUAL_SPLITS]
+        self.letters = byte_letters()
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.automaton = Automaton(model["vocab"], merges, model["end_of_word_suffix"] or "")
         self.special = {t["content"]: t["id"] for t in plan["added_tokens"]}
@@ -206,23 +254,33 @@ class Coder:
         for name, i in names.items():
             self.labels[i] = name.encode()
         self.decimals = [b"%d" % i for i in range(len(self.labels))]
-        self.chunks = Chunks(self.encode_chunk)
+        self.words = Known(self.automaton.encode)
+        self.chunks = Known(self.encode_chunk)
+
+    def words_of(self, chunk: str) -> list[str]:
+        """The words of a string without ASCII blanks, in letters that stand for bytes."""
+        if self.usual and LATIN.fullmatch(chunk):
+            words = LATIN_WORDS.findall(chunk.lower())
+            if chunk.isascii():
+                return words
+            return [w.encode().decode("latin-1").translate(self.letters) for w in words]
+        return [w for w, _ in self.split(self.normalize(chunk))]
 
     def encode_chunk(self, chunk: str) -> list[int]:
-        ids: list[int] = []
-        for word, _ in self.split(self.normalize(chunk)):
-            ids += self.automaton.encode(word)
-        return ids
+        words = self.words_of(chunk)
+        if len(words) == 1:
+            return self.words[words[0]]
+        return [i for w in words for i in self.words[w]]
 
     def encode(self, text: str) -> list[int]:
+        if not (self.marks and self.marks.search(text)):
+            return list(chain.from_iterable(map(self.chunks.__getitem__, BLANKS.findall(text))))
         ids: list[int] = []
-        marked = self.marks.split(text) if self.marks and self.marks.search(text) else [text]
-        for i, part in enumerate(marked):
+        for i, part in enumerate(self.marks.split(text)):
             if i % 2:
                 ids.append(self.special[part])
-                continue
-            for chunk in BLANKS.findall(part):
-                ids += self.chunks[chunk]
+            else:
+                ids += chain.from_iterable(map(self.chunks.__getitem__, BLANKS.findall(part)))
         return ids
 
     def decode(self, ids: list[int]) -> bytes:

@@ -132,6 +132,8 @@ def test_automaton_encodes_as_the_library(spark, folder, coder, library):
     texts = [r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").select("text").collect()]
     texts += ODD + ["".join(draw.choices("abcdeinorst'.<>/w1 \n", k=draw.randint(1, 30))) for _ in range(3000)]
     texts += ["".join(chr(draw.randint(1, 0xD7FF)) for _ in range(9)) for _ in range(300)]
+    texts += ["".join(chr(draw.randint(1, 0xFF)) for _ in range(6)) for _ in range(5000)]
+    texts += [f"a{chr(i)}b{chr(i)}" for i in range(1, 0x300)]
     for text in texts:
         ids = coder.encode(text)
         assert ids == library.encode(text, add_special_tokens=False).ids
@@ -196,11 +198,11 @@ def test_automaton_refuses_what_it_cannot_hold():
 
 def test_long_word_and_bounded_tables(library, monkeypatch):
     monkeypatch.setattr(merge_automaton, "ARCS", 50)
-    monkeypatch.setattr(merge_automaton, "CHUNKS", 3)
+    monkeypatch.setattr(merge_automaton, "KNOWN", 3)
     code = merge_automaton.Coder(WORDS)
     text = "".join(random.Random(1).choices("etaoin", k=200_000)) + " one two three four five one two"
     assert code.encode(text) == library.encode(text, add_special_tokens=False).ids
-    assert len(code.chunks) <= 3 and len(code.automaton.arcs) <= 50
+    assert len(code.chunks) <= 3 and len(code.words) <= 3 and len(code.automaton.arcs) <= 50
 
 
 def test_automaton_rows(spark, coder):
