@@ -9,20 +9,24 @@ slot, its earliest point; two texts share it with a probability equal to their
 weighted Jaccard similarity. Points are made in order of time and only up to a
 time by which all slots are filled, so that most shingles cost one hash.
 
-Texts that share a band of the signature are candidates. They meet leaders of
-their bucket, round by round, until the bucket's members are all in one class
-or all used up. A task holds the leaders of a bucket beside each member as one
-array of signatures; only pairs whose signatures and sizes allow the similarity
-become rows, and the multiset overlap of those is exact.
+Texts that share a band of the signature are candidates, if all slots together
+allow the similarity. Candidates, taken along chains, form families. A task
+holds a family's multisets and finds its classes by exact overlap; it gives out
+a class for each text, never pairs. Families too large for a task are dealt
+over several, whose classes are joined by their central texts; then the texts
+outside a family's largest class meet all others, in blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from rowloom.llm.common import (
     ODD,
@@ -30,20 +34,38 @@ from rowloom.llm.common import (
     hash_spans,
     map_pieces,
     mix,
+    pieces,
     ranges,
     row_shingles,
-    stored,
     words_of,
 )
+from rowloom.session import remove_folder, work_folder
 
 SLOTS = 64
 BAND = 4  # slots of a band: similarity 0.8 is missed by all 16 with a chance of 0.0002
 FILLED = 4.0  # a slot stays empty with a chance of exp(-FILLED) / SLOTS
-LEADERS, MORE = 512, 8  # most leaders of a bucket in a round; times those of the round before
-CHUNKS = 64  # parts of a bucket that meet its leaders apart
-# Slots that a pair shares but for a chance of 3 in a million if its similarity is 0.8, and
-# by which a similarity of 0.6 is told from less.
-SHARED, BORDER = 35, 19
+SHARED = 35  # slots that a pair shares but for a chance of 3 in a million if its similarity is 0.8
+BUCKET = 1_000  # texts of a band that a task compares; larger bands are a family each
+FAMILY = 2_000_000  # elements of multisets that a task holds
+CORE = 8  # texts of a class that stand for it elsewhere
+
+
+class Work:
+    """Tables written on the way, to be removed together."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, []
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        """Write to the shared folder and read again: cuts the lineage, survives lost executors."""
+        path = work_folder(self.spark, f"near-{label}")
+        df.write.parquet(path)
+        self.folders.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        for path in self.folders:
+            remove_folder(self.spark, path)
 
 
 def multisets(shingles: np.ndarray, counts: np.ndarray):
@@ -154,60 +176,49 @@ def sketch(documents: DataFrame) -> DataFrame:
     )
 
 
-def elements(documents: DataFrame) -> DataFrame:
-    """node, items: the sorted elements of each text's multiset, as bytes.
+def elements(texts: DataFrame) -> DataFrame:
+    """family, node, size, items: the elements of the multiset of each text, as bytes.
 
-    The n-th occurrence of a shingle is an element of its own, so that the
-    overlap of multisets is that of sets.
+    Rows are (text, node, family, size); those whose text isn't the node's, as
+    their id has several texts, are left out, and so are repeated ones of a task. The
+    n-th occurrence of a shingle is an element of its own, so that the overlap
+    of multisets is that of sets.
     """
 
-    def work(piece: pa.RecordBatch) -> pa.RecordBatch:
-        words, first = words_of(piece.column(0))
-        shingles, counts = row_shingles(words, first)
-        row, value, times = multisets(shingles, counts)
-        nth = ranges(times).astype(np.uint64)
-        items = mix(np.repeat(value, times) + nth * np.uint64(ODD))
-        rows = np.repeat(row, times)
-        items = items[np.lexsort((items, rows))]
-        ends = np.cumsum(counts)
-        blobs = [items[e - c : e].tobytes() for e, c in zip(ends.tolist(), counts.tolist())]
-        nodes = pa.array(text_keys(words, first).astype(np.int64))
-        return pa.RecordBatch.from_arrays([nodes, pa.array(blobs, pa.binary())], ["node", "items"])
-
-    return map_pieces(documents.select("text"), work, "node long, items binary")
-
-
-def compare(pairs: DataFrame) -> DataFrame:
-    """node, leader, similarity from rows that also hold both multisets."""
-
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            values = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                shared = int((y[at] == x).sum())
-                values.append(shared / (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(values, pa.float64())],
-                ["node", "leader", "similarity"],
-            )
+            for piece in pieces(batch):
+                words, first = words_of(piece["text"])
+                node = piece["node"].to_numpy()
+                same = text_keys(words, first).astype(np.int64) == node
+                keep = [i for i in np.flatnonzero(same).tolist() if int(node[i]) not in seen and not seen.add(int(node[i]))]
+                if not keep:
+                    continue
+                shingles, counts = row_shingles(words, first)
+                row, value, times = multisets(shingles, counts)
+                nth = ranges(times).astype(np.uint64)
+                items = mix(np.repeat(value, times) + nth * np.uint64(ODD))
+                ends = np.cumsum(counts)
+                blobs = [items[ends[i] - counts[i] : ends[i]].tobytes() for i in keep]
+                at = pa.array(keep)
+                columns = [piece[c].take(at) for c in ("family", "node", "size")]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(blobs, pa.binary())], ["family", "node", "size", "items"]
+                )
 
-    return pairs.select("node", "leader", "items", "other").mapInArrow(
-        run, "node long, leader long, similarity double"
-    )
+    rows = texts.select("text", "node", "family", "size")
+    return rows.mapInArrow(run, "family long, node long, size long, items binary")
 
 
-def merge(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+def merge(work: Work, labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     """node, comp for all nodes with links: the smallest node of each component.
 
     New edges are read as edges between the components so far. Components are
     hooked to smaller neighbours, chains of hooks are halved until none is
     left, and edges are renamed, until no edge joins two components.
     """
-    ends = edges.selectExpr("explode(array(node, leader)) AS node").distinct()
+    ends = edges.selectExpr("explode(array(node, other)) AS node").distinct()
     if labels is None:
         labels = ends.selectExpr("node", "node AS comp")
     else:
@@ -215,7 +226,7 @@ def merge(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
             ends.join(labels, "node", "full")
             .selectExpr("node", "coalesce(comp, node) AS comp")
         )
-    labels = stored(labels, "near-labels")
+    labels = work.stored(labels, "labels")
 
     def renamed(links: DataFrame, names: DataFrame) -> DataFrame:
         a = names.toDF("a", "to_a")
@@ -229,241 +240,380 @@ def merge(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
             .distinct()
         )
 
-    links = stored(renamed(edges.selectExpr("node AS a", "leader AS b"), labels), "near-links")
+    links = work.stored(renamed(edges.selectExpr("node AS a", "other AS b"), labels), "links")
     while not links.isEmpty():
-        hooks = stored(links.groupBy("b").agg(F.min("a").alias("root")), "near-hooks")
+        hooks = work.stored(links.groupBy("b").agg(F.min("a").alias("root")), "hooks")
         while True:
             further = hooks.toDF("root", "next")
             jumped = hooks.join(further, "root", "left").selectExpr(
                 "b", "coalesce(next, root) AS root", "next IS NOT NULL AS moved"
             )
-            jumped = stored(jumped, "near-hooks")
+            jumped = work.stored(jumped, "hooks")
             hooks = jumped.select("b", "root")
             if jumped.where("moved").isEmpty():
                 break
-        labels = stored(
+        labels = work.stored(
             labels.join(hooks.toDF("comp", "root"), "comp", "left").selectExpr(
                 "node", "coalesce(root, comp) AS comp"
             ),
-            "near-labels",
+            "labels",
         )
-        links = stored(renamed(links, hooks), "near-links")
+        links = work.stored(renamed(links, hooks), "links")
     return labels
 
 
-def columns_of(rows: list[dict]) -> tuple[np.ndarray, ...]:
-    """Signatures, sizes, nodes and components of leaders as arrays."""
-    signs = np.frombuffer(b"".join(r["slots"] for r in rows), np.uint16).reshape(-1, SLOTS)
-    sizes = np.array([r["size"] for r in rows])
-    return signs, sizes, np.array([r["node"] for r in rows]), np.array([r["comp"] for r in rows])
+def classes(n: int, alike: Callable[[int, np.ndarray], np.ndarray], first: int = 0) -> np.ndarray:
+    """A class for each of n members, such that members of different classes aren't alike.
 
+    ``alike(i, others)`` tells which of the others are linked to i. A member is
+    compared with all outside its class. That is done for every member which
+    isn't in the largest class, so no link between two classes is missed, and a
+    group of copies costs a few comparisons of one with all.
+    """
+    label = np.arange(n)
+    done = np.zeros(n, bool)
+    lead = first
+    while True:
+        others = np.flatnonzero(label != label[lead])
+        hit = others[alike(lead, others)] if len(others) else others
+        if len(hit):
+            joined = np.zeros(n, bool)
+            joined[label[hit]] = True
+            label[joined[label]] = label[lead]
+        done[lead] = True
+        largest = np.bincount(label).argmax()
+        todo = np.flatnonzero(~done & (label != largest))
+        if not len(todo):
+            return label
+        lead = int(todo[0])
+
+
+class Multisets:
+    """The multisets of a family, and which of them are similar."""
+
+    def __init__(self, items: list[np.ndarray], similarity: float):
+        self.similarity = similarity
+        self.sizes = np.fromiter(map(len, items), np.int64, len(items))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        _, self.ids, held = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+        self.mark = np.zeros(len(held), np.int32)
+        common = held[self.ids]
+        # Elements that nobody else has can't be in an overlap.
+        self.open = np.add.reduceat(common > 1, self.starts, dtype=np.int64) >= similarity * self.sizes - 1e-9
+        weight = np.add.reduceat(common, self.starts) / self.sizes
+        self.centre = int(np.where(self.open, weight, 0).argmax())
+
+    def similarities(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Exact similarities of one with some others."""
+        at = slice(self.starts[i], self.starts[i] + self.sizes[i])
+        self.mark[self.ids[at]] = 1
+        sizes = self.sizes[others]
+        if 4 * len(others) > len(self.sizes):
+            shared = np.add.reduceat(self.mark[self.ids], self.starts)[others]
+        else:
+            rows = np.repeat(self.starts[others], sizes) + ranges(sizes)
+            shared = np.add.reduceat(self.mark[self.ids[rows]], np.cumsum(sizes) - sizes)
+        self.mark[self.ids[at]] = 0
+        return shared / (self.sizes[i] + sizes - shared)
+
+    def alike(self, i: int, others: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(others), bool)
+        if self.open[i]:
+            sizes = self.sizes[others]
+            near = np.minimum(sizes, self.sizes[i]) >= self.similarity * np.maximum(sizes, self.sizes[i]) - 1e-9
+            some = np.flatnonzero(self.open[others] & near)
+            if len(some):
+                out[some] = self.similarities(i, others[some]) >= self.similarity
+        return out
+
+
+def by_group(rows: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
+    """Rows of a key, which must be few enough for a task, given to ``work(rows)`` as a list.
+
+    Rows are sorted by key and node within partitions and read one group at a
+    time; ``work`` sees them without the keys, node first.
+    """
 
-def meet(members: DataFrame, leaders: DataFrame, similarity: float) -> DataFrame:
-    """bucket, node, leader, kind: members and leaders of their bucket that may be similar.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = to_arrow(schema)
+        lines = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+        out: list[tuple] = []
+        for _, group in groupby(lines, key=lambda r: r[: len(keys)]):
+            out += work([r[len(keys) :] for r in group])
+            if len(out) >= 10_000:
+                yield batch_of(out, kinds)
+                out = []
+        if out:
+            yield batch_of(out, kinds)
 
-    Kind 1 are pairs whose signatures and sizes allow the similarity; kind 0
-    says, without a node, that a leader has some member of other component
-    that is neither similar nor far. Pairs of one component are passed over.
-    """
-    together = leaders.groupBy("bucket").agg(F.collect_list(F.struct("node", "slots", "size", "comp")).alias("heads"))
-    parts = members.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(CHUNKS)).alias("part")).agg(
-        F.collect_list(F.struct("node", "slots", "size", "comp")).alias("rows")
-    )
-    joined = parts.join(stored(together, "near-heads"), "bucket").select("bucket", "rows", "heads")
+    rest = [c for c in rows.columns if c not in (*keys, "node")]
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "node")
+    return ordered.select(*keys, "node", *rest).mapInArrow(run, schema)
 
-    def run(batches):
-        for batch in batches:
-            out: list[tuple[int, int, int, int]] = []
-            near: set[tuple[int, int]] = set()
-            for bucket, rows, heads in zip(*(c.to_pylist() for c in batch.columns)):
-                signs, sizes, nodes, comps = columns_of(heads)
-                for row in rows:
-                    equal = (signs == np.frombuffer(row["slots"], np.uint16)).sum(axis=1)
-                    ratio = np.minimum(sizes, row["size"]) / np.maximum(sizes, row["size"])
-                    other = (comps != row["comp"]) & (nodes != row["node"])
-                    may = other & (equal > SHARED) & (ratio >= similarity - 1e-9)
-                    border = other & ~may & (equal > BORDER) & (ratio >= 2 * similarity - 1 - 1e-9)
-                    out += [(bucket, row["node"], n, 1) for n in nodes[may].tolist()]
-                    near |= {(bucket, n) for n in nodes[border].tolist()}
-            out += [(bucket, None, n, 0) for bucket, n in near]
-            if out:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*out), kinds)],
-                    ["bucket", "node", "leader", "kind"],
-                )
 
-    return joined.mapInArrow(run, "bucket long, node long, leader long, kind int")
+def to_arrow(schema: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
 
 
-def components(documents: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """doc_id, node of every text with words; and node, comp of the nodes with links."""
-    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(
-        "doc_id IS NOT NULL"
-    )
-    rows = stored(sketch(docs), "near-rows")
-    nodes = stored(
-        rows.groupBy("node").agg(
-            F.min("doc_id").alias("doc_id"),
-            F.first("bands").alias("bands"),
-            F.first("slots").alias("slots"),
-            F.first("size").alias("size"),
-        ),
-        "near-nodes",
-    )
+def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def candidates(work: Work, nodes: DataFrame, similarity: float) -> DataFrame:
+    """node, other: edges along which all pairs that share a band and may be similar are connected.
+
+    Of a band's texts those are connected whose slots and sizes allow the
+    similarity. A band of more than BUCKET texts connects all of them: that
+    costs time later, never a link.
+    """
     members = nodes.selectExpr("node", "explode(bands) AS bucket")
-    shared = stored(
-        members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"),
-        "near-shared",
+    buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("other"))
+    buckets = work.stored(buckets.where("n > 1"), "buckets")
+    shared = work.stored(members.join(buckets, "bucket"), "members")
+    large = shared.where(f"n > {BUCKET} AND node <> other").select("node", "other")
+    small = shared.where(f"n <= {BUCKET}").select("bucket", "node").join(nodes.select("node", "slots", "size"), "node")
+
+    def edges(rows: list[tuple]) -> list[tuple]:
+        names = [r[0] for r in rows]
+        signs = np.frombuffer(b"".join(r[1] for r in rows), np.uint16).reshape(-1, SLOTS)
+        sizes = np.array([r[2] for r in rows])
+
+        def alike(i: int, others: np.ndarray) -> np.ndarray:
+            equal = (signs[others] == signs[i]).sum(axis=1)
+            near = np.minimum(sizes[others], sizes[i]) >= similarity * np.maximum(sizes[others], sizes[i]) - 1e-9
+            return near & (equal > SHARED)
+
+        if len(rows) == 2:
+            return [(names[1], names[0])] if alike(0, np.array([1]))[0] else []
+        label = classes(len(rows), alike)
+        first = {}
+        return [(n, first[c]) for n, c in zip(names, label.tolist()) if first.setdefault(c, n) != n]
+
+    few = by_group(small, ["bucket"], edges, "node long, other long")
+    return work.stored(large.unionByName(few).distinct(), "edges")
+
+
+def arrays(rows: list[tuple]) -> tuple[list[int], list[np.ndarray]]:
+    """Nodes and elements of a group's rows, repeated nodes once."""
+    names, items = [], []
+    for node, raw, *_ in rows:
+        if not names or names[-1] != node:
+            names.append(node)
+            items.append(np.frombuffer(raw, np.uint64))
+    return names, items
+
+
+def classes_of(rows: DataFrame, keys: list[str], similarity: float) -> DataFrame:
+    """node, other, core: for every row of (keys, node, items) the first node of its class.
+
+    Of the largest class of each group, and of a group's first, some central
+    texts are marked as core.
+    """
+
+    def find(group: list[tuple]) -> list[tuple]:
+        names, items = arrays(group)
+        if len(names) == 1:
+            return [(names[0], names[0], True)]
+        sets = Multisets(items, similarity)
+        label = classes(len(names), sets.alike, sets.centre)
+        largest = np.flatnonzero(label == np.bincount(label).argmax())
+        core = set()
+        if len(largest) <= CORE:
+            core.update(largest.tolist())
+        else:
+            centre = sets.centre if label[sets.centre] == label[largest[0]] else int(largest[0])
+            nearest = np.argsort(-sets.similarities(centre, largest), kind="stable")[:CORE]
+            core.update(largest[nearest].tolist())
+        first: dict[int, int] = {}
+        return [(n, first.setdefault(c, n), i in core) for i, (n, c) in enumerate(zip(names, label.tolist()))]
+
+    return by_group(rows.select(*keys, "node", "items"), keys, find, "node long, other long, core boolean")
+
+
+def links_across(rows: DataFrame, keys: list[str], similarity: float) -> DataFrame:
+    """node, other: links of asking rows of (keys, node, items, comp, asks) to rows of other classes.
+
+    One link for each asking row and class that it is linked to.
+    """
+
+    def find(group: list[tuple]) -> list[tuple]:
+        asking = {r[0] for r in group if r[3]}
+        comp = {r[0]: r[2] for r in group}
+        names, items = arrays(group)
+        if not asking or len(names) < 2:
+            return []
+        sets = Multisets(items, similarity)
+        comps = np.array([comp[n] for n in names])
+        out = []
+        for i, name in enumerate(names):
+            if name in asking:
+                others = np.flatnonzero(comps != comps[i])
+                hit = others[sets.alike(i, others)] if len(others) else others
+                _, one = np.unique(comps[hit], return_index=True)
+                out += [(name, names[j]) for j in hit[one].tolist()]
+        return out
+
+    columns = rows.select(*keys, "node", "items", "comp", "asks")
+    return by_group(columns, keys, find, "node long, other long")
+
+
+def large_families(work: Work, rows: DataFrame, sizes: DataFrame, similarity: float, limit: int) -> DataFrame:
+    """node, comp of families (family, node, size, items) that no task can hold.
+
+    ``sizes`` has the number of elements of each. Rows are dealt to parts that
+    fit. Parts find their classes; their central texts, few as they are, join
+    the classes of different parts. Then every text outside the largest class of
+    its family meets the texts of all parts. So each pair of texts of one
+    family is either in one class or was compared.
+    """
+    parts = sizes.selectExpr("family", f"CAST(ceil(2 * weight / {limit}) AS INT) AS parts")
+    dealt = rows.join(parts, "family").selectExpr("*", "CAST(pmod(xxhash64(node), parts) AS INT) AS part")
+    dealt = work.stored(dealt, "dealt")
+    found = work.stored(classes_of(dealt, ["family", "part"], similarity), "part-classes")
+    labels = merge(work, None, found.select("node", "other"))
+    core = dealt.join(found.where("core").select("node"), "node", "left_semi").drop("parts", "part")
+    core = work.stored(core.select("family", "node", "size", "items"), "core")
+    # Parts of a few long texts are all core: nothing is gained then.
+    if 2 * core.count() <= dealt.count():
+        among = families(work, core, similarity, limit)
+        labels = merge(work, labels, among.selectExpr("node", "comp AS other"))
+    named = dealt.join(labels, "node")
+    counts = named.groupBy("family", "comp").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("family").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
+    named = work.stored(named.join(work.stored(largest, "largest"), "family"), "named")
+    asking = named.where("comp <> main")
+    blocks = asking.groupBy("family").agg(F.expr(f"CAST(ceil(2 * sum(size) / {limit}) AS INT) AS blocks"))
+    blocks = work.stored(blocks, "blocks")
+    asks = asking.join(blocks, "family").selectExpr(
+        "family",
+        "explode(sequence(0, parts - 1)) AS part",
+        "CAST(pmod(xxhash64(node, 1), blocks) AS INT) AS block",
+        "node",
+        "items",
+        "comp",
+        "TRUE AS asks",
     )
-    members = stored(
-        members.join(shared, "bucket").selectExpr("bucket", "node", "node AS comp", "n"),
-        "near-members",
+    others = named.join(blocks, "family").selectExpr(
+        "family", "part", "explode(sequence(0, blocks - 1)) AS block", "node", "items", "comp", "FALSE AS asks"
     )
-    weights = members.groupBy("node").agg(F.sum("n").alias("weight"))
-    signs = stored(
-        nodes.select("node", "doc_id", "slots", "size").join(weights, "node"), "near-signs"
+    across = links_across(asks.unionByName(others), ["family", "part", "block"], similarity)
+    return merge(work, labels, work.stored(across, "across"))
+
+
+def families(work: Work, rows: DataFrame, similarity: float, limit: int) -> DataFrame:
+    """node, comp: the classes of all families of (family, node, size, items)."""
+    sizes = work.stored(rows.groupBy("family").agg(F.sum("size").alias("weight")), "family-sizes")
+    few = rows.join(sizes.where(f"weight <= {limit}").select("family"), "family", "left_semi")
+    found = classes_of(few, ["family"], similarity).selectExpr("node", "other AS comp")
+    big = work.stored(sizes.where(f"weight > {limit}"), "large")
+    if not big.isEmpty():
+        many = rows.join(big.select("family"), "family", "left_semi")
+        found = found.unionByName(large_families(work, many, big, similarity, limit))
+    return work.stored(found, "classes")
+
+
+def components(
+    work: Work, documents: DataFrame, similarity: float = SIMILARITY, limit: int = FAMILY
+) -> DataFrame:
+    """doc_id, node, comp for every row with an id and a word; nodes of one class share their comp."""
+    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id IS NOT NULL")
+    rows = work.stored(sketch(docs), "rows")
+    nodes = rows.groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"),
+        F.first("bands").alias("bands"),
+        F.first("slots").alias("slots"),
+        F.first("size").alias("size"),
     )
-    members = members.drop("n")
-    items = known = labels = None
-    leaders_of = 1
-    while not members.isEmpty():
-        full = members.join(signs.drop("doc_id"), "node")
-        heads = leading(full, leaders_of).join(members, ["bucket", "node"])
-        heads = stored(heads.join(signs.drop("doc_id"), "node"), "near-leaders")
-        met = stored(meet(full, heads, similarity), "near-met")
-        pairs = met.where("kind = 1").select("bucket", "node", "leader")
-        asked = pairs.selectExpr(
-            "least(node, leader) AS node", "greatest(node, leader) AS leader"
-        ).distinct()
-        if known is not None:
-            asked = asked.join(known, ["node", "leader"], "left_anti")
-        asked = stored(asked, "near-asked")
-        # texts are read for the nodes of these pairs alone, and each once
-        wanted = asked.selectExpr("explode(array(node, leader)) AS node").distinct()
-        if items is not None:
-            wanted = wanted.join(items.select("node"), "node", "left_anti")
-        wanted = stored(wanted, "near-wanted")
-        if not wanted.isEmpty():
-            ids = stored(signs.join(wanted, "node").select("doc_id").distinct(), "near-ids")
-            new = elements(docs.join(ids, "doc_id", "left_semi")).join(wanted, "node", "left_semi")
-            new = stored(new.groupBy("node").agg(F.first("items").alias("items")), "near-items")
-            items = new if items is None else items.unionByName(new)
-        if not asked.isEmpty():
-            # one leader may have very many pairs: a skewed key of a plain join
-            half = asked.join(items, "node")
-            whole = half.join(items.toDF("leader", "other"), "leader")
-            fresh = stored(compare(whole), "near-compared")
-            labels = merge(labels, fresh.where(F.col("similarity") >= similarity))
-            known = fresh if known is None else known.unionByName(fresh)
-        members = remaining(members, heads, met, known, labels, similarity)
-        leaders_of = min(LEADERS, leaders_of * MORE)
-    return rows.select("doc_id", "node"), labels
-
-
-def leading(members: DataFrame, n: int) -> DataFrame:
-    """bucket, node: the n nodes of every bucket that share buckets with most others.
-
-    Such nodes are the likely centres of groups: a text from which many copies
-    were made is nearer to each of them than they are to one another. Which
-    nodes lead changes the work, not the result. Spark keeps n rows of a bucket
-    for each task before it shuffles them.
+    nodes = work.stored(nodes, "nodes")
+    edges = candidates(work, nodes, similarity)
+    ids = rows.select("doc_id", "node")
+    if edges.isEmpty():
+        return ids.selectExpr("doc_id", "node", "node AS comp")
+    chains = merge(work, None, edges).selectExpr("node", "comp AS family")
+    chains = work.stored(chains.join(nodes.select("node", "doc_id", "size"), "node"), "chains")
+    # Not broadcast: which texts have relatives is a list that grows with the documents.
+    texts = elements(docs.join(chains.hint("merge"), "doc_id"))
+    labels = families(work, work.stored(texts, "texts"), similarity, limit)
+    return ids.join(labels, "node", "left").selectExpr("doc_id", "node", "coalesce(comp, node) AS comp")
+
+
+def classified(documents: DataFrame, similarity: float, limit: int = FAMILY) -> DataFrame:
+    """doc_id, node, class_id, class_node: the smallest id of the class, and its node, for each row with words.
+
+    What was written on the way is removed, but for the result.
     """
-    if n == 1:
-        first = F.max_by("node", F.struct("weight", "node"))
-        return members.groupBy("bucket").agg(first.alias("node"))
-    order = Window.partitionBy("bucket").orderBy(F.desc("weight"), F.desc("node"))
-    ranked = members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
-    return ranked.select("bucket", "node")
+    spark = documents.sparkSession
+    work, last = Work(spark), Work(spark)
+    try:
+        rows = work.stored(components(work, documents, similarity, limit), "rows-classes")
+        least = rows.groupBy("comp").agg(F.min(F.struct("doc_id", "node")).alias("least"))
+        named = rows.join(work.stored(least, "least"), "comp")
+        return last.stored(
+            named.selectExpr("doc_id", "node", "least.doc_id AS class_id", "least.node AS class_node"), "result"
+        )
+    finally:
+        work.clear()
 
 
-def remaining(members, heads, met, known, labels, similarity) -> DataFrame:
-    """The members of buckets that may still have links not found.
+NO_WORDS = "text IS NULL OR NOT text RLIKE '[^\\\\x00-\\\\x2F\\\\x3A-\\\\x40\\\\x5B-\\\\x60\\\\x7B-\\\\x7F]'"
 
-    Leaders have met all others and leave. Dissimilarity is a metric: members
-    linked to a leader can't be linked to those whose dissimilarity to it is
-    over twice the threshold, and leave too if the leader met nobody in
-    between. Buckets with all members in one component are done.
-    """
-    gone = heads.select("bucket", "node")
-    if known is not None:
-        measured = (
-            met.where("kind = 1")
-            .selectExpr(
-                "bucket",
-                "node AS member",
-                "leader AS head",
-                "least(node, leader) AS node",
-                "greatest(node, leader) AS leader",
-            )
-            .join(known, ["node", "leader"])
-        )
-        between = (
-            measured.where(F.col("similarity") < similarity)
-            .select("bucket", "head")
-            .unionByName(met.where("kind = 0").selectExpr("bucket", "leader AS head"))
-            .distinct()
-        )
-        linked = measured.where(F.col("similarity") >= similarity)
-        free = linked.join(stored(between, "near-between"), ["bucket", "head"], "left_anti")
-        gone = gone.unionByName(free.selectExpr("bucket", "member AS node"))
-    left = members.join(gone.distinct(), ["bucket", "node"], "left_anti").select("bucket", "node")
-    if labels is not None:
-        left = left.join(labels, "node", "left")
-    else:
-        left = left.withColumn("comp", F.lit(None).cast("long"))
-    left = stored(left.selectExpr("bucket", "node", "coalesce(comp, node) AS comp"), "near-left")
-    open_ = (
-        left.groupBy("bucket")
-        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-        .where("low < high")
-        .select("bucket")
-    )
-    return stored(left.join(stored(open_, "near-open"), "bucket"), "near-members")
 
-
-def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, limit: int = FAMILY) -> DataFrame:
     """doc_id, class_id: the smallest id of the documents that are linked, directly or not.
 
     Two texts are linked if the weighted Jaccard similarity of their multisets
     of five-word shingles is at least `similarity`. Texts of one to four words
     have one shingle, all of their words. A null or empty text, or one without
     words, is alone in its class; a null id has no class and stays null.
-    Repeated rows give repeated results. Other columns are not read.
+    Repeated rows give repeated results, an empty table none. Other columns are
+    not read. A text of any length is one row of 8 bytes a word; a task holds
+    `limit` of them, or one text.
     """
-    rows, labels = components(documents, similarity)
-    if labels is None:
-        joined = rows.selectExpr("doc_id", "node AS comp")
-    else:
-        joined = rows.join(labels, "node", "left").selectExpr(
-            "doc_id", "coalesce(comp, node) AS comp"
-        )
-    joined = stored(joined, "near-joined")
-    least = stored(joined.groupBy("comp").agg(F.min("doc_id").alias("class_id")), "near-classes")
-    with_words = joined.join(least, "comp").select("doc_id", "class_id")
+    with_words = classified(documents, similarity, limit).select("doc_id", "class_id")
     ids = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    without = ids.where(
-        "doc_id IS NULL OR text IS NULL OR NOT text RLIKE '[^\\\\x00-\\\\x2F\\\\x3A-\\\\x40\\\\x5B-\\\\x60\\\\x7B-\\\\x7F]'"
-    ).selectExpr("doc_id", "doc_id AS class_id")
+    without = ids.where(f"doc_id IS NULL OR {NO_WORDS}").selectExpr("doc_id", "doc_id AS class_id")
     return with_words.unionByName(without)
 
 
-def drop_near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def with_nodes(documents: DataFrame) -> DataFrame:
+    """The rows with a column that `sketch` calls node, null where a text has no word."""
+    place = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, first = words_of(batch.column(place))
+            none = np.diff(first) == 0
+            nodes = pa.array(text_keys(words, first).astype(np.int64), mask=none)
+            yield pa.RecordBatch.from_arrays([*batch.columns, nodes], [*batch.schema.names, NODE])
+
+    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField(NODE, T.LongType())]))
+
+
+NODE = "node of the text"
+
+
+def drop_near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, limit: int = FAMILY) -> DataFrame:
     """One document of each class, the one with the smallest id, with all its columns.
 
     Rows without an id or without words stay. Of rows that repeat id and text
-    one stays.
+    one stays. An id with several texts loses only those that are copies.
     """
-    classes = near_duplicates(documents, similarity).where("doc_id IS NOT NULL")
-    classes = stored(classes, "near-result")
-    lost = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    often = stored(
-        classes.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"),
-        "near-often",
+    rows = classified(documents, similarity, limit)
+    last = Work(documents.sparkSession)
+    ids = documents.selectExpr("CAST(doc_id AS LONG) AS doc_id").where("doc_id IS NOT NULL")
+    often = ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    often = last.stored(often, "often")
+    lost = last.stored(
+        rows.where("doc_id <> class_id OR node <> class_node").select("doc_id", "node").distinct(), "lost"
     )
-    kept = documents.join(lost, "doc_id", "left_anti")
+    kept = documents.join(lost.join(often, "doc_id", "left_anti").select("doc_id"), "doc_id", "left_anti")
     if not often.isEmpty():
         once = kept.join(often, "doc_id", "left_anti")
-        twice = kept.join(often, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        kept = once.unionByName(twice)
+        several = with_nodes(documents.select(*[F.col(f"`{c}`") for c in documents.columns]).join(often, "doc_id", "left_semi"))
+        copies = lost.selectExpr("doc_id", f"node AS `{NODE}`")
+        several = several.join(copies, ["doc_id", NODE], "left_anti")
+        worded = several.where(F.col(NODE).isNotNull()).dropDuplicates(["doc_id", NODE])
+        wordless = several.where(F.col(NODE).isNull()).dropDuplicates(["doc_id", "text"])
+        kept = once.unionByName(worded.unionByName(wordless).drop(NODE))
     return kept.select(*[F.col(f"`{c}`") for c in documents.columns])

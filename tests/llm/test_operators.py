@@ -598,11 +598,72 @@ def brute_classes(text_of: dict) -> dict:
     return {i: root(i) for i in sets}
 
 
-def test_classes_equal_brute_force(docs, texts):
+@pytest.mark.parametrize("limit", [near_dup.FAMILY, 20_000])
+def test_classes_equal_brute_force(docs, texts, limit):
+    """Also with a limit beyond which families are dealt over several tasks."""
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(docs, limit=limit).collect()}
+    assert got == brute_classes(texts)
+
+
+@pytest.mark.parametrize("limit", [near_dup.FAMILY, 4_000])
+def test_a_large_group_of_near_copies(spark, limit):
+    """Copies of one text at similarities around the threshold, which links some of them alone."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(220):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 2, 2, 3, 3, 4, 5])):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(docs, limit=limit).collect()}
+    want = brute_classes(dict(rows))
+    assert len(set(want.values())) > 5
+    # Bands may miss a pair; a class then falls apart, and no two are ever joined wrongly.
+    assert sum(got[i] != want[i] for i in want) <= 1
+
+
+def test_large_bands_lose_nothing(docs, texts, monkeypatch):
+    monkeypatch.setattr(near_dup, "BUCKET", 2)
     got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(docs).collect()}
     assert got == brute_classes(texts)
 
 
+def test_classes_of_members():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 30):
+        for share in (0.02, 0.2, 0.9):
+            linked = np.triu(rng.random((n, n)) < share, 1)
+            linked |= linked.T
+            label = near_dup.classes(n, lambda i, others: linked[i, others], int(rng.integers(n)))
+            want = np.arange(n)
+            for _ in range(n):
+                for i in range(n):
+                    want[i] = min([want[i], *want[linked[i]]])
+            assert len(set(zip(label.tolist(), want.tolist()))) == len(set(label)) == len(set(want))
+
+
+def test_an_id_with_several_texts_loses_copies_only(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    near = a.replace("a59", "z")
+    rows = [(3, a, "first"), (7, near, "copy"), (7, b, "kept"), (7, b, "again"), (7, b.upper(), "same words"), (8, b, "late")]
+    rows += [(9, None, "x"), (9, "", "y"), (9, None, "z"), (None, a, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    kept = near_dup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    got = Counter((r["doc_id"], (r["text"] or "").lower()) for r in kept.collect())
+    assert got == Counter([(3, a), (7, b), (9, ""), (9, ""), (None, a)])
+
+
+def test_work_folders_are_removed(spark, docs, monkeypatch, tmp_path):
+    monkeypatch.setattr(near_dup, "work_folder", lambda spark, label: f"{tmp_path}/{label}-{len(made)}-{made.append(1)}")
+    made: list = []
+    assert near_dup.near_duplicates(docs).count() == docs.count()
+    left = sorted(p.name.split("-")[1] for p in tmp_path.iterdir())
+    assert left == ["result"] and len(made) > 5
+
+
 def test_chains_repeats_and_odd_rows(spark):
     rng = random.Random(4)
     base = [f"v{i}" for i in range(200)]
