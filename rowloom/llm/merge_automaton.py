@@ -221,6 +221,12 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def has_usual_rules(plan: dict) -> bool:
+    """Whether a tokenizer file normalises and splits by the rules above."""
+    parts = plan.get("normalizer") or {}, plan.get("pre_tokenizer") or {}
+    return [parts[0].get("normalizers"), parts[1].get("pretokenizers")] == [USUAL_NORMALIZERS, USUAL_SPLITS]
+
+
 class Coder:
     """Encodes and decodes as the tokenizer file says; its library only splits texts into words.
 
@@ -241,8 +247,7 @@ class Coder:
         library = Tokenizer.from_file(path)
         self.normalize = library.normalizer.normalize_str
         self.split = library.pre_tokenizer.pre_tokenize_str
-        rules = [plan["normalizer"].get("normalizers"), plan["pre_tokenizer"].get("pretokenizers")]
-        self.usual = rules == [USUAL_NORMALIZERS, USUAL_SPLITS]
+        self.usual = has_usual_rules(plan)
         self.letters = byte_letters()
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.automaton = Automaton(model["vocab"], merges, model["end_of_word_suffix"] or "")

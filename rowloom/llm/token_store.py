@@ -18,6 +18,7 @@ import struct
 import zlib
 from functools import lru_cache
 from itertools import chain, groupby
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.llm.common import pieces, shared_files, stored, write_file
+from rowloom.llm.merge_automaton import LATIN, LATIN_WORDS, has_usual_rules
 from rowloom.session import work_folder
 
 MAGIC = b"TOKZ\x01"
@@ -35,6 +37,7 @@ DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 CACHE = 500_000  # words whose ids a worker remembers, at most
 LEARN = 20_000  # new words that are encoded in one call
+JOINED = 4_000  # strings of Latin letters that are encoded as one text
 BYTES = 4 << 20  # bytes of text whose distinct words are looked up together
 HEAD = len(MAGIC) + 32
 ENTRY = np.dtype([("doc_id", "<i8"), ("null", "<i8"), ("end", "<i8"), ("before", "<i8")])
@@ -61,24 +64,61 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as file:
+            plan = json.load(file)
+        end = plan["model"].get("end_of_word_suffix")
+        self.usual = bool(end) and has_usual_rules(plan)
+        names = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(1 + max(names.values(), default=0), np.int64)
+        if self.usual:
+            self.ends_word[[i for name, i in names.items() if name.endswith(end)]] = 1
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat = np.zeros(0, np.uint32)  # the ids of all known words
         self.ends = np.zeros(1, np.int64)
+        self.parts, self.part_ends, self.total = [], [], 0
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [e.ids for e in found]
 
     def learn(self, words: list[str]) -> None:
-        lists = [ids for i in range(0, len(words), LEARN) for ids in self.whole(words[i : i + LEARN])]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        ids = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
-        self.flat = np.concatenate([self.flat, ids])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        """Encode words that aren't known yet.
+
+        Those of Latin letters are encoded as one text, which makes one object
+        of the library instead of one for each: of each it is known how many
+        words the tokenizer sees in it, and its ids go up to that many word
+        ends. If the ends don't add up, and for all others, each is a text.
+        """
+        joined = [w for w in words if LATIN.fullmatch(w)] if self.usual else []
+        for i in range(0, len(joined), JOINED):
+            part = joined[i : i + JOINED]
+            ids = np.array(self.whole([" ".join(part)])[0], np.uint32)
+            ended = np.cumsum(self.ends_word[ids])
+            number = np.cumsum([len(LATIN_WORDS.findall(w.lower())) for w in part])
+            if len(ended) and ended[-1] == number[-1]:
+                self.remember(part, ids, np.searchsorted(ended, number) + 1)
+        rest = [w for w in words if w not in self.known]
+        for i in range(0, len(rest), LEARN):
+            lists = self.whole(rest[i : i + LEARN])
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            ids = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
+            self.remember(rest[i : i + LEARN], ids, np.cumsum(sizes))
+
+    def remember(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.parts.append(ids)
+        self.part_ends.append(ends + self.total)
+        self.total += len(ids)
+
+    def tables(self) -> None:
+        """Put what was learned since the last time behind the rest."""
+        if self.parts:
+            self.flat = np.concatenate([self.flat, *self.parts])
+            self.ends = np.concatenate([self.ends, *self.part_ends])
+            self.parts, self.part_ends = [], []
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, and how many each row has."""
@@ -92,6 +132,7 @@ class Encoder:
             new = kinds
         if new:
             self.learn(new)
+            self.tables()
         at_word = np.fromiter(map(self.known.__getitem__, kinds), np.int64, len(kinds))
         which = at_word[coded.indices.to_numpy(zero_copy_only=False)]
         starts = self.ends[which]
@@ -173,10 +214,23 @@ def part_of(documents: DataFrame, parts: int):
         .agg(F.max("doc_id").alias("end"))
         .select("end")
     )
-    listed = ", ".join(f"{e}L" for e in sorted(r["end"] for r in ends.collect())[:-1])
-    if not listed:
+    ends = sorted(r["end"] for r in ends.collect())[:-1]
+    if not ends:
         return F.lit(0)
-    return F.expr(f"coalesce(size(filter(array({listed}), e -> e < doc_id)), 0)").cast("int")
+    # In two steps, the ends in groups: about twice the root of their number is compared.
+    step = isqrt(len(ends)) + 1
+    groups = [ends[i : i + step] for i in range(0, len(ends), step)]
+
+    def listed(values) -> str:
+        return f"array({', '.join(f'{e}L' for e in values)})"
+
+    def under(values: str) -> str:
+        return f"coalesce(size(filter({values}, e -> e < doc_id)), 0)"
+
+    group = under(listed(g[-1] for g in groups))
+    inner = f"array({', '.join(map(listed, groups))}, CAST(array() AS ARRAY<BIGINT>))"
+    place = f"{group} * {step} + {under(f'element_at({inner}, {group} + 1)')}"
+    return F.expr(f"least({place}, {len(ends)})").cast("int")
 
 
 def encode_frames(documents: DataFrame, path: str, dictionary: bytes, end_id: int, wide: bool):
