@@ -26,10 +26,12 @@ SAMPLE = 3_000  # documents of each language that are learned from, about
 ROUNDS = 3
 SMOOTHING = 0.1
 UNKNOWN = 1e-7  # probability of a character that the vocabulary lacks
-LONGEST = 40  # characters of a word; longer ones are read in parts
+LONGEST = 40  # characters of a word that are read along with others; learning reads longer ones in parts
+CHUNK, RESCALE = 1 << 14, 16  # places of a longer word that are looked up, or passed between scalings
 BATCH_BYTES = 8 << 20
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+BLANKS = r"[\p{IsWhite_Space}\x1c-\x1f]+"  # what Arrow takes as white space, too
 START = "▁"  # stands before a word, as in the vocabulary
 
 
@@ -142,12 +144,55 @@ def expected_counts(words: pa.Array, times, own, vocab, table) -> np.ndarray:
     return out.reshape(vocab.size, -1)
 
 
+def long_score(points: np.ndarray, vocab, table) -> np.ndarray:
+    """The log probability of one word of any length in every language, over all segmentations.
+
+    The sums of the next places, as many as the longest piece has letters, go
+    round in a ring and are scaled again before they get too small.
+    """
+    n, longest = len(points), vocab.longest
+    table = np.vstack([table[: vocab.size], np.zeros(table.shape[1])])
+    ring = np.zeros((longest + 1, table.shape[1]))
+    ring[0] = 1.0
+    lost = np.zeros(table.shape[1])
+    for begin in range(0, n, CHUNK):
+        starts = min(CHUNK, n - begin)
+        letters = points[begin : begin + starts + longest].astype(np.uint64) + np.uint64(1)
+        value = np.zeros(starts, np.uint64)
+        pieces_at = np.full((longest, starts), vocab.size, np.int64)
+        for length in range(1, longest + 1):
+            fit = max(0, min(starts, len(letters) - length + 1))
+            value = value[:fit] * BASE + letters[length - 1 : length - 1 + fit]
+            pieces_at[length - 1, :fit] = vocab.find(value)
+        known = pieces_at < vocab.size
+        reach = np.where(known.any(axis=0), longest - known[::-1].argmax(axis=0), 1).tolist()
+        single = known[0].tolist()
+        for i in range(starts):
+            at = (begin + i) % (longest + 1)
+            here, ring[at] = ring[at].copy(), 0.0
+            gain = here * table[pieces_at[: reach[i], i]]
+            if not single[i]:
+                gain[0] = here * UNKNOWN
+            ring[(at + 1 + np.arange(reach[i])) % (longest + 1)] += gain
+            if i % RESCALE == 0:
+                top = ring.max(axis=0)
+                ring /= top
+                lost += np.log(top)
+    return np.log(ring[n % (longest + 1)]) + lost
+
+
 def word_scores(words: pa.Array, vocab, table) -> np.ndarray:
     """Log probabilities of words in every language, summed over all segmentations."""
     out = np.zeros((len(words), table.shape[1]))
-    for which, points in by_length(words):
-        alpha, _, _ = forward(points, vocab, table)
-        np.add.at(out, which, np.log(alpha[-1]))
+    long = pc.greater(pc.utf8_length(words), LONGEST - len(START)).to_numpy(zero_copy_only=False)
+    short = np.flatnonzero(~long)
+    if len(short):
+        for which, points in by_length(words.take(pa.array(short))):
+            alpha, _, _ = forward(points, vocab, table)
+            out[short[which]] = np.log(alpha[-1])
+    for i in np.flatnonzero(long).tolist():
+        points = np.frombuffer((START + words[i].as_py()).encode("utf-32-le"), np.uint32)
+        out[i] = long_score(points, vocab, table)
     return out
 
 
@@ -185,7 +230,7 @@ def learn(documents: DataFrame, path: str) -> tuple[list[str], np.ndarray]:
         known.where(drawn)
         .select(
             number[F.col("lang")].alias("own"),
-            F.explode(F.split(F.lower("text"), r"\s+")).alias("word"),
+            F.explode(F.split(F.lower("text"), BLANKS)).alias("word"),
         )
         .where("word <> ''")
         .groupBy("own", "word")
