@@ -363,7 +363,8 @@ def mask_personal_data(documents: DataFrame) -> DataFrame:
 
     Base forms first, in the order of ``KINDS``, each in what the former has
     left; then, as [ID], the identifiers that the bootstrap finds in the same
-    documents. Null texts stay null, rows without personal data unchanged.
+    documents, where they stand between other characters than ASCII letters and
+    digits. Null texts stay null, rows without personal data unchanged.
     """
     found = stored(scan(documents), "pii-spans")
     places = bootstrap(found).selectExpr("doc_id AS id", "key AS other_key", "start AS at")
@@ -379,6 +380,7 @@ def mask_personal_data(documents: DataFrame) -> DataFrame:
     rows = documents.selectExpr(
         "struct(*) AS d", f"{KEY} AS key", f"{clean_expr('cast(text AS string)')} AS t"
     )
+    whole = r"concat('(?<![A-Za-z0-9])\\Q', replace(w, '\\E', '\\E\\\\E\\Q'), '\\E(?![A-Za-z0-9])')"
     for kind in KINDS:
         rows = rows.selectExpr("d", "key", "t", f"{cut_expr(kind, 't')} AS p").selectExpr(
             "d",
@@ -392,11 +394,10 @@ def mask_personal_data(documents: DataFrame) -> DataFrame:
         "d",
         "CASE WHEN _pii_words IS NULL THEN t ELSE aggregate("
         "array_sort(_pii_words, (a, b) -> length(b) - length(a)), t,"
-        " (a, w) -> replace(a, w, '[ID]')) END AS t",
+        f" (a, w) -> regexp_replace(a, {whole}, '[ID]')) END AS t",
     )
+    # The marks that cleaning takes out come back where nothing was replaced.
+    same = f"CASE WHEN t = {clean_expr('cast(d.text AS string)')} THEN cast(d.text AS string) ELSE t END AS text"
     return masked.selectExpr(
-        *(
-            "t AS text" if c == "text" else f"d.`{c.replace('`', '``')}`"
-            for c in documents.columns
-        )
+        *(same if c == "text" else f"d.`{c.replace('`', '``')}`" for c in documents.columns)
     )

@@ -262,6 +262,30 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(got, [np.log(total(marked, i)) for i in range(2)])
 
 
+def test_long_words_sum_all_segmentations(monkeypatch):
+    """Words beyond LONGEST, across chunks, equal the plain forward pass of the whole word."""
+    vocab = language.vocabulary(PIECES)
+    table = np.random.default_rng(1).random((vocab.size + 1, 3)) * 1e-3
+    table[-1] = 0
+    rng = random.Random(5)
+    words = ["".join(rng.choices("etaoinshé☃", k=n)) for n in (38, 39, 40, 41, 56, 120)]
+    monkeypatch.setattr(language, "CHUNK", 16)
+    got = language.word_scores(pa.array(words), vocab, table)
+    monkeypatch.setattr(language, "LONGEST", 1_000)
+    assert np.allclose(got, language.word_scores(pa.array(words), vocab, table), rtol=1e-9)
+
+
+def test_a_text_of_a_million_letters(spark):
+    docs = spark.createDataFrame(
+        [(i, f"wort der die und {i} " * 20, "de") for i in range(1, 40)]
+        + [(100 + i, f"word the and of {i} " * 20, "en") for i in range(40)]
+        + [(500, "thewordandof" * 90_000, None), (501, "no\u00a0break\u3000the and", None)],
+        "doc_id long, text string, lang string",
+    )
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, PIECES).collect()}
+    assert got[500] == "en" and got[501] == "en"
+
+
 def test_held_out_accuracy(docs):
     rows = language.identify(docs, PIECES).join(docs.select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in rows if r["held_out"]]
@@ -409,6 +433,17 @@ def test_contexts_find_other_identifiers(spark):
     assert masked[3] == "the customer-ip [IP] was seen"
 
 
+def test_masks_cover_whole_identifiers_only(spark):
+    """A found identifier within a longer one stays, and so do marks where nothing is masked."""
+    rows = [(i, f"the customer-ip 10.0.0.{i} was seen") for i in range(8)]
+    rows += [(50, "the customer-ip 999.1.2.3 but not 7999.1.2.34 or 999.1.2.3x (999.1.2.3)")]
+    rows += [(51, "\ufdd0 nothing \ufdd3 here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    masked = {r["doc_id"]: r["text"] for r in pii.mask_personal_data(docs).collect()}
+    assert masked[50] == "the customer-ip [ID] but not 7999.1.2.34 or 999.1.2.3x ([ID])"
+    assert masked[51] == rows[9][1]
+
+
 def test_contexts_find_grouped_digits_and_new_patterns(spark):
     rows = [(1000 + i, f"now dial-me +1 (555) 123-4{i:03} please") for i in range(400)]
     rows += [(40, "now dial-me (017) 555-7713 at noon"), (41, "take (017) 555-7713 parts")]
@@ -566,6 +601,40 @@ def test_cutoffs_keep_the_risk():
     assert all(np.isinf(v) for v in few.values.values())  # too few to prove anything
 
 
+def test_verdicts_equal_brute_force(spark):
+    """Learned from Spark rows: each bound counts all held-out good documents, repeated rows too."""
+    rng = random.Random(9)
+    kinds = [f"word{i}" for i in range(300)]
+    rows, marks = [], []
+    for i in range(9_000):
+        good = rng.random() < 0.6
+        text = " ".join(rng.choice(kinds) for _ in range(rng.choice([55, 60, 130])))
+        if not good and rng.random() < 0.8:
+            text += " #|#" * rng.randint(20, 40)
+        rows += [(i, text)] * (2 if i % 50 == 0 else 1)
+        marks.append((i, int(good)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    found = quality.learn(docs, labels)
+    folds = docs.selectExpr("doc_id", "text", "pmod(xxhash64(text), 2) AS fold").collect()
+    measured = quality.measure(pa.array([r["text"] for r in folds]))
+    mark = dict(marks)
+    table = np.array(
+        [
+            [r["fold"], measured["stratum"][n], mark[r["doc_id"]], *(measured[rule][n] for rule in quality.RULES)]
+            for n, r in enumerate(folds)
+            if not measured["base_failed"][n]
+        ],
+        float,
+    )
+    assert found == quality.fit_cutoffs(table)
+    assert np.isfinite(found.values[0, "symbols"]) and found.bounds[0, "symbols"] > 0
+    judged = quality.judge(docs, found).collect()
+    kept = {r["doc_id"]: k for r, k in zip(folds, found.verdict(measured).tolist())}
+    assert all(r["kept"] == kept[r["doc_id"]] for r in judged)
+    assert not all(kept.values()) and np.mean([kept[i] for i, g in marks if g]) > 0.95
+
+
 def test_quality_of_odd_tables(spark):
     labels = spark.createDataFrame([(1, None), (None, 1), (2, 0)], "doc_id long, quality int")
     cutoffs = quality.learn(odd_documents(spark), labels)
