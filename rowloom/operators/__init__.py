@@ -45,17 +45,33 @@ from rowloom.operators.select import (
     split_label,
     with_derived,
 )
+from rowloom.operators.sketch import (
+    DistinctState,
+    approx_medians,
+    distinct_error,
+    merge_quantiles,
+    quantile_sketches,
+    quantiles,
+    rank_error,
+)
+from rowloom.operators.sparse import category_index, one_hot_long, one_hot_sparse, sparse_dot
+from rowloom.operators.state import RollupState
 
 __all__ = [
+    "DistinctState",
     "Requested",
+    "RollupState",
     "ScaleParams",
     "aggregate_by",
+    "approx_medians",
     "attach_group_aggregates",
     "cast_to_category",
+    "category_index",
     "category_share_long",
     "check_ids",
     "column_bounds",
     "count_of",
+    "distinct_error",
     "distinct_from_categories",
     "distinct_of",
     "drop_category",
@@ -72,16 +88,23 @@ __all__ = [
     "lookup_join",
     "mean_of",
     "memory_report",
+    "merge_quantiles",
     "narrow",
     "narrow_types",
     "one_hot",
+    "one_hot_long",
+    "one_hot_sparse",
     "peek",
     "prefix_columns",
+    "quantile_sketches",
+    "quantiles",
+    "rank_error",
     "rename_columns",
     "rollup_child",
     "select_named",
     "shape_report",
     "share_of",
+    "sparse_dot",
     "split_label",
     "sum_of",
     "unknown_requests",

@@ -14,10 +14,19 @@ from rowloom.operators.select import drop_columns
 from rowloom.plans import clean, history
 from rowloom.plans import domain as d
 from rowloom.plans.params import MAIN, FittedParams
+from rowloom.session import written
 
 Tables = Mapping[str, DataFrame]
 
 WITH_SHARES = ("bureau", "previous_application", "POS_CASH_balance", "credit_card_balance")
+ROLLUP_ORDER = (
+    "bureau",
+    "bureau_balance",
+    "previous_application",
+    "POS_CASH_balance",
+    "installments_payments",
+    "credit_card_balance",
+)
 
 
 def clean_main(application: DataFrame) -> DataFrame:
@@ -68,11 +77,12 @@ def restrict(tables: Tables, requests: DataFrame | Iterable) -> dict[str, DataFr
 
     Done before any grouping, so that a list of ids filters the scans. The
     monthly balances know no customer; they are cut down to the loans of the
-    requested customers.
+    requested customers, which are written first: a plain side of the join, so
+    that adaptive execution can split a loan with very many months.
     """
     wanted = Requested(requests, d.CUSTOMER)
     out = {t: wanted.keep(df) for t, df in tables.items() if t != "bureau_balance"}
-    loans = out["bureau"].selectExpr(name_of(d.BUREAU_LOAN)).distinct()
+    loans = written(out["bureau"].selectExpr(name_of(d.BUREAU_LOAN)).distinct(), "loans")
     return out | {
         "bureau_balance": tables["bureau_balance"].join(loans, d.BUREAU_LOAN, "left_semi")
     }

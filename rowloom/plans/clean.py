@@ -76,19 +76,16 @@ def derive_application(df: DataFrame) -> DataFrame:
     )
 
 
-def bureau_totals(df: DataFrame, loan_types: str | None = None) -> dict[str, str]:
-    """Per-customer aggregates of the bureau loans.
+def loan_totals(credit: str, debt: str, overdue: str, loans: str, loan_types: str) -> dict[str, str]:
+    """The totals of a customer's loans, from the sums and counts they are made of.
 
     The two ratios are expressions over the sums, and the debt sum that is
     wanted under two names is one aggregate in the plan.
     """
-    credit = sum_of(df, "AMT_CREDIT_SUM")
-    debt = sum_of(df, "AMT_CREDIT_SUM_DEBT")
-    overdue = sum_of(df, "AMT_CREDIT_SUM_OVERDUE")
     overdue_ratio = fill_missing(safe_ratio(overdue, debt, d.GUARD_ONE), 0.0)
     return {
-        "LOAN_COUNT_BUREAU": count_of(d.BUREAU_LOAN),
-        "LOAN_TYPES_BUREAU": loan_types or distinct_of("CREDIT_TYPE"),
+        "LOAN_COUNT_BUREAU": loans,
+        "LOAN_TYPES_BUREAU": loan_types,
         "TOTAL_LOAN_AMT_SUM": credit,
         "TOTAL_LOAN_AMT_SUM_DEBT": debt,
         "debt_credit_ratio": safe_ratio(debt, credit, d.GUARD_ONE),
@@ -98,6 +95,12 @@ def bureau_totals(df: DataFrame, loan_types: str | None = None) -> dict[str, str
     }
 
 
+def bureau_totals(df: DataFrame, loan_types: str | None = None) -> dict[str, str]:
+    """`loan_totals` as per-customer aggregates of the bureau loans."""
+    sums = [sum_of(df, c) for c in ("AMT_CREDIT_SUM", "AMT_CREDIT_SUM_DEBT", "AMT_CREDIT_SUM_OVERDUE")]
+    return loan_totals(*sums, count_of(d.BUREAU_LOAN), loan_types or distinct_of("CREDIT_TYPE"))
+
+
 def derive_bureau(df: DataFrame) -> DataFrame:
     """Every bureau loan with the totals of its customer. Runs jobs (hot keys)."""
     return attach_group_aggregates(df, d.CUSTOMER, bureau_totals(df))

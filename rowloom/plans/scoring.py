@@ -99,11 +99,21 @@ def score_requests(
     out by cleaning (``filtered``) and an unknown id (``not_found``).
     """
     wanted = Requested(requests, d.CUSTOMER)
-    known = wanted.keep(select_named(application, [d.CUSTOMER])).selectExpr("*", "TRUE AS known")
-    scored = score_features(wanted.keep(features), scorer, selected).selectExpr("*", "TRUE AS scored")
-    answers = known.join(scored, d.CUSTOMER, "left")
-    return lookup_join(requests, answers, d.CUSTOMER).selectExpr(
-        *[name_of(c) for c in requests.columns],
+    known = wanted.keep(select_named(application, [d.CUSTOMER]))
+    answers = answers_of(known, score_features(wanted.keep(features), scorer, selected))
+    return finish_answers(lookup_join(requests, answers, d.CUSTOMER), requests.columns)
+
+
+def answers_of(known: DataFrame, scored: DataFrame) -> DataFrame:
+    """Known customers with their scores, where they have one."""
+    scored = scored.selectExpr("*", "TRUE AS scored")
+    return known.selectExpr("*", "TRUE AS known").join(scored, d.CUSTOMER, "left")
+
+
+def finish_answers(joined: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of the requests, then score, class, verdict and status."""
+    return joined.selectExpr(
+        *[name_of(c) for c in columns],
         "prob",
         "pred",
         f"{verdict_of('pred')} AS verdict",
