@@ -39,20 +39,22 @@ def _narrowest(kind: T.DataType, low, high) -> T.DataType:
     return T.DoubleType()
 
 
-def narrow_types(df: DataFrame) -> dict[str, T.DataType]:
+def narrow_types(
+    df: DataFrame, floats: bool = True, bounds: Mapping[str, object] | None = None
+) -> dict[str, T.DataType]:
     """Smallest type for every integer, float and boolean column. Runs one job.
 
     The bounds are exclusive, so a maximum of 127 needs a short. Strings and
     decimals are left alone, and an all-missing float column stays double.
+    Without ``floats`` only integers are looked at. ``bounds`` are known
+    ``min_<c>`` and ``max_<c>``, from file statistics for example; no job runs
+    then.
     """
-    kinds = {
-        f.name: f.dataType
-        for f in df.schema.fields
-        if isinstance(f.dataType, INTEGERS + FLOATS)
-    }
+    looked_at = INTEGERS + FLOATS if floats else INTEGERS
+    kinds = {f.name: f.dataType for f in df.schema.fields if isinstance(f.dataType, looked_at)}
     if not kinds:
         return {}
-    row = column_bounds(df, kinds).head()
+    row = column_bounds(df, kinds).head() if bounds is None else bounds
     return {n: _narrowest(k, row[f"min_{n}"], row[f"max_{n}"]) for n, k in kinds.items()}
 
 

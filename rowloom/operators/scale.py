@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from rowloom.functions import fill_missing, name_of, numeric_columns, require_columns, value_of
 from rowloom.operators.select import with_derived
+from rowloom.operators.sketch import approx_medians
+from rowloom.session import remove_folder, work_folder, written
 
 SKETCH_ACCURACY = 1_000  # relative rank error of a pivot is about 1 / accuracy
 SKETCH_GROUPS = 32  # groups of map tasks that each propose pivots
@@ -70,15 +72,19 @@ def exact_medians(
     and the interval shrinks until a proposed value is the wanted rank. The
     counts make the result exact, whatever the sketches propose. All columns
     share the passes; a pass returns one small row, or one for each group.
+    After the first two passes only the values in an open interval, about one
+    in 500, are written and read again.
     """
     values = _doubles(list(counts))
     searching = {n: _Search(rank=(k - 1) // 2, inside=k) for n, k in counts.items() if k}
     lower: dict[str, float] = {}
     upper: dict[str, float] = {}
+    rows, folders = df, []
+    offset = dict.fromkeys(searching, 0)  # values under those in the rows
     while searching:
         names = list(searching)
         proposed = (
-            df.groupBy(F.expr(f"pmod(spark_partition_id(), {SKETCH_GROUPS})").alias("tasks"))
+            rows.groupBy(F.expr(f"pmod(spark_partition_id(), {SKETCH_GROUPS})").alias("tasks"))
             .agg(*[F.expr(f"{searching[n].pivots(values[n], accuracy)} AS p{i}") for i, n in enumerate(names)])
             .collect()
         )
@@ -86,7 +92,7 @@ def exact_medians(
             n: _spread([v for r in proposed for v in r[f"p{i}"] or []])
             for i, n in enumerate(names)
         }
-        counted = df.selectExpr(
+        counted = rows.selectExpr(
             *[
                 f"count_if({values[n]} {sign} {value_of(p)}) AS {side}{i}_{j}"
                 for i, n in enumerate(names)
@@ -98,7 +104,7 @@ def exact_medians(
             s = searching[n]
             under_high = s.below + s.inside
             for j, p in enumerate(pivots[n]):
-                under, upto = counted[f"u{i}_{j}"], counted[f"t{i}_{j}"]
+                under, upto = (counted[f"{side}{i}_{j}"] + offset[n] for side in "ut")
                 if under <= s.rank < upto:
                     lower[n] = p
                     if counts[n] % 2 or s.rank + 1 < upto:
@@ -112,6 +118,14 @@ def exact_medians(
                     break
             if n in searching:
                 s.inside = under_high - s.below
+                offset[n] = s.below
+        if searching:
+            folders.append(work_folder(df.sparkSession, "medians"))
+            inside = rows.selectExpr(*[f"{s.inside_only(values[n])} AS {name_of(n)}" for n, s in searching.items()])
+            some = " OR ".join(f"{name_of(n)} IS NOT NULL" for n in searching)
+            rows = written(inside.where(some), "medians", folders[-1])
+    for folder in folders:
+        remove_folder(df.sparkSession, folder)
     open_ends = [n for n in lower if n not in upper]
     if open_ends:
         row = df.selectExpr(
@@ -129,16 +143,30 @@ def fit_impute_scale(
     key: str,
     columns: Sequence[str] | None = None,
     accuracy: int = SKETCH_ACCURACY,
+    approx: int | None = None,
 ) -> dict[str, ScaleParams]:
     """Median, minimum and maximum of every numeric and boolean column but the key.
 
-    Runs jobs, each one pass over all columns. A median lies between minimum
+    Runs jobs. The plan of the table is computed once: its columns are written
+    as doubles, and all passes read these. A median lies between minimum
     and maximum, so both are the same before and after imputing. Columns of
     zeros and ones, such as one-hot columns and flags, have their median read
-    off the first pass, which counts the ones.
+    off the first pass, which counts the ones. With ``approx``, the size of a
+    quantile sketch, the other medians come from one pass and are as near as
+    `rank_error` says; without it they are exact.
     """
     names = numeric_columns(df, [key], booleans=True) if columns is None else list(columns)
     require_columns(df, names)
+    values = _doubles(names)
+    spark, folder = df.sparkSession, work_folder(df.sparkSession, "fit")
+    df = written(df.selectExpr(*[f"{values[n]} AS {name_of(n)}" for n in names]), "fit", folder)
+    try:
+        return _fit(df, names, accuracy, approx)
+    finally:
+        remove_folder(spark, folder)
+
+
+def _fit(df: DataFrame, names: list[str], accuracy: int, approx: int | None) -> dict[str, ScaleParams]:
     values = _doubles(names)
     first = [("count", "n"), ("min", "lo"), ("max", "hi")]
     row = df.selectExpr(
@@ -163,7 +191,8 @@ def fit_impute_scale(
         if not row[f"odd{i}"]
     }
     others = {n: k for n, k in counts.items() if n not in medians}
-    medians |= exact_medians(df, others, accuracy) if others else {}
+    if others:
+        medians |= approx_medians(df, list(others), approx) if approx else exact_medians(df, others, accuracy)
     return {
         n: ScaleParams(medians[n], row[f"lo{i}"], row[f"hi{i}"]) for i, n in enumerate(names)
     }

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rowloom.functions import name_of, value_of
 
@@ -36,6 +36,8 @@ NA_TOKENS = (
 # Texts read as true and false.
 BOOLEANS = ("True", "TRUE", "true", "False", "FALSE", "false")
 
+WHOLE_FILE = str(1 << 50)  # bytes of a split, so that each file is one
+
 
 def _present(column: str) -> str:
     tokens = ", ".join(value_of(t) for t in NA_TOKENS)
@@ -84,24 +86,34 @@ def infer_types(texts: DataFrame, declared: Mapping[str, str] | None = None) ->
     return {c: types[c] for c in texts.columns}
 
 
+def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files by their first line, of which a task reads the first block and no more."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.maxPartitionBytes", WHOLE_FILE)
+    own.conf.set("spark.sql.files.openCostInBytes", WHOLE_FILE)
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.slice(0, 1)
+                return
+
+    lines = own.read.text(path).selectExpr("_metadata.file_path AS file", "value AS header")
+    found = lines.mapInArrow(first, "file string, header string").collect()
+    files: dict[str, list[str]] = {}
+    for r in sorted(found, key=lambda r: r["file"]):
+        files.setdefault(r["header"].rstrip("\r"), []).append(r["file"])
+    return files
+
+
 def _texts(spark: SparkSession, path: str, multi_line: bool, one_header: bool) -> DataFrame:
     """All columns of all files as text."""
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
-    lines = spark.read.text(path)
-    if one_header or len(lines.inputFiles()) < 2:
+    if one_header or len(spark.read.text(path).inputFiles()) < 2:
         return reader.csv(path)
-    first = (
-        lines.selectExpr("_metadata.file_path AS file", "_metadata.file_block_start AS at", "value")
-        .withColumn("line", F.monotonically_increasing_id())
-        .where("at = 0")
-        .groupBy("file")
-        .agg(F.min_by("value", "line").alias("header"))
-        .collect()
-    )
-    files: dict[str, list[str]] = {}
-    for r in sorted(first, key=lambda r: r["file"]):
-        files.setdefault(r["header"].rstrip("\r"), []).append(r["file"])
-    if len(files) == 1:
+    files = _headers(spark, path)
+    if len(files) < 2:
         return reader.csv(path)
     parts = [reader.csv(names) for names in files.values()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -119,8 +131,8 @@ def read_csv(
 
     Columns are matched by header name: files with other columns, or the same
     in another order, are read by their own header. Finding the headers of more
-    than one file takes a pass over the lines, which ``one_header`` saves where
-    all files are known to have the same. ``multi_line`` allows line breaks
+    than one file takes a task and a read of the first block for each file, which
+    ``one_header`` saves where all files are known to have the same. ``multi_line`` allows line breaks
     within quotes; a file is then read by one task. ``types`` declares columns;
     the others are inferred with one extra pass, or stay text when ``infer`` is
     off. Declare the types of large tables to save that pass.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rowloom.functions import nan_to_null
-from rowloom.operators.narrow import narrow
+from rowloom.operators.narrow import narrow, narrow_types
 from rowloom.sources.csv import read_csv
 
 # The input tables by name.
@@ -52,12 +52,15 @@ def load_tables(
     return out
 
 
-def store_tables(tables: dict[str, DataFrame], folder: str, narrowed: bool = True) -> None:
-    """Write the bundle as parquet, by default in narrow types. Runs one pass each.
+def store_tables(
+    tables: dict[str, DataFrame], folder: str, narrowed: bool = True, single: bool = False
+) -> None:
+    """Write the bundle as parquet, by default in narrow integer types. Runs one pass each.
 
     Text tables are then parsed and measured once instead of on every use.
-    Floats become single precision; pass ``narrowed=False`` to keep doubles.
+    Doubles stay as they are, so every value is read back; ``single`` makes them
+    single precision where their range allows it.
     """
     for table, df in tables.items():
-        out = narrow(df) if narrowed else df
+        out = narrow(df, narrow_types(df, floats=single)) if narrowed else df
         out.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{table}.parquet")
