@@ -739,3 +739,43 @@ ORACLE["exact_median_large"] = (
     + ", ".join(f"median(CAST({c} AS DOUBLE)) AS {c}" for c in _ITEM_NUMERIC)
     + " FROM lineitem"
 )
+
+# States, upserts and sketches ------------------------------------------------
+
+ORACLE["rollup_incremental"] = ORACLE["rollup_bureau"]
+ORACLE["rollup_incremental_balance"] = ORACLE["rollup_bureau_balance"]
+ORACLE["rollup_incremental_card"] = ORACLE["rollup_credit"]
+ORACLE["features_refreshed"] = ORACLE["customer_features"]
+ORACLE["feature_upsert"] = ORACLE["feature_sink"]
+ORACLE["tree_scores"] = f"""{with_views('application')}
+SELECT SK_ID_CURR, round(1::DOUBLE / (1::DOUBLE + exp(-(-0.1::DOUBLE
+  + CASE WHEN AMT_CREDIT IS NULL OR AMT_CREDIT < 15000
+      THEN CASE WHEN DAYS_EMPLOYED < -3000 THEN 0.3::DOUBLE ELSE -0.2::DOUBLE END
+      WHEN REGION_RATING_CLIENT_W_CITY < 2.5 THEN 0.15::DOUBLE ELSE -0.45::DOUBLE END
+  + CASE WHEN OBS_30_CNT_SOCIAL_CIRCLE < 20 THEN 0.25::DOUBLE
+      WHEN AMT_INCOME_TOTAL IS NULL OR AMT_INCOME_TOTAL < 5000.5 THEN -0.6::DOUBLE
+      ELSE 0.1::DOUBLE END
+  + 0.05::DOUBLE))), 9) AS prob FROM application"""
+ORACLE["onehot_sparse"] = f"""{with_views('bureau')},
+entry AS (SELECT SK_ID_BUREAU, 'CREDIT_TYPE' AS c, CREDIT_TYPE AS v FROM bureau
+  UNION ALL SELECT SK_ID_BUREAU, 'CREDIT_ACTIVE', CREDIT_ACTIVE FROM bureau),
+numbered AS (SELECT c, v, row_number() OVER (ORDER BY c, v) - 1 AS i
+  FROM (SELECT DISTINCT c, v FROM entry WHERE v IS NOT NULL))
+SELECT SK_ID_BUREAU, i AS "index", 1::DOUBLE AS "value" FROM entry JOIN numbered USING (c, v)"""
+ORACLE["score_requests_joined"] = ORACLE["score_requests"]
+ORACLE["median_approx"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(*) AS row_count, TRUE AS within FROM lineitem" for c in _ITEM_NUMERIC
+)
+ORACLE["distinct_sketched"] = """SELECT l_linenumber::BIGINT AS l_linenumber,
+  count(DISTINCT l_orderkey) AS n_l_orderkey, count(DISTINCT l_partkey) AS n_l_partkey,
+  count(DISTINCT l_shipdate) AS n_l_shipdate, TRUE AS within FROM lineitem GROUP BY l_linenumber"""
+ORACLE["pipeline_roundtrip"] = ORACLE["prepared_applications"]
+ORACLE["footer_bounds"] = ORACLE["column_bounds"]
+ORACLE["bloom_lookup"] = f"""{with_views('POS_CASH_balance')}
+SELECT * REPLACE (SK_DPD::BIGINT AS SK_DPD, SK_DPD_DEF::BIGINT AS SK_DPD_DEF) FROM POS_CASH_balance
+WHERE SK_ID_PREV IN (0, 77, 4242, 99, 123456789)"""
+ORACLE["bundle_values"] = f"""{with_views('application')}
+SELECT * REPLACE (TARGET::BIGINT AS TARGET, REGION_RATING_CLIENT::BIGINT AS REGION_RATING_CLIENT,
+  REGION_RATING_CLIENT_W_CITY::DOUBLE AS REGION_RATING_CLIENT_W_CITY) FROM application"""
+ORACLE["ml_predictions"] = ORACLE["predictions"]
+ORACLE["python_predictions"] = ORACLE["predictions"]

@@ -9,20 +9,38 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.wrapper import JavaWrapper
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from checks.views import REQUEST_COLUMNS, bundle, table, view
+from checks.views import BUNDLE, REQUEST_COLUMNS, bundle, table, view
 from rowloom import functions as fn
 from rowloom import operators as op
 from rowloom.functions import name_of
 from rowloom.plans import build, clean, history, scoring
 from rowloom.plans import domain as d
+from rowloom.plans.incremental import HistoryState, refresh
 from rowloom.plans.params import MAIN, FittedParams
+from rowloom.plans.stages import PrepareApplications
+from rowloom.plans.trees import Node, TreeModel
 from rowloom.session import work_folder
-from rowloom.sources import load_tables, read_csv, read_features, store_tables, write_features
-from rowloom.streaming import score_request_stream
+from rowloom.sources import (
+    BatchStore,
+    PartitionedTable,
+    footer_bounds as bounds_in_footers,
+    load_tables,
+    read_csv,
+    read_features,
+    store_tables,
+    write_features,
+)
+from rowloom.streaming import score_request_stream, score_requests_joined as start_joined, stored_answers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -759,3 +777,229 @@ def score_requests_stream(spark: SparkSession, sf: str) -> DataFrame:
         SELECTED,
     ).awaitTermination()
     return plain(spark.read.parquet(path).drop("batch"), 6, gaps=("pred",))
+
+
+# States, upserts and sketches ------------------------------------------------
+
+# Which rows of a history table come with the second batch, about a third.
+LATER = {t: "SK_ID_PREV % 3 = 2" for t in BUNDLE} | {
+    "bureau": "SK_ID_BUREAU % 3 = 2",
+    "bureau_balance": "MONTHS_BALANCE % 3 = 0",
+}
+
+
+def _batches(tables: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    history = {t: df for t, df in tables.items() if t != MAIN}
+    first = {t: df.where(f"NOT ({LATER[t]})") for t, df in history.items()}
+    return first, {t: df.where(LATER[t]) for t, df in history.items()}
+
+
+def _two_batches(spark: SparkSession, sf: str, *names: str) -> HistoryState:
+    """The states of some tables: two thirds stored, a third added, once though asked for twice."""
+    state = HistoryState(spark, work_folder(spark, "state"))
+    first, second = _batches({t: view(spark, sf, t) for t in names})
+    state.add("first", first)
+    state.add("second", second)
+    state.add("second", second)
+    return state
+
+
+@query
+def rollup_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """The bureau roll-up from stored sums: shares, means, totals and distinct loan types."""
+    return rounded(_two_batches(spark, sf, "bureau").bureau())
+
+
+@query
+def rollup_incremental_balance(spark: SparkSession, sf: str) -> DataFrame:
+    """The balance roll-up from sums per loan, merged before it is read."""
+    state = _two_batches(spark, sf, "bureau", "bureau_balance")
+    state.compact("merged")
+    return rounded(state.balance.rollup())
+
+
+@query
+def rollup_incremental_card(spark: SparkSession, sf: str) -> DataFrame:
+    """The card roll-up from stored sums of its derived columns, booleans included."""
+    state = _two_batches(spark, sf, "credit_card_balance")
+    return rounded(state.children["credit_card_balance"].rollup(d.PREFIXES["credit_card_balance"]))
+
+
+@query
+def features_refreshed(spark: SparkSession, sf: str) -> DataFrame:
+    """The feature table of two thirds of the history, brought up to date with the last third."""
+    tables = bundle(spark, sf)
+    params = build.fit_params(tables)
+    state = HistoryState(spark, work_folder(spark, "state"))
+    stored = PartitionedTable(spark, work_folder(spark, "features"), d.CUSTOMER, parts=16)
+    first, second = _batches(tables)
+    state.add("first", first)
+    stored.write(state.features(tables[MAIN], params))
+    state.add("second", second)
+    refresh(stored, state, "second", tables[MAIN], params)
+    out = stored.read()
+    return rounded(out, main_columns(out))
+
+
+@query
+def feature_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Installment roll-ups of older rows, those of customers with newer rows replaced."""
+    rows = view(spark, sf, "installments_payments")
+    newer = rows.where(LATER["installments_payments"])
+    stored = PartitionedTable(spark, work_folder(spark, "features"), d.CUSTOMER, parts=16)
+    stored.write(history.rollup_installments(rows.where(f"NOT ({LATER['installments_payments']})")))
+    stored.upsert(history.rollup_installments(op.keep_requested(rows, newer, d.CUSTOMER)))
+    return plain(stored.read(), 4, EXACT_INSTPAY)
+
+
+# Fixed nodes of a small model: splits on amounts, days and codes with missing values.
+TREES = (
+    Node(0, 0, "AMT_CREDIT", 15000.0, 1, 2, True),
+    Node(0, 1, "DAYS_EMPLOYED", -3000.0, 3, 4, False),
+    Node(0, 2, "REGION_RATING_CLIENT_W_CITY", 2.5, 5, 6, False),
+    Node(0, 3, value=0.3),
+    Node(0, 4, value=-0.2),
+    Node(0, 5, value=0.15),
+    Node(0, 6, value=-0.45),
+    Node(1, 0, "OBS_30_CNT_SOCIAL_CIRCLE", 20.0, 1, 2, False),
+    Node(1, 1, value=0.25),
+    Node(1, 2, "AMT_INCOME_TOTAL", 5000.5, 3, 4, True),
+    Node(1, 3, value=-0.6),
+    Node(1, 4, value=0.1),
+    Node(2, 0, value=0.05),
+)
+
+
+@query
+def tree_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """All applications scored by a stored ensemble of trees, missing values going their way."""
+    path = work_folder(spark, "trees")
+    TreeModel(TREES, base=-0.1).save(spark, path)
+    scored = TreeModel.load(spark, path).scorer()(view(spark, sf, "application"))
+    return scored.selectExpr("SK_ID_CURR", "round(prob, 9) AS prob")
+
+
+@query
+def onehot_sparse(spark: SparkSession, sf: str) -> DataFrame:
+    """Loans as (index, value) vectors, a row for each entry."""
+    loans = view(spark, sf, "bureau")
+    texts = ["CREDIT_TYPE", "CREDIT_ACTIVE"]
+    vectors = op.one_hot_sparse(loans, d.BUREAU_LOAN, texts, op.category_index(loans, texts))
+    return vectors.selectExpr("SK_ID_BUREAU", "inline(vector)")
+
+
+@query
+def score_requests_joined(spark: SparkSession, sf: str) -> DataFrame:
+    """The same answers from a stream that is joined to stored ones."""
+    application, features = _stored_features(spark, sf)
+    scorer = scoring.logistic_scorer(WEIGHTS, INTERCEPT)
+    answers = stored_answers(application, features, scorer, SELECTED)
+    path, checkpoint = work_folder(spark, "answers"), work_folder(spark, "progress")
+    items = table(spark, sf, "lineitem")
+    stream = spark.readStream.schema(items.schema).parquet(f"{sf}/lineitem.parquet*")
+    requests = stream.selectExpr(f"{REQUEST_COLUMNS[d.CUSTOMER]} AS {d.CUSTOMER}")
+    start_joined(requests, answers, path, checkpoint).awaitTermination()
+    return plain(spark.read.parquet(path), 6, gaps=("pred",))
+
+
+@query
+def median_approx(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the rank of each answer is within three times the stated error of the middle."""
+    item = table(spark, sf, "lineitem")
+    names = fn.numeric_columns(item)
+    found = op.approx_medians(item, names)
+    error = 3 * op.rank_error()
+    ranks = item.selectExpr(
+        "count(1) AS n",
+        *[f"count_if({c} < {fn.value_of(found[c])}) AS under_{c}" for c in names],
+        *[f"count_if({c} <= {fn.value_of(found[c])}) AS upto_{c}" for c in names],
+    )
+    rows = ", ".join(
+        f"struct('{c}' AS column, n AS row_count, under_{c} <= n * {0.5 + error}D"
+        f" AND upto_{c} >= n * {0.5 - error}D AS within)"
+        for c in names
+    )
+    return ranks.selectExpr(f"inline(array({rows}))")
+
+
+@query
+def distinct_sketched(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct orders and parts by line number, counted, and whether merged sketches agree."""
+    item = table(spark, sf, "lineitem")
+    columns = ["l_orderkey", "l_partkey", "l_shipdate"]
+    state = op.DistinctState(BatchStore(spark, work_folder(spark, "sketches")), ["l_linenumber"])
+    state.add("first", item.where("l_orderkey % 3 < 2"), columns)
+    state.add("second", item.where("l_orderkey % 3 = 2"), columns)
+    counted = item.groupBy("l_linenumber").agg(*[F.expr(f"count(DISTINCT {c}) AS n_{c}") for c in columns])
+    allowed = 3 * op.distinct_error()
+    near = " AND ".join(f"abs({c} - n_{c}) <= {allowed}D * n_{c}" for c in columns)
+    both = counted.join(state.counts(), "l_linenumber")
+    return both.selectExpr(
+        "CAST(l_linenumber AS BIGINT) AS l_linenumber", *[f"n_{c}" for c in columns], f"{near} AS within"
+    )
+
+
+@query
+def pipeline_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """A pipeline saved, loaded and fitted, its model saved, loaded and applied."""
+    application = view(spark, sf, "application")
+    plan, fitted = work_folder(spark, "pipeline"), work_folder(spark, "pipeline-model")
+    Pipeline(stages=[PrepareApplications()]).write().overwrite().save(plan)
+    Pipeline.load(plan).fit(application).write().overwrite().save(fitted)
+    out = PipelineModel.load(fitted).transform(application)
+    return rounded(out, main_columns(out))
+
+
+@query
+def footer_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """The bounds of all numeric columns, from file statistics alone."""
+    names = fn.numeric_columns(table(spark, sf, "lineitem"))
+    bounds = bounds_in_footers(spark, f"{sf}/lineitem.parquet", names)
+    return plain(bounds.selectExpr(*[f"{c} + 0 AS {c}" for c in bounds.columns]))
+
+
+@query
+def bloom_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of some loan ids from files that are sorted by customer, one of them absent."""
+    pos = view(spark, sf, "POS_CASH_balance")
+    path = work_folder(spark, "pos")
+    write_features(pos, path, d.CUSTOMER, files=4, lookups={"SK_ID_PREV": 10_000})
+    some = read_features(spark, path).where("SK_ID_PREV IN (0, 77, 4242, 99, 123456789)")
+    return plain(some, gaps=("CNT_INSTALMENT",))
+
+
+@query
+def bundle_values(spark: SparkSession, sf: str) -> DataFrame:
+    """The applications after they were stored in narrow types and loaded: every value."""
+    path = work_folder(spark, "bundle")
+    store_tables(bundle(spark, sf), path)
+    return plain(load_tables(spark, path)["application"], gaps=("REGION_RATING_CLIENT_W_CITY",))
+
+
+def _predicted(spark: SparkSession, sf: str, scorer: scoring.Scorer) -> DataFrame:
+    application, features = _stored_features(spark, sf)
+    _, labels = op.split_label(application, d.CUSTOMER, d.LABEL)
+    return plain(scoring.prediction_table(scoring.score_features(features, scorer, SELECTED), labels), 6)
+
+
+@query
+def ml_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """The predictions of a Spark ML pipeline with the same fixed coefficients."""
+    weights = Vectors.dense(list(WEIGHTS.values()))
+    made = JavaWrapper._new_java_obj(
+        "org.apache.spark.ml.classification.LogisticRegressionModel", "fixed", weights, INTERCEPT
+    )
+    model = LogisticRegressionModel(made)
+    assembler = VectorAssembler(inputCols=list(WEIGHTS), outputCol="features")
+    return _predicted(spark, sf, scoring.ml_scorer(PipelineModel([assembler, model])))
+
+
+@query
+def python_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """The predictions of a Python model, called on batches of rows."""
+    names, weights = list(WEIGHTS), np.array(list(WEIGHTS.values()))
+
+    def predict(rows):
+        return 1 / (1 + np.exp(-(rows.to_numpy(float) @ weights + INTERCEPT)))
+
+    return _predicted(spark, sf, scoring.pandas_scorer(predict, names))

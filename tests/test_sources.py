@@ -75,7 +75,10 @@ def test_stored_tables_are_narrow(spark, folder, tmp_path):
     store_tables(tables, str(tmp_path))
     loaded = load_tables(spark, str(tmp_path))
     assert dict(loaded["bureau_balance"].dtypes)["MONTHS_BALANCE"] == "tinyint"
-    assert dict(loaded["application"].dtypes)["AMT_CREDIT"] == "float"
+    assert dict(loaded["application"].dtypes)["AMT_CREDIT"] == "double"
+    store_tables({"application": tables["application"]}, str(tmp_path / "single"), single=True)
+    small = spark.read.parquet(str(tmp_path / "single" / "application.parquet"))
+    assert dict(small.dtypes)["AMT_CREDIT"] == "float"
     a = history.rollup_bureau_balance(tables["bureau"], tables["bureau_balance"])
     b = history.rollup_bureau_balance(loaded["bureau"], loaded["bureau_balance"])
     assert a.drop("Bureau_bal_WEIGHT_status").exceptAll(b.drop("Bureau_bal_WEIGHT_status")).count() == 0
