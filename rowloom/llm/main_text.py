@@ -28,7 +28,7 @@ MORE = 0.1  # of a container's score, that other text has for its ancestor to be
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)",
+    r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)",
     re.S,
 )
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
@@ -79,10 +79,11 @@ SPACE = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("tag", "path", "skip", "number", "noise", "article")
+    __slots__ = ("tag", "path", "skip", "number", "noise", "article", "holder")
 
-    def __init__(self, tag, path, skip, number, noise=(), article=None):
+    def __init__(self, tag, path, skip, number, noise=(), article=None, above=None):
         self.tag, self.path, self.skip, self.number = tag, path, skip, number
+        self.holder = above.holder if above and tag in LEAVES else self  # the container of text here
         self.noise = noise  # numbers of the elements around it that seem to surround an article
         self.article = article  # the same of the outermost article element that it lies in
 
@@ -154,8 +155,11 @@ def read_blocks(page: str, every: bool = False):
     The container of a block is the innermost open element that is neither
     inline nor the block itself (a paragraph, heading, list item or the like).
     Inline elements that surround the article give no text, unless `every`.
+    The time is in proportion to the page, however broken it is.
     """
     stack = [Element("", "", False, 0)]
+    places: dict[str, list[int]] = {}  # of the open elements, by tag
+    blocks_at = [0]  # places of the open elements that are not inline
     blocks: list[tuple] = []
     wrappers: set[int] = set()
     pieces: list[str] = []
@@ -167,10 +171,9 @@ def read_blocks(page: str, every: bool = False):
         if pieces:
             text = SPACE.sub(" ", "".join(pieces)).strip()
             if text:
-                holder = next(e for e in reversed(stack) if e.tag not in LEAVES)
-                where = stack[-1]
+                top = stack[-1]
                 blocks.append(
-                    (text, min(linked, len(text)), holder.path, holder.number, where.noise, where.article)
+                    (text, min(linked, len(text)), top.holder.path, top.holder.number, top.noise, top.article)
                 )
             pieces.clear()
         linked = 0
@@ -183,10 +186,18 @@ def read_blocks(page: str, every: bool = False):
             if links:
                 linked += len(clear.strip())
 
+    def last(*tags: str) -> int:
+        """Where the innermost open element of these tags is, 0 if there is none."""
+        return max(places[t][-1] if places.get(t) else 0 for t in tags)
+
     def pop(n: int):
-        if any(e.tag not in INLINE for e in stack[n:]):
+        if blocks_at[-1] >= n:
             flush()
+        for e in stack[n:]:
+            places[e.tag].pop()
         del stack[n:]
+        while blocks_at[-1] >= n:
+            blocks_at.pop()
 
     while at < end:
         m = TAG.search(page, at)
@@ -202,16 +213,11 @@ def read_blocks(page: str, every: bool = False):
         if m.group(1):
             if tag == "a":
                 links = 0
-            if tag == "p" and all(e.tag != "p" for e in stack):
+            if tag == "p" and not last("p"):
                 flush()
-            limit = len(stack) - 1
-            while limit > 0 and stack[limit].tag != tag:
-                if tag in INLINE and stack[limit].tag not in INLINE:
-                    limit = 0
-                    break
-                limit -= 1
-            if limit > 0:
-                pop(limit)
+            found = last(tag)
+            if found and not (tag in INLINE and blocks_at[-1] > found):
+                pop(found)
             continue
         if tag in VOID:
             if tag == "br":
@@ -219,20 +225,12 @@ def read_blocks(page: str, every: bool = False):
             elif tag == "hr":
                 flush()
             continue
-        if tag in ENDS_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    pop(i)
-                    break
-                if stack[i].tag not in INLINE:
-                    break
+        if tag in ENDS_P and stack[blocks_at[-1]].tag == "p":
+            pop(blocks_at[-1])
         if tag in CLOSES:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in CLOSES[tag]:
-                    pop(i)
-                    break
-                if stack[i].tag in SCOPE[tag]:
-                    break
+            found = last(*CLOSES[tag])
+            if found > last(*SCOPE[tag]):
+                pop(found)
         if tag not in INLINE:
             flush()
         name, noise, wrapper = step(tag, m.group(3))
@@ -250,7 +248,10 @@ def read_blocks(page: str, every: bool = False):
                 wrappers.add(count)
         elif tag in ARTICLE and article is None:
             article = around
-        stack.append(Element(tag, path, skip, count, around, article))
+        places.setdefault(tag, []).append(len(stack))
+        if tag not in INLINE:
+            blocks_at.append(len(stack))
+        stack.append(Element(tag, path, skip, count, around, article, above))
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
             at = close.start() if close else end
@@ -284,15 +285,23 @@ def ancestors(path: str) -> list[str]:
 def rise(scores: dict[str, float], path: str, wide: bool) -> str:
     """The container that holds the article of which `path` holds a part.
 
-    That is the outermost article element, or else the innermost main element.
-    Without these, it is the highest ancestor below the body that has text of
+    That is the outermost article element, or the main element around it if that
+    has text of its own, such as a title, or further articles of ``MORE`` of its
+    score; or else the innermost main element. Without these, it is the highest ancestor below the body that has text of
     its own, such as a title and a lead; and, if `wide`, the highest one that
     adds ``MORE`` to the score of what lies below.
     """
     above = ancestors(path)
     tags = [p.rpartition("/")[2].partition(".")[0] for p in above]
     if "article" in tags:
-        return above[len(tags) - 1 - tags[::-1].index("article")]
+        at = len(tags) - 1 - tags[::-1].index("article")
+        if "main" in tags[at:]:
+            main = above[at + tags[at:].index("main")]
+            own = sum(max(0.0, s) for p, s in scores.items() if inside(p, above[at]))
+            more = sum(max(0.0, s) for p, s in scores.items() if article_below(p, main)) - own
+            if scores.get(main, 0.0) > 0 or more > MORE * own:
+                return main
+        return above[at]
     if "main" in tags:
         return above[tags.index("main")]
     sums = dict.fromkeys(above, 0.0)
@@ -322,7 +331,8 @@ def take(blocks, winner: str | None) -> str:
     """The text of the blocks in containers on the winning path or below it.
 
     Outside of article elements, containers of links beside the largest
-    container are left out.
+    container are left out; beside articles in a main element, all that is
+    neither its own text nor an article.
     """
     own = [b for b in blocks if winner is not None and inside(b[2], winner)]
     if own:
@@ -334,6 +344,13 @@ def take(blocks, winner: str | None) -> str:
     if scores and not ARTICLE & {s.partition(".")[0] for s in winner.split("/")}:
         direct = direct_path(scores)
         own = [b for b in own if scores[b[2]] > 0 or inside(b[2], direct) or b[2] == winner]
+    elif scores and article_below(direct_path(scores), winner):
+        direct = direct_path(scores)
+        own = [
+            b
+            for b in own
+            if b[2] == winner or article_below(b[2], winner) and (scores[b[2]] > 0 or inside(b[2], direct))
+        ]
     return "\n".join(b[0] for b in own)
 
 
@@ -341,6 +358,13 @@ def inside(path: str, winner: str) -> bool:
     return path == winner or path.startswith(winner + "/")
 
 
+def article_below(path: str, main: str) -> bool:
+    """Whether the path leads through an article element below a main element."""
+    if main.rpartition("/")[2].partition(".")[0] != "main" or not path.startswith(main + "/"):
+        return False
+    return any(s.partition(".")[0] == "article" for s in path[len(main) + 1 :].split("/"))
+
+
 HOST = "lower(coalesce(regexp_extract(cast(url AS string), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), ''))"
 
 

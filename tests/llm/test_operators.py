@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import html
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -347,6 +349,61 @@ def test_main_text_of_split_articles(spark):
             assert r["text"].startswith("Title\nLead\n")
 
 
+def test_main_text_with_titles_and_articles_in_main():
+    """Titles and further articles within one main element are kept, teasers and boxes beside them are not."""
+    part = "Some words of the article, with commas and more of them. "
+    links = "".join(f'<a href="/{i}">Another story {i}</a> ' for i in range(8))
+
+    def text(html):
+        blocks = main_text.page_blocks(f"<html><body>{html}</body></html>")
+        return main_text.take(blocks, main_text.best_path(blocks))
+
+    body = f"<article class=story><p>{part * 8}</p></article>"
+    assert text(f"<main><h1>TITLE</h1>{body}</main>") == f"TITLE\n{(part * 8).strip()}"
+    both = f"<main><article class=intro><p>{part * 2}</p></article><article class=chapter><p>{part * 8}</p></article></main>"
+    assert text(both) == f"{(part * 2).strip()}\n{(part * 8).strip()}"
+    beside = f"<main><h1>TITLE</h1>{body}<article class=teaser>{links}</article><div class=box><p>{part}</p></div></main>"
+    assert text(beside) == f"TITLE\n{(part * 8).strip()}"
+    assert text(f"<main>{body}<div class=box><p>{part}</p></div></main>") == (part * 8).strip()
+    content = f"<main><div class=content><p>{part * 8}</p></div><article class=teaser><p>{part}</p></article></main>"
+    assert text(content).startswith((part * 8).strip())
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<b>" * 30_000 + "</i>" * 30_000,
+        "<i><div>" + "<b>" * 30_000 + "</i>" * 30_000,
+        "<b>" * 30_000 + "<p>x</p>" * 30_000,
+        "<div>" * 30_000 + "<li>y" * 30_000,
+        '<a "' * 30_001,
+        "<p><b>" * 30_000,
+    ],
+)
+def test_broken_pages_take_linear_time(page):
+    start = time.process_time()
+    main_text.page_blocks(page)
+    assert time.process_time() - start < 5
+
+
+def test_blocks_equal_a_plain_reader():
+    """Generated pages of blocks whose texts a plain reader finds by their tags alone."""
+    rng = random.Random(8)
+    for _ in range(200):
+        blocks = [" ".join(rng.choices(["word", "other", "more &amp; less", "é"], k=rng.randint(5, 30))) for _ in range(rng.randint(1, 9))]
+        inner = ""
+        for b in blocks:
+            tag = rng.choice(["p", "h2", "li", "blockquote", "pre"])
+            words = b.split(" ")
+            at = rng.randrange(len(words))
+            words[at] = f"<b>{words[at]}</b>"
+            inner += f"<{tag}>" + rng.choice([" ", "\n\t"]).join(words) + rng.choice([f"</{tag}>", f"</{tag}>\n"])
+        noise = "<nav><a href=x>Home</a></nav>", "<script>var a = '<p>no</p>';</script>", "<footer>legal</footer>", "<!-- <p>no</p> -->"
+        page = "<html><body>" + rng.choice(noise) + f"<article>{inner}</article>" + rng.choice(noise) + "</body></html>"
+        got = main_text.take(main_text.page_blocks(page), None)
+        assert got == "\n".join(html.unescape(b) for b in blocks)
+
+
 def test_main_text_in_wrappers(spark):
     text = "<p>" + "story " * 60 + "</p><p>" + "end " * 30 + "</p>"
     inside = "<div class=post>" + text + "<div class=comments><p>" + "junk " * 5 + "</p></div></div>"
