@@ -1,15 +1,15 @@
 """License phrases and texts in documents, by diagonal voting.
 
-The hashes of all runs of k words of all documents are joined to those of the
-templates. A hit votes for a diagonal, the document's position less the
-template's. Votes are counted by diagonal, neighbouring diagonals are merged
-(words put in or left out shift the rest), and a merged run is a find if it
-covers enough of the template's runs within a span of fitting length.
-
-A changed word takes all runs that hold it, up to four. Texts of licenses are
-therefore also found by their words: where a span of fitting length has enough
-words of a text, those that stand in the text's order are counted, and enough
-of them are a find.
+The hashes of all runs of words of all documents are joined to those of the
+templates: runs of up to four words for phrases, of two for texts. A hit votes
+for a diagonal, the document's position less the template's. Votes are counted
+by diagonal, and neighbouring diagonals are merged (words put in or left out
+shift the rest).
+
+A phrase is found where a diagonal has all of its runs. A text may have changed
+words, each of which costs two votes; a merged run of few votes is a region
+that may hold it. Regions are verified on their words: a text is found if a
+span of fitting length has enough of its words in order.
 """
 
 from __future__ import annotations
@@ -20,14 +20,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from rowloom.llm.common import hash_spans, map_pieces, windows, words_of
+from rowloom.llm.common import map_pieces, stored, windows, words_of
 
-RUN = 4  # words of a run; shorter templates are one run
+RUN, TEXT_RUN = 4, 2  # words of a run of a phrase (a shorter one is one run) and of a text
 GAP = 6  # diagonals at most so far apart are merged
-COVER = 0.8  # of a template's runs, or of its words in order
+COVER = 0.8  # of a text's words, that stand in order
 STRETCH = 1.5  # longest span of a find, in lengths of the template
+VOTES = 0.25  # of a text's runs, that make a region
+BROADCAST_BYTES = 16 << 20  # of regions, up to which they are broadcast
 
 # Phrases and their labels.
 PHRASES = {
@@ -66,7 +69,7 @@ def template_rows(texts: dict[str, str], base: bool) -> list[tuple]:
     out = []
     for name, text in texts.items():
         words, _ = words_of(pa.array([text]))
-        hashes = run_hashes(words, min(RUN, len(words))).astype(np.int64)
+        hashes = run_hashes(words, min(RUN, len(words)) if base else TEXT_RUN).astype(np.int64)
         out += [
             (h, name, place, len(hashes), len(words), base)
             for place, h in enumerate(hashes.tolist())
@@ -75,7 +78,7 @@ def template_rows(texts: dict[str, str], base: bool) -> list[tuple]:
 
 
 def scan_runs(documents: DataFrame, sizes: list[int]) -> DataFrame:
-    """doc_id, key (of the words), n_words, and the hashes of the runs of every size in turn."""
+    """doc_id, key, n_words, and the hashes of the runs of every size in turn."""
 
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:
         words, first = words_of(piece.column(1))
@@ -88,20 +91,14 @@ def scan_runs(documents: DataFrame, sizes: list[int]) -> DataFrame:
         flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-        keys = pa.array(text_keys(words, first))
         return pa.RecordBatch.from_arrays(
-            [piece.column(0), keys, pa.array(np.diff(first)), lists],
+            [piece.column(0), piece.column(2), pa.array(np.diff(first)), lists],
             ["doc_id", "key", "n_words", "runs"],
         )
 
     return map_pieces(documents, work, "doc_id long, key long, n_words long, runs array<long>")
 
 
-def text_keys(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    raw = np.frombuffer(words.tobytes(), np.uint8)
-    return hash_spans(raw, first[:-1] * 8, first[1:] * 8, lower=False).astype(np.int64)
-
-
 class Text:
     """The words of a license text, to count those that a span has in order."""
 
@@ -126,53 +123,47 @@ class Text:
         return self.size - rest.bit_count()
 
 
-def scan_texts(words: np.ndarray, first: np.ndarray, texts: list[Text]) -> dict[int, dict[str, float]]:
-    """For rows that have license texts, the largest share of each text's words in order."""
-    low = (words & np.uint64(0xFFFF)).astype(np.int64)
-    found: dict[int, dict[str, float]] = {}
-    for text in texts:
-        maybe = np.zeros(1 << 16, bool)
-        maybe[[w & 0xFFFF for w in text.places]] = True
-        own = maybe[low]
-        sums = np.zeros(len(words) + text.span + 1, np.int32)
-        np.cumsum(own, out=sums[1 : len(words) + 1])
-        sums[len(words) + 1 :] = sums[len(words)]
-        counts = sums[text.span : text.span + len(words)] - sums[: len(words)]
-        starts = np.flatnonzero(own & (counts >= text.need))
-        rows = np.searchsorted(first, starts, side="right") - 1
-        for at, r in zip(starts.tolist(), rows.tolist()):
-            best = found.get(r, {}).get(text.name, 0.0)
-            end = min(int(first[r + 1]), at + text.span)
-            if best == 1 or end - at < text.need:
-                continue
-            n = text.common(words[at:end].tolist())
-            if n >= text.need and n / text.size > best:
-                found.setdefault(r, {})[text.name] = n / text.size
-    return found
-
-
-def count_words(documents: DataFrame) -> DataFrame:
-    """doc_id, key, n_words, texts (found by their words), share (the largest) of every row."""
-    texts = [Text(name, text) for name, text in TEXTS.items()]
+def share_in(words: np.ndarray, text: Text) -> float:
+    """The largest share of a text's words that a span of fitting length has in order; 0 if too small."""
+    own = np.isin(words, np.fromiter(text.places, np.uint64, len(text.places)))
+    sums = np.concatenate([[0], np.cumsum(own)])
+    stops = np.minimum(np.arange(len(words)) + text.span, len(words))
+    best = 0
+    for at in np.flatnonzero(own & (sums[stops] - sums[:-1] >= text.need)).tolist():
+        best = max(best, text.common(words[at : at + text.span].tolist()))
+        if best == text.size:
+            break
+    return best / text.size if best >= text.need else 0.0
 
-    def work(piece: pa.RecordBatch) -> pa.RecordBatch:
-        words, first = words_of(piece.column(1))
-        found = scan_texts(words, first, texts)
-        own = [found.get(r, {}) for r in range(piece.num_rows)]
-        return pa.RecordBatch.from_arrays(
-            [
-                piece.column(0),
-                pa.array(text_keys(words, first)),
-                pa.array(np.diff(first)),
-                pa.array([list(f) for f in own], pa.list_(pa.string())),
-                pa.array([max(f.values(), default=0.0) for f in own], pa.float64()),
-            ],
-            ["doc_id", "key", "n_words", "texts", "share"],
-        )
 
-    return map_pieces(
-        documents, work, "doc_id long, key long, n_words long, texts array<string>, share double"
-    )
+def verify(documents: DataFrame) -> DataFrame:
+    """The rows with n_words, texts (those found in their regions) and share (the largest).
+
+    A region has a template's name, and the first and last place of its votes;
+    the rest of the text may lie on either side.
+    """
+    texts = {name: Text(name, text) for name, text in TEXTS.items()}
+    kept = [f for f in documents.schema.fields if f.name not in ("text", "regions")]
+
+    def work(piece: pa.RecordBatch) -> pa.RecordBatch:
+        words, first = words_of(piece["text"])
+        found: list[dict[str, float]] = [{} for _ in range(piece.num_rows)]
+        for r, regions in enumerate(piece["regions"].to_pylist()):
+            for region in regions or ():
+                text = texts[region["template"]]
+                begin = max(int(first[r]), int(first[r]) + region["start"] - text.span)
+                end = min(int(first[r + 1]), int(first[r]) + region["last"] + TEXT_RUN + text.span)
+                share = share_in(words[begin:end], text)
+                if share > found[r].get(text.name, 0.0):
+                    found[r][text.name] = share
+        columns = [piece[f.name] for f in kept]
+        columns.append(pa.array(np.diff(first)))
+        columns.append(pa.array([list(f) for f in found], pa.list_(pa.string())))
+        columns.append(pa.array([max(f.values(), default=0.0) for f in found], pa.float64()))
+        return pa.RecordBatch.from_arrays(columns, [*(f.name for f in kept), "n_words", "texts", "share"])
+
+    schema = T.StructType([*kept]).add("n_words", "long").add("texts", T.ArrayType(T.StringType())).add("share", "double")
+    return map_pieces(documents, work, schema)
 
 
 def vote(documents: DataFrame) -> DataFrame:
@@ -207,8 +198,11 @@ def vote(documents: DataFrame) -> DataFrame:
     return hits.distinct()
 
 
-def finds(documents: DataFrame) -> DataFrame:
-    """doc_id, key, template, base, start, end, cover of every verified find."""
+def merged(documents: DataFrame) -> DataFrame:
+    """doc_id, key, template, base, runs, words, n, start, last: votes of merged diagonals.
+
+    A phrase's diagonals stay apart. n counts the places of the template.
+    """
     who = ["doc_id", "key", "template", "base", "runs", "words"]
     diagonals = vote(documents).groupBy(*who, "diagonal").agg(
         F.collect_set("place").alias("places"),
@@ -217,7 +211,7 @@ def finds(documents: DataFrame) -> DataFrame:
     )
     order = Window.partitionBy(*who).orderBy("diagonal")
     apart = F.when(F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(order) > GAP), 1)
-    merged = (
+    return (
         diagonals.withColumn("part", F.sum(F.coalesce(apart, F.lit(0))).over(order))
         .groupBy(*who, "part")
         .agg(
@@ -226,52 +220,55 @@ def finds(documents: DataFrame) -> DataFrame:
             F.max("high").alias("last"),
         )
     )
-    return merged.selectExpr(
-        "doc_id",
-        "key",
-        "template",
-        "base",
-        "start",
-        f"last + least({RUN}, words) AS end",
-        "n / runs AS cover",
-        "words",
-    ).where(f"cover >= {COVER} AND end - start <= {STRETCH} * words")
 
 
-def scan_licenses(documents: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
-
-    One row for each row of documents. Texts without words, null or empty ones
-    have no finds; repeated rows give repeated results, a null id stays null,
-    other columns are not read. The score is the largest share of a template's
-    runs, or of a text's words in order, that was found, 0 without a find.
-    """
-    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+def finds(documents: DataFrame) -> DataFrame:
+    """id, other_key, starts and labels of a row's phrases, and regions of its texts."""
     names = F.create_map(*[F.lit(x) for pair in PHRASES.items() for x in pair])
-    found = (
-        finds(docs)
-        .withColumn("label", F.coalesce(names[F.col("template")], F.col("template")))
+    enough = f"CASE WHEN base THEN n = runs ELSE n >= greatest(2, {VOTES}D * runs) END"
+    region = F.struct("template", "start", "last")
+    return (
+        merged(documents)
+        .where(enough)
+        .withColumn("label", names[F.col("template")])
         .groupBy(F.col("doc_id").alias("id"), F.col("key").alias("other_key"))
         .agg(
             F.count(F.when(F.col("base"), 1)).alias("n_base"),
             F.min(F.when(F.col("base"), F.col("start"))).alias("first_word"),
             F.max(F.when(F.col("base"), F.col("start"))).alias("last_word"),
             F.collect_set(F.when(F.col("base"), F.col("label"))).alias("base_labels"),
-            F.collect_set("label").alias("labels"),
-            F.max("cover").alias("score"),
+            F.collect_list(F.when(~F.col("base"), region)).alias("regions"),
         )
     )
-    return (
-        count_words(docs)
-        .join(found, F.expr("doc_id <=> id AND key = other_key"), "left")
-        .selectExpr(
-            "doc_id",
-            "n_words",
-            "coalesce(n_base, 0L) AS n_base",
-            "first_word",
-            "last_word",
-            "coalesce(array_join(array_sort(base_labels), ','), '') AS base_labels",
-            "array_join(array_sort(array_union(coalesce(labels, array()), texts)), ',') AS labels",
-            "greatest(coalesce(score, 0D), share) AS score",
-        )
+
+
+def scan_licenses(documents: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+
+    One row for each row of documents. Texts without words, null or empty ones
+    have no finds; repeated rows give repeated results, a null id stays null,
+    other columns are not read. The score is 1 with a phrase, else the largest
+    share of a text's words in order that was found, 0 without a find. Texts
+    of any length are read whole.
+    """
+    docs = documents.select(
+        F.col("doc_id").cast("long"),
+        F.col("text").cast("string"),
+        F.xxhash64(F.col("text").cast("string")).alias("key"),
+    )
+    found = stored(finds(docs), "license-finds")
+    size = found.agg(F.sum(F.lit(96) + 48 * F.size("regions"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:  # else texts are shuffled by id and key
+        found = F.broadcast(found)
+    rows = docs.join(found, F.expr("doc_id <=> id AND key = other_key"), "left")
+    checked = verify(rows.select("doc_id", "text", "n_base", "first_word", "last_word", "base_labels", "regions"))
+    return checked.selectExpr(
+        "doc_id",
+        "n_words",
+        "coalesce(n_base, 0L) AS n_base",
+        "first_word",
+        "last_word",
+        "coalesce(array_join(array_sort(base_labels), ','), '') AS base_labels",
+        "array_join(array_sort(array_union(coalesce(base_labels, array()), texts)), ',') AS labels",
+        "greatest(CASE WHEN n_base > 0 THEN 1D ELSE 0D END, share) AS score",
     )

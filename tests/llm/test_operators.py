@@ -224,6 +224,33 @@ def test_edited_license_texts(spark):
         assert not name or 0.8 <= got[i]["score"] <= 1
 
 
+def test_randomly_edited_license_texts(spark):
+    """Votes propose every text that a search of the whole document finds, edits of up to a fifth of the words."""
+    rng = random.Random(6)
+    rows = []
+    for name, text in licenses.TEXTS.items():
+        for _ in range(60):
+            w = text.split()
+            for _ in range(rng.randint(0, len(w) // 4)):
+                at = rng.randrange(len(w))
+                kind = rng.random()
+                w[at : at + 1] = ["other"] if kind < 0.5 else [w[at], "more"] if kind < 0.75 else []
+            around = rng.choices("this is a of the to license software free and x y z".split(), k=rng.choice([0, 5, 200]))
+            at = rng.randint(0, len(around))
+            rows.append(" ".join([*around[:at], *w, *around[at:]]))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: set(r["labels"].split(",")) - set(licenses.PHRASES.values()) - {""} for r in licenses.scan_licenses(docs).collect()}
+    texts = [licenses.Text(name, text) for name, text in licenses.TEXTS.items()]
+    lost = found = 0
+    for i, row in enumerate(rows):
+        hashes, _ = licenses.words_of(pa.array([row]))
+        want = {t.name for t in texts if licenses.share_in(hashes, t)}
+        assert got[i] <= want
+        found += len(want)
+        lost += len(want - got[i])
+    assert found > 300 and lost == 0
+
+
 def test_base_license_places(spark, docs, texts):
     for r in licenses.scan_licenses(docs).collect():
         w = words(texts[r["doc_id"]])
