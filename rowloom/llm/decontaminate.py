@@ -18,6 +18,7 @@ the result holds every similar passage.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -31,6 +32,7 @@ from rowloom.llm.common import (
     map_pieces,
     pieces,
     ranges,
+    stored,
     windows,
     words_of,
 )
@@ -45,7 +47,6 @@ KNOWN_BITS = np.uint64((1 << 20) - 1)  # of a shingle, to tell that no item has
 SPREAD = np.uint64(0x0101010101010101)
 HIGH = np.uint64(0x8080808080808080)
 BIAS = np.uint64(0x7F7F7F7F7F7F7F7F)  # a sum of 1 or more sets the upper bit of its byte
-OWN_BIT = np.uint32(0x08040201)  # of each of four blocks, the bit of its own table
 LANES = 4
 BLOCKS = 2  # of 16 bits
 OWN_BIT = np.uint16(0x0201)  # of each of two blocks, the bit of its own table
@@ -292,21 +293,23 @@ class Index:
         ]
 
 
-def indexes(benchmark: DataFrame, similarity: float) -> list[Index]:
-    """The benchmark in parts of bounded size; each is held by every task of one pass."""
+def parts_of(benchmark: DataFrame) -> int:
+    """How many parts of bounded size the benchmark is taken in."""
+    chars = benchmark.where("text IS NOT NULL").agg(F.sum(F.length("text") + 50)).first()[0] or 0
+    return math.ceil(chars / CHUNK_CHARS)
+
+
+def indexes(benchmark: DataFrame, similarity: float, parts: int) -> Iterator[Index]:
+    """The parts one after the other; each is held by the driver, then by every task of one pass."""
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where(
         "text IS NOT NULL"
     )
-    chars = items.agg(F.sum(F.length("text") + 50)).first()[0] or 0
-    parts = math.ceil(chars / CHUNK_CHARS)
-    out = []
     for part in range(parts):
         own = items
         if parts > 1:
             own = items.where(F.expr(f"pmod(xxhash64(text), {parts}) = {part}"))
         rows = sorted({(r[0], r[1]) for r in own.toLocalIterator()}, key=str)
-        out.append(Index(rows, similarity))
-    return out
+        yield Index(rows, similarity)
 
 
 def find_passages(
@@ -322,11 +325,16 @@ def find_passages(
     items without words are never found. Items of fewer than five words count
     as one shingle. Other columns are not read. The whole benchmark is held by
     each task in parts of at most ``CHUNK_CHARS`` characters, with one pass
-    over the documents for each part.
+    over the documents for each part; the finds of one are written before the
+    next is read. Texts of any length are read whole.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = [scan_documents(docs, index) for index in indexes(benchmark, similarity)]
+    parts = parts_of(benchmark)
+    found = []
+    for index in indexes(benchmark, similarity, parts):
+        rows = scan_documents(docs, index)
+        found.append(rows if parts == 1 else stored(rows, "passages"))
     if not found:
         return spark.createDataFrame([], SCHEMA)
     out = found[0]
@@ -362,7 +370,8 @@ def drop_contaminated(
     """The documents, with all their columns, that hold no benchmark passage."""
     out = documents
     at = documents.columns.index("text")
-    for index in indexes(benchmark, similarity):
+    parts = parts_of(benchmark)
+    for index in indexes(benchmark, similarity, parts):
 
         def run(batches, index=index):
             for batch in batches:
@@ -373,4 +382,6 @@ def drop_contaminated(
                     yield piece.filter(pa.array(keep))
 
         out = out.mapInArrow(run, out.schema)
+        if parts > 1:
+            out = stored(out, "clean")
     return out

@@ -175,6 +175,20 @@ def test_passages_just_above_the_threshold(spark):
     assert all(r["doc_id"] == r["item_id"] for r in found)
 
 
+def test_benchmarks_in_parts_give_the_same(spark, folder, docs, monkeypatch):
+    """Parts are found one after the other, and drop the same documents."""
+    benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
+
+    def both():
+        found = decontaminate.find_passages(docs, benchmark)
+        return Counter(map(tuple, found.collect())), sorted(r["doc_id"] for r in decontaminate.drop_contaminated(docs, benchmark).collect())
+
+    whole = both()
+    monkeypatch.setattr(decontaminate, "CHUNK_CHARS", 3_000)
+    assert decontaminate.parts_of(benchmark) > 2
+    assert both() == whole and whole[0]
+
+
 def test_passages_of_odd_tables(spark):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "x " * 20)], "item_id long, text string")
     found = decontaminate.find_passages(odd_documents(spark), bench).collect()
