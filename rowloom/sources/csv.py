@@ -7,6 +7,7 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rowloom.functions import name_of, value_of
 
@@ -87,7 +88,7 @@ def infer_types(texts: DataFrame, declared: Mapping[str, str] | None = None) ->
 
 
 def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """The files by their first line, of which a task reads the first block and no more."""
+    """The files by their first line, if these differ; of each file the first block is read and no more."""
     own = spark.newSession()
     own.conf.set("spark.sql.files.maxPartitionBytes", WHOLE_FILE)
     own.conf.set("spark.sql.files.openCostInBytes", WHOLE_FILE)
@@ -100,11 +101,12 @@ def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
                 return
 
     lines = own.read.text(path).selectExpr("_metadata.file_path AS file", "value AS header")
-    found = lines.mapInArrow(first, "file string, header string").collect()
-    files: dict[str, list[str]] = {}
-    for r in sorted(found, key=lambda r: r["file"]):
-        files.setdefault(r["header"].rstrip("\r"), []).append(r["file"])
-    return files
+    found = lines.mapInArrow(first, "file string, header string")
+    found = found.selectExpr("file", "rtrim('\\r', header) AS header")
+    if len(found.select("header").distinct().limit(2).collect()) < 2:
+        return {}
+    grouped = found.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+    return {r["header"]: r["files"] for r in sorted(grouped, key=lambda r: r["files"][0])}
 
 
 def _texts(spark: SparkSession, path: str, multi_line: bool, one_header: bool) -> DataFrame:
@@ -113,7 +115,7 @@ def _texts(spark: SparkSession, path: str, multi_line: bool, one_header: bool) -
     if one_header or len(spark.read.text(path).inputFiles()) < 2:
         return reader.csv(path)
     files = _headers(spark, path)
-    if len(files) < 2:
+    if not files:
         return reader.csv(path)
     parts = [reader.csv(names) for names in files.values()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -254,6 +254,14 @@ def test_one_request_filters_every_scan(spark, tables, params):
         assert f"EqualTo({column},5)" in text
 
 
+def test_requested_loans_are_a_plain_side_of_the_join(spark, tables):
+    """Written before the join with the months, so that a loan with very many months can be split."""
+    wanted = tables["application"].select(d.CUSTOMER).limit(20)
+    months = build.restrict(tables, wanted)["bureau_balance"]
+    plan = months._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "Aggregate" not in plan and plan.count("Relation [") == 2
+
+
 def test_request_lists_and_tables_give_the_same_rows(spark, tables, params, features):
     asked = spark.range(0, 30).selectExpr(f"id AS {d.CUSTOMER}")
     sums = ["count(1)", "sum(Bureau_bal_STATUS)", "sum(Bureau_bal_MONTHS_BALANCE)", "sum(POS_SK_DPD_DEF)"]

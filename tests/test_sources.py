@@ -51,6 +51,25 @@ def test_declared_types_win_and_match_by_name(spark, tmp_path):
     assert [t for _, t in texts.dtypes] == ["string", "string"]
 
 
+def test_headers_take_the_first_lines_only(spark, tmp_path):
+    """Of files with many lines each task of the header search reads some hundred rows at most."""
+    from rowloom.sources import csv
+
+    folder = tmp_path / "t"
+    folder.mkdir()
+    (folder / "a.csv").write_text("a,b\r\n" + "1,2\r\n" * 300_000)
+    (folder / "b.csv").write_text("a,b\n" + "3,4\n" * 300_000)
+    assert csv._headers(spark, str(folder)) == {}
+    (folder / "c.csv").write_text("b,c\n5,6\n")
+    found = csv._headers(spark, str(folder))
+    assert {h: [f.rsplit("/", 1)[1] for f in files] for h, files in found.items()} == {
+        "a,b": ["a.csv", "b.csv"],
+        "b,c": ["c.csv"],
+    }
+    whole = read_csv(spark, str(folder), {"a": "bigint", "b": "bigint", "c": "bigint"})
+    assert whole.selectExpr("count(a)", "sum(b)", "sum(c)").head() == (600_000, 2 * 300_000 + 4 * 300_000 + 5, 6)
+
+
 def test_csv_scan_reads_only_the_wanted_columns(spark, tmp_path):
     (tmp_path / "t.csv").write_text("a,b,c\n1,2,3\n")
     df = read_csv(spark, str(tmp_path / "t.csv"), dict.fromkeys("abc", "int")).select("b")
