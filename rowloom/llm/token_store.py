@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.llm.common import pieces, shared_files, stored, write_file
-from rowloom.llm.merge_automaton import LATIN, LATIN_WORDS, has_usual_rules
+from rowloom.llm.merge_automaton import LATIN_LETTERS, LATIN_NUMBERS, has_usual_rules
 from rowloom.session import work_folder
 
 MAGIC = b"TOKZ\x01"
@@ -35,15 +36,23 @@ SAMPLE = 2_000  # documents that the dictionary is trained on, at most
 SAMPLE_IDS = 4_000  # ids of each of them, at most
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
-CACHE = 500_000  # words whose ids a worker remembers, at most
+CACHE = 800_000  # words whose ids a worker remembers, and those of one piece more
 LEARN = 20_000  # new words that are encoded in one call
-JOINED = 4_000  # strings of Latin letters that are encoded as one text
+JOINED = 4_000  # words of Latin letters that are encoded as one text
+LONG = 1 << 20  # characters of a text, beyond which its words don't become objects all at once
 BYTES = 4 << 20  # bytes of text whose distinct words are looked up together
 HEAD = len(MAGIC) + 32
 ENTRY = np.dtype([("doc_id", "<i8"), ("null", "<i8"), ("end", "<i8"), ("before", "<i8")])
 FOOTER = "<qqq"  # documents, ids, place of the index
 
 
+# Texts of visible characters below U+0100 and ASCII blanks, and the words that the usual rules cut them into.
+LATIN_TEXT = re.compile("[ \t-\r!-~\xa1-\xff]*")
+LATIN_TEXT_WORDS = re.compile(
+    f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN_LETTERS}]+|[{LATIN_NUMBERS}]|[^ \t-\r{LATIN_LETTERS}{LATIN_NUMBERS}]+"
+)
+
+
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
     from tokenizers import Tokenizer
@@ -52,13 +61,32 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+class Numbers(dict):
+    """Numbers strings in the order in which they are first asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, text: str) -> int:
+        self.new.append(text)
+        self[text] = number = len(self)
+        return number
+
+    def take_new(self) -> list[str]:
+        """The strings numbered since the last call."""
+        new, self.new = self.new, []
+        return new
+
+
 class Encoder:
     """Ids of texts by way of their words.
 
     The tokenizer drops white space, so that the ids of a text are those of its
-    words one after the other; each distinct word is encoded once. Texts with a
-    string of a special token are encoded whole, as such strings may have
-    blanks and are matched before words are.
+    words one after the other; each distinct word is encoded once, many as one
+    text, where it is known how the tokenizer cuts, else each string between
+    blanks. Texts with a string of a special token are encoded whole, as such
+    strings may have blanks and are matched before words are.
     """
 
     def __init__(self, path: str):
@@ -78,51 +106,83 @@ class Encoder:
         self.known: dict[str, int] = {}
         self.flat = np.zeros(0, np.uint32)  # the ids of all known words
         self.ends = np.zeros(1, np.int64)
-        self.parts, self.part_ends, self.total = [], [], 0
+        self.words = Numbers()  # words of the tokenizer, and their ids
+        self.word_ids = np.zeros(0, np.uint32)
+        self.word_ends = np.zeros(1, np.int64)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [e.ids for e in found]
 
-    def learn(self, words: list[str]) -> None:
-        """Encode words that aren't known yet.
-
-        Those of Latin letters are encoded as one text, which makes one object
-        of the library instead of one for each: of each it is known how many
-        words the tokenizer sees in it, and its ids go up to that many word
-        ends. If the ends don't add up, and for all others, each is a text.
-        """
-        joined = [w for w in words if LATIN.fullmatch(w)] if self.usual else []
-        for i in range(0, len(joined), JOINED):
-            part = joined[i : i + JOINED]
-            ids = np.array(self.whole([" ".join(part)])[0], np.uint32)
-            ended = np.cumsum(self.ends_word[ids])
-            number = np.cumsum([len(LATIN_WORDS.findall(w.lower())) for w in part])
-            if len(ended) and ended[-1] == number[-1]:
-                self.remember(part, ids, np.searchsorted(ended, number) + 1)
-        rest = [w for w in words if w not in self.known]
-        for i in range(0, len(rest), LEARN):
-            lists = self.whole(rest[i : i + LEARN])
+    def learn(self, strings: list[str]) -> None:
+        """Encode strings that aren't known yet."""
+        for i in range(0, len(strings), LEARN):
+            part = strings[i : i + LEARN]
+            lists = self.whole(part)
             sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            ids = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
-            self.remember(rest[i : i + LEARN], ids, np.cumsum(sizes))
-
-    def remember(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
-        self.parts.append(ids)
-        self.part_ends.append(ends + self.total)
-        self.total += len(ids)
-
-    def tables(self) -> None:
-        """Put what was learned since the last time behind the rest."""
-        if self.parts:
-            self.flat = np.concatenate([self.flat, *self.parts])
-            self.ends = np.concatenate([self.ends, *self.part_ends])
-            self.parts, self.part_ends = [], []
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+            self.known.update(zip(part, range(len(self.known), len(self.known) + len(part))))
+
+    def learn_words(self, words: list[str]) -> bool:
+        """Encode new words of the tokenizer; False if they turn out to be others."""
+        ids, ends = [self.word_ids], [self.word_ends]
+        total = int(self.word_ends[-1])
+        for i in range(0, len(words), JOINED):
+            part = words[i : i + JOINED]
+            own = np.array(self.whole([" ".join(part)])[0], np.uint32)
+            last = np.flatnonzero(self.ends_word[own])
+            if len(last) != len(part):
+                return False
+            ids.append(own)
+            ends.append(last + 1 + total)
+            total += len(own)
+        self.word_ids, self.word_ends = np.concatenate(ids), np.concatenate(ends)
+        return True
+
+    def latin(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """`encode` for texts of Latin letters and blanks, cut into the tokenizer's words here.
+
+        Only words that no text had before are encoded. None if the cuts turn
+        out to be others than the tokenizer's.
+        """
+        if len(self.words) > CACHE:
+            self.forget()
+        lists = [LATIN_TEXT_WORDS.findall(t.lower()) for t in texts]
+        words = list(chain.from_iterable(lists))
+        which = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        if not self.learn_words(self.words.take_new()):
+            self.forget()
+            return None
+        starts = self.word_ends[which]
+        sizes = self.word_ends[which + 1] - starts
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.repeat(starts - ends[:-1], sizes) + np.arange(int(ends[-1]))
+        rows = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
+        return self.word_ids[at], np.diff(ends[rows], prepend=0)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, and how many each row has."""
-        column = pc.fill_null(column, "").cast(pa.large_string())
+        column = pc.fill_null(column, "")
+        texts = column.to_pylist() if self.usual else []
+        plain = [len(t) <= LONG and bool(LATIN_TEXT.fullmatch(t)) and not any(m in t for m in self.special) for t in texts]
+        found = self.latin([t for t, p in zip(texts, plain) if p]) if any(plain) else None
+        if found is None:
+            return self.encode_strings(column)
+        if all(plain):
+            return found
+        mask = np.array(plain)
+        other = self.encode_strings(column.filter(pa.array(~mask)))
+        counts = np.zeros(len(column), np.int64)
+        counts[mask], counts[~mask] = found[1], other[1]
+        values = np.zeros(int(counts.sum()), np.uint32)
+        of_plain = np.repeat(mask, counts)
+        values[of_plain], values[~of_plain] = found[0], other[0]
+        return values, counts
+
+    def encode_strings(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """`encode` for texts of any kind, by the strings between blanks."""
+        column = column.cast(pa.large_string())
         lists = pc.ascii_split_whitespace(column)
         coded = lists.values.dictionary_encode()
         kinds = coded.dictionary.to_pylist()
@@ -132,7 +192,6 @@ class Encoder:
             new = kinds
         if new:
             self.learn(new)
-            self.tables()
         at_word = np.fromiter(map(self.known.__getitem__, kinds), np.int64, len(kinds))
         which = at_word[coded.indices.to_numpy(zero_copy_only=False)]
         starts = self.ends[which]

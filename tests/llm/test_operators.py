@@ -888,3 +888,20 @@ def test_byte_pairs_round_trip(spark):
     for r in bpe.decode_ids(encoded, RANKS, public_tokenizers.PATTERN).collect():
         assert bytes(r["decoded"]).decode() == text_of[r["doc_id"]]
     assert bpe.round_trip(empty_documents(spark), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_words_of_latin_texts_equal_the_library(monkeypatch):
+    """Texts cut into words here, mixed with others, forgotten words included, have the library's ids."""
+    rng = random.Random(2)
+    rows = ["".join(chr(rng.randint(9, 0xFF)) for _ in range(8)) for _ in range(1500)]
+    rows += ["".join(rng.choices("abc'sdtrelv \n\t!.1é", k=rng.randint(1, 25))) for _ in range(1500)]
+    rows += ["", None, "<|endoftext|> a", "é日", "½ ²x", "a\x0bb\x0c'S don't''s", "long " * 300]
+    monkeypatch.setattr(token_store, "CACHE", 500)
+    monkeypatch.setattr(token_store, "LONG", 1000)
+    encoder = token_store.Encoder(WORD_BPE)
+    for i in range(0, len(rows), 400):
+        part = rows[i : i + 400]
+        values, counts = encoder.encode(pa.array(part, pa.string()))
+        want = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in part]
+        assert counts.tolist() == list(map(len, want))
+        assert values.tolist() == [x for ids in want for x in ids]
