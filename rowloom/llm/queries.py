@@ -60,8 +60,7 @@ def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    return quality.judge(docs, quality.learn(docs, table(spark, folder, "labels")))
+    return quality.learn_and_judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
 def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -728,6 +728,7 @@ def test_verdicts_equal_brute_force(spark):
     assert found == quality.fit_cutoffs(table)
     assert np.isfinite(found.values[0, "symbols"]) and found.bounds[0, "symbols"] > 0
     judged = quality.judge(docs, found).collect()
+    assert Counter(map(tuple, quality.learn_and_judge(docs, labels).collect())) == Counter(map(tuple, judged))
     kept = {r["doc_id"]: k for r, k in zip(folds, found.verdict(measured).tolist())}
     assert all(r["kept"] == kept[r["doc_id"]] for r in judged)
     assert not all(kept.values()) and np.mean([kept[i] for i, g in marks if g]) > 0.95
@@ -737,6 +738,10 @@ def test_quality_of_odd_tables(spark):
     labels = spark.createDataFrame([(1, None), (None, 1), (2, 0)], "doc_id long, quality int")
     cutoffs = quality.learn(odd_documents(spark), labels)
     assert quality.judge(odd_documents(spark), cutoffs).count() == 13
+    both = [quality.judge(odd_documents(spark), cutoffs), quality.learn_and_judge(odd_documents(spark), labels)]
+    assert both[0].dtypes == both[1].dtypes
+    assert Counter(map(tuple, both[0].collect())) == Counter(map(tuple, both[1].collect()))
+    assert quality.learn_and_judge(empty_documents(spark), labels).count() == 0
     kept = quality.keep_good(odd_documents(spark), cutoffs)
     assert kept.columns == odd_documents(spark).columns
     assert quality.judge(empty_documents(spark), cutoffs).count() == 0
