@@ -53,6 +53,11 @@ LATIN_LETTERS, LATIN_NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3
 LATIN_WORDS = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN_LETTERS}]+|[{LATIN_NUMBERS}]|[^{LATIN_LETTERS}{LATIN_NUMBERS}]+"
 )
+# The same for texts of such characters and ASCII blanks.
+LATIN_TEXT = re.compile("[ \t-\r!-~\xa1-\xff]*")
+LATIN_TEXT_WORDS = re.compile(
+    f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN_LETTERS}]+|[{LATIN_NUMBERS}]|[^ \t-\r{LATIN_LETTERS}{LATIN_NUMBERS}]+"
+)
 
 
 class Automaton:
@@ -260,6 +265,7 @@ class Coder:
             self.labels[i] = name.encode()
         self.decimals = [b"%d" % i for i in range(len(self.labels))]
         self.words = Known(self.automaton.encode)
+        self.latin = Known(self.encode_latin)
         self.chunks = Known(self.encode_chunk)
 
     def words_of(self, chunk: str) -> list[str]:
@@ -277,8 +283,15 @@ class Coder:
             return self.words[words[0]]
         return [i for w in words for i in self.words[w]]
 
+    def encode_latin(self, word: str) -> list[int]:
+        """The ids of a word of visible characters below U+0100, in lower case."""
+        return self.automaton.encode(word.encode().decode("latin-1").translate(self.letters))
+
     def encode(self, text: str) -> list[int]:
         if not (self.marks and self.marks.search(text)):
+            if self.usual and LATIN_TEXT.fullmatch(text):
+                words = LATIN_TEXT_WORDS.findall(text.lower())
+                return list(chain.from_iterable(map(self.latin.__getitem__, words)))
             return list(chain.from_iterable(map(self.chunks.__getitem__, BLANKS.findall(text))))
         ids: list[int] = []
         for i, part in enumerate(self.marks.split(text)):

@@ -202,7 +202,7 @@ def test_long_word_and_bounded_tables(library, monkeypatch):
     code = merge_automaton.Coder(WORDS)
     text = "".join(random.Random(1).choices("etaoin", k=200_000)) + " one two three four five one two"
     assert code.encode(text) == library.encode(text, add_special_tokens=False).ids
-    assert len(code.chunks) <= 3 and len(code.words) <= 3 and len(code.automaton.arcs) <= 50
+    assert max(len(code.chunks), len(code.words), len(code.latin)) <= 3 and len(code.automaton.arcs) <= 50
 
 
 def test_automaton_rows(spark, coder):
