@@ -34,8 +34,9 @@ from rowloom.llm.common import (
 
 RISK = 0.05  # share of good documents that all rules together may reject in a stratum
 ERROR = 0.05  # chance that any of the bounds fails
-SAMPLE = 20_000  # labelled documents of a stratum that cutoffs are proposed from, at most
 GRID = 32  # cutoffs that are looked at for each rule, at most
+BIN = 2_000  # bad documents in a bin of values that are put in order together, about
+BINS = 256  # such bins of a stratum, at most; they grow beyond that
 LADDER = 3  # of which so many are tested
 STRATA = ("short", "middle", "long")  # by number of words: under 100, under 1000, more
 
@@ -177,61 +178,86 @@ class Cutoffs:
         return kept
 
 
+def grid_ranks(n: int) -> list[int]:
+    """The places, from 0, of the values of n sorted ones whose surroundings are looked at."""
+    return sorted({int(i) for i in np.floor((n - 1) * np.linspace(0, 1, GRID))})
+
+
+def halfway(value: float, below: float | None) -> float:
+    """The cutoff between a bad value and the largest good one below it, if any."""
+    return (value + below) / 2 if below is not None else value / 2
+
+
+def best_first(seen: list[tuple[float, float, float]], allowed: float) -> list[float]:
+    """Of (cutoff, share of good documents lost, share of bad ones gained) the best cutoffs."""
+    found = [(-gain, -cutoff) for cutoff, loss, gain in seen if loss <= allowed / 2 and gain > 2 * loss]
+    return [-c for _, c in sorted(found)[:LADDER]]
+
+
 def proposals(good: np.ndarray, bad: np.ndarray, allowed: float) -> list[float]:
     """Cutoffs for one rule, best first: halfway from good values to the bad ones beyond."""
-    found = []
-    for c in np.unique(np.quantile(bad, np.linspace(0, 1, GRID), method="lower")):
+    seen = []
+    for c in np.unique(np.sort(bad)[grid_ranks(len(bad))]):
         below = good[good < c]
-        cutoff = float(c + below.max()) / 2 if len(below) else float(c) / 2
-        loss, gain = (good > cutoff).mean(), (bad > cutoff).mean()
-        if loss <= allowed / 2 and gain > 2 * loss:
-            found.append((-gain, -cutoff))
-    return [-c for _, c in sorted(found)[:LADDER]]
+        cutoff = halfway(float(c), float(below.max()) if len(below) else None)
+        seen.append((cutoff, (good > cutoff).sum() / len(good), (bad > cutoff).sum() / len(bad)))
+    return best_first(seen, allowed)
 
 
-Held = Callable[[str, dict[int, list[float]]], dict[int, tuple[int, list[int]]]]
+Cuts = dict[int, list[float]]  # cutoffs of one rule, by stratum
+Propose = Callable[[str, dict[tuple[int, str], float], float], Cuts]
+Held = Callable[[str, Cuts], dict[int, tuple[int, list[int]]]]
 
 
-def choose_cutoffs(fit: np.ndarray, held: Held, risk: float = RISK, error: float = ERROR) -> Cutoffs:
-    """Cutoffs from labelled rows (stratum, quality, then a column for each rule) and held-out counts.
+def choose_cutoffs(propose: Propose, held: Held, risk: float = RISK, error: float = ERROR) -> Cutoffs:
+    """The first of the proposed cutoffs of each stratum and rule whose bound holds.
 
-    Rules take turns; each is proposed cutoffs for the bad documents that those
-    before have left. ``held(rule, cutoffs by stratum)`` gives, for each stratum,
-    the number of held-out good documents and how many each cutoff rejects.
+    Rules take turns. ``propose(rule, values so far, allowed share)`` gives, for
+    each stratum, cutoffs for the bad documents that the rules before have left.
+    ``held(rule, cutoffs by stratum)`` gives, for each stratum, the number of
+    held-out good documents and how many each cutoff rejects.
     """
     allowed = risk / len(RULES)
     level = error / (len(STRATA) * len(RULES) * LADDER)
-    strata = range(len(STRATA))
-    good = {s: fit[(fit[:, 0] == s) & (fit[:, 1] == 1)] for s in strata}
-    left = {s: fit[(fit[:, 0] == s) & (fit[:, 1] == 0)] for s in strata}
     values, bounds = {}, {}
-    for j, rule in enumerate(RULES, 2):
-        values |= {(s, rule): math.inf for s in strata}
-        bounds |= {(s, rule): 0.0 for s in strata}
-        both = [s for s in strata if len(good[s]) and len(left[s])]
-        proposed = {s: proposals(good[s][:, j], left[s][:, j], allowed) for s in both}
-        proposed = {s: cutoffs for s, cutoffs in proposed.items() if cutoffs}
+    for rule in RULES:
+        proposed = {s: cutoffs for s, cutoffs in propose(rule, values, allowed).items() if cutoffs}
+        values |= {(s, rule): math.inf for s in range(len(STRATA))}
+        bounds |= {(s, rule): 0.0 for s in range(len(STRATA))}
         counted = held(rule, proposed) if proposed else {}
         for s, (n, rejected) in counted.items():
             for cutoff, k in zip(proposed[s], rejected):
                 bound = upper_bound(k, n, level)
                 if bound <= allowed:
                     values[s, rule], bounds[s, rule] = cutoff, bound
-                    left[s] = left[s][left[s][:, j] <= cutoff]
                     break
     return Cutoffs(values, bounds)
 
 
 def fit_cutoffs(rows: np.ndarray, risk: float = RISK, error: float = ERROR) -> Cutoffs:
-    """`choose_cutoffs` for rows in memory, whose first column is the fold: 0 to fit, 1 held out."""
-    test = rows[(rows[:, 0] == 1) & (rows[:, 2] == 1)]
+    """`choose_cutoffs` for rows (fold, stratum, quality, then a column for each rule) in memory.
 
-    def held(rule: str, cutoffs: dict[int, list[float]]) -> dict[int, tuple[int, list[int]]]:
-        j = 3 + list(RULES).index(rule)
-        own = {s: test[test[:, 1] == s][:, j] for s in cutoffs}
+    Those of fold 0 propose, those of fold 1 are held out.
+    """
+    fit, test = rows[rows[:, 0] == 0], rows[(rows[:, 0] == 1) & (rows[:, 2] == 1)]
+    column = {rule: j for j, rule in enumerate(RULES, 3)}
+
+    def propose(rule: str, values: dict[tuple[int, str], float], allowed: float) -> Cuts:
+        out = {}
+        for s in range(len(STRATA)):
+            good, left = (fit[(fit[:, 1] == s) & (fit[:, 2] == quality)] for quality in (1, 0))
+            for (stratum, earlier), cutoff in values.items():
+                if stratum == s:
+                    left = left[left[:, column[earlier]] <= cutoff]
+            if len(good) and len(left):
+                out[s] = proposals(good[:, column[rule]], left[:, column[rule]], allowed)
+        return out
+
+    def held(rule: str, cutoffs: Cuts) -> dict[int, tuple[int, list[int]]]:
+        own = {s: test[test[:, 1] == s][:, column[rule]] for s in cutoffs}
         return {s: (len(own[s]), [int((own[s] > c).sum()) for c in cutoffs[s]]) for s in cutoffs}
 
-    return choose_cutoffs(rows[rows[:, 0] == 0][:, 1:], held, risk, error)
+    return choose_cutoffs(propose, held, risk, error)
 
 
 MEASURED = ", ".join(f"{n} long" for n in ["doc_id", "fold", "stratum", *BASE]) + (
@@ -259,17 +285,78 @@ def measured(documents: DataFrame) -> DataFrame:
     return map_pieces(documents.select(F.col("doc_id").cast("long"), text.alias("text"), fold), work, MEASURED)
 
 
-def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Cutoffs:
+def learn(documents: DataFrame, labels: DataFrame) -> Cutoffs:
     """The cutoffs for the given labels; without labels no rule rejects anything."""
-    return learn_from(measured(documents), labels, sample)
+    return learn_from(measured(documents), labels)
+
 
+def counts_beyond(rows: DataFrame, rule: str, cutoffs: Cuts) -> dict[int, tuple[int, list[int]]]:
+    """For each stratum the number of rows, and of those beyond each cutoff. One aggregation."""
+    asked = [f"count_if(stratum = {s}) AS n{s}" for s in cutoffs]
+    asked += [
+        f"count_if(stratum = {s} AND `{rule}` > {c!r}D) AS k{s}_{i}" for s, cs in cutoffs.items() for i, c in enumerate(cs)
+    ]
+    found = rows.selectExpr(*asked).head()
+    return {s: (found[f"n{s}"], [found[f"k{s}_{i}"] for i in range(len(cs))]) for s, cs in cutoffs.items()}
 
-def learn_from(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Cutoffs:
+
+def bin_edges(rows: DataFrame) -> dict[tuple[int, str], list[float]]:
+    """Values that deal the rows of a stratum into bins of `BIN` rows or a `BINS`th, by stratum and rule.
+
+    They come from quantile sketches and only say which rows are put in order
+    together; ranks are counted exactly.
+    """
+    sizes = {r["stratum"]: r["count"] for r in rows.groupBy("stratum").count().collect()}
+    bins = min(BINS, max(sizes.values(), default=0) // BIN + 1)
+    if bins == 1:
+        return {(s, rule): [] for s in sizes for rule in RULES}
+    shares = ", ".join(f"{i / bins!r}D" for i in range(1, bins))
+    sketches = [f"percentile_approx(`{rule}`, array({shares}), {10 * bins}) AS `{rule}`" for rule in RULES]
+    found = rows.groupBy("stratum").agg(*[F.expr(e) for e in sketches]).collect()
+    return {(r["stratum"], rule): sorted(set(r[rule])) for r in found for rule in RULES}
+
+
+def grid_values(rows: DataFrame, rule: str, edges: dict[int, list[float]]) -> Cuts:
+    """The different values at `grid_ranks` of the sorted values of every stratum, exactly.
+
+    Equal values are counted first; bins lie one after the other, so that the
+    rank of a value is its rank in its bin and the sizes of the bins before.
+    """
+    arrays = " ".join(
+        f"WHEN {s} THEN array_size(filter(array({', '.join(f'{e!r}D' for e in es)}), e -> e < value))"
+        for s, es in edges.items() if es
+    )
+    place = f"CASE stratum {arrays} ELSE 0 END" if arrays else "0"
+    values = rows.groupBy("stratum", F.col(rule).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    values = stored(values.withColumn("bin", F.expr(place)), "quality-values")
+    sizes: dict[int, dict[int, int]] = {}
+    for r in values.groupBy("stratum", "bin").agg(F.sum("n").alias("n")).collect():
+        sizes.setdefault(r["stratum"], {})[r["bin"]] = r["n"]
+    wanted = []
+    for s, bins in sizes.items():
+        ranks, start = grid_ranks(sum(bins.values())), 0
+        for b in sorted(bins):
+            inside = [r - start for r in ranks if start <= r < start + bins[b]]
+            wanted += [(s, b, r) for r in inside]
+            start += bins[b]
+    if not wanted:
+        return {}
+    order = Window.partitionBy("stratum", "bin").orderBy("value")
+    upto = values.withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    asked = rows.sparkSession.createDataFrame(wanted, "stratum long, bin int, rank long")
+    at = upto.join(F.broadcast(asked), ["stratum", "bin"]).where("rank >= upto - n AND rank < upto")
+    out: Cuts = {}
+    for r in at.select("stratum", "value").distinct().collect():
+        out.setdefault(r["stratum"], []).append(r["value"])
+    return {s: sorted(found) for s, found in out.items()}
+
+
+def learn_from(rows: DataFrame, labels: DataFrame) -> Cutoffs:
     """The cutoffs for labelled rows of `measured`.
 
-    Cutoffs are proposed from at most `sample` documents of each stratum, by a
-    hash of their ids. The bounds count all held-out labelled documents, in
-    one aggregation for each rule, whose few numbers reach the driver. An id
+    Cutoffs are proposed from all labelled documents of one fold, and the
+    bounds count all those of the other. Each rule takes a few aggregations,
+    whose few numbers reach the driver. An id
     with several labels has the lowest. Documents that fail the base rules are
     left out, as the cutoffs never decide on them.
     """
@@ -280,20 +367,32 @@ def learn_from(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Cuto
     )
     open_ = rows.where("doc_id IS NOT NULL AND NOT base_failed").select("doc_id", "fold", "stratum", *RULES)
     rows = stored(open_.join(known, "doc_id"), "quality-labelled")
-    order = Window.partitionBy("stratum").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = rows.where("fold = 0").withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample)
-    fit = few.select("stratum", "quality", *RULES).toPandas().to_numpy(np.float64).reshape(-1, 2 + len(RULES))
-    good = rows.where("fold = 1 AND quality = 1")
-
-    def held(rule: str, cutoffs: dict[int, list[float]]) -> dict[int, tuple[int, list[int]]]:
-        asked = [f"count_if(stratum = {s}) AS n{s}" for s in cutoffs]
-        asked += [
-            f"count_if(stratum = {s} AND `{rule}` > {c!r}D) AS k{s}_{i}" for s, cs in cutoffs.items() for i, c in enumerate(cs)
+    good, bad = (rows.where(f"fold = 0 AND quality = {quality}") for quality in (1, 0))
+    test = rows.where("fold = 1 AND quality = 1")
+    edges = bin_edges(bad)
+
+    def propose(rule: str, values: dict[tuple[int, str], float], allowed: float) -> Cuts:
+        left = bad
+        for (s, earlier), cutoff in values.items():
+            if math.isfinite(cutoff):
+                left = left.where(f"NOT (stratum = {s} AND `{earlier}` > {cutoff!r}D)")
+        grid = grid_values(left, rule, {s: es for (s, of), es in edges.items() if of == rule})
+        if not grid:
+            return {}
+        asked = [
+            f"max(CASE WHEN stratum = {s} AND `{rule}` < {c!r}D THEN `{rule}` END) AS b{s}_{i}"
+            for s, cs in grid.items() for i, c in enumerate(cs)
         ]
-        found = good.selectExpr(*asked).head()
-        return {s: (found[f"n{s}"], [found[f"k{s}_{i}"] for i in range(len(cs))]) for s, cs in cutoffs.items()}
-
-    return choose_cutoffs(fit, held)
+        below = good.selectExpr(*asked).head()
+        cuts = {s: [halfway(c, below[f"b{s}_{i}"]) for i, c in enumerate(cs)] for s, cs in grid.items()}
+        lost, gained = counts_beyond(good, rule, cuts), counts_beyond(left, rule, cuts)
+        return {
+            s: best_first([(c, k / lost[s][0], g / gained[s][0]) for c, k, g in zip(cs, lost[s][1], gained[s][1])], allowed)
+            for s, cs in cuts.items()
+            if lost[s][0]
+        }
+
+    return choose_cutoffs(propose, lambda rule, cutoffs: counts_beyond(test, rule, cutoffs))
 
 
 def verdicts(rows: DataFrame, cutoffs: Cutoffs) -> DataFrame:

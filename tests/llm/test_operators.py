@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import html
+import math
 import random
 import re
 import time
@@ -734,6 +735,29 @@ def test_verdicts_equal_brute_force(spark):
     assert not all(kept.values()) and np.mean([kept[i] for i, g in marks if g]) > 0.95
 
 
+def test_cutoffs_are_proposed_from_all_labels(spark, monkeypatch):
+    """More documents of one stratum than were once proposed from, in many bins: as in memory."""
+    monkeypatch.setattr(quality, "BIN", 500)
+    rules = [
+        f"(CASE WHEN id % 3 = 0 THEN {j} ELSE 0 END + pmod(xxhash64(id, {j}), {997 if j % 2 else 7})) / 100D AS `{rule}`"
+        for j, rule in enumerate(quality.RULES)
+    ]
+    # the few documents with marks, and no others, are beyond one value
+    rows = spark.range(60_000).selectExpr(
+        "id AS doc_id", "id % 2 AS fold", "CASE WHEN id % 40 = 0 THEN 1L ELSE 0L END AS stratum", "false AS base_failed", *rules
+    )
+    rows = rows.withColumns({"marks": rows.marks + 20 * ((rows.doc_id % 15) == 6).cast("int")})
+    labels = spark.range(60_000).selectExpr("id AS doc_id", "CAST(id % 3 > 0 AS INT) AS quality")
+    found = quality.learn_from(rows, labels)
+    table = rows.join(labels, "doc_id").select("fold", "stratum", "quality", *quality.RULES).toPandas().to_numpy(float)
+    assert found == quality.fit_cutoffs(table)
+    assert math.isfinite(found.values[0, "marks"])
+    seen = quality.grid_values(rows, "marks", {0: [1.0, 2.0], 1: []})
+    for s in (0, 1):
+        own = np.sort(table[table[:, 1] == s][:, 3 + list(quality.RULES).index("marks")])
+        assert seen[s] == np.unique(np.quantile(own, np.linspace(0, 1, quality.GRID), method="lower")).tolist()
+
+
 def test_quality_of_odd_tables(spark):
     labels = spark.createDataFrame([(1, None), (None, 1), (2, 0)], "doc_id long, quality int")
     cutoffs = quality.learn(odd_documents(spark), labels)
