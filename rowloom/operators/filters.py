@@ -17,15 +17,22 @@ def lookup(df: DataFrame, key: str, value) -> DataFrame:
     return df.where(f"{name_of(key)} = {value_of(value)}")
 
 
+# A text of at most ten digits that may be a whole number; anything that isn't printable may surround it.
+NUMBER = r"'^[^!-~]*[+-]?0*[0-9]{1,10}[^!-~]*$'"
+
+
 def check_ids(
     requests: DataFrame, raw: str, key: str, low: int, high: int
 ) -> tuple[DataFrame, DataFrame]:
     """Split raw text ids into (accepted, rejected).
 
     Accepted ids are whole numbers inside the range and appear as ``key``;
-    everything else keeps its text in the second DataFrame.
+    everything else keeps its text in the second DataFrame. A cast that fails
+    costs as much as a hundred that don't, so texts that can't be numbers are
+    told by a pattern first.
     """
     text = f"CAST({name_of(raw)} AS STRING)"
-    parsed = requests.selectExpr("*", f"try_cast({text} AS INT) AS {name_of(key)}")
+    number = f"CASE WHEN {text} RLIKE {NUMBER} THEN try_cast({text} AS INT) END"
+    parsed = requests.selectExpr("*", f"{number} AS {name_of(key)}")
     valid = flag(f"{name_of(key)} BETWEEN {value_of(low)} AND {value_of(high)}")
     return parsed.where(valid), parsed.where(f"NOT {valid}").drop(key)

@@ -112,6 +112,18 @@ def test_id_rules(spark):
     assert bad.count() == 5 and bad.columns == ["raw"]
 
 
+def test_texts_that_are_no_number_are_not_cast(spark):
+    texts = [
+        "7", " 7 ", "\t7\n", "\u00017\u007f", "+7", "-7", "007", "0" * 30 + "7", "2147483647", "2147483648", "9" * 10, "9" * 30,
+        "", " ", "+", "-", "7 7", "+ 7", "--7", "7.0", "7e0", "1-URGENT", "seven", "\u0667", "\u00a07", "7L", "0x7", None,
+    ]
+    raw = spark.createDataFrame([(t,) for t in texts], "raw string")
+    good, bad = op.check_ids(raw, "raw", "id", -2147483648, 2147483647)
+    want = raw.selectExpr("raw", "try_cast(raw AS INT) AS id").where("id IS NOT NULL")
+    assert rows(good) == rows(want) and good.count() + bad.count() == len(texts)
+    assert "RLIKE" in bad._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_one_hot_rules(spark):
     fitted = spark.createDataFrame([("b", "x/ y"), ("a", None), ("b", "z")], "s string, t string")
     categories = op.fit_categories(fitted)
