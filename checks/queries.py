@@ -70,7 +70,7 @@ def plain(
         elif isinstance(f.dataType, (T.DecimalType, T.FloatType, T.DoubleType)):
             c = f"CAST({c} AS DOUBLE)"
             if digits is not None and f.name not in keep:
-                c = f"round({c}, {digits})"
+                c = fn.half_up(c, digits)
         elif isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType)):
             c = f"CAST({c} AS BIGINT)"
         out.append(f"{c} AS {name_of(f.name)}")
@@ -638,7 +638,7 @@ def rounded(df: DataFrame, scaled: tuple[str, ...] = ()) -> DataFrame:
     digits = {c: 1 if c in LARGE_RATIOS else 4 for c in RATIO_COLUMNS} | {c: 8 for c in scaled}
     return typed.selectExpr(
         *[
-            f"round({name_of(c)}, {digits[c]}) AS {name_of(c)}" if c in digits else name_of(c)
+            f"{fn.half_up(name_of(c), digits[c])} AS {name_of(c)}" if c in digits else name_of(c)
             for c in typed.columns
         ]
     )

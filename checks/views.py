@@ -10,8 +10,12 @@ the CASE expressions that make some.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from rowloom.functions import half_up
+
 CUSTOMER_COLUMNS = {
     "SK_ID_CURR": "c_custkey",
     "TARGET": "CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END",
@@ -156,6 +160,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def in_spark(expr: str) -> str:
+    """The expression with Spark's `round` of a double, which goes over decimals, done faster."""
+    return re.sub(r"\bround\(([^()]+)\)", lambda m: f"({half_up(m[1])})", expr)
+
+
 def view(
     spark: SparkSession, folder: str, name: str, read: dict[str, DataFrame] | None = None
 ) -> DataFrame:
@@ -169,7 +178,7 @@ def view(
     for other in sources[1:]:
         left, right = on.split(" = ")
         df = df.join(read[other], df[left] == read[other][right])
-    return df.selectExpr(*[f"{expr} AS `{out}`" for out, expr in columns.items()])
+    return df.selectExpr(*[f"{in_spark(expr)} AS `{out}`" for out, expr in columns.items()])
 
 
 def bundle(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

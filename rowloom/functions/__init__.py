@@ -29,6 +29,7 @@ from rowloom.functions.nulls import (
 from rowloom.functions.numeric import (
     class_of,
     half_even,
+    half_up,
     ieee_div,
     safe_ratio,
     to_float32,
@@ -39,6 +40,7 @@ __all__ = [
     "fill_missing",
     "flag",
     "half_even",
+    "half_up",
     "ieee_div",
     "inf_to",
     "map_values",

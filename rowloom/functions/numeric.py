@@ -25,6 +25,28 @@ def half_even(e: str) -> str:
     return f"rint(CAST({e} AS DOUBLE)) + 0.0D"
 
 
+def half_up(e: str, digits: int = 0) -> str:
+    """`round` of a double, ties away from zero, without its detour over decimals.
+
+    The same result for every value: an integer's tie is exact, and what is so
+    near a tie of ``digits`` digits, or so large, that scaling might decide it
+    wrongly is left to `round`. Adding 0 drops the sign of -0.
+    """
+    v = f"CAST({e} AS DOUBLE)"
+    if not digits:
+        tie = f"{v} - rint({v})"
+        return (
+            f"rint({v}) + CASE WHEN {v} > 0.0D AND {tie} = 0.5D THEN 1.0D"
+            f" WHEN {v} < 0.0D AND {tie} = -0.5D THEN -1.0D ELSE 0.0D END"
+        )
+    unit = value_of(float(10**digits))
+    y = f"({v} * {unit})"
+    return (
+        f"CASE WHEN abs({y}) < 1e12D AND abs(abs({y} - rint({y})) - 0.5D) > 0.001D"
+        f" THEN (rint({y}) + 0.0D) / {unit} ELSE round({v}, {digits}) END"
+    )
+
+
 def to_float32(e: str) -> str:
     return f"CAST({e} AS FLOAT)"
 

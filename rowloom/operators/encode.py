@@ -23,9 +23,14 @@ Categories = dict[str, list[str]]
 
 
 def _long_categories(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, category) of all non-missing values, from one scan."""
+    """(column, category) of all non-missing values, from one scan.
+
+    Rows are made distinct before they become one row for each column, so that
+    a row of the table is hashed once, not once a column.
+    """
     return (
         select_named(df, columns)
+        .distinct()
         .unpivot([], list(columns), "column", "category")
         .where("category IS NOT NULL")
     )

@@ -22,6 +22,19 @@ def test_half_even(spark):
     assert math.copysign(1, got[3]) == 1
 
 
+def test_half_up_is_round_without_decimals(spark):
+    ties = [0.5, 1.5, 2.5, -0.5, -1.5, -2.5, 0.49999999999999994, 4503599627370497.0, 1e300, -0.3, 0.0, INF, -INF]
+    near = [1.00005, 2.00015, 1.23455, 1234567.89125, -1.00005, 0.00004999, 5e-324, 0.1 + 0.2, 123456789.87654]
+    some = [(math.sin(i) * 10.0 ** (i % 17 - 4),) for i in range(2000)] + [(i / 32.0,) for i in range(-200, 200)]
+    rows = [(x,) for x in [*ties, *near]] + some + [(None,)]
+    for digits in (0, 1, 4, 8):
+        got = values(spark, "x double", rows, fn.half_up("x", digits))
+        assert got == values(spark, "x double", rows, f"round(x, {digits})")
+        assert all(math.copysign(1, x) == 1 for x in got if x == 0)
+        assert math.isnan(values(spark, "x double", [(math.nan,)], fn.half_up("x", digits))[0])
+    assert "round(" not in fn.half_up("x")
+
+
 def test_ieee_div(spark):
     rows = [(1.0, 0.0), (-1.0, 0.0), (0.0, 0.0), (None, 0.0), (1.0, None), (3.0, 2.0)]
     got = values(spark, "n double, d double", rows, fn.ieee_div("n", "d"))

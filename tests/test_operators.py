@@ -9,6 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from rowloom import operators as op
+from rowloom.operators.encode import _long_categories
 from rowloom.operators.joins import Requested
 from rowloom.operators.scale import fit_impute_scale
 
@@ -307,3 +308,10 @@ def test_projection(spark):
     assert op.peek(df, "k").count() == 1
     assert op.lookup(df, "k", 1).count() == 1
     assert op.shape_report(df, "t").head()[:] == ("t", 1, 3)
+
+
+def test_categories_are_found_in_distinct_rows(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", None), (None, "y"), ("b", "x")] * 50, "s string, t string")
+    assert op.fit_categories(df) == {"s": ["a", "b"], "t": ["x", "y"]}
+    plan = _long_categories(df, ["s", "t"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Expand") < plan.index("Aggregate")  # the rows are grouped below the expansion
