@@ -172,9 +172,7 @@ def refresh(
     if applicants is not None:
         wanted = wanted.union(applicants.select(d.CUSTOMER)).distinct()
     keys = Requested(wanted, d.CUSTOMER)
-    rows = written(state.features(application, params, keys), "refreshed")
-    removed = keys.ids.join(rows.select(d.CUSTOMER), d.CUSTOMER, "left_anti")
-    return table.upsert(rows, removed)
+    return table.upsert(state.features(application, params, keys), keys.ids)
 
 
 def features_from(tables: Mapping[str, DataFrame], state: HistoryState, batch: str, params: FittedParams) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from rowloom.functions import name_of, value_of
 from rowloom.session import folder_exists, remove_folder, work_folder, written
 
-PART = "key_part"
+PART, NTH = "key_part", "nth_of_key"
 
 
 class PartitionedTable:
@@ -35,10 +35,13 @@ class PartitionedTable:
     def part_of(self, key: str) -> str:
         return f"CAST(pmod(xxhash64({key}), {self.parts}) AS INT)"
 
-    def _placed(self, df: DataFrame) -> DataFrame:
+    def _placed(self, df: DataFrame, once: bool = False) -> DataFrame:
         by = name_of(self.key)
-        placed = df.where(f"{by} IS NOT NULL").selectExpr("*", f"{self.part_of(by)} AS {PART}")
-        return placed.repartition(PART).sortWithinPartitions(PART, by)
+        placed = df.where(f"{by} IS NOT NULL").selectExpr("*", f"{self.part_of(by)} AS {PART}").repartition(PART)
+        if once:  # one row of each key, found after the same shuffle and in the same order
+            nth = f"row_number() OVER (PARTITION BY {PART}, {by} ORDER BY {by}) AS {NTH}"
+            placed = placed.selectExpr("*", nth).where(f"{NTH} = 1").drop(NTH)
+        return placed.sortWithinPartitions(PART, by)
 
     def write(self, df: DataFrame) -> None:
         """Replace the whole table; rows without a key are left out."""
@@ -75,31 +78,34 @@ class PartitionedTable:
         Returns the numbers of the folders that were written. Columns are
         matched by name and take the types of the table; a column that the
         changes lack, or that other rows lack, is null. A key in both stays. Of several rows with one key any may be kept, so
-        give one. What replaces a folder is complete in the work folder before
-        the first file is touched.
+        give one. The changes are computed once, and what replaces a folder is
+        complete beside the table before the first file is touched: Spark moves
+        the folders of a dynamic overwrite when all of them are written.
         """
         by, spark, stored = name_of(self.key), self.spark, self._stored()
         place = work_folder(spark, "upsert")
         kinds = {f.name: f.dataType.simpleString() for f in self.schema.fields}
-        typed = changes.dropDuplicates([self.key]).selectExpr(
+        typed = changes.selectExpr(
             *[f"CAST({name_of(c)} AS {kinds[c]}) AS {name_of(c)}" if c in kinds else name_of(c) for c in changes.columns]
         )
-        new = written(self._placed(typed), "changes", f"{place}/new")
+        new = written(self._placed(typed, once=True), "changes", f"{place}/new")
         gone = new.select(by, PART)
+        filled = {r[PART] for r in gone.select(PART).distinct().collect()}
+        touched = sorted(filled)
         if removed is not None:
-            keys = removed.select(by).where(f"{by} IS NOT NULL").distinct()
+            keys = removed.selectExpr(f"CAST({by} AS {kinds[self.key]}) AS {by}").where(f"{by} IS NOT NULL").distinct()
             gone = gone.union(keys.selectExpr(by, f"{self.part_of(by)} AS {PART}")).distinct()
-        touched = sorted(r[PART] for r in gone.select(PART).distinct().collect())
+            touched = sorted(r[PART] for r in gone.select(PART).distinct().collect())
         if touched:
             listed = ", ".join(map(str, touched))
             kept = stored.where(f"{PART} IN ({listed})").join(gone.select(by), self.key, "left_anti")
             rows = kept.unionByName(new, allowMissingColumns=True)
-            whole = rows.repartition(PART).sortWithinPartitions(PART, by)
-            ready = written(whole, "merged", f"{place}/merged")
-            filled = {r[PART] for r in ready.select(PART).distinct().collect()}
-            # Dealt out again by part, as files that were read may be split or joined.
+            only_removed = sorted(set(touched) - filled)
+            if only_removed:
+                left = kept.where(f"{PART} IN ({', '.join(map(str, only_removed))})").select(PART)
+                filled |= {r[PART] for r in left.distinct().collect()}
             (
-                ready.repartition(PART)
+                rows.repartition(PART)
                 .sortWithinPartitions(PART, by)
                 .write.mode("overwrite")
                 .option("partitionOverwriteMode", "dynamic")

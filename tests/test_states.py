@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from checks.views import bundle
 from rowloom import operators as op
-from rowloom.operators.state import count_in, sum_in
-from rowloom.plans import build
+from rowloom.operators.state import count_in, sum_in, summed
+from rowloom.plans import build, incremental
 from rowloom.plans import domain as d
 from rowloom.plans.incremental import HistoryState, refresh
 from rowloom.plans.params import MAIN
-from rowloom.sources import BatchStore, PartitionedTable
+from rowloom.session import written
+from rowloom.sources import BatchStore, PartitionedTable, upsert
 from rowloom.sources.upsert import PART
 
 
@@ -197,6 +198,37 @@ def files_of(path) -> dict[str, tuple]:
     return out
 
 
+def test_sums_of_bigints_are_exact_without_a_decimal_for_every_row(spark):
+    top = 2**63 - 1
+    wanted = [top, top, top, -top - 1, -1, 0, 4294967295, -4294967296, 7, None]
+    df = spark.createDataFrame([(1, v) for v in wanted] + [(2, None)], "k long, v long")
+    out = df.groupBy("k").agg(F.expr(f"{summed(df, 'v')} AS s"))
+    assert rows(out) == [(1, Decimal(sum(v for v in wanted if v is not None))), (2, Decimal(0))]
+    assert out.schema["s"].dataType.simpleString() == "decimal(38,0)"
+    partial = out._jdf.queryExecution().executedPlan().toString().split("partial_sum")[1:]
+    assert partial and not any("decimal" in p.split(")")[0].lower() for p in partial)
+
+
+def test_a_refresh_writes_the_changes_once_besides_the_table(spark, tmp_path, parts, monkeypatch):
+    tables, first, second, params = parts
+    state = HistoryState(spark, str(tmp_path / "state"))
+    state.add("first", first)
+    table = PartitionedTable(spark, str(tmp_path / "features"), d.CUSTOMER, parts=4)
+    table.write(state.features(tables[MAIN], params))
+    state.add("second", second)
+    wide = []
+
+    def counted(df, label, path=None):
+        if len(df.columns) > 20:
+            wide.append(label)
+        return written(df, label, path)
+
+    for module in (upsert, incremental):
+        monkeypatch.setattr(module, "written", counted)
+    refresh(table, state, "second", tables[MAIN], params)
+    assert wide == ["changes"]
+
+
 def test_upsert_equals_a_rebuild_and_leaves_other_files(spark, tmp_path):
     path = str(tmp_path / "t")
     table = PartitionedTable(spark, path, "k", parts=8)
